@@ -1,11 +1,61 @@
-"""Corpus pipeline: placeholder until its stages exist."""
+"""Corpus pipeline: language ID, line dedup, near-dedup, mixing, BPE.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
+written as Parquet and read again as the next one's docs. All but the last
+return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roadtide.llm import bpe, lang_id, line_dedup, minhash_bbit, poisson_mix
+from roadtide.llm.common import saved, shared_dir, small_enough, tokenizer_path
+
+#: The stages as a whole have no SQL; they are tested one by one.
 ORACLE_SQL = None
-STAGES: list = []
+#: Dropped doc_ids that are broadcast at most; beyond it they are joined by a shuffle.
+MAX_BROADCAST_IDS = 500_000
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the classifier accepts."""
+    return lang_id.predict(docs, lang_id.fit(docs)).where("not rejected").select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier line matches; a document that loses all its words goes."""
+    done = line_dedup.line_dedup(docs).where("n_dropped = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    size = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return done.withColumn("n_chars", size).select(*docs.columns)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of every group of near-duplicates (five words, similarity 0.8)."""
+    gone = saved(minhash_bbit.near_components(docs, words=5, percent=80).where("not kept").select("doc_id"), "near-gone")
+    return docs.join(F.broadcast(gone) if small_enough(gone, MAX_BROADCAST_IDS) else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents replicated to the target weights of their sources, in a global random order."""
+    return poisson_mix.poisson_mix(docs).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the hash of what they decode to."""
+    return bpe.encode(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
+STAGES = [("language_id", identify_language), ("line_dedup", dedup_lines), ("near_dedup", dedup_near), ("mixing", mix_sources), ("bpe", encode)]
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for i, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{path}/{i}")
+        docs = spark.read.parquet(f"{path}/{i}")
     return docs

@@ -49,3 +49,10 @@ def let(value, body) -> F.Column:
 def small_enough(df: DataFrame, most: int) -> bool:
     """Whether df has at most so many rows; reads no more than most + 1 of them to the count."""
     return df.limit(most + 1).count() <= most
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary file is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

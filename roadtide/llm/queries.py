@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadtide.llm import bpe, lang_id, minhash_bbit, pii_boost, sparse_suffix, va_topk, warc_shards
 from roadtide.llm import line_dedup as line_dedup_
 from roadtide.llm import poisson_mix as poisson_mix_
 from roadtide.llm import quality_llr as quality_llr_
-from roadtide.llm.common import table
+from roadtide.llm.common import table, tokenizer_path
+
+
+def op1_va_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best vectors of every 50th."""
+    vectors = va_topk.scaled(table(spark, sf_dir, "embeddings"))
+    return va_topk.top_k(vectors, vectors.where("id % 50 = 0"), k=5).select("query_id", "rank", "vec_id", "score")
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scores)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
+"""
 
 
 def op2_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +82,50 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
 
+def op4_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lang_id.fit(docs)
+    return lang_id.predict(docs.select("doc_id", lang_id.held_out("doc_id").alias("held_out"), "text"), model).drop("text")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), with_ids=False)
+
+
+def op7_minhash_bbit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_bbit.near_components(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+def op8_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse_suffix.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op9_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii_boost.digest(pii_boost.find(docs, pii_boost.fit(docs)))
+
+
+def op10_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc_shards.write_warc(table(spark, sf_dir, "pages"), warc_shards.new_archive(spark))
+    return warc_shards.read_warc(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
+       CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100
+"""
+
+
 def queries() -> dict:
-    return {"op2_quality_llr": op2_quality_llr, "op3_poisson_mix": op3_poisson_mix, "op6_line_dedup": op6_line_dedup}
+    return {
+        f.__name__: f
+        for f in (op1_va_topk, op2_quality_llr, op3_poisson_mix, op4_lang_id, op5_bpe, op6_line_dedup, op7_minhash_bbit, op8_sparse_suffix, op9_pii_boost, op10_warc_shards)
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op3_poisson_mix": OP3_SQL, "op6_line_dedup": OP6_SQL}
+    return {"op1_va_topk": OP1_SQL, "op3_poisson_mix": OP3_SQL, "op6_line_dedup": OP6_SQL, "op10_warc_shards": OP10_SQL}
