@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 from collections import defaultdict
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 #: Pieces never cross the borders of these units, and a unit's pieces don't depend on what stands around it.
 UNIT = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Bytes of distinct pieces that are encoded at once, characters of text whose units are looked at once, and units kept between.
-PIECE_BYTES, CHUNK, KEEP_UNITS = 24_000_000, 16_000_000, 300_000
+PIECE_BYTES, CHUNK, KEEP_UNITS = 24_000_000, 8_000_000, 400_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -72,7 +73,7 @@ class Vocabulary:
         return np.where(self.keys[at] == keys, self.order[at], -1)
 
 
-def encode_pieces(vocab: Vocabulary, pieces: list[bytes]) -> list[np.ndarray]:
+def encode_pieces(vocab: Vocabulary, pieces: list[bytes]) -> list[list[int]]:
     """Token ids of each piece, by a pair occurrence index over all of them."""
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     ends = np.cumsum(sizes)
@@ -89,13 +90,15 @@ def encode_pieces(vocab: Vocabulary, pieces: list[bytes]) -> list[np.ndarray]:
         ranks = vocab.rank(sym[at], sym[nxt[at]])
         has = ranks >= 0
         at, ranks = at[has], ranks[has]
+        if not len(at):
+            return
         order = np.argsort(ranks, kind="stable")
         at, ranks = at[order], ranks[order]
-        cuts = np.flatnonzero(np.diff(ranks)) + 1
-        for r, part in zip(ranks[np.concatenate(([0], cuts))].tolist() if len(ranks) else [], np.split(at, cuts), strict=False):
+        cuts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(at)]
+        for r, i, j in zip(ranks[cuts[:-1]].tolist(), cuts, cuts[1:], strict=False):
             if r not in index:
                 heapq.heappush(active, r)
-            index[r].append(part)
+            index[r].append(at[i:j])
 
     enter(np.flatnonzero(nxt >= 0))
     while active:
@@ -120,45 +123,58 @@ def encode_pieces(vocab: Vocabulary, pieces: list[bytes]) -> list[np.ndarray]:
         before = prv[at]
         enter(np.concatenate((before[before >= 0], at[has])))
     alive = sym >= 0
-    ids = sym[alive]
-    stops = np.concatenate(([0], np.cumsum(alive)))[ends]
-    return np.split(ids, stops[:-1])
+    ids = sym[alive].tolist()
+    stops = np.concatenate(([0], np.cumsum(alive)))[ends].tolist()
+    return [ids[a:b] for a, b in zip([0, *stops], stops, strict=False)]
 
 
 class Codec:
-    """Encodes and decodes batches; keeps the units of earlier ones, up to a bound."""
+    """Encodes and decodes batches of texts. Units are numbered as they occur; those of earlier chunks are kept, up to a bound."""
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.ids: dict[str, tuple[int, ...]] = {}
-
-    def learn(self, units: set[str]) -> None:
-        new = [u for u in units if u not in self.ids]
-        if len(self.ids) + len(new) > KEEP_UNITS:
-            self.ids, new = {}, list(units)
-        special = self.vocab.special
-        cut = {u: [p.encode() for p in PIECE.findall(u)] for u in new if u not in special}
-        pieces, size, known = set(), 0, {}
-
-        def encode() -> None:
-            order = list(pieces)
-            known.update(zip(order, map(tuple, (x.tolist() for x in encode_pieces(self.vocab, order))), strict=True))
-
-        for ps in cut.values():
-            for p in ps:
-                if p not in known and p not in pieces:
-                    pieces.add(p)
-                    size += len(p)
+        self.digits = {i: str(i) for i in vocab.bytes}
+        self.clear()
+
+    def clear(self) -> None:
+        self.code: dict[str, int] = defaultdict(itertools.count().__next__)
+        self.names: list[str] = []  # by code: decimal ids joined by commas, what they decode to, and the ids
+        self.plain: list[bytes] = []
+        self.ids: list[list[int]] = []
+
+    def learn(self) -> None:
+        """Encode the units that are numbered but not known yet."""
+        new = list(itertools.islice(self.code, len(self.names), None))
+        special, known = self.vocab.special, {}
+        cut, pieces, size = [], set(), 0
+        for u in new:
+            if u in special:
+                ps: list[bytes] = []
+            elif u.isalpha() or u[0] == " " and u[1:].isalpha():
+                ps = [u.encode()]
+            else:
+                ps = [p.encode() for p in PIECE.findall(u)]
+            cut.append(ps)
+            pieces.update(ps)
+            size += len(u)
             if size > PIECE_BYTES:
-                encode()
+                self._encode(pieces.difference(known), known)
                 pieces, size = set(), 0
+        self._encode(pieces.difference(known), known)
+        digits, to_bytes = self.digits, self.vocab.bytes
+        for u, ps in zip(new, cut, strict=True):
+            ids = [special[u]] if u in special else known[ps[0]] if len(ps) == 1 else [i for p in ps for i in known[p]]
+            self.ids.append(ids)
+            self.names.append(",".join([digits[i] for i in ids]))
+            self.plain.append(b"".join([to_bytes[i] for i in ids]))
+
+    def _encode(self, pieces: set[bytes], known: dict[bytes, list[int]]) -> None:
         if pieces:
-            encode()
-        for u in new:
-            self.ids[u] = (special[u],) if u in special else tuple(i for p in cut[u] for i in known[p])
+            order = list(pieces)
+            known.update(zip(order, encode_pieces(self.vocab, order), strict=True))
 
     def units(self, text: str) -> list[str]:
-        if self.vocab.splitter is None:
+        if self.vocab.splitter is None or not any(map(text.__contains__, self.vocab.special)):
             return UNIT.findall(text)
         out: list[str] = []
         for part in self.vocab.splitter.split(text):
@@ -168,17 +184,28 @@ class Codec:
                 out += UNIT.findall(part)
         return out
 
-    def batch(self, texts: list[str]) -> Iterator[tuple[list[list[str]], dict[str, tuple[int, ...]]]]:
-        """Units of consecutive texts, with the ids of all of them."""
-        rows: list[list[str]] = []
-        size = 0
+    def chunks(self, texts: list[str]) -> Iterator[list[list[int]]]:
+        """Codes of the units of consecutive texts, once all of them are known."""
+        rows, size = [], 0
         for i, t in enumerate(texts):
-            rows.append(self.units(t))
+            units = self.units(t)
+            rows.append(np.fromiter(map(self.code.__getitem__, units), np.int32, len(units)))
             size += len(t)
             if size >= CHUNK or i == len(texts) - 1:
-                self.learn(set().union(*rows))
-                yield rows, self.ids
+                self.learn()
+                yield (r.tolist() for r in rows)
                 rows, size = [], 0
+                if len(self.names) > KEEP_UNITS:
+                    self.clear()
+
+
+def _text(raw: bytes) -> bytes:
+    """The bytes of the text that raw decodes to."""
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return raw.decode("utf-8", "replace").encode()
+    return raw
 
 
 def encode(docs: DataFrame, vocab_path: str, *, with_ids: bool = True) -> DataFrame:
@@ -188,26 +215,27 @@ def encode(docs: DataFrame, vocab_path: str, *, with_ids: bool = True) -> DataFr
     """
     fields = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(Vocabulary(vocab_path))
-        to_bytes = codec.vocab.bytes
-        for batch in batches:
-            texts = ["" if t is None else t for t in batch["text"]]
+    def rows_of(codec: Codec, ids: np.ndarray, texts: list[str]) -> Iterator[pd.DataFrame]:
+        at = 0
+        for chunk in codec.chunks(texts):
             out = []
-            for rows, ids in codec.batch(texts):
-                names = {u: ",".join(map(str, ids[u])) for u in set().union(*rows)}
-                plain = {u: b"".join([to_bytes[i] for i in ids[u]]) for u in names}
-                for units in rows:
-                    joined = ",".join(map(names.__getitem__, units))
-                    decoded = b"".join(map(plain.__getitem__, units)).decode("utf-8", "replace").encode()
-                    row = [joined.count(",") + bool(joined), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()]
-                    if with_ids:
-                        row.append([i for u in units for i in ids[u]])
-                    out.append(row)
+            for codes in chunk:
+                joined = ",".join(map(codec.names.__getitem__, codes))
+                decoded = _text(b"".join(map(codec.plain.__getitem__, codes)))
+                row = [joined.count(",") + bool(joined), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()]
+                if with_ids:
+                    row.append(np.fromiter(itertools.chain.from_iterable(map(codec.ids.__getitem__, codes)), np.int32, row[0]))
+                out.append(row)
             got = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
-            got.insert(0, "doc_id", batch["doc_id"].array)
+            got.insert(0, "doc_id", ids[at : at + len(out)])
+            at += len(out)
             yield got
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codec = Codec(Vocabulary(vocab_path))
+        for batch in batches:
+            yield from rows_of(codec, batch["doc_id"].array, ["" if t is None else t for t in batch["text"]])
+
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, fields)
 
 
