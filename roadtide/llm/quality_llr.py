@@ -26,8 +26,8 @@ from roadtide.llm.common import let, words
 BUCKETS = 16384
 #: Trusted documents that the target is fitted on at most (those with the smallest hash of doc_id).
 MAX_TRUSTED = 65536
-#: Smoothing count per bucket.
-ALPHA = 1.0
+#: Counts that the target is smoothed with, spread as the raw corpus is.
+PRIOR = 4096.0
 #: Mean log ratio per n-gram below which a document goes.
 THRESHOLD = -0.1
 WINDOW = 8
@@ -77,7 +77,7 @@ def _bucket(h, buckets: int) -> F.Column:
     return h.bitwiseAND(F.lit(buckets - 1)).cast("int")
 
 
-def fit(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED, alpha: float = ALPHA) -> list[float]:
+def fit(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED, prior: float = PRIOR) -> list[float]:
     """The log ratio of every bucket.
 
     trusted: doc_id of documents known to be good; at most max_trusted of them are used, so what is broadcast is bounded.
@@ -94,8 +94,8 @@ def fit(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, max_trus
     raw, target = [0] * buckets, [0] * buckets
     for r in counted.collect():
         raw[r.bucket], target[r.bucket] = r.raw, r.target
-    n_raw, n_target = (sum(x) + alpha * buckets for x in (raw, target))
-    return [math.log((t + alpha) / n_target) - math.log((r + alpha) / n_raw) for t, r in zip(target, raw, strict=True)]
+    n_raw, n_target = max(1, sum(raw)), sum(target)
+    return [math.log((t * n_raw / r + prior) / (n_target + prior)) if r else 0.0 for t, r in zip(target, raw, strict=True)]
 
 
 def score(docs: DataFrame, ratios: list[float], *, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
