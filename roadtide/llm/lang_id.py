@@ -172,12 +172,14 @@ def _predict(model: Model | None, texts: list[str | None]) -> pd.DataFrame:
     return out
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with lang_pred, score and rejected after its columns; only text is looked at."""
+def predict(docs: DataFrame, model: Model | None, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """docs with language, score and rejection under these names after its columns, in place of any of the same name; only text is looked at."""
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield _predict(model, list(texts))
 
-    return docs.select("*", udf("text").alias("__lang")).select(*docs.columns, "__lang.lang_pred", "__lang.score", "__lang.rejected")
+    kept = [c for c in docs.columns if c not in names]
+    found = docs.select(*kept, udf("text").alias("__lang"))
+    return found.select(*kept, *(F.col(f"__lang.{c}").alias(n) for c, n in zip(("lang_pred", "score", "rejected"), names, strict=True)))

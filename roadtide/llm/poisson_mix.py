@@ -71,11 +71,11 @@ def source_rates(docs: DataFrame, *, weights: dict | None = None, temperature: f
 
 
 def poisson_mix(docs: DataFrame, *, weights: dict | None = None, temperature: float = TEMPERATURE, total: float = 1.0, seed: int = SEED) -> DataFrame:
-    """The mixed corpus: the columns of docs, then mix_copy (from 1) and mix_order, in which the rows are sorted globally.
+    """The mixed corpus: the columns of docs, then mix_copy (from 1) and mix_order, in which the rows are sorted globally; they take the place of any of the same name.
 
     Sources of any size are exploded where their rows lie; the only shuffle of texts is the global one.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop("mix_copy", "mix_order")
     rates = source_rates(docs, weights=weights, temperature=temperature, total=total).select(F.col("source").alias("__mix_source"), F.col("rate").alias("__mix_rate"))
     head = rates.limit(MAX_BROADCAST_SOURCES + 1).collect()
     if len(head) <= MAX_BROADCAST_SOURCES:
