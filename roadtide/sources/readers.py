@@ -86,7 +86,7 @@ def hourly_weather(df: DataFrame, json_col: str = "body", keep=("lat", "lon")) -
     """Rows of hourly weather from JSON of parallel arrays; a variable that is missing is null."""
     h = F.from_json(json_col, WEATHER_HOURLY)["hourly"]
     cols = ("temperature_2m", "precipitation", "wind_speed_10m", "visibility")
-    z = df.select(*keep, F.explode(F.arrays_zip(h["time"].alias("time"), *(h[c].alias(c) for c in cols))).alias("z"))
+    z = df.select(*keep, F.explode(F.arrays_zip(h["time"].alias("time"), *(F.coalesce(h[c], F.array().cast("array<double>")).alias(c) for c in cols))).alias("z"))
     return z.where("z.time is not null").select(*keep, F.to_timestamp_ntz(F.replace(F.col("z.time"), F.lit("T"), F.lit(" ")), F.lit("yyyy-MM-dd HH:mm")).alias("ts"), *(F.col(f"z.{c}").alias(c) for c in cols))
 
 
