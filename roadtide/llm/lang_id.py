@@ -28,7 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TRAIN_DOCS, TRAIN_CHARS, MAX_LANGS = 4000, 8000, 256
-BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 16, 4, 2.0
+BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 16, 4, 0.2
+#: Bounds of the norms of embeddings and output weights.
+MAX_ROW, MAX_OUT = 1.0, 10.0
 #: Share of right answers on the calibration rows that the rejection may cost.
 REJECT = 0.001
 UND = "und"
@@ -117,8 +119,11 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Model | None:
             grad[y] -= 1
             back = out @ grad
             out -= rate * np.outer(x, grad)
+            out /= np.maximum(np.linalg.norm(out, axis=0) / MAX_OUT, 1)
             bias -= 0.1 * rate * grad
-            emb[ids] -= (rate * share)[:, None] * back * min(len(ids), 100)
+            rows = emb[ids] - (rate * len(ids) * share)[:, None] * back
+            # Projected steps: norms stay bounded, so the logits do.
+            emb[ids] = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True) / MAX_ROW, 1)
     model = Model(langs, emb @ out, bias)
     if len(held):
         truth = np.array([bags[i][2] for i in held])
