@@ -4,7 +4,7 @@ Suffixes start at the minimisers of windows of WINDOW runs of RUN words, so
 two equal passages of MIN_WORDS = WINDOW + RUN - 1 words or more have one in
 common. Suffixes whose first RUN words occur once in the corpus have no
 partner and are left aside. The others are sorted globally by their words;
-neighbours are compared, and the match is extended to the right and left.
+neighbours (the next REACH rows) are compared, and the match is extended to the right and left.
 Spans of MIN_WORDS or more are marked in both texts and merged per document.
 
 A suffix carries the hashes of the SIDE words on either side. Neighbouring
@@ -34,6 +34,8 @@ from roadtide.llm.hashing import run_hashes, word_hashes
 
 MIN_WORDS, RUN = 50, 10
 WINDOW = MIN_WORDS - RUN + 1
+#: Rows after a suffix in the sort order that it is compared with.
+REACH = 4
 SIDE = MIN_WORDS
 
 
@@ -98,42 +100,50 @@ def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
 
 
 def neighbour_spans(rows: pd.DataFrame) -> pd.DataFrame:
-    """Spans (doc_id, start, stop) of the matches of sorted suffixes with their neighbours."""
+    """Spans (doc_id, start, stop) of the matches of sorted suffixes with the REACH rows after them."""
     run, after, before, doc, at = (rows[c].to_numpy() for c in ("run", "after", "before", "doc_id", "at"))
     right, left = (np.frombuffer(b"".join(rows[c]), ">u4").reshape(len(rows), SIDE) for c in ("right", "left"))
-    same = np.flatnonzero(run[1:] == run[:-1])
-    ahead = _common(right[same], right[same + 1], np.minimum(after[same], after[same + 1]))
-    back = _common(left[same], left[same + 1], np.minimum(before[same], before[same + 1]))
-    long = ahead + back >= MIN_WORDS
-    i, ahead, back = same[long], ahead[long], back[long]
-    both = np.concatenate((i, i + 1))
-    ahead, back = np.tile(ahead, 2), np.tile(back, 2)
-    return pd.DataFrame({"doc_id": doc[both], "start": at[both] - back, "stop": at[both] + ahead}).drop_duplicates()
+    found = []
+    for k in range(1, REACH + 1):
+        i = np.flatnonzero(run[k:] == run[:-k])
+        ahead = _common(right[i], right[i + k], np.minimum(after[i], after[i + k]))
+        back = _common(left[i], left[i + k], np.minimum(before[i], before[i + k]))
+        long = ahead + back >= MIN_WORDS
+        i, ahead, back = i[long], ahead[long], back[long]
+        found += [(doc[x], at[x] - back, at[x] + ahead) for x in (i, i + k)]
+    doc, start, stop = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pd.DataFrame({"doc_id": doc, "start": start, "stop": stop}).drop_duplicates()
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """DataFrame[doc_id, start, stop]: word ranges (stop exclusive) of passages that occur elsewhere too, merged per document."""
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sampled = saved(samples(docs), "suffix-samples")
-    repeated = sampled.groupBy("run").agg(F.count("*").alias("c")).where("c > 1").select("run")
+    # Written out, so that the join's two sides are dealt on their own and a run that many texts share can be split.
+    repeated = saved(sampled.groupBy("run").agg(F.count("*").alias("c")).where("c > 1").select("run"), "suffix-runs")
     order = ["run", "right", "left", "doc_id", "at"]
     ordered = suffixes(docs, sampled.join(repeated, "run", "left_semi")).repartitionByRange(*order).sortWithinPartitions(*order)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, empty = None, {c: None for c in _FIELDS}
+        last = None
         for batch in batches:
             if not len(batch):
                 continue
-            ends = batch.iloc[[0]] if last is None else batch.iloc[:0]
-            spans = neighbour_spans(batch if last is None else pd.concat([last, batch], ignore_index=True))
-            last = batch.iloc[[-1]]
-            yield pd.concat([spans.assign(**{c: None for c in _FIELDS if c not in ("doc_id", "at")}, at=0), ends.assign(start=None, stop=None)])[["start", "stop", *_FIELDS]].astype({"start": "Int32", "stop": "Int32", "run": "Int64", "after": "Int32", "before": "Int32"})
+            ends = batch.iloc[:REACH] if last is None else batch.iloc[:0]
+            batch = batch if last is None else pd.concat([last, batch], ignore_index=True)
+            spans, last = neighbour_spans(batch), batch.iloc[-REACH:]
+            yield shaped(pd.concat([spans.reindex(columns=columns).assign(at=0), ends.reindex(columns=columns)]))
         if last is not None:
-            yield last.assign(start=None, stop=None)[["start", "stop", *_FIELDS]].astype({"start": "Int32", "stop": "Int32"})
-        del empty
+            yield shaped(last.reindex(columns=columns))
+
+    columns = ["start", "stop", *_FIELDS]
+    whole = {"start": "Int32", "stop": "Int32", "run": "Int64", "after": "Int32", "before": "Int32"}
+
+    def shaped(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.astype(whole).astype({"right": object, "left": object}).where(rows.notna(), None).astype(whole)
 
     found = saved(ordered.mapInPandas(compare, "start int, stop int, " + _SUFFIX), "suffix-spans")
-    # The first and last row of every partition: as many as there are partitions, twice.
+    # The first and last REACH rows of every partition.
     borders = found.where("start is null").select(*_FIELDS).repartition(1).sortWithinPartitions(*order)
     across = borders.mapInPandas(lambda batches: (neighbour_spans(x) for x in [pd.concat(list(batches), ignore_index=True)] if len(x)), "doc_id long, start int, stop int")
     spans = found.where("start is not null").select("doc_id", "start", "stop").union(across)
