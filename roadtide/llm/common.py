@@ -20,9 +20,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares (spark.checkpoint.dir); a temporary one of this machine where it is unset, as in local tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="roadtide-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="roadtide-")
+        path = _OWN[app]
+    return (path if "://" in path else f"file://{path}" if spark.sparkContext.master.startswith("local") else path).rstrip("/")
+
+
+#: Folders of this process's applications that have no shared one.
+_OWN: dict[str, str] = {}
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
