@@ -33,7 +33,7 @@ NON_EVENT = (
     r"group tickets?|suite (rental|holder)|private events?|^more events?$|^calendar$|^events?$"
 )
 WEEKDAY = r"^\s*(?:mon|tues|wednes|thurs|fri|satur|sun)day\s+[a-z]+\s+\d{1,2}\s*[•·|-]\s*"
-EMBEDDED = r"(?i)" + WEEKDAY + r"(\d{1,2}):(\d{2})\s*(am|pm)\s*[•·|-]\s*(?:[^-•·|]{0,40}[•·|-]\s*)?(.+)$"
+EMBEDDED = r"(?i)^\s*(?:mon|tues|wednes|thurs|fri|satur|sun)day\s+[a-z]+\s+\d{1,2}\s*[•·|-]\s*(\d{1,2}):(\d{2})\s*(am|pm)\s*[•·|-]\s*(?:[^-•·|]{0,40}[•·|-]\s*)?(.+)$"
 TRAILING_DATES = r"(?i)(\s*[-–]\s*(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s*\d{1,2}\s*)+$"
 LEADING_FRAGMENT = r"^[\s/,\-]*(20\d{2})?\s*[-–]\s*"
 
