@@ -21,15 +21,15 @@ def nearest_event(df: DataFrame, events: DataFrame, *, key: str, row_id: str, ts
     ahead = 0 if backward_only else before_h
     hour = _hours(F.col(start))
     reach = F.sequence((hour - int(ahead + 1)).cast("long"), (hour + int(after_h + 1)).cast("long"))
-    e = events.where(F.col(key).isNotNull() & F.col(start).isNotNull()).select(F.col(key).alias("__key"), F.col(start).alias("__start"), F.col(event_id).alias("__event"), *(F.col(c).alias(f"__{c}") for c in keep), F.explode(reach).alias("__hour"))
+    e = events.where(F.col(key).isNotNull() & F.col(start).isNotNull()).select(F.col(key).alias("__key"), F.col(start).alias("__start"), F.col(event_id).alias("__event"), *(F.col(c).alias(f"__keep_{c}") for c in keep), F.explode(reach).alias("__hour"))
     left = df.withColumn("__h", _hours(F.col(ts)))
     hit = left.join(e, (F.col(key) == F.col("__key")) & (F.col("__h") == F.col("__hour")))
     delta = F.timestamp_diff("SECOND", F.col("__start"), F.col(ts)) / 3600.0
     hit = hit.withColumn("__delta", delta).where((F.col("__delta") >= -ahead) & (F.col("__delta") <= after_h))
     # Past events first, then the closest: one struct to take the least of, so no window over a row's events is needed.
     rank = F.struct(F.when(F.col("__delta") >= 0, 0).otherwise(1).alias("future"), F.abs("__delta").alias("gap"), F.col("__event").alias("event"))
-    best = hit.groupBy(row_id).agg(F.min_by(F.struct("__event", "__delta", *(f"__{c}" for c in keep)), rank).alias("__best"))
-    return df.join(best, row_id, "left").select(*df.columns, F.col("__best.__event").alias(event_id), F.col("__best.__delta").alias("hours_since_event"), *(F.col(f"__best.__{c}").alias(c) for c in keep))
+    best = hit.groupBy(row_id).agg(F.min_by(F.struct("__event", "__delta", *(f"__keep_{c}" for c in keep)), rank).alias("__best"))
+    return df.join(best, row_id, "left").select(*df.columns, F.col("__best.__event").alias(event_id), F.col("__best.__delta").alias("hours_since_event"), *(F.col(f"__best.__keep_{c}").alias(c) for c in keep))
 
 
 def hour_bucket(delta, low: int = -3, high: int = 6):

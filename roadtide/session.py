@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -26,3 +29,17 @@ def broadcast_if_small(df, most: int = 100_000):
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+_OWN: dict[str, str] = {}
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder below the one that the cluster shares (spark.checkpoint.dir), or of this machine where it is unset, as in local tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="roadtide-")
+        base = _OWN[app]
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

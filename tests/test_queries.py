@@ -2,7 +2,7 @@
 
 import pytest
 
-from roadtide.plans import more_queries  # noqa: F401  registers its queries
+from roadtide.plans import more_queries, source_queries  # noqa: F401  register their queries
 from roadtide.plans import queries as q
 from tests.conftest import TESTDATA
 from tests.oracle import oracle_rows, rows_of
