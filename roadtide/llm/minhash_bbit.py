@@ -40,7 +40,7 @@ BLOCK, PACK = 256, 1000
 #: Standard errors by which the estimate must miss the threshold for a pair to be ruled out.
 SIGMAS = 6.0
 #: Rows of doc_id and group that are broadcast at most to fetch texts; beyond it they are joined by a shuffle.
-MAX_BROADCAST_ROWS = 500_000
+MAX_BROADCAST_ROWS = 200_000
 _MULTIPLIERS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
