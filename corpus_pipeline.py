@@ -23,13 +23,14 @@ MAX_BROADCAST_IDS = 500_000
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier accepts."""
-    return lang_id.predict(docs, lang_id.fit(docs)).where("not rejected").select(*docs.columns)
+    names = ("__language", "__confidence", "__rejected")
+    return lang_id.predict(docs, lang_id.fit(docs), names).where("not __rejected").select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier line matches; a document that loses all its words goes."""
-    done = line_dedup.line_dedup(docs).where("n_dropped = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    size = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    done = line_dedup.line_dedup(docs, names=("__lines", "__dropped")).where("__dropped = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    size = F.when(F.col("__dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return done.withColumn("n_chars", size).select(*docs.columns)
 
 

@@ -63,21 +63,29 @@ def near_dropped(reps: DataFrame, texts: DataFrame) -> DataFrame:
 
     reps: DataFrame[h1, h2, first, k1..k4] of distinct lines; texts: DataFrame[h1, h2, norm, n], which may repeat lines.
     """
-    keys = reps.select("h1", "h2", F.explode(F.array("k1", "k2", "k3", "k4")).alias("k"))
+    keys = reps.select("h1", "h2", F.posexplode(F.array("k1", "k2", "k3", "k4")).alias("side", "k"))
     shared = keys.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("k")
-    some = saved(keys.join(shared, "k", "left_semi").select("h1", "h2").distinct(), "line-survivors")
+    sides = keys.join(shared, "k", "left_semi").groupBy("h1", "h2").agg(F.max(F.col("side") % 2 == 0).alias("by_first"), F.max(F.col("side") % 2 == 1).alias("by_last"))
+    some = saved(sides, "line-survivors")
     picked = F.broadcast(some) if small_enough(some, MAX_BROADCAST_LINES) else some
-    have = texts.join(picked, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("norm").alias("norm"), F.first("n").alias("n"))
-    some = saved(have.join(reps.select("h1", "h2", "first"), ["h1", "h2"]), "line-texts")
-
-    variant = F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.struct(i.alias("i"), F.xxhash64(F.concat(F.left("norm", i - 1), F.substr("norm", i + 1))).alias("v")))).alias("x")
-    variants = some.select("h1", "h2", "first", variant).select("h1", "h2", "first", "x.i", "x.v")
+    have = texts.join(picked.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("norm").alias("norm"), F.first("n").alias("n"))
+    some = saved(have.join(reps.select("h1", "h2", "first"), ["h1", "h2"]).join(some, ["h1", "h2"]), "line-texts")
+    few = small_enough(some, MAX_BROADCAST_LINES)
+
+    # What shares its first half differs in the last, and the other way round.
+    start = F.when(F.col("by_last"), F.lit(1)).otherwise(F.floor((F.col("n") - 1) / 2).cast("int") + 1)
+    stop = F.when(F.col("by_first"), F.col("n")).otherwise(F.floor((F.col("n") + 1) / 2).cast("int"))
+    without = lambda i: F.xxhash64(F.concat(F.left("norm", i - 1), F.substr("norm", i + 1)))
+    variants = some.select("h1", "h2", "first", F.explode(F.transform(F.sequence(start, stop), lambda i: F.struct(i.alias("i"), without(i).alias("v")))).alias("x"))
+    variants = variants.select("h1", "h2", "first", F.col("x.v").alias("v"), F.xxhash64("x.i", "x.v").alias("at"))
     # Replaced: of the lines with one variant at one place, all match the earliest.
-    earliest = variants.groupBy("i", "v").agg(F.min(F.struct("first", "h1", "h2")).alias("e"), F.count("*").alias("c")).where("c > 1")
-    replaced = variants.join(earliest, ["i", "v"]).select("h1", "h2", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"))
+    common = saved(variants.groupBy("at").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("at"), "line-variants")
+    grouped = variants.join(F.broadcast(common) if small_enough(common, MAX_BROADCAST_LINES) else common, "at").select("at", "h1", "h2", "first")
+    earliest = grouped.groupBy("at").agg(F.min(F.struct("first", "h1", "h2")).alias("e"))
+    replaced = grouped.join(earliest, "at").select("h1", "h2", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"))
     # Inserted: a variant is a whole other line.
     whole = some.select(F.col("h1").alias("v"), F.col("h1").alias("e1"), F.col("h2").alias("e2"))
-    inserted = variants.select("h1", "h2", "v").join(whole, "v").select("h1", "h2", "e1", "e2")
+    inserted = variants.select("h1", "h2", "v").join(F.broadcast(whole) if few else whole, "v").select("h1", "h2", "e1", "e2")
     pairs = replaced.union(inserted).where("h1 <> e1 or h2 <> e2").distinct()
     a = some.select("h1", "h2", F.col("norm").alias("na"), F.col("first").alias("fa"))
     b = some.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("norm").alias("nb"), F.col("first").alias("fb"))
@@ -108,13 +116,13 @@ def dropped_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
     )
 
 
-def line_dedup(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with the lines that go taken out of text, and n_lines and n_dropped (int) after its columns."""
+def line_dedup(docs: DataFrame, *, min_chars: int = MIN_CHARS, names: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with the lines that go taken out of text, and the number of lines and of those that went (int) under these names after its columns, in place of any of the same name."""
     drops = dropped_lines(docs, min_chars=min_chars).withColumnsRenamed({"doc_id": "__line_doc", "drop": "__line_drop"})
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__line_drop", i)), "\n")
     return docs.join(drops, F.col("doc_id") == F.col("__line_doc"), "left").select(
-        *(F.when(F.col("__line_drop").isNull(), F.col(c)).otherwise(kept).alias(c) if c == "text" else F.col(c) for c in docs.columns),
-        F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"),
-        F.coalesce(F.size("__line_drop"), F.lit(0)).alias("n_dropped"),
+        *(F.when(F.col("__line_drop").isNull(), F.col(c)).otherwise(kept).alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in names),
+        F.coalesce(F.size(lines), F.lit(0)).alias(names[0]),
+        F.coalesce(F.size("__line_drop"), F.lit(0)).alias(names[1]),
     )
