@@ -7,12 +7,21 @@ partner and are left aside. The others are sorted globally by their words;
 neighbours (the next REACH rows) are compared, and the match is extended to the right and left.
 Spans of MIN_WORDS or more are marked in both texts and merged per document.
 
+That compares all suffixes of a run with REACH + 1 of them or fewer. In a more
+frequent run (a licence or footer line), suffixes that match mostly to the
+left can lie far apart. There the windows of MIN_WORDS words are hashed whose
+minimiser the suffix is, equal windows having equal minimisers, and windows
+whose hash occurs twice are marked too. A window that the row before has as
+well is left out: the comparison has marked it in both, and the first row of
+such a chain stands for it.
+
 A suffix carries the hashes of the SIDE words on either side. Neighbouring
 minimisers are fewer words apart, so the spans of a long passage overlap and
 merge into all of it. Equal suffixes, however many, are only compared with
 their neighbours in the sort order, over which a common passage is spread
 like any other rows; the rows at the borders of partitions meet in one more
-comparison.
+comparison. Windows are at most as many as words, and their hashes are counted
+by partial aggregates.
 
 Cases: null texts and texts of fewer than MIN_WORDS words have no spans;
 passages repeated inside one text count; rows without doc_id are left out; of
@@ -30,68 +39,73 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadtide.llm.common import saved
-from roadtide.llm.hashing import run_hashes, word_hashes
+from roadtide.llm.hashing import mixed, run_hashes, word_hashes
 
 MIN_WORDS, RUN = 50, 10
 WINDOW = MIN_WORDS - RUN + 1
 #: Rows after a suffix in the sort order that it is compared with.
 REACH = 4
 SIDE = MIN_WORDS
+#: Powers of an odd number modulo 2^64, and of its inverse.
+_BASE = 0x9E3779B97F4A7C15
+_POWERS, _INVERSE = (np.array([pow(b, j, 1 << 64) for j in range(2 * SIDE + 1)], np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
 
 
-def minimisers(runs: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Positions of the least run (the last of equals) of every window of so many runs."""
+def minimisers(runs: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the least run (the last of equals) of every window of so many runs; for each, the first window that has it, and how many do."""
     if len(runs) < window:
-        return np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     at, span = np.arange(len(runs)), 1
     while span < window:  # at[i]: position of the least of the runs from i to i + span - 1
         step = min(span, window - span)
         a, b = at[: len(at) - step], at[step:]
         at, span = np.where(runs[b] <= runs[a], b, a), span + step
-    return np.unique(at)
+    return np.unique(at, return_index=True, return_counts=True)
 
 
 def samples(docs: DataFrame) -> DataFrame:
-    """DataFrame[doc_id, row, at, run]: position and hash of the first RUN words of every sampled suffix."""
+    """DataFrame[doc_id, at, run, lead, wins]: position and hash of the first RUN words of every sampled suffix, how far before it the first window starts whose minimiser it is, and the number of these."""
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, out = batch["doc_id"].to_numpy(), [[], [], []]
+            ids, out = batch["doc_id"].to_numpy(), [[], [], [], [], []]
             for i, words in word_hashes(list(batch["text"]), fold=False):
                 if len(words) >= MIN_WORDS:
                     runs = run_hashes(words, RUN)
-                    at = minimisers(runs)
-                    for x, y in zip(out, (np.full(len(at), ids[i]), at, runs[at].astype(np.int64)), strict=True):
+                    at, first, wins = minimisers(runs)
+                    for x, y in zip(out, (np.full(len(at), ids[i]), at, runs[at].astype(np.int64), (at - first).astype(np.int8), wins.astype(np.int8)), strict=True):
                         x.append(y)
             if out[0]:
-                yield pd.DataFrame(dict(zip(("doc_id", "at", "run"), map(np.concatenate, out), strict=True)))
+                yield pd.DataFrame(dict(zip(("doc_id", "at", "run", "lead", "wins"), map(np.concatenate, out), strict=True)))
 
-    return docs.mapInPandas(sample, "doc_id long, at int, run long")
+    return docs.mapInPandas(sample, "doc_id long, at int, run long, lead byte, wins byte")
 
 
 def suffixes(docs: DataFrame, positions: DataFrame) -> DataFrame:
-    """DataFrame[run, right, after, before, left, doc_id, at]: the sampled suffixes with the words' hashes to their right and, reversed, to their left."""
+    """DataFrame[run, right, after, before, left, doc_id, at, lead, wins]: the sampled suffixes with the words' hashes to their right and, reversed, to their left."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, runs, ats, rows = batch["doc_id"].to_numpy(), list(batch["runs"]), list(batch["ats"]), []
+            ids, rows = batch["doc_id"].to_numpy(), []
+            lists = [list(batch[c]) for c in ("ats", "runs", "leads", "wins")]
             for i, words in word_hashes(list(batch["text"]), fold=False):
-                at = np.asarray(ats[i], np.int64)
-                at = at[at < len(words)]
+                at, run, lead, wins = (np.asarray(x[i], np.int64) for x in lists)
+                at, run, lead, wins = (x[at < len(words)] for x in (at, run, lead, wins))
                 short = np.concatenate((np.zeros(SIDE, np.uint32), (words >> np.uint64(32)).astype(">u4"), np.zeros(SIDE, np.uint32))).astype(">u4")
                 right = short[at[:, None] + SIDE + np.arange(SIDE)]
                 left = short[at[:, None] + SIDE - 1 - np.arange(SIDE)]
                 for j, p in enumerate(at):
-                    rows.append((runs[i][j], right[j].tobytes(), min(SIDE, len(words) - p), min(SIDE, p), left[j].tobytes(), ids[i], p))
+                    rows.append((run[j], right[j].tobytes(), min(SIDE, len(words) - p), min(SIDE, p), left[j].tobytes(), ids[i], p, lead[j], wins[j]))
             if rows:
-                yield pd.DataFrame(rows, columns=["run", "right", "after", "before", "left", "doc_id", "at"])
+                yield pd.DataFrame(rows, columns=_FIELDS)
 
-    per_doc = positions.groupBy("doc_id").agg(F.collect_list(F.struct("at", "run")).alias("p")).select("doc_id", F.col("p.at").alias("ats"), F.col("p.run").alias("runs"))
-    return docs.join(per_doc, "doc_id").select("doc_id", "text", "ats", "runs").mapInPandas(cut, _SUFFIX)
+    per_doc = positions.groupBy("doc_id").agg(F.collect_list(F.struct("at", "run", "lead", "wins")).alias("p"))
+    per_doc = per_doc.select("doc_id", F.col("p.at").alias("ats"), F.col("p.run").alias("runs"), F.col("p.lead").alias("leads"), F.col("p.wins").alias("wins"))
+    return docs.join(per_doc, "doc_id").select("doc_id", "text", "ats", "runs", "leads", "wins").mapInPandas(cut, _SUFFIX)
 
 
-_SUFFIX = "run long, right binary, after int, before int, left binary, doc_id long, at int"
-_FIELDS = ["run", "right", "after", "before", "left", "doc_id", "at"]
+_SUFFIX = "run long, right binary, after int, before int, left binary, doc_id long, at int, lead byte, wins byte"
+_FIELDS = ["run", "right", "after", "before", "left", "doc_id", "at", "lead", "wins"]
 
 
 def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -99,10 +113,14 @@ def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(equal.all(axis=1), equal.shape[1], equal.argmin(axis=1)), most)
 
 
+def _sides(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.frombuffer(b"".join(rows[c]), ">u4").reshape(len(rows), SIDE) for c in ("right", "left"))
+
+
 def neighbour_spans(rows: pd.DataFrame) -> pd.DataFrame:
     """Spans (doc_id, start, stop) of the matches of sorted suffixes with the REACH rows after them."""
     run, after, before, doc, at = (rows[c].to_numpy() for c in ("run", "after", "before", "doc_id", "at"))
-    right, left = (np.frombuffer(b"".join(rows[c]), ">u4").reshape(len(rows), SIDE) for c in ("right", "left"))
+    right, left = _sides(rows)
     found = []
     for k in range(1, REACH + 1):
         i = np.flatnonzero(run[k:] == run[:-k])
@@ -115,38 +133,70 @@ def neighbour_spans(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": doc, "start": start, "stop": stop}).drop_duplicates()
 
 
+def window_keys(rows: pd.DataFrame, skip: int) -> pd.DataFrame:
+    """doc_id, start and keys of the windows of sorted suffixes, without the first skip rows and without windows that the row before has too; keys has the hashes of the windows at start, start + 1, ..."""
+    run, after, before, doc, at = (rows[c].to_numpy() for c in ("run", "after", "before", "doc_id", "at"))
+    lead, wins = (rows[c].to_numpy().astype(np.int64) for c in ("lead", "wins"))
+    if not wins.any():
+        return pd.DataFrame({"doc_id": [], "start": [], "keys": []})
+    right, left = _sides(rows)
+    ago = np.arange(WINDOW)[::-1]  # words of the window to the left of the suffix
+    own = (ago >= np.maximum(lead - wins + 1, MIN_WORDS - after)[:, None]) & (ago <= np.minimum(lead, before)[:, None])
+    new = own.copy()
+    new[:skip] = False
+    i = np.flatnonzero((run[1:] == run[:-1]) & new[1:].any(axis=1)) + 1
+    ahead = _common(right[i], right[i - 1], np.minimum(after[i], after[i - 1]))
+    back = _common(left[i], left[i - 1], np.minimum(before[i], before[i - 1]))
+    new[i] &= ~(own[i - 1] & (ago >= MIN_WORDS - ahead[:, None]) & (ago <= back[:, None]))
+    i = np.flatnonzero(new.any(axis=1))
+    sums = np.cumsum(mixed(np.concatenate((left[i, ::-1], right[i]), axis=1).astype(np.uint64)) * _POWERS[: 2 * SIDE], axis=1, dtype=np.uint64)
+    sums = np.pad(sums, ((0, 0), (1, 0)))
+    keys = mixed((sums[:, SIDE - ago + MIN_WORDS] - sums[:, SIDE - ago]) * _INVERSE[SIDE - ago]).view(np.int64)
+    edge = np.diff(np.pad(new[i], ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    (row, a), (_, b) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    return pd.DataFrame({"doc_id": doc[i[row]], "start": at[i[row]] - (WINDOW - 1) + a, "keys": [keys[r, x:y] for r, x, y in zip(row, a, b, strict=True)]})
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """DataFrame[doc_id, start, stop]: word ranges (stop exclusive) of passages that occur elsewhere too, merged per document."""
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sampled = saved(samples(docs), "suffix-samples")
     # Written out, so that the join's two sides are dealt on their own and a run that many texts share can be split.
-    repeated = saved(sampled.groupBy("run").agg(F.count("*").alias("c")).where("c > 1").select("run"), "suffix-runs")
+    repeated = saved(sampled.groupBy("run").agg(F.count("*").alias("c")).where("c > 1").select("run", (F.col("c") > REACH + 1).alias("often")), "suffix-runs")
     order = ["run", "right", "left", "doc_id", "at"]
-    ordered = suffixes(docs, sampled.join(repeated, "run", "left_semi")).repartitionByRange(*order).sortWithinPartitions(*order)
+    positions = sampled.join(repeated, "run").withColumn("wins", F.when(F.col("often"), F.col("wins")).otherwise(F.lit(0).cast("byte")))
+    ordered = suffixes(docs, positions).repartitionByRange(*order).sortWithinPartitions(*order)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
+        last, seen = None, 0
         for batch in batches:
             if not len(batch):
                 continue
-            ends = batch.iloc[:REACH] if last is None else batch.iloc[:0]
+            ends, seen = batch.iloc[: max(REACH - seen, 0)], seen + len(batch)
+            again = 0 if last is None else len(last)
             batch = batch if last is None else pd.concat([last, batch], ignore_index=True)
-            spans, last = neighbour_spans(batch), batch.iloc[-REACH:]
+            spans, windows, last = neighbour_spans(batch), window_keys(batch, again), batch.iloc[-REACH:]
             yield shaped(pd.concat([spans.reindex(columns=columns).assign(at=0), ends.reindex(columns=columns)]))
-        if last is not None:
-            yield shaped(last.reindex(columns=columns))
+            if len(windows):
+                yield shaped(windows.reindex(columns=columns).assign(at=0))
+        if seen > REACH:  # without rows that are among the first
+            yield shaped(last.iloc[-min(REACH, seen - REACH) :].reindex(columns=columns))
 
-    columns = ["start", "stop", *_FIELDS]
-    whole = {"start": "Int32", "stop": "Int32", "run": "Int64", "after": "Int32", "before": "Int32"}
+    columns = ["start", "stop", "keys", *_FIELDS]
+    whole = {"start": "Int32", "stop": "Int32", "run": "Int64", "after": "Int32", "before": "Int32", "lead": "Int8", "wins": "Int8"}
 
     def shaped(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.astype(whole).astype({"right": object, "left": object}).where(rows.notna(), None).astype(whole)
+        return rows.astype(whole).astype({"keys": object, "right": object, "left": object}).where(rows.notna(), None).astype(whole)
 
-    found = saved(ordered.mapInPandas(compare, "start int, stop int, " + _SUFFIX), "suffix-spans")
-    # The first and last REACH rows of every partition.
+    found = saved(ordered.mapInPandas(compare, "start int, stop int, keys array<long>, " + _SUFFIX), "suffix-spans")
+    # The first and last REACH rows of every partition, each once.
     borders = found.where("start is null").select(*_FIELDS).repartition(1).sortWithinPartitions(*order)
     across = borders.mapInPandas(lambda batches: (neighbour_spans(x) for x in [pd.concat(list(batches), ignore_index=True)] if len(x)), "doc_id long, start int, stop int")
-    spans = found.where("start is not null").select("doc_id", "start", "stop").union(across)
+    windows = found.where("keys is not null").select("doc_id", "start", F.posexplode("keys").alias("i", "key")).select("doc_id", (F.col("start") + F.col("i")).alias("start"), "key")
+    # Written out like the runs.
+    twice = saved(windows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "suffix-windows")
+    equal = windows.join(twice, "key", "left_semi").select("doc_id", "start", (F.col("start") + MIN_WORDS).alias("stop"))
+    spans = found.where("stop is not null").select("doc_id", "start", "stop").union(across).union(equal)
     merged = F.aggregate(
         F.array_sort(F.collect_set(F.struct("start", "stop"))),
         F.array().cast("array<struct<start:int,stop:int>>"),

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from roadtide.llm import bpe, common, lang_id, line_dedup, minhash_bbit, pii_boost, poisson_mix, quality_llr, queries, sparse_suffix, va_topk, warc_shards
+from roadtide.llm import bpe, common, hashing, lang_id, line_dedup, minhash_bbit, pii_boost, poisson_mix, quality_llr, queries, sparse_suffix, va_topk, warc_shards
 from tests.conftest import TESTDATA
 from tests.llm import brute
 from tests.oracle import oracle_rows, rows_of
@@ -217,6 +217,35 @@ def test_planted_passage(spark):
     assert all(len(left[i].split()) == 70 + i for i in range(12)) and left[51] == rows[-1][1]
 
 
+def ending_in(phrase_words, seed):
+    """Random words, and a phrase of so many of them that is the minimiser of nearly every window around it."""
+    rng = np.random.default_rng(seed)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    while True:
+        phrase = words(phrase_words)
+        (_, hashes), = hashing.word_hashes([" ".join(phrase)], fold=False)
+        if hashing.run_hashes(hashes, sparse_suffix.RUN)[0] < 2**64 // 3000:
+            return words, phrase
+
+
+def test_passage_that_ends_in_a_frequent_phrase(spark):
+    words, phrase = ending_in(sparse_suffix.RUN, 6)
+    rows = []
+    for _ in range(30):  # twice the same 40 words to the left, and what follows differs
+        passage = words(40) + phrase
+        rows += [words(20) + passage + words(60) for _ in range(2)]
+    rows += [words(60) + phrase + words(60) for _ in range(400)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(rows)]
+    got = {r.doc_id: (r.start, r.stop) for r in sparse_suffix.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (20, 70) for i in range(60)}
+
+
+def test_a_suffix_is_not_its_own_neighbour(spark):
+    words, phrase = ending_in(sparse_suffix.RUN, 7)
+    docs = spark.createDataFrame([(i, " ".join(words(60) + phrase + words(60))) for i in range(2)], "doc_id long, text string")
+    assert sparse_suffix.repeated_spans(docs).count() == 0
+
+
 def test_suffix_odd(odd, nothing):
     assert {r.doc_id for r in sparse_suffix.repeated_spans(odd).collect()} <= {5, 7}
     assert sparse_suffix.repeated_spans(nothing).count() == 0
