@@ -222,7 +222,7 @@ def _(spark, d):
 
 @query("A26_route_coverage")
 def _(spark, d):
-    priced = routing.price(routing.priced_spans(_spans(spark, d), _speeds(spark, d)), routing.all_day(_matched(spark, d).select("route_id").distinct(), step_min=240))
+    priced = routing.price(routing.priced_spans(_spans(spark, d), _speeds(spark, d)), routing.all_day(_matched(spark, d).select("route_id").distinct()))
     return rounded(priced.groupBy("route_id").agg(F.avg("measured_share").alias("measured_share"), F.max("stations").alias("stations"), F.avg("total_minutes").alias("minutes")))
 
 

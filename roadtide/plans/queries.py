@@ -515,7 +515,7 @@ def _(spark, d):
 @query("R6_band")
 def _(spark, d):
     routes = routing.priced_spans(_spans(spark, d), _speeds(spark, d))
-    priced = routing.price(routes, routing.all_day(routes, step_min=60)).withColumn("minutes_sd", routing.minutes_sd(F.col("freeway_mi"), F.lit(50.0), F.lit(8.0)))
+    priced = routing.price(routes, routing.all_day(routes)).withColumn("minutes_sd", routing.minutes_sd(F.col("freeway_mi"), F.lit(50.0), F.lit(8.0)))
     return rounded(routing.band(priced))
 
 

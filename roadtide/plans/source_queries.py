@@ -174,7 +174,7 @@ def _(spark, d):
 def _(spark, d):
     routes = routing.priced_spans(_spans(spark, d), _speeds(spark, d))
     asked = _matched(spark, d).select("route_id").distinct().withColumn("deadline", F.lit(1020))
-    return rounded(routing.arrive_by(routes, asked, step_min=30))
+    return rounded(routing.arrive_by(routes, asked))
 
 
 @query("W7_neighbour_order", f"{cte('stations')} SELECT CAST(sensor_id AS BIGINT) AS sensor_id, CAST(coalesce(lag(sensor_id) {_W}, sensor_id) AS BIGINT) AS before, CAST(coalesce(lead(sensor_id) {_W}, sensor_id) AS BIGINT) AS after FROM stations")

@@ -1,7 +1,9 @@
 """Every registered query of the travel-time operators, against its SQL where it has one."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from roadtide.operators import routing
 from roadtide.plans import more_queries, source_queries  # noqa: F401  register their queries
 from roadtide.plans import queries as q
 from tests.conftest import TESTDATA
@@ -15,6 +17,15 @@ def test_query(spark, name):
         assert got == oracle_rows(q.oracle_sql()[name], TESTDATA, names)
 
 
+@pytest.mark.parametrize(("name", "last"), [("O8_latest_departure", 1020), ("A26_route_coverage", 1425), ("R6_band", 1425)])
+def test_departures_on_the_quarter_hour_grid(spark, monkeypatch, name, last):
+    asked, price = [], routing.price
+    monkeypatch.setattr(routing, "price", lambda routes, departures, **more: asked.append(departures) or price(routes, departures, **more))
+    q.queries()[name](spark, str(TESTDATA))
+    got = asked[0].groupBy("route_id").agg(F.sort_array(F.collect_set("depart")).alias("at")).select("at").distinct().collect()
+    assert [r["at"] for r in got] == [list(range(0, last + 1, 15))]
+
+
 def test_entry(spark):
     import __spark_entry__
 
