@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run of anything but ASCII white space.
 WHITE_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
+#: A key with more than 1 / HEAVY of all rows is split in a join; there are fewer than HEAVY of these.
+HEAVY = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,26 +19,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one of this machine where it is unset, as in local tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="roadtide-")
-        path = _OWN[app]
-    return (path if "://" in path else f"file://{path}" if spark.sparkContext.master.startswith("local") else path).rstrip("/")
-
-
-#: Folders of this process's applications that have no shared one.
+    """This application's folder in the one that the cluster shares (spark.checkpoint.dir); it is deleted when the application ends.
+
+    Where the setting is missing, a temporary folder of this machine takes its place in local mode; elsewhere that is an error.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _OWN:
+        path, local = spark.conf.get("spark.checkpoint.dir", None), context.master.startswith("local")
+        if not path and not local:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = path or "file://" + tempfile.mkdtemp(prefix="roadtide-")
+        path = (path if "://" in path or not local else f"file://{path}").rstrip("/")
+        _OWN[context.applicationId] = f"{path}/roadtide-{context.applicationId}"
+        folder = context._jvm.org.apache.hadoop.fs.Path(_OWN[context.applicationId])
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return _OWN[context.applicationId]
+
+
+#: Folders of this process's applications.
 _OWN: dict[str, str] = {}
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage, and survives lost executors."""
+    return kept(df, name)[0]
+
+
+def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """saved(), and the folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that kept() wrote."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def balanced_join(left: DataFrame, right: DataFrame, on: list[str], count: str, total: int | None = None, how: str = "inner") -> DataFrame:
+    """left joined with right, whose keys are unique and whose `count` column has each key's number of rows in left; the column is dropped.
+
+    A key with more than 1 / HEAVY of the rows is dealt to several tasks. Of such
+    keys there are fewer than HEAVY, so they are broadcast, and right has at most
+    2 * HEAVY copies of them. how: inner or left_semi.
+    """
+    if total is None:
+        total = right.agg(F.sum(count)).first()[0] or 0
+    most = max(total // HEAVY, 1)
+    parts = F.ceil(F.col(count) / most).cast("int")
+    heavy = right.where(F.col(count) > most).select(*on, parts.alias("__parts"))
+    deal = F.pmod(F.xxhash64(*(c for c in left.columns if c not in on)), F.col("__parts"))
+    dealt = left.join(F.broadcast(heavy), on, "left").withColumn("__part", F.coalesce(deal.cast("int"), F.lit(0))).drop("__parts")
+    copies = F.explode(F.when(F.col(count) > most, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0))))
+    return dealt.join(right.withColumn("__part", copies).drop(count), [*on, "__part"], how).drop("__part")
 
 
 def words(text) -> F.Column:
