@@ -8,8 +8,10 @@ is looked up once per batch.
 
 The classifier is fitted on the driver to a bounded sample of labelled rows:
 at most TRAIN_DOCS texts of at most TRAIN_CHARS code points, spread evenly
-over the languages by a hash of doc_id. A fifth of them sets the temperature
-and the rejection threshold.
+over the MAX_LANGS most frequent languages by a hash of doc_id, with
+LEAST_DOCS a language at least. A fifth of them ends the training and sets the
+temperature and the rejection threshold. The number of SGD steps does not
+depend on the sample: a small one is gone through more often.
 
 Cases: a null text or one without a letter is `und` with score 0 and
 rejected; ties between languages go to the first in order; long texts count
@@ -19,16 +21,19 @@ whole; repeated rows are predicted alike; without labelled rows everything is
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TRAIN_DOCS, TRAIN_CHARS, MAX_LANGS = 4000, 8000, 256
-BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 16, 4, 0.2
+TRAIN_DOCS, LEAST_DOCS, TRAIN_CHARS, MAX_LANGS = 4000, 20, 8000, 512
+BUCKETS, DIM, STEPS, RATE = 1 << 16, 16, 16_000, 0.2
+#: Steps between two looks at the calibration rows, and looks without a lower loss after which training ends.
+LOOK, PATIENCE = 2000, 3
 #: Bounds of the norms of embeddings and output weights.
 MAX_ROW, MAX_OUT = 1.0, 10.0
 #: Share of right answers on the calibration rows that the rejection may cost.
@@ -94,6 +99,12 @@ class Model:
         return total[:, :-1] / np.maximum(total[:, -1:], 1)
 
 
+def _loss(z: np.ndarray, truth: np.ndarray) -> float:
+    """Mean negative log likelihood."""
+    z = z - z.max(axis=1, keepdims=True)
+    return float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), truth]))
+
+
 def train(rows: list[tuple[str, str]], seed: int = 5) -> Model | None:
     """Fit on (text, lang) rows; None if there is nothing to learn from."""
     rows = [(t, y) for t, y in rows if y is not None and t is not None and t.split()]
@@ -106,27 +117,35 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Model | None:
     held, fit = order[: len(bags) // 5], order[len(bags) // 5 :]
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32)
-    steps, step = EPOCHS * len(fit), 0
-    for _ in range(EPOCHS):
-        for i in rng.permutation(fit):
-            ids, share, y = bags[i]
-            rate = RATE * (1 - step / steps)
-            step += 1
-            x = share @ emb[ids]
-            z = x @ out + bias
-            grad = np.exp(z - z.max())
-            grad /= grad.sum()
-            grad[y] -= 1
-            back = out @ grad
-            out -= rate * np.outer(x, grad)
-            out /= np.maximum(np.linalg.norm(out, axis=0) / MAX_OUT, 1)
-            bias -= 0.1 * rate * grad
-            rows = emb[ids] - (rate * len(ids) * share)[:, None] * back
-            # Projected steps: norms stay bounded, so the logits do.
-            emb[ids] = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True) / MAX_ROW, 1)
+    truth = np.array([bags[i][2] for i in held], int)
+    best, bad = None, 0
+    for step, i in enumerate(itertools.islice((i for _ in itertools.count() for i in rng.permutation(fit)), STEPS)):
+        if step % LOOK == 0 and step and len(held):
+            loss = _loss(np.stack([bags[j][1] @ emb[bags[j][0]] for j in held]) @ out + bias, truth)
+            if best is None or loss < best[0]:
+                best, bad = (loss, emb.copy(), out.copy(), bias.copy()), 0
+            else:
+                bad += 1
+            if bad == PATIENCE:
+                break
+        ids, share, y = bags[i]
+        rate = RATE * (1 - step / STEPS)
+        x = share @ emb[ids]
+        z = x @ out + bias
+        grad = np.exp(z - z.max())
+        grad /= grad.sum()
+        grad[y] -= 1
+        back = out @ grad
+        out -= rate * np.outer(x, grad)
+        out /= np.maximum(np.linalg.norm(out, axis=0) / MAX_OUT, 1)
+        bias -= 0.1 * rate * grad
+        moved = emb[ids] - (rate * len(ids) * share)[:, None] * back
+        # Projected steps: norms stay bounded, so the logits do.
+        emb[ids] = moved / np.maximum(np.linalg.norm(moved, axis=1, keepdims=True) / MAX_ROW, 1)
+    if best is not None and best[0] < _loss(np.stack([bags[j][1] @ emb[bags[j][0]] for j in held]) @ out + bias, truth):
+        _, emb, out, bias = best
     model = Model(langs, emb @ out, bias)
     if len(held):
-        truth = np.array([bags[i][2] for i in held])
         mean = np.stack([bags[i][1] @ model.logits[bags[i][0]] for i in held])
         # The temperature at which the mean confidence is the share of right answers (with one right and one wrong added).
         share = ((mean + bias).argmax(axis=1) == truth).sum() + 1
@@ -146,14 +165,18 @@ def held_out(doc_id) -> F.Column:
 
 
 def fit(docs: DataFrame, *, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, max_langs: int = MAX_LANGS) -> Model | None:
-    """A model from a bounded sample of the labelled documents that are not held out."""
+    """A model from a bounded sample of the labelled documents that are not held out; the same for the same rows, however they are dealt."""
     labelled = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id")).where(F.length("text").between(1, train_chars))
     counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     if not counts:
         return None
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, train_docs / len(counts) / r["count"]))))
-    picked = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.get(F.array(F.element_at(share, F.col("lang"))), F.lit(0)) * (1 << 20))
-    return train(sorted((r["text"], r["lang"]) for r in picked.select("text", "lang").limit(2 * train_docs).collect()))
+    quota = max(LEAST_DOCS, train_docs // len(counts))
+    # Hashes under a bound that leaves twice the quota thin the rows before the exact cut; a language with few rows keeps all.
+    chance = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * quota / r["count"] + 100 / r["count"]))))
+    order = F.xxhash64("doc_id")
+    some = labelled.where(F.pmod(order, F.lit(1 << 20)) < F.element_at(chance, F.col("lang")) * (1 << 20))
+    ranked = some.select("text", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(order, F.lit(1 << 20)), order, "doc_id", "text")).alias("n"))
+    return train(sorted((r["text"], r["lang"]) for r in ranked.where(F.col("n") <= quota).collect()))
 
 
 def _predict(model: Model | None, texts: list[str | None]) -> pd.DataFrame:
