@@ -22,11 +22,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadtide.llm.common import balanced_join
+
 #: Exponent of the default weights: 1 keeps the corpus's own mixture, 0 makes all sources equal.
 TEMPERATURE = 0.5
 SEED = 17
-#: Sources whose rates are broadcast at most; beyond it they are joined by a shuffle.
-MAX_BROADCAST_SOURCES = 10_000
+#: Bytes of source names and rates that are broadcast at most; beyond it they are joined by a shuffle in which large sources are split.
+MAX_BROADCAST_BYTES = 8_000_000
 #: Terms of the inverted distribution: at a mean of 20, the rest has a probability below 1e-16. Larger means are split in copies of 20.
 TERMS = 80
 MEAN_STEP = 20.0
@@ -73,24 +75,30 @@ def source_rates(docs: DataFrame, *, weights: dict | None = None, temperature: f
 def poisson_mix(docs: DataFrame, *, weights: dict | None = None, temperature: float = TEMPERATURE, total: float = 1.0, seed: int = SEED) -> DataFrame:
     """The mixed corpus: the columns of docs, then mix_copy (from 1) and mix_order, in which the rows are sorted globally; they take the place of any of the same name.
 
-    Sources of any size are exploded where their rows lie; the only shuffle of texts is the global one.
+    Sources of any size are exploded where their rows lie; the only shuffle of texts is the global one. The
+    order is a uniform hash, so equal ranges of it are equal partitions, and no pass is needed to sample it.
     """
     spark, docs = docs.sparkSession, docs.drop("mix_copy", "mix_order")
-    rates = source_rates(docs, weights=weights, temperature=temperature, total=total).select(F.col("source").alias("__mix_source"), F.col("rate").alias("__mix_rate"))
-    head = rates.limit(MAX_BROADCAST_SOURCES + 1).collect()
-    if len(head) <= MAX_BROADCAST_SOURCES:
-        rates = F.broadcast(spark.createDataFrame(head, rates.schema))
+    keys = [F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__mix_source"), F.col("source").isNull().alias("__mix_none")]
+    rates = source_rates(docs, weights=weights, temperature=temperature, total=total).select(*keys, F.col("rate").alias("__mix_rate"), F.col("n_docs").alias("__mix_docs"))
+    size = rates.agg(F.sum(F.octet_length("__mix_source") + 32)).first()[0] or 0
+    keyed = docs.select("*", *keys)
+    if size <= MAX_BROADCAST_BYTES:
+        rated = keyed.join(F.broadcast(rates.drop("__mix_docs")), ["__mix_source", "__mix_none"])
+    else:
+        rated = balanced_join(keyed, rates, ["__mix_source", "__mix_none"], "__mix_docs")
     # A rate beyond MEAN_STEP is drawn in equal parts: a sum of Poisson numbers is a Poisson number.
     parts = F.greatest(F.ceil(F.col("__mix_rate") / MEAN_STEP), F.lit(1)).cast("int")
     draws = F.transform(F.sequence(F.lit(1), parts), lambda j: poisson(uniform(F.lit(f"count{seed}"), "source", "doc_id", j), F.col("__mix_rate") / parts))
     count = F.aggregate(draws, F.lit(0), lambda a, b: a + b)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = F.conv(F.substring("mix_order", 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
     return (
-        docs.join(rates, F.col("source").eqNullSafe(F.col("__mix_source")))
-        .withColumn("__mix_n", count)
+        rated.withColumn("__mix_n", count)
         .where("__mix_n > 0")
         .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_n"))))
         .withColumn("mix_order", F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "mix_copy")))
         .select(*docs.columns, "mix_copy", "mix_order")
-        .repartitionByRange("mix_order")
+        .repartitionById(tasks, F.floor(place * tasks).cast("int"))
         .sortWithinPartitions("mix_order", "doc_id", "mix_copy")
     )
