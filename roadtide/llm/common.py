@@ -59,22 +59,23 @@ def discard(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def balanced_join(left: DataFrame, right: DataFrame, on: list[str], count: str, total: int | None = None, how: str = "inner") -> DataFrame:
-    """left joined with right, whose keys are unique and whose `count` column has each key's number of rows in left; the column is dropped.
+def balanced_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame, total: int | None = None, how: str = "inner") -> DataFrame:
+    """left joined with right, whose keys are unique, with the keys split that many rows of left have.
 
+    counts: DataFrame[*on, n] of each such key's number n of rows in left.
+    total: the number of rows in left; the sum of n where it is not given.
     A key with more than 1 / HEAVY of the rows is dealt to several tasks. Of such
     keys there are fewer than HEAVY, so they are broadcast, and right has at most
-    2 * HEAVY copies of them. how: inner or left_semi.
+    2 * HEAVY rows more. how: inner or left_semi.
     """
     if total is None:
-        total = right.agg(F.sum(count)).first()[0] or 0
+        total = counts.agg(F.sum("n")).first()[0] or 0
     most = max(total // HEAVY, 1)
-    parts = F.ceil(F.col(count) / most).cast("int")
-    heavy = right.where(F.col(count) > most).select(*on, parts.alias("__parts"))
+    heavy = F.broadcast(counts.where(F.col("n") > most).select(*on, F.ceil(F.col("n") / most).cast("int").alias("__parts")))
     deal = F.pmod(F.xxhash64(*(c for c in left.columns if c not in on)), F.col("__parts"))
-    dealt = left.join(F.broadcast(heavy), on, "left").withColumn("__part", F.coalesce(deal.cast("int"), F.lit(0))).drop("__parts")
-    copies = F.explode(F.when(F.col(count) > most, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0))))
-    return dealt.join(right.withColumn("__part", copies).drop(count), [*on, "__part"], how).drop("__part")
+    dealt = left.join(heavy, on, "left").withColumn("__part", F.coalesce(deal.cast("int"), F.lit(0))).drop("__parts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts") - 1, F.lit(0))))
+    return dealt.join(right.join(heavy, on, "left").withColumn("__part", copies).drop("__parts"), [*on, "__part"], how).drop("__part")
 
 
 def words(text) -> F.Column:

@@ -27,12 +27,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadtide.llm.common import saved, small_enough
+from roadtide.llm.common import balanced_join, saved, small_enough
 
 #: Lines shorter than this many code points stay.
 MIN_CHARS = 20
-#: Lines whose hashes are broadcast at most; beyond it they are joined by a shuffle.
-MAX_BROADCAST_LINES = 500_000
+#: Rows of hashes (three at most, 24 bytes) that are broadcast at most; beyond it they are joined by a shuffle in which common keys are split.
+MAX_BROADCAST_ROWS = 200_000
 
 _TRIM = " \t\n\x0b\x0c\r"
 
@@ -61,16 +61,20 @@ def _halves(norm, n) -> F.Column:
 def near_dropped(reps: DataFrame, texts: DataFrame) -> DataFrame:
     """h1, h2 of the distinct lines with an earlier line at distance 1.
 
-    reps: DataFrame[h1, h2, first, k1..k4] of distinct lines; texts: DataFrame[h1, h2, norm, n], which may repeat lines.
+    reps: DataFrame[h1, h2, first, copies, k1..k4] of distinct lines; texts: DataFrame[h1, h2, norm, n], which may repeat lines.
     """
-    keys = reps.select("h1", "h2", F.posexplode(F.array("k1", "k2", "k3", "k4")).alias("side", "k"))
-    shared = keys.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("k")
-    sides = keys.join(shared, "k", "left_semi").groupBy("h1", "h2").agg(F.max(F.col("side") % 2 == 0).alias("by_first"), F.max(F.col("side") % 2 == 1).alias("by_last"))
+    keys = reps.select("h1", "h2", "copies", F.posexplode(F.array("k1", "k2", "k3", "k4")).alias("side", "k"))
+    shared = saved(keys.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.count("*").alias("n")).where("a <> b").select("k", "n"), "line-halves")
+    some = balanced_join(keys, shared.select("k"), ["k"], shared, 4 * reps.count(), "left_semi")
+    sides = some.groupBy("h1", "h2").agg(F.max("copies").alias("copies"), F.max(F.col("side") % 2 == 0).alias("by_first"), F.max(F.col("side") % 2 == 1).alias("by_last"))
     some = saved(sides, "line-survivors")
-    picked = F.broadcast(some) if small_enough(some, MAX_BROADCAST_LINES) else some
-    have = texts.join(picked.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("norm").alias("norm"), F.first("n").alias("n"))
-    some = saved(have.join(reps.select("h1", "h2", "first"), ["h1", "h2"]).join(some, ["h1", "h2"]), "line-texts")
-    few = small_enough(some, MAX_BROADCAST_LINES)
+    if small_enough(some, MAX_BROADCAST_ROWS):
+        have = texts.join(F.broadcast(some.select("h1", "h2")), ["h1", "h2"], "left_semi")
+    else:
+        have = balanced_join(texts.withColumn("deal", F.monotonically_increasing_id()), some.select("h1", "h2"), ["h1", "h2"], some.select("h1", "h2", F.col("copies").alias("n")), how="left_semi")
+    have = have.groupBy("h1", "h2").agg(F.first("norm").alias("norm"), F.first("n").alias("n"))
+    some = saved(have.join(reps.select("h1", "h2", "first"), ["h1", "h2"]).join(some.drop("copies"), ["h1", "h2"]), "line-texts")
+    few = small_enough(some, MAX_BROADCAST_ROWS)
 
     # What shares its first half differs in the last, and the other way round.
     start = F.when(F.col("by_last"), F.lit(1)).otherwise(F.floor((F.col("n") - 1) / 2).cast("int") + 1)
@@ -80,7 +84,7 @@ def near_dropped(reps: DataFrame, texts: DataFrame) -> DataFrame:
     variants = variants.select("h1", "h2", "first", F.col("x.v").alias("v"), F.xxhash64("x.i", "x.v").alias("at"))
     # Replaced: of the lines with one variant at one place, all match the earliest.
     common = saved(variants.groupBy("at").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("at"), "line-variants")
-    grouped = variants.join(F.broadcast(common) if small_enough(common, MAX_BROADCAST_LINES) else common, "at").select("at", "h1", "h2", "first")
+    grouped = variants.join(F.broadcast(common) if small_enough(common, MAX_BROADCAST_ROWS) else common, "at").select("at", "h1", "h2", "first")
     earliest = grouped.groupBy("at").agg(F.min(F.struct("first", "h1", "h2")).alias("e"))
     replaced = grouped.join(earliest, "at").select("h1", "h2", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"))
     # Inserted: a variant is a whole other line.
@@ -105,11 +109,11 @@ def dropped_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
         *(F.max(F.col("k")[i]).alias(f"k{i + 1}") for i in range(4)),
     )
     reps = saved(reps, "line-reps")
-    near = near_dropped(reps, lines.select("h1", "h2", "norm", "n")).withColumn("near", F.lit(True))
+    near = saved(near_dropped(reps, lines.select("h1", "h2", "norm", "n")), "line-near").withColumn("near", F.lit(True))
     marked = reps.select("h1", "h2", "first", "copies").join(near, ["h1", "h2"], "left").where("near or copies > 1")
+    places = lines.select("doc_id", "line_no", "h1", "h2")
     return (
-        lines.select("doc_id", "line_no", "h1", "h2")
-        .join(marked, ["h1", "h2"])
+        balanced_join(places, marked.drop("copies"), ["h1", "h2"], reps.where("copies > 1").select("h1", "h2", F.col("copies").alias("n")))
         .where("near or doc_id <> first.doc_id or line_no <> first.line_no")
         .groupBy("doc_id")
         .agg(F.collect_set("line_no").alias("drop"))

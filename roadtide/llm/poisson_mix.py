@@ -86,7 +86,8 @@ def poisson_mix(docs: DataFrame, *, weights: dict | None = None, temperature: fl
     if size <= MAX_BROADCAST_BYTES:
         rated = keyed.join(F.broadcast(rates.drop("__mix_docs")), ["__mix_source", "__mix_none"])
     else:
-        rated = balanced_join(keyed, rates, ["__mix_source", "__mix_none"], "__mix_docs")
+        on = ["__mix_source", "__mix_none"]
+        rated = balanced_join(keyed, rates.drop("__mix_docs"), on, rates.select(*on, F.col("__mix_docs").alias("n")))
     # A rate beyond MEAN_STEP is drawn in equal parts: a sum of Poisson numbers is a Poisson number.
     parts = F.greatest(F.ceil(F.col("__mix_rate") / MEAN_STEP), F.lit(1)).cast("int")
     draws = F.transform(F.sequence(F.lit(1), parts), lambda j: poisson(uniform(F.lit(f"count{seed}"), "source", "doc_id", j), F.col("__mix_rate") / parts))

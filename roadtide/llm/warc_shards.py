@@ -158,8 +158,8 @@ def write_warc(pages: DataFrame, out: str, *, shard_bytes: int = SHARD_BYTES, ro
     shard = _shard(borders, "html", "url").alias("shard")
     html = F.coalesce("html", F.lit(""))
     sums = pages.where("page_id is not null").select("page_id", F.octet_length(html).alias("n"), F.unhex(F.sha2(html.cast("binary"), 256)).alias("digest")).where(F.col("n") >= min_revisit).drop("n")
-    first = saved(sums.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("c")).where("c > 1"), "warc-digests")
-    revisits = balanced_join(sums, first, ["digest"], "c").where("page_id <> refers_to").distinct()
+    first = saved(sums.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1"), "warc-digests")
+    revisits = balanced_join(sums, first.drop("n"), ["digest"], first.select("digest", "n")).where("page_id <> refers_to").distinct()
     nothing = F.lit(None)
     rows = pages.select(shard, "page_id", F.lit(1).alias("kind"), "url", "html", nothing.cast("long").alias("refers_to"), nothing.cast("string").alias("digest")).unionByName(
         revisits.withColumns({"html": nothing.cast("string"), "url": nothing.cast("string")}).select(shard, "page_id", F.lit(0).alias("kind"), "url", "html", "refers_to", F.lower(F.hex("digest")).alias("digest"))
