@@ -1,19 +1,25 @@
-"""Exact top-k inner-product search with vector-approximation files.
-
-Vectors are dealt into blocks by a hash of their id, queries into blocks of
-their own, and each pair of blocks is one group of a cogroup, so a task holds
-one block of each. In a group the vectors are quantised to 4 bits a
-dimension. The scan of the cells gives a lower and an upper bound of every
-score; then exact vectors are read in the order of the upper bounds until the
-kth best score is above the bound of the next, so it is certain. Equal
-vectors of a block are scanned once. The k best of each block are merged by
-query.
+"""Exact top-k inner-product search with a vector-approximation file.
+
+1. The file: every vector as cells of 8 bits a dimension, whose width is the
+   vector's largest component / 127, so one outlier coarsens no other vector.
+   With it go two hashes of the exact vector. Of equal vectors only the k + 1
+   smallest ids stay: no more can be among a query's k best.
+2. The scan: cells and queries are dealt into blocks by a hash of their id, and
+   each pair of blocks is one group of a cogroup. One matrix product gives the
+   middle of every score's bounds, the query's size times the cell's width the
+   rest. A block keeps what its kth lower bound does not rule out, and the kth
+   lower bound over all blocks rules out more.
+3. Exact vectors are fetched for what is left, and read in the order of the
+   bounds until the kth best score is above the next bound, so it is certain.
+
+Only cells are copied to the query blocks, and exact vectors are shuffled once.
 
 Cases: null vectors, vectors that hold a null or a non-finite component and
-rows without an id take no part; of rows with one id, the smallest vector
-counts; a shorter vector is padded with zeros; ties go to the smaller id;
-with fewer than k candidates all are returned; an empty table or query set
-gives an empty result; other columns are not read.
+rows without an id take no part; of rows with one id, the one with the
+smallest hash counts; a shorter vector is padded with zeros; ties go to the
+smaller id; scores are exact at any size, and those beyond 64 bits are given
+as the nearest long; with fewer than k candidates all are returned; an empty
+table or query set gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,72 +29,110 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors and queries in a block, on average.
-DATA_BLOCK, QUERY_BLOCK = 4096, 1024
-#: Cells a dimension.
-CELLS = 16
+from roadtide.llm.common import saved
+
+#: Cells and queries in a block, on average, and cells that are scanned at once.
+DATA_BLOCK, QUERY_BLOCK, SCAN = 32_768, 2048, 4096
+#: Cells on either side of zero.
+CELLS = 127
 #: Exact vectors read between two looks at the bound.
-STEP = 32
+STEP = 8
+_LONG = 2**63 - 1
 
 
 def scaled(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """DataFrame[id, v array<bigint>]: floor(scale * x) of the vectors that take part."""
+    """DataFrame[id, v array<bigint>]: floor(scale * x) of the vectors that take part (components beyond 64 bits become the nearest long)."""
     bad = F.exists(vec_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & ~bad).select(
-        F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v")
-    )
 
+    def whole(x):
+        y = x.cast("double") * scale
+        return F.when(y >= 2.0**63, F.lit(_LONG)).when(y <= -(2.0**63), F.lit(-_LONG - 1)).otherwise(F.floor(F.when(F.abs(y) < 2.0**63, y)).cast("long"))
+
+    return vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & ~bad).select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, whole).alias("v"))
+
+
+def _hashed(vectors: DataFrame) -> DataFrame:
+    return vectors.select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
+
+
+def cells(vectors: DataFrame) -> DataFrame:
+    """DataFrame[id, h1, h2, width double, cells binary]: component i lies within half a width of cells[i] * width."""
 
-def _matrix(rows: pd.DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = rows.assign(v=[tuple(v) for v in rows["v"]]).sort_values(["id", "v"]).drop_duplicates("id")
+    def encode(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = []
+            for v in batch["v"]:
+                x = np.asarray(v, np.float64)
+                width = (np.abs(x).max() if len(x) else 0.0) / CELLS or 1.0
+                rows.append((width, np.rint(x / width).astype(np.int8).tobytes()))
+            yield batch[["id", "h1", "h2"]].assign(width=[w for w, _ in rows], cells=[c for _, c in rows])
+
+    return _hashed(vectors).mapInPandas(encode, "id long, h1 long, h2 long, width double, cells binary")
+
+
+def distinct_cells(file: DataFrame, k: int) -> DataFrame:
+    """The file with one row an id, and of equal vectors the k + 1 smallest ids."""
+    own = file.groupBy("id").agg(F.min(F.struct("h1", "h2", "width", "cells")).alias("c")).select("id", "c.*")
+    return own.withColumn("n", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))).where(F.col("n") <= k + 1).drop("n")
+
+
+def _padded(rows, kind, dims: int) -> np.ndarray:
     out = np.zeros((len(rows), dims))
-    for i, v in enumerate(rows["v"]):
-        out[i, : len(v)] = v
-    return rows["id"].to_numpy(np.int64), out
-
-
-class ApproximationFile:
-    """A block's distinct vectors as cells, with what the cells say about scores."""
-
-    def __init__(self, vectors: np.ndarray):
-        self.low = vectors.min(axis=0)
-        self.span = vectors.max(axis=0) - self.low + 1
-        self.cells = ((vectors - self.low) * CELLS // self.span).astype(np.uint8)
-
-    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bound of every query's inner product with every vector."""
-        least = self.low + np.ceil(self.cells * self.span / CELLS)
-        most = self.low + np.ceil((self.cells + 1.0) * self.span / CELLS) - 1
-        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-        return up @ least.T + down @ most.T, up @ most.T + down @ least.T
-
-
-def _block_top(queries: pd.DataFrame, data: pd.DataFrame, k: int) -> pd.DataFrame:
-    dims = max([1, *queries["v"].map(len), *data["v"].map(len)])
-    q_ids, q = _matrix(queries, dims)
-    ids, x = _matrix(data, dims)
-    if max(np.abs(q).max(), 1) * max(np.abs(x).max(), 1) * dims >= 2**52:
-        raise ValueError("inner products beyond 2^52 are not exact")
-    x, group = np.unique(x, axis=0, return_inverse=True)
-    order = np.lexsort((ids, group.ravel()))
-    starts = np.searchsorted(group.ravel()[order], np.arange(len(x) + 1))
-    members = [ids[order[a : min(b, a + k + 1)]] for a, b in zip(starts[:-1], starts[1:], strict=True)]
-    lower, upper = ApproximationFile(x).bounds(q)
-    out = []
-    for i, own in enumerate(q_ids):
-        # One of the vectors may be the query itself, so the bound of the kth candidate is that of the k+1st vector.
-        least = np.partition(lower[i], -k - 1)[-k - 1] if len(x) > k else -np.inf
-        near = np.flatnonzero(upper[i] >= least)
-        near = near[np.argsort(-upper[i][near], kind="stable")]
-        best: list[tuple[float, int]] = []
-        for at in range(0, len(near), STEP):
-            if len(best) == k and -best[-1][0] > upper[i][near[at]]:
-                break
-            read = near[at : at + STEP]
-            found = [(-s, int(m)) for j, s in zip(read, x[read] @ q[i], strict=True) for m in members[j] if m != own]
-            best = sorted(best + found)[:k]
-        out += [(own, m, int(-s)) for s, m in best]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+    for i, v in enumerate(rows):
+        x = np.frombuffer(v, kind) if isinstance(v, bytes) else np.asarray(v, np.float64)
+        out[i, : len(x)] = x
+    return out
+
+
+def block_bounds(queries: pd.DataFrame, data: pd.DataFrame, k: int) -> pd.DataFrame:
+    """query_id, vec_id, h1, h2, lower, upper of the pairs that the block's own kth lower bounds do not rule out."""
+    dims = max([1, *queries["v"].map(len), *data["cells"].map(len)])
+    own, q = queries["id"].to_numpy(np.int64), _padded(list(queries["v"]), None, dims)
+    ids, width, codes = data["id"].to_numpy(np.int64), data["width"].to_numpy(), list(data["cells"])
+    size = np.abs(q).sum(axis=1)
+    least, found = np.full(len(q), -np.inf), []
+    for a in range(0, len(ids), SCAN):
+        x, w = _padded(codes[a : a + SCAN], np.int8, dims), width[a : a + SCAN]
+        middle = (q @ x.T) * w
+        # Half a cell in every dimension, and the rounding of all these sums.
+        reach = size[:, None] * w * (0.5 + CELLS * (dims + 8) * 2.0**-52)
+        lower, upper = middle - reach, middle + reach
+        self_ = own[:, None] == ids[a : a + SCAN]
+        lower[self_], upper[self_] = -np.inf, -np.inf
+        if lower.shape[1] >= k:
+            # The kth lower bound of any part bounds the kth best score of all.
+            least = np.maximum(least, np.partition(lower, -k, axis=1)[:, -k])
+        i, j = np.nonzero((upper >= least[:, None]) & ~self_)
+        found.append((i, j + a, lower[i, j], upper[i, j]))
+    i, j, lower, upper = map(np.concatenate, zip(*found, strict=True))
+    stay = upper >= least[i]
+    i, j = i[stay], j[stay]
+    return pd.DataFrame({"query_id": own[i], "vec_id": ids[j], "h1": data["h1"].to_numpy()[j], "h2": data["h2"].to_numpy()[j], "lower": lower[stay], "upper": upper[stay]})
+
+
+def _exact(q: np.ndarray, x: list) -> list[int]:
+    """Inner products in whole numbers."""
+    n = min([len(q), *map(len, x)])
+    if max([1, *np.abs(q.astype(np.float64))]) * max([1.0, *(np.abs(np.asarray(v, np.float64)).max(initial=0) for v in x)]) * (len(q) + 1) < 2.0**62:
+        return [int(np.dot(q[: len(v)], v[: len(q)])) for v in x] if n < max([len(q), *map(len, x)]) else (np.stack(x) @ q).tolist()
+    big = [int(c) for c in q]
+    return [sum(a * int(b) for a, b in zip(big, v, strict=False)) for v in x]
+
+
+def certain_top(rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """One query's k best of its candidates, which are read in the order of their upper bounds as long as one may still be among them."""
+    rows = rows.drop_duplicates("vec_id").sort_values("upper", ascending=False, kind="stable")
+    query, upper, ids, vectors = np.asarray(rows["asked"].iloc[0], np.int64), rows["upper"].to_numpy(), rows["vec_id"].tolist(), list(rows["v"])
+    best: list[tuple[int, int]] = []
+    for at in range(0, len(ids), STEP):
+        if len(best) == k and -best[-1][0] > upper[at]:
+            break
+        best = sorted([*best, *((-s, i) for s, i in zip(_exact(query, vectors[at : at + STEP]), ids[at : at + STEP], strict=True))])[:k]
+    return pd.DataFrame(
+        {"query_id": rows["query_id"].iloc[0], "rank": range(1, len(best) + 1), "vec_id": [i for _, i in best], "score": [max(-_LONG - 1, min(_LONG, -s)) for s, _ in best]}
+    )
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -96,17 +140,24 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, data_block: int
 
     vectors, queries: DataFrame[id long, v array<bigint>], as from scaled().
     """
-    blocks, query_blocks = (max(1, -(-df.count() // size)) for df, size in ((vectors, data_block), (queries, query_block)))
+    file = saved(distinct_cells(cells(vectors), k), "va-file")
+    asked = saved(_hashed(queries).groupBy("id").agg(F.min(F.struct("h1", "h2", "v")).alias("c")).select("id", "c.v"), "va-queries")
+    blocks, query_blocks = (max(1, -(-df.count() // size)) for df, size in ((file, data_block), (asked, query_block)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    data = vectors.select("id", "v", own(blocks).alias("d"), every(query_blocks).alias("q"))
-    asked = queries.select("id", "v", own(query_blocks).alias("q"), every(blocks).alias("d"))
-
-    def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        return _block_top(left, right, k)
-
-    found = asked.groupBy("d", "q").cogroup(data.groupBy("d", "q")).applyInPandas(both, "query_id long, vec_id long, score long")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    left = asked.select("id", "v", own(query_blocks).alias("q"), every(blocks).alias("d"))
+    right = file.select("*", own(blocks).alias("d"), every(query_blocks).alias("q"))
+    schema = "query_id long, vec_id long, h1 long, h2 long, lower double, upper double"
+
+    def scan(some: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
+        if some.empty or data.empty:
+            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        return block_bounds(some, data, k)
+
+    bounds = left.groupBy("d", "q").cogroup(right.groupBy("d", "q")).applyInPandas(scan, schema)
+    ranked = bounds.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lower"))))
+    least = F.max(F.when(F.col("n") == k, F.col("lower"))).over(Window.partitionBy("query_id"))
+    open_ = ranked.withColumn("least", least).where("least is null or upper >= least").drop("n", "least")
+    exact = _hashed(vectors).withColumnRenamed("id", "vec_id")
+    read = open_.join(exact, ["vec_id", "h1", "h2"]).join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("asked")), "query_id")
+    return read.select("query_id", "asked", "vec_id", "upper", "v").groupBy("query_id").applyInPandas(lambda rows: certain_top(rows, k), "query_id long, rank int, vec_id long, score long")
