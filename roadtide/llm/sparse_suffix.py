@@ -3,8 +3,9 @@
 Suffixes start at the minimisers of windows of WINDOW runs of RUN words, so
 two equal passages of MIN_WORDS = WINDOW + RUN - 1 words or more have one in
 common. Suffixes whose first RUN words occur once in the corpus have no
-partner and are left aside. The others are sorted globally by their words;
-neighbours (the next REACH rows) are compared, and the match is extended to the right and left.
+partner and are left aside. The others are dealt to tasks by their first RUN
+words and sorted there by all their words; neighbours (the next REACH rows)
+are compared, and the match is extended to the right and left.
 Spans of MIN_WORDS or more are marked in both texts and merged per document.
 
 That compares all suffixes of a run with REACH + 1 of them or fewer. In a more
@@ -13,19 +14,18 @@ left can lie far apart. There the windows of MIN_WORDS words are hashed whose
 minimiser the suffix is, equal windows having equal minimisers, and windows
 whose hash occurs twice are marked too. A window that the row before has as
 well is left out: the comparison has marked it in both, and the first row of
-such a chain stands for it.
+such a chain stands for it. So such a run needs no order as a whole, and one
+with more than SPLIT suffixes is dealt to several tasks.
 
 A suffix carries the hashes of the SIDE words on either side. Neighbouring
 minimisers are fewer words apart, so the spans of a long passage overlap and
-merge into all of it. Equal suffixes, however many, are only compared with
-their neighbours in the sort order, over which a common passage is spread
-like any other rows; the rows at the borders of partitions meet in one more
-comparison. Windows are at most as many as words, and their hashes are counted
-by partial aggregates.
+merge into all of it. Windows are at most as many as words, and their hashes
+are counted by partial aggregates.
 
 Cases: null texts and texts of fewer than MIN_WORDS words have no spans;
-passages repeated inside one text count; rows without doc_id are left out; of
-rows with one doc_id, equal positions are different suffixes all the same; an
+passages repeated inside one text count; rows without doc_id are left out;
+rows with one doc_id are texts of their own whose spans are given under it,
+and an equal text in two rows is a repeated passage; an
 empty table gives an empty result; other columns are not read.
 """
 
@@ -35,16 +35,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadtide.llm.common import saved
+from roadtide.llm.common import balanced_join, saved
 from roadtide.llm.hashing import mixed, run_hashes, word_hashes
 
 MIN_WORDS, RUN = 50, 10
 WINDOW = MIN_WORDS - RUN + 1
 #: Rows after a suffix in the sort order that it is compared with.
 REACH = 4
+#: Suffixes of a frequent run that go to one task.
+SPLIT = 1024
 SIDE = MIN_WORDS
 #: Powers of an odd number modulo 2^64, and of its inverse.
 _BASE = 0x9E3779B97F4A7C15
@@ -64,48 +66,53 @@ def minimisers(runs: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.n
 
 
 def samples(docs: DataFrame) -> DataFrame:
-    """DataFrame[doc_id, at, run, lead, wins]: position and hash of the first RUN words of every sampled suffix, how far before it the first window starts whose minimiser it is, and the number of these."""
+    """DataFrame[doc_id, h, at, run, lead, wins]: position and hash of the first RUN words of every sampled suffix, how far before it the first window starts whose minimiser it is, and the number of these."""
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, out = batch["doc_id"].to_numpy(), [[], [], [], [], []]
+            ids, own, out = batch["doc_id"].to_numpy(), batch["h"].to_numpy(), [[], [], [], [], [], []]
             for i, words in word_hashes(list(batch["text"]), fold=False):
                 if len(words) >= MIN_WORDS:
                     runs = run_hashes(words, RUN)
                     at, first, wins = minimisers(runs)
-                    for x, y in zip(out, (np.full(len(at), ids[i]), at, runs[at].astype(np.int64), (at - first).astype(np.int8), wins.astype(np.int8)), strict=True):
+                    for x, y in zip(out, (np.full(len(at), ids[i]), np.full(len(at), own[i]), at, runs[at].astype(np.int64), (at - first).astype(np.int8), wins.astype(np.int8)), strict=True):
                         x.append(y)
             if out[0]:
-                yield pd.DataFrame(dict(zip(("doc_id", "at", "run", "lead", "wins"), map(np.concatenate, out), strict=True)))
+                yield pd.DataFrame(dict(zip(("doc_id", "h", "at", "run", "lead", "wins"), map(np.concatenate, out), strict=True)))
 
-    return docs.mapInPandas(sample, "doc_id long, at int, run long, lead byte, wins byte")
+    return docs.mapInPandas(sample, "doc_id long, h long, at int, run long, lead byte, wins byte")
 
 
 def suffixes(docs: DataFrame, positions: DataFrame) -> DataFrame:
-    """DataFrame[run, right, after, before, left, doc_id, at, lead, wins]: the sampled suffixes with the words' hashes to their right and, reversed, to their left."""
+    """DataFrame[run, part, right, after, before, left, doc_id, at, lead, wins]: the sampled suffixes with the words' hashes to their right and, reversed, to their left."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, rows = batch["doc_id"].to_numpy(), []
-            lists = [list(batch[c]) for c in ("ats", "runs", "leads", "wins")]
+            lists = [list(batch[c]) for c in ("ats", "runs", "parts", "leads", "wins")]
             for i, words in word_hashes(list(batch["text"]), fold=False):
-                at, run, lead, wins = (np.asarray(x[i], np.int64) for x in lists)
-                at, run, lead, wins = (x[at < len(words)] for x in (at, run, lead, wins))
+                at, run, part, lead, wins = (np.asarray(x[i], np.int64) for x in lists)
                 short = np.concatenate((np.zeros(SIDE, np.uint32), (words >> np.uint64(32)).astype(">u4"), np.zeros(SIDE, np.uint32))).astype(">u4")
                 right = short[at[:, None] + SIDE + np.arange(SIDE)]
                 left = short[at[:, None] + SIDE - 1 - np.arange(SIDE)]
                 for j, p in enumerate(at):
-                    rows.append((run[j], right[j].tobytes(), min(SIDE, len(words) - p), min(SIDE, p), left[j].tobytes(), ids[i], p, lead[j], wins[j]))
+                    rows.append((run[j], part[j], right[j].tobytes(), min(SIDE, len(words) - p), min(SIDE, p), left[j].tobytes(), ids[i], p, lead[j], wins[j]))
+                if len(rows) >= ROWS:
+                    yield pd.DataFrame(rows, columns=_FIELDS)
+                    rows = []
             if rows:
                 yield pd.DataFrame(rows, columns=_FIELDS)
 
-    per_doc = positions.groupBy("doc_id").agg(F.collect_list(F.struct("at", "run", "lead", "wins")).alias("p"))
-    per_doc = per_doc.select("doc_id", F.col("p.at").alias("ats"), F.col("p.run").alias("runs"), F.col("p.lead").alias("leads"), F.col("p.wins").alias("wins"))
-    return docs.join(per_doc, "doc_id").select("doc_id", "text", "ats", "runs", "leads", "wins").mapInPandas(cut, _SUFFIX)
+    # Equal rows have the same positions; each row of a text is cut at them.
+    per_doc = positions.groupBy("doc_id", "h").agg(F.collect_set(F.struct("at", "run", "part", "lead", "wins")).alias("p"))
+    per_doc = per_doc.select("doc_id", "h", F.col("p.at").alias("ats"), F.col("p.run").alias("runs"), F.col("p.part").alias("parts"), F.col("p.lead").alias("leads"), F.col("p.wins").alias("wins"))
+    return docs.join(per_doc, ["doc_id", "h"]).select("doc_id", "text", "ats", "runs", "parts", "leads", "wins").mapInPandas(cut, _SUFFIX)
 
 
-_SUFFIX = "run long, right binary, after int, before int, left binary, doc_id long, at int, lead byte, wins byte"
-_FIELDS = ["run", "right", "after", "before", "left", "doc_id", "at", "lead", "wins"]
+#: Suffixes that are handed over at once.
+ROWS = 20_000
+_SUFFIX = "run long, part int, right binary, after int, before int, left binary, doc_id long, at int, lead byte, wins byte"
+_FIELDS = ["run", "part", "right", "after", "before", "left", "doc_id", "at", "lead", "wins"]
 
 
 def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -159,50 +166,38 @@ def window_keys(rows: pd.DataFrame, skip: int) -> pd.DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """DataFrame[doc_id, start, stop]: word ranges (stop exclusive) of passages that occur elsewhere too, merged per document."""
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     sampled = saved(samples(docs), "suffix-samples")
-    # Written out, so that the join's two sides are dealt on their own and a run that many texts share can be split.
-    repeated = saved(sampled.groupBy("run").agg(F.count("*").alias("c")).where("c > 1").select("run", (F.col("c") > REACH + 1).alias("often")), "suffix-runs")
-    order = ["run", "right", "left", "doc_id", "at"]
-    positions = sampled.join(repeated, "run").withColumn("wins", F.when(F.col("often"), F.col("wins")).otherwise(F.lit(0).cast("byte")))
-    ordered = suffixes(docs, positions).repartitionByRange(*order).sortWithinPartitions(*order)
+    repeated = saved(sampled.groupBy("run").agg(F.count("*").alias("n")).where("n > 1"), "suffix-runs")
+    runs = repeated.select("run", (F.col("n") > REACH + 1).alias("often"), F.ceil(F.col("n") / SPLIT).cast("int").alias("parts"))
+    positions = balanced_join(sampled, runs, ["run"], repeated).select(
+        "doc_id", "h", "at", "run", "lead", F.when(F.col("often"), F.col("wins")).otherwise(F.lit(0).cast("byte")).alias("wins"), F.pmod(F.xxhash64("doc_id", "h", "at"), F.col("parts")).cast("int").alias("part")
+    )
+    ordered = suffixes(docs, positions).repartition("run", "part").sortWithinPartitions("run", "part", "right", "left", "doc_id", "at")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, seen = None, 0
+        last = None
         for batch in batches:
             if not len(batch):
                 continue
-            ends, seen = batch.iloc[: max(REACH - seen, 0)], seen + len(batch)
             again = 0 if last is None else len(last)
             batch = batch if last is None else pd.concat([last, batch], ignore_index=True)
             spans, windows, last = neighbour_spans(batch), window_keys(batch, again), batch.iloc[-REACH:]
-            yield shaped(pd.concat([spans.reindex(columns=columns).assign(at=0), ends.reindex(columns=columns)]))
-            if len(windows):
-                yield shaped(windows.reindex(columns=columns).assign(at=0))
-        if seen > REACH:  # without rows that are among the first
-            yield shaped(last.iloc[-min(REACH, seen - REACH) :].reindex(columns=columns))
-
-    columns = ["start", "stop", "keys", *_FIELDS]
-    whole = {"start": "Int32", "stop": "Int32", "run": "Int64", "after": "Int32", "before": "Int32", "lead": "Int8", "wins": "Int8"}
-
-    def shaped(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.astype(whole).astype({"keys": object, "right": object, "left": object}).where(rows.notna(), None).astype(whole)
-
-    found = saved(ordered.mapInPandas(compare, "start int, stop int, keys array<long>, " + _SUFFIX), "suffix-spans")
-    # The first and last REACH rows of every partition, each once.
-    borders = found.where("start is null").select(*_FIELDS).repartition(1).sortWithinPartitions(*order)
-    across = borders.mapInPandas(lambda batches: (neighbour_spans(x) for x in [pd.concat(list(batches), ignore_index=True)] if len(x)), "doc_id long, start int, stop int")
+            for rows in (spans.assign(keys=None), windows.assign(stop=None)):
+                if len(rows):
+                    yield rows[columns].astype({"start": "Int32", "stop": "Int32", "keys": object})
+
+    columns = ["doc_id", "start", "stop", "keys"]
+    found = saved(ordered.mapInPandas(compare, "doc_id long, start int, stop int, keys array<long>"), "suffix-spans")
     windows = found.where("keys is not null").select("doc_id", "start", F.posexplode("keys").alias("i", "key")).select("doc_id", (F.col("start") + F.col("i")).alias("start"), "key")
-    # Written out like the runs.
-    twice = saved(windows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "suffix-windows")
-    equal = windows.join(twice, "key", "left_semi").select("doc_id", "start", (F.col("start") + MIN_WORDS).alias("stop"))
-    spans = found.where("stop is not null").select("doc_id", "start", "stop").union(across).union(equal)
-    merged = F.aggregate(
-        F.array_sort(F.collect_set(F.struct("start", "stop"))),
-        F.array().cast("array<struct<start:int,stop:int>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["stop"] >= x["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.get(acc, F.size(acc) - 1)["start"].alias("start"), F.greatest(F.get(acc, F.size(acc) - 1)["stop"], x["stop"]).alias("stop"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    return spans.groupBy("doc_id").agg(merged.alias("s")).select("doc_id", F.explode("s").alias("s")).select("doc_id", "s.start", "s.stop")
+    twice = saved(windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "suffix-windows")
+    equal = balanced_join(windows, twice.select("key"), ["key"], twice, how="left_semi").select("doc_id", "start", (F.col("start") + MIN_WORDS).alias("stop"))
+    spans = found.where("stop is not null").select("doc_id", "start", "stop").union(equal).groupBy("doc_id", "start").agg(F.max("stop").alias("stop"))
+    # A span that starts after all that came before it begins a merged one.
+    sofar = Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    new = F.coalesce(F.col("start") > F.max("stop").over(sofar), F.lit(True)).cast("int")
+    grouped = spans.withColumn("new", new).withColumn("g", F.sum("new").over(Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)))
+    return grouped.groupBy("doc_id", "g").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).select("doc_id", "start", "stop")
 
 
 def removed(docs: DataFrame, spans: DataFrame) -> DataFrame:
