@@ -9,7 +9,7 @@ from roadtide.llm import bpe, lang_id, minhash_bbit, pii_boost, sparse_suffix, v
 from roadtide.llm import line_dedup as line_dedup_
 from roadtide.llm import poisson_mix as poisson_mix_
 from roadtide.llm import quality_llr as quality_llr_
-from roadtide.llm.common import table, tokenizer_path
+from roadtide.llm.common import saved, table, tokenizer_path
 
 
 def op1_va_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +101,9 @@ def op8_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return pii_boost.digest(pii_boost.find(docs, pii_boost.fit(docs)))
+    """Texts are scanned once; the model is fitted to the candidates and applied to them."""
+    scanned = saved(pii_boost.scan(table(spark, sf_dir, "documents")).drop("text"), "pii-scan")
+    return pii_boost.digest(pii_boost.find(scanned, pii_boost.fit(scanned)))
 
 
 def op10_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
