@@ -17,6 +17,7 @@ KM_TO_MI = 0.621371
 DEFAULT_START = "T19:00:00"
 TIME_ZONE = "America/Los_Angeles"
 DEFAULT_MAXSPEED = {"motorway": 65.0, "trunk": 45.0, "primary": 35.0, "secondary": 35.0, "tertiary": 30.0}
+OTHER_MAXSPEED = 30.0
 LEVELS = (0.95, 0.85, 0.70, 0.50)
 BEARINGS = {"N": 0.0, "E": 90.0, "S": 180.0, "W": 270.0}
 TITLE_RULES = (
@@ -63,11 +64,6 @@ def hhmm(minutes) -> Column:
     return F.format_string("%02d:%02d", F.floor(minutes / 60).cast("int"), F.pmod(minutes, F.lit(60)).cast("int"))
 
 
-def hours_between(later, earlier) -> Column:
-    """Signed hours from earlier to later."""
-    return F.timestamp_diff("SECOND", earlier, later) / 3600.0
-
-
 def is_peak(minutes, *, morning=(420, 595), evening=(900, 1135)) -> Column:
     """Peak by minutes since midnight, ends inclusive; publishing uses evening=(960, 1135)."""
     return minutes.between(*morning) | minutes.between(*evening)
@@ -165,9 +161,9 @@ def surface_mph(ratio, limit, alpha: float = 0.5) -> Column:
 
 
 def maxspeed_mph(tag, highway, defaults: dict[str, float] = DEFAULT_MAXSPEED) -> Column:
-    """Speed limit of a tag such as `35 mph` or `50` (km/h); the road class's default without one."""
+    """Speed limit of a tag such as `35 mph` or `50` (km/h); without one the road class's default, which is OTHER_MAXSPEED for classes that have none."""
     digits = F.regexp_replace(tag, r"\D", "").try_cast("double")
-    fallback = F.lit(None).cast("double")
+    fallback = F.lit(OTHER_MAXSPEED)
     for name, mph in defaults.items():
         fallback = F.when(highway == name, mph).otherwise(fallback)
     return F.coalesce(F.when(F.lower(tag).contains("mph"), digits).otherwise(digits * KM_TO_MI), fallback)

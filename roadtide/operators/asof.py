@@ -2,34 +2,56 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadtide.operators.skew import copied, dealt, heavy_keys
+
 
-def _hours(ts):
-    """Whole hours since the epoch of a timestamp without zone."""
-    return F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts) / 3600)
+def _micros(ts):
+    """Microseconds since the epoch of a timestamp without zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
 def nearest_event(df: DataFrame, events: DataFrame, *, key: str, row_id: str, ts: str = "ts", start: str = "start", event_id: str = "event_id", before_h: float = 4, after_h: float = 6, backward_only: bool = False, keep=()) -> DataFrame:
     """df with hours_since_event and event columns of the event in reach.
 
     An event at most after_h hours back wins, the latest first; else the next within before_h hours; ties go to the
-    smaller event id. Events are exploded to the hours they reach, which bounds the rows by events x reach; the join is
-    on (key, hour) and the range is checked after it. Rows keep their own values; those without an event get nulls.
+    smaller event id. Times are compared to the microsecond. Rows keep their own values; those without an event, a key
+    or a time get nulls.
+
+    Rows and events meet in buckets as wide as the reach. Of the bucket before, only the last event can be nearest, and
+    of the bucket after, only the first, so these two are carried over; in a bucket the events are filled forward and
+    backward in one order of time. Rows are shuffled once, and no pair of a row and an event is made. Buckets with very
+    many rows are dealt to several tasks.
     """
-    ahead = 0 if backward_only else before_h
-    hour = _hours(F.col(start))
-    reach = F.sequence((hour - int(ahead + 1)).cast("long"), (hour + int(after_h + 1)).cast("long"))
-    e = events.where(F.col(key).isNotNull() & F.col(start).isNotNull()).select(F.col(key).alias("__key"), F.col(start).alias("__start"), F.col(event_id).alias("__event"), *(F.col(c).alias(f"__keep_{c}") for c in keep), F.explode(reach).alias("__hour"))
-    left = df.withColumn("__h", _hours(F.col(ts)))
-    hit = left.join(e, (F.col(key) == F.col("__key")) & (F.col("__h") == F.col("__hour")))
-    delta = F.timestamp_diff("SECOND", F.col("__start"), F.col(ts)) / 3600.0
-    hit = hit.withColumn("__delta", delta).where((F.col("__delta") >= -ahead) & (F.col("__delta") <= after_h))
-    # Past events first, then the closest: one struct to take the least of, so no window over a row's events is needed.
-    rank = F.struct(F.when(F.col("__delta") >= 0, 0).otherwise(1).alias("future"), F.abs("__delta").alias("gap"), F.col("__event").alias("event"))
-    best = hit.groupBy(row_id).agg(F.min_by(F.struct("__event", "__delta", *(f"__keep_{c}" for c in keep)), rank).alias("__best"))
-    return df.join(best, row_id, "left").select(*df.columns, F.col("__best.__event").alias(event_id), F.col("__best.__delta").alias("hours_since_event"), *(F.col(f"__best.__keep_{c}").alias(c) for c in keep))
+    width = int(max(before_h, after_h) * 3_600_000_000)
+    bucket = F.floor(F.col("__at") / width).cast("long")
+    e = events.where(F.col(key).isNotNull() & F.col(start).isNotNull()).select(F.col(key).alias("__key"), _micros(F.col(start)).alias("__at"), F.struct(F.col(event_id).alias("event"), _micros(F.col(start)).alias("at"), *(F.col(c).alias(f"keep_{c}") for c in keep)).alias("e"))
+    e = e.groupBy("__key", "__at").agg(F.min_by("e", "e.event").alias("e")).withColumn("__bucket", bucket)
+    ends = e.groupBy("__key", "__bucket").agg(F.min_by("e", "__at").alias("first"), F.max_by("e", "__at").alias("last"))
+    carried = ends.select("__key", F.inline(F.array(F.struct((F.col("__bucket") - 1).alias("__bucket"), F.col("first").alias("e")), F.struct((F.col("__bucket") + 1).alias("__bucket"), F.col("last").alias("e")))))
+    e = e.select("__key", "__bucket", "__at", "e").unionByName(carried.select("__key", "__bucket", F.col("e.at").alias("__at"), "e"))
+
+    asked = df.select(F.struct(*df.columns).alias("row"), F.col(key).alias("__key"), _micros(F.col(ts)).alias("__at"), F.xxhash64(row_id).alias("__deal")).withColumn("__bucket", bucket)
+    known = asked.where("__key is not null and __at is not null")
+    heavy = heavy_keys(known, ["__key", "__bucket"])
+    rows = dealt(known, heavy, ["__key", "__bucket"], ["__deal"]).select("__key", "__bucket", "__part", "__at", "row", F.lit(True).alias("asks"))
+    every = rows.unionByName(copied(e, heavy, ["__key", "__bucket"]).withColumn("asks", F.lit(False)), allowMissingColumns=True)
+    part = Window.partitionBy("__key", "__bucket", "__part").rowsBetween(Window.unboundedPreceding, 0)
+    past = F.last("e", ignorenulls=True).over(part.orderBy("__at", "asks"))
+    coming = F.last("e", ignorenulls=True).over(part.orderBy(F.desc("__at"), F.desc("asks")))
+    filled = every.withColumns({"past": past, "coming": coming}).where("asks")
+    since = lambda c: (F.col("__at") - F.col(f"{c}.at")) / 3_600_000_000.0
+    best = F.when(since("past") <= after_h, F.struct(F.col("past").alias("e"), since("past").alias("h")))
+    if not backward_only:
+        best = best.when(since("coming") >= -before_h, F.struct(F.col("coming").alias("e"), since("coming").alias("h")))
+    found = filled.select("row", best.alias("b"))
+    lost = asked.where("__key is null or __at is null").select("row")
+    both = found.unionByName(lost, allowMissingColumns=True)
+    return both.select(*(F.col(f"row.{c}").alias(c) for c in df.columns), F.col("b.e.event").alias(event_id), F.col("b.h").alias("hours_since_event"), *(F.col(f"b.e.keep_{c}").alias(c) for c in keep))
 
 
 def hour_bucket(delta, low: int = -3, high: int = 6):
@@ -39,9 +61,14 @@ def hour_bucket(delta, low: int = -3, high: int = 6):
 
 
 def nearest_slot(asked: DataFrame, slots: DataFrame, *, id_col: str, minutes: str, slot: str) -> DataFrame:
-    """The published slot nearest to each asked minute; ties go to the earlier. slots is a day's short list."""
-    pairs = asked.join(F.broadcast(slots.select(slot).distinct()))
-    return pairs.groupBy(id_col).agg(F.min_by(slot, F.struct(F.abs(F.col(slot) - F.col(minutes)), F.col(slot))).alias(slot))
+    """The published slot nearest to each asked minute; ties go to the earlier.
+
+    Both are minutes of a day, 1,440 distinct values at most: these are matched once, and the rows look their minute up.
+    """
+    of_day = lambda df, c: df.where(F.col(c).between(0, 1439)).select(F.col(c).cast("int").alias(c)).distinct()
+    pairs = of_day(asked, minutes).join(F.broadcast(of_day(slots, slot)))
+    best = pairs.groupBy(minutes).agg(F.min_by(slot, F.struct(F.abs(F.col(slot) - F.col(minutes)), F.col(slot))).alias(slot))
+    return asked.select(id_col, minutes).join(F.broadcast(best), minutes).select(id_col, slot)
 
 
 def events_on_drive(drives: DataFrame, events: DataFrame, *, limit: int = 2, max_miles: float = 12.0, before_h: float = 3.0, after_h: float = 6.0) -> DataFrame:
@@ -53,8 +80,11 @@ def events_on_drive(drives: DataFrame, events: DataFrame, *, limit: int = 2, max
     from roadtide.functions.columns import equirect_miles
     from roadtide.operators.spatial import in_cells, with_neighbours
 
-    e = in_cells(events.select("event_id", F.col("lat").alias("e_lat"), F.col("lon").alias("e_lon"), "start"), "e_lat", "e_lon", max_miles)
-    d = with_neighbours(drives, "lat", "lon", max_miles)
+    # A degree of longitude is shortest where the points are farthest from the equator: cells are sized for there.
+    ends = drives.select(F.abs("lat").alias("lat")).union(events.select(F.abs("lat").alias("lat"))).agg(F.max("lat")).first()[0]
+    narrow = max(0.01, math.cos(math.radians(min(ends or 0.0, 89.0))))
+    e = in_cells(events.select("event_id", F.col("lat").alias("e_lat"), F.col("lon").alias("e_lon"), "start"), "e_lat", "e_lon", max_miles, narrow)
+    d = with_neighbours(drives, "lat", "lon", max_miles, narrow)
     window = (F.col("arrive") >= F.col("start") - F.make_dt_interval(F.lit(0), F.lit(int(before_h)))) & (F.col("depart") <= F.col("start") + F.make_dt_interval(F.lit(0), F.lit(int(after_h))))
     near = d.join(e, ["cy", "cx"]).where(window).withColumn("miles", equirect_miles(F.col("lat"), F.col("lon"), F.col("e_lat"), F.col("e_lon"))).where(F.col("miles") <= max_miles)
     best = near.groupBy("drive_id", "event_id").agg(F.min("miles").alias("miles"))

@@ -19,11 +19,42 @@ def slice_report(df: DataFrame, actual: str, baseline: str, predictions: dict[st
     return out.withColumns(gain)
 
 
+def exact_quantile(df: DataFrame, value, q: float, *, few: int = 100_000, bins: int = 4096) -> float | None:
+    """The interpolated q-quantile of a column expression; nulls and NaN don't count, and without values it is None.
+
+    Each pass counts the values by bins and goes on in the bin that holds the wanted rank, until that has few enough
+    values to sort; no task gets all values.
+    """
+    x = df.select(value.cast("double").alias("x")).where("x is not null and not isnan(x)")
+    n, low, high = x.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if not n:
+        return None
+    place = q * (n - 1)
+    rank = int(place)
+
+    def at(k: int) -> float:
+        inside, m, a, b = x, n, low, high
+        while m > few and a < b:
+            width = (b - a) / bins
+            number = F.least(F.floor((F.col("x") - a) / width), F.lit(bins - 1)) if width > 0 else F.lit(0)
+            counted = sorted(inside.groupBy(number.alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).collect())
+            for r in counted:
+                if k < r["n"]:
+                    inside, m, a, b = inside.where(F.col("x").between(r["a"], r["b"])), r["n"], r["a"], r["b"]
+                    break
+                k -= r["n"]
+            if len(counted) == 1:
+                break
+        return a if a == b else inside.orderBy("x").offset(k).limit(1).first()[0]
+
+    first = at(rank)
+    return first if place == rank else first + (place - rank) * (at(rank + 1) - first)
+
+
 def worst(df: DataFrame, actual: str, baseline: str, q: float = 0.95) -> DataFrame:
     """Adds is_worst: the baseline's error is above its q-quantile."""
     err = F.abs(F.col(baseline) - F.col(actual))
-    cut = df.agg(F.percentile(err, q).alias("__cut"))
-    return df.join(F.broadcast(cut)).withColumn("is_worst", err > F.col("__cut")).drop("__cut")
+    return df.withColumn("is_worst", err > F.lit(exact_quantile(df, err, q)))
 
 
 def weighted_overall(df: DataFrame, metrics: list[str], n: str = "n") -> DataFrame:

@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from roadtide.functions.columns import bare_title, dedupe_key, embedded_time, is_cancelled, is_non_event, plausible_time
+from roadtide.functions.columns import bare_title, embedded_time, is_cancelled, is_non_event, plausible_time
 
 
 @F.pandas_udf(StringType())
 def folded(titles: pd.Series) -> pd.Series:
-    """Dedupe key with accents folded away: decomposed, lower case, letters and digits, 40 at most."""
+    """Dedupe key with accents folded away: decomposed, lower case, letters and digits of all scripts, 40 at most."""
 
     def one(t):
-        return None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t).lower() if c.isalnum() and c.isascii())[:40]
+        return None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t).lower() if c.isalnum())[:40]
 
     return titles.map(one)
 
@@ -58,7 +58,7 @@ def merge_observations(rows: DataFrame, key=None) -> DataFrame:
 
     The result does not depend on the order of the input.
     """
-    key = dedupe_key(F.col("title")) if key is None else key
+    key = folded(F.col("title")) if key is None else key
     keyed = rows.withColumns({"__day": F.left("start", F.lit(10)), "__key": key})
     rank = F.struct("captured_at", "title", "start")
     out = keyed.groupBy("venue", "__day", "__key").agg(

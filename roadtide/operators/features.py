@@ -45,8 +45,8 @@ def holiday_class(df: DataFrame, days: DataFrame) -> DataFrame:
     return out.withColumn("holiday_class", kind).drop("__adjacent")
 
 
-def attach_weather(df: DataFrame, weather: DataFrame, *, cell: str = "cell", ts: str = "ts", hours: int = 3) -> DataFrame:
-    """Adds rain (sum of the last `hours` hourly rows of the cell), temperature and rain_class by cell and hour.
+def attach_weather(df: DataFrame, weather: DataFrame, *, cell: str = "cell", ts: str = "ts", hours: int = 3, keep=()) -> DataFrame:
+    """Adds rain (sum of the last `hours` hourly rows of the cell), temperature, the columns to keep and rain_class by cell and hour.
 
     weather: cell, ts (hourly), precipitation, temperature. The first row of a cell and hour counts; sums are made on
     the hourly table, before it fans out. Missing weather is the class unknown.
@@ -55,9 +55,60 @@ def attach_weather(df: DataFrame, weather: DataFrame, *, cell: str = "cell", ts:
     w = weather.withColumn("__hour", F.date_trunc("HOUR", "ts").cast("timestamp_ntz"))
     w = w.withColumn("__r", F.row_number().over(Window.partitionBy("cell", "__hour").orderBy("ts", "precipitation"))).where("__r = 1")
     w = w.withColumn("rain", F.sum("precipitation").over(Window.partitionBy("cell").orderBy("__hour").rowsBetween(1 - hours, 0)))
-    w = w.select(F.col("cell").alias("__cell"), "__hour", "rain", "temperature", "precipitation")
+    w = w.select(F.col("cell").alias("__cell"), "__hour", "rain", "temperature", "precipitation", *(F.col(c).alias(f"__keep_{c}") for c in keep))
     out = df.withColumn("__at", hour).join(w, (F.col(cell) == F.col("__cell")) & (F.col("__at") == F.col("__hour")), "left")
-    return out.select(*df.columns, "rain", "temperature", rain_class(F.col("precipitation")).alias("rain_class"))
+    return out.select(*df.columns, "rain", "temperature", *(F.col(f"__keep_{c}").alias(c) for c in keep), rain_class(F.col("precipitation")).alias("rain_class"))
+
+
+def _context(df: DataFrame, weather: DataFrame, days: DataFrame, cell: str) -> DataFrame:
+    """Adds the calendar (month, is_weekend, holiday_class) and the weather (precip_mm, wind_kmh, precip_3h, wx_class) of each row."""
+    w = weather.withColumns({"temperature": F.lit(None).cast("double"), "precip_mm": F.col("precipitation"), "wind_kmh": F.col("wind")})
+    out = attach_weather(holiday_class(df, days).drop("holiday_name"), w, cell=cell, keep=("precip_mm", "wind_kmh"))
+    out = out.withColumns({"month": F.month("date"), "is_weekend": F.weekday("date") >= 5})
+    return out.withColumnsRenamed({"rain": "precip_3h", "rain_class": "wx_class"}).drop("temperature")
+
+
+def corridor_matrix(series: DataFrame, events: DataFrame, weather: DataFrame, points: DataFrame, days: DataFrame, *, order=("ts", "id")) -> DataFrame:
+    """The corridor features: seasonal statistics, calendar, yesterday's residual, the nearest event and the events of the day, and weather.
+
+    series: id, corridor, date, dow, tod, ts, minutes; events: corridor, event_id, start, capacity, event_type,
+    time_known; weather: cell, ts, precipitation, wind by weather point; points: cell, corridors that it serves;
+    days: holidays. Rows without seasonal statistics are left out.
+    """
+    from roadtide.operators.asof import nearest_event
+    from roadtide.operators.seasonal import causal_rolling, yesterday_residual
+
+    rows = yesterday_residual(causal_rolling(series, "minutes", ("corridor", "dow", "tod"), order).where("seasonal_median is not null")).withColumnRenamed("yesterday", "yday_residual")
+    today = events.groupBy("corridor", F.to_date("start").alias("date")).agg(F.count("*").alias("events_today"))
+    rows = nearest_event(rows, events, key="corridor", row_id="id", keep=("capacity", "event_type", "time_known")).join(today, ["corridor", "date"], "left")
+    # The map of points to corridors, turned round: each corridor has one point.
+    of = points.select("cell", F.explode("corridors").alias("corridor")).groupBy("corridor").agg(F.min("cell").alias("cell"))
+    rows = _context(rows.join(of, "corridor", "left"), weather, days, "cell")
+    filled = {"event_capacity": F.coalesce("capacity", F.lit(0)), "event_type": F.coalesce("event_type", F.lit("none")), "event_time_known": F.coalesce("time_known", F.lit(0)), "events_today": F.coalesce("events_today", F.lit(0))}
+    return rows.withColumns(filled).drop("capacity", "time_known", "cell", "event_id", "prev_value")
+
+
+CORRIDOR_NUMERIC = ["seasonal_median", "seasonal_sd", "tod", "dow", "month", "is_weekend", "yday_residual", "hours_since_event", "event_capacity", "event_time_known", "events_today", "precip_mm", "wind_kmh", "precip_3h"]
+CORRIDOR_CATEGORICAL = ["corridor", "holiday_class", "wx_class", "event_type"]
+NETWORK_NUMERIC = ["seasonal_speed", "seasonal_sd", "tod", "dow", "month", "is_weekend", "lanes", "seg_miles", "lat", "lon", "precip_mm", "wind_kmh", "precip_3h", "hours_since_event", "event_capacity", "event_miles"]
+NETWORK_CATEGORICAL = ["freeway", "direction", "holiday_class", "wx_class"]
+
+
+def network_matrix(rows: DataFrame, seasonal: DataFrame, stations: DataFrame, events: DataFrame, weather: DataFrame, days: DataFrame, *, row_id: str = "row_id") -> DataFrame:
+    """The network features of station rows: seasonal statistics, attributes, calendar, weather of the station's cell, and the nearest event at its venue.
+
+    rows: row_id, station, date, dow, tod, ts; stations: sensor_id, fwy, dir, lanes, length, lat, lon, cell, venue and
+    event_miles (null beyond reach); events: venue, event_id, start, capacity; weather: cell, ts, precipitation, wind.
+    Stations are a dimension that the planner broadcasts by its size.
+    """
+    from roadtide.operators.asof import nearest_event
+
+    st = stations.select(F.col("sensor_id").alias("station"), F.col("fwy").cast("string").alias("freeway"), F.col("dir").alias("direction"), "lanes", F.col("length").alias("seg_miles"), "lat", "lon", "cell", "venue", "event_miles")
+    full = rows.join(seasonal.select("station", "dow", "tod", "seasonal_speed", "seasonal_sd"), ["station", "dow", "tod"]).join(st, "station")
+    full = nearest_event(full, events, key="venue", row_id=row_id, keep=("capacity",))
+    full = _context(full, weather, days, "cell")
+    near = F.col("hours_since_event").isNotNull()
+    return full.withColumns({"event_capacity": F.coalesce("capacity", F.lit(0)), "event_miles": F.when(near, F.col("event_miles"))}).drop("capacity", "cell", "venue", "event_id")
 
 
 def learn_factor(train: DataFrame, keys, *, actual: str = "actual", base: str = "base", least: int = FACTOR_LEAST) -> DataFrame:

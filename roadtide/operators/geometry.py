@@ -16,27 +16,30 @@ M_PER_LAT = 111_320.0
 def simplify(ways: DataFrame, tolerance_m: float = 25.0) -> DataFrame:
     """way_id, points of array<struct<lat, lon>> without those that lie within the tolerance of the line left.
 
-    Each way is worked on where it lies; the stack of open stretches is explicit, so long lines do not recurse.
+    Between two points that stay, the farthest from their line stays too if it is beyond the tolerance; a round settles
+    one point in every open stretch. Each way is worked on where it lies.
     """
 
     def kept(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        # All points of a round are measured at once against the stretch of kept points that they lie in.
         x, y = lon * M_PER_LAT * np.cos(np.radians(lat[0])), lat * M_PER_LAT
         keep = np.zeros(len(lat), bool)
         keep[[0, -1]] = True
-        open_ = [(0, len(lat) - 1)]
-        while open_:
-            a, b = open_.pop()
-            if b - a < 2:
-                continue
-            dx, dy = x[b] - x[a], y[b] - y[a]
-            norm = np.hypot(dx, dy)
-            px, py = x[a + 1 : b] - x[a], y[a + 1 : b] - y[a]
-            off = np.abs(dx * py - dy * px) / norm if norm else np.hypot(px, py)
-            i = int(off.argmax())
-            if off[i] > tolerance_m:
-                keep[a + 1 + i] = True
-                open_ += [(a, a + 1 + i), (a + 1 + i, b)]
-        return keep
+        while True:
+            marks = np.flatnonzero(keep)
+            stretch = np.clip(np.searchsorted(marks, np.arange(len(lat)), side="right") - 1, 0, len(marks) - 2)
+            a, b = marks[stretch], marks[stretch + 1]
+            ux, uy = x[b] - x[a], y[b] - y[a]
+            long = np.hypot(ux, uy)
+            across = np.abs(ux * (y - y[a]) - uy * (x - x[a])) / np.where(long > 0, long, 1)
+            off = np.where(keep, 0.0, np.where(long > 0, across, np.hypot(x - x[a], y - y[a])))
+            most = np.maximum.reduceat(off, marks[:-1])
+            far = (off > tolerance_m) & (off == most[stretch])
+            if not far.any():
+                return keep
+            # Of equally far points of a stretch the first.
+            at = np.flatnonzero(far)
+            keep[at[np.unique(stretch[at], return_index=True)[1]]] = True
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

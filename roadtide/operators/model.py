@@ -12,12 +12,12 @@ from roadtide.functions.columns import MPH_MAX, MPH_MIN, mph_of_pace, pace
 from roadtide.operators.features import horizon
 
 #: How a target is made from minutes or mph and its baseline, and turned back.
-TARGETS = ("speed", "pace", "ratio")
+TARGETS = ("speed", "pace", "ratio", "minutes")
 
 
 def label(df: DataFrame, target: str, actual: str = "speed", base: str = "seasonal_speed") -> DataFrame:
     """Adds label: the speed itself, its pace, or its share of the baseline."""
-    value = {"speed": F.col(actual).cast("double"), "pace": pace(F.col(actual)), "ratio": F.try_divide(F.col(actual), F.col(base))}[target]
+    value = {"speed": F.col(actual).cast("double"), "pace": pace(F.col(actual)), "ratio": F.try_divide(F.col(actual), F.col(base)), "minutes": F.col(actual).cast("double")}[target]
     return df.withColumn("label", value).where("label is not null")
 
 
@@ -46,10 +46,11 @@ def flagged(df: DataFrame, numeric: list[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in numeric} | {f"{c}_missing": F.col(c).isNull().cast("double") for c in numeric})
 
 
-def predict(model: PipelineModel, df: DataFrame, numeric: list[str], target: str = "speed", base: str = "seasonal_speed") -> DataFrame:
-    """df with mph: the clamped prediction."""
-    out = model.transform(flagged(df, numeric))
-    return out.select(*df.columns, to_mph(F.col("prediction"), target, F.col(base) if target == "ratio" else None).alias("mph"))
+def predict(model: PipelineModel, df: DataFrame, numeric: list[str], target: str = "speed", base: str = "seasonal_speed", out: str = "mph") -> DataFrame:
+    """df with the prediction under the name `out`: mph held within its limits, or minutes as they are."""
+    done = model.transform(flagged(df, numeric))
+    value = F.col("prediction") if target == "minutes" else to_mph(F.col("prediction"), target, F.col(base) if target == "ratio" else None)
+    return done.select(*df.columns, value.alias(out))
 
 
 def importances(model: PipelineModel, spark) -> DataFrame:

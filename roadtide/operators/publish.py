@@ -39,7 +39,10 @@ def staleness(df: DataFrame, as_of, hours: float = 36.0, ts: str = "ts") -> Data
     return df.agg(F.max(ts).alias("newest"), age.alias("age_hours")).withColumn("stale", F.col("age_hours") > hours)
 
 
-def facility_counts(closures: DataFrame) -> DataFrame:
-    """total, freeway and mainline closures. Facilities of the freeway are a fixed list."""
-    freeway = ("Mainline", "On Ramp", "Off Ramp", "Connector", "Toll Bridge", "Tunnels/Tubes", "Toll Plaza")
-    return closures.agg(F.count("*").alias("total"), F.count_if(F.col("facility").isin(*freeway)).alias("freeway"), F.count_if(F.col("facility") == "Mainline").alias("mainline"))
+#: Facilities of the freeway (fixed list).
+FREEWAY = ("Mainline", "On Ramp", "Off Ramp", "Connector", "Toll Bridge", "Tunnels/Tubes", "Toll Plaza")
+
+
+def facility_counts(closures: DataFrame, *keys: str) -> DataFrame:
+    """keys, total, freeway and mainline closures."""
+    return closures.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if(F.col("facility").isin(*FREEWAY)).alias("freeway"), F.count_if(F.col("facility") == "Mainline").alias("mainline"))

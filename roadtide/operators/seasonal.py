@@ -71,9 +71,22 @@ def freeflow(seasonal: DataFrame, q: float = 0.9) -> DataFrame:
     return seasonal.groupBy("station").agg(F.percentile("seasonal_speed", q).alias("freeflow"))
 
 
-def rolling_sum(df: DataFrame, value: str, keys, order, rows: int, out: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - rows, 0)
-    return df.withColumn(out, F.sum(value).over(w))
+def rolling_sums(df: DataFrame, value: str, keys, order, sums: dict[str, int], *, day: str = "date", block: int = 4096) -> DataFrame:
+    """Adds sums of value over so many rows up to each row of its key: result column to number of rows.
+
+    order begins with a time of which `day` is the date. Rows are numbered by what the days before hold, and cut into
+    blocks; a block gets copies of the last rows of the one before, so a key of any size is spread over tasks.
+    """
+    carry = max(sums.values()) - 1
+    at = F.row_number().over(Window.partitionBy(*keys, day).orderBy(*order)) - 1
+    before = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    days = df.groupBy(*keys, day).agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    numbered = df.withColumn("__at", at).join(days, [*keys, day]).withColumn("__at", F.col("__at") + F.col("__before")).drop("__before")
+    own = F.floor(F.col("__at") / block)
+    copies = F.when(F.col("__at") % block >= block - carry, F.array(own, own + 1)).otherwise(F.array(own))
+    w = Window.partitionBy(*keys, "__block").orderBy("__at")
+    out = numbered.withColumn("__block", F.explode(copies)).withColumns({c: F.sum(value).over(w.rowsBetween(1 - n, 0)) for c, n in sums.items()})
+    return out.where(F.col("__block") == own).select(*df.columns, *sums)
 
 
 def first_per_key(df: DataFrame, keys, order) -> DataFrame:

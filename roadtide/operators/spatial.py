@@ -12,15 +12,19 @@ TOLERANCE_MI, MAX_BEARING, RADIUS_MI, MAX_STATIONS, MAX_EVENT_MI = 0.10, 65.0, 2
 CHUNK_BEARING, ASSIGN_MI, RENDER_MI, CHUNK_NEAR = 70.0, 4.0, 8.0, 14
 
 
-def in_cells(df: DataFrame, lat: str, lon: str, miles: float) -> DataFrame:
-    """Adds the grid cell (cy, cx) of sides of at least so many miles."""
-    return df.withColumns({"cy": F.floor(F.col(lat) * (MI_PER_LAT / miles)).cast("int"), "cx": F.floor(F.col(lon) * (MI_PER_LON * 0.9 / miles)).cast("int")})
+def in_cells(df: DataFrame, lat: str, lon: str, miles: float, narrow: float | None = None) -> DataFrame:
+    """Adds the grid cell (cy, cx) of sides of at least so many planar miles.
+
+    narrow: where miles are measured on the sphere instead, the least cosine of the latitudes.
+    """
+    across = MI_PER_LON if narrow is None else MI_PER_LAT * narrow
+    return df.withColumns({"cy": F.floor(F.col(lat) * (MI_PER_LAT * 0.999 / miles)).cast("long"), "cx": F.floor(F.col(lon) * (across * 0.9 / miles)).cast("long")})
 
 
-def with_neighbours(df: DataFrame, lat: str, lon: str, miles: float) -> DataFrame:
+def with_neighbours(df: DataFrame, lat: str, lon: str, miles: float, narrow: float | None = None) -> DataFrame:
     """A row for the cell of each row and each of the eight around it."""
     step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    cells = in_cells(df, lat, lon, miles)
+    cells = in_cells(df, lat, lon, miles, narrow)
     return cells.withColumn("__dy", F.explode(step)).withColumn("__dx", F.explode(step)).withColumns({"cy": F.col("cy") + F.col("__dy"), "cx": F.col("cx") + F.col("__dx")}).drop("__dy", "__dx")
 
 
@@ -48,15 +52,48 @@ def idw(links: DataFrame, *, floor_mi: float = IDW_FLOOR_MI) -> DataFrame:
     return links.withColumn("weight", raw / F.sum(raw).over(Window.partitionBy("left_id")))
 
 
+#: Rows of a dimension that every row may be held against.
+DIMENSION = 1000
+
+
 def nearest(left: DataFrame, right: DataFrame, distance) -> DataFrame:
     """The nearest row of a short list `right` (right_id, r_lat, r_lon) for each of left (left_id, lat, lon): left_id, right_id, dist.
 
-    right is a dimension of fixed size (weather cells, venues), broadcast and reduced by an aggregate.
+    right is a dimension of fixed size (venues) of DIMENSION rows at most, which is checked; longer lists are for nearest_in_grid.
     """
+    if right.limit(DIMENSION + 1).count() > DIMENSION:
+        raise ValueError(f"more than {DIMENSION} rows to choose from; use nearest_in_grid")
     pairs = left.join(F.broadcast(right)).withColumn("dist", distance)
     return pairs.groupBy("left_id").agg(F.min_by(F.struct("right_id", "dist"), F.struct("dist", "right_id")).alias("b")).select("left_id", "b.right_id", "b.dist")
 
 
+def nearest_in_grid(left: DataFrame, right: DataFrame, step: float, *, digits: int = 9) -> DataFrame:
+    """The nearest row of right (right_id, r_lat, r_lon) for each of left (left_id, lat, lon) by squared degrees: left_id, right_id, dist.
+
+    Both meet in grid cells of `step` degrees and their neighbours. What is found within a cell's width is certain; the
+    rest is asked again in cells twice as wide, so each round reads only rows that are still open.
+    Squares are rounded, so that ties go to the smaller right_id. Without rows in right the result is empty.
+    """
+    found, open_, size = None, left, step
+    spread = right.agg((F.max("r_lat") - F.min("r_lat")).alias("a"), (F.max("r_lon") - F.min("r_lon")).alias("b")).first()
+    far = left.agg((F.max(F.abs("lat")) + F.max(F.abs("lon"))).alias("m")).first().m
+    most = 0.0 if spread.a is None or far is None else spread.a + spread.b + 2 * far + 720.0
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    while True:
+        cell = lambda c, s=size: F.floor(F.col(c) / s).cast("long")
+        near = right.withColumn("dy", F.explode(around)).withColumn("dx", F.explode(around)).select("right_id", "r_lat", "r_lon", (cell("r_lat") + F.col("dy")).alias("cy"), (cell("r_lon") + F.col("dx")).alias("cx"))
+        pairs = open_.withColumns({"cy": cell("lat"), "cx": cell("lon")}).join(near, ["cy", "cx"], "left")
+        d2 = F.round(F.pow(F.col("lat") - F.col("r_lat"), 2) + F.pow(F.col("lon") - F.col("r_lon"), 2), digits)
+        best = pairs.withColumn("dist", d2).groupBy("left_id").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"), F.min_by(F.struct("right_id", "dist"), F.when(F.col("right_id").isNotNull(), F.struct("dist", "right_id"))).alias("b"))
+        sure = F.coalesce(F.col("b.dist") < size * size - 10.0**-digits, F.lit(False)) if size <= most else F.lit(True)
+        done = best.where(sure & F.col("b.right_id").isNotNull()).select("left_id", "b.right_id", "b.dist")
+        found = done if found is None else found.union(done)
+        open_ = best.where(~sure).select("left_id", "lat", "lon")
+        if size > most or open_.isEmpty():
+            return found
+        size *= 2
+
+
 def occupied_cells(points: DataFrame, step: float = 0.25) -> DataFrame:
     """Centres of the grid cells that hold a point."""
     return points.select(cell_centre(F.col("lat"), step).alias("lat"), cell_centre(F.col("lon"), step).alias("lon")).distinct()

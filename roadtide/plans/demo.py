@@ -103,7 +103,7 @@ def _ways(q: Dialect) -> tuple[str, dict[str, str]]:
         "lat": "372e-1 + (p_partkey * 523 % 1000) / 125e1",
         "lon": "-1226e-1 + (p_partkey * 769 % 1000) / 11e2",
         "miles": "(p_size + 1) / 1e1",
-        "highway": "CASE p_partkey % 4 WHEN 0 THEN 'primary' WHEN 1 THEN 'secondary' WHEN 2 THEN 'trunk' ELSE 'tertiary' END",
+        "highway": "CASE p_partkey % 6 WHEN 0 THEN 'primary' WHEN 1 THEN 'secondary' WHEN 2 THEN 'trunk' WHEN 3 THEN 'motorway' WHEN 4 THEN 'residential' ELSE 'tertiary' END",
         "tag": "CASE p_partkey % 5 WHEN 0 THEN '35 mph' WHEN 1 THEN '50' WHEN 2 THEN NULL WHEN 3 THEN 'none' ELSE '25mph' END",
     }
 

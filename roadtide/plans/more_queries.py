@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from roadtide.functions import columns as fn
-from roadtide.operators import corridor, evaluate, features, geometry, model, routing, seasonal
+from roadtide.operators import corridor, evaluate, features, geometry, routing, seasonal
 from roadtide.plans.demo import cte, frame
-from roadtide.plans.queries import _PROFILE, _ROLLED, _TRAVEL, _matched, _members, _profile, _rolled, _spans, _speeds, _vertices, query, rounded
+from roadtide.plans.queries import _ALL_DAY, _PRICED, _PROFILE, _ROLLED, _TRAVEL, _matched, _members, _profile, _rolled, _settled, _spans, _speeds, _vertices, query, rounded
 
 
 @query("P2_positive_speed", f"{cte('readings')} SELECT row_id, round(speed, 4) AS speed FROM readings WHERE speed > 0")
@@ -119,7 +119,7 @@ def _(spark, d):
     return rounded(evaluate.weighted_overall(per, ["mae"]))
 
 
-@query("A28_touched_share", f"{cte('probes', 'venue_events')}, t AS (SELECT p.row_id, p.venue, max(CASE WHEN e.event_id IS NULL THEN 0 ELSE 1 END) AS hit FROM probes p LEFT JOIN venue_events e ON e.venue = p.venue AND date_sub('second', e.start, p.ts) / 3600.0 BETWEEN -4 AND 6 GROUP BY 1, 2) SELECT venue, CAST(sum(hit) AS BIGINT) AS touched, count(*) AS rows FROM t GROUP BY venue")
+@query("A28_touched_share", f"{cte('probes', 'venue_events')}, t AS (SELECT p.row_id, p.venue, max(CASE WHEN e.event_id IS NULL THEN 0 ELSE 1 END) AS hit FROM probes p LEFT JOIN venue_events e ON e.venue = p.venue AND date_sub('microsecond', e.start, p.ts) / 3600000000.0 BETWEEN -4 AND 6 GROUP BY 1, 2) SELECT venue, CAST(sum(hit) AS BIGINT) AS touched, count(*) AS rows FROM t GROUP BY venue")
 def _(spark, d):
     from roadtide.operators import asof
 
@@ -158,7 +158,7 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.arrays_overlap(F.split(F.lower("text"), " "), F.array(*map(F.lit, ("the", "and", "der", "que")))).alias("overlaps"))
 
 
-@query("M1_corridor_features", f"""{cte('series')}, {_ROLLED}, y AS (SELECT corridor, date + 1 AS date, avg(minutes - seasonal_median) AS yesterday FROM rolled GROUP BY 1, 2)
+@query("M1_seasonal_features", f"""{cte('series')}, {_ROLLED}, y AS (SELECT corridor, date + 1 AS date, avg(minutes - seasonal_median) AS yesterday FROM rolled GROUP BY 1, 2)
 SELECT r.id, round(seasonal_median, 4) AS seasonal_median, round(seasonal_sd, 4) AS seasonal_sd, round(yesterday, 4) AS yesterday, CAST(month(r.date) AS BIGINT) AS month, isodow(r.date) >= 6 AS is_weekend, r.tod BETWEEN 420 AND 595 OR r.tod BETWEEN 900 AND 1135 AS peak
 FROM rolled r LEFT JOIN y ON r.corridor = y.corridor AND r.date = CAST(y.date AS DATE)""")
 def _(spark, d):
@@ -166,7 +166,7 @@ def _(spark, d):
     return rounded(f.select("id", "seasonal_median", "seasonal_sd", "yesterday", F.month("date").alias("month"), (F.weekday("date") >= 5).alias("is_weekend"), fn.is_peak(F.col("tod")).alias("peak")))
 
 
-@query("M2_network_features", f"""{cte('readings', 'stations')}, {_PROFILE}
+@query("M2_station_features", f"""{cte('readings', 'stations')}, {_PROFILE}
 SELECT row_id, round(seasonal_speed, 4) AS seasonal_speed, round(seasonal_sd, 4) AS seasonal_sd, CAST(lanes AS BIGINT) AS lanes, CAST(fwy AS STRING) AS fwy, dir, CAST(month(date) AS BIGINT) AS month FROM readings r JOIN profile p USING (station, dow, tod) JOIN stations s ON s.sensor_id = r.station""")
 def _(spark, d):
     st = frame(spark, d, "stations").withColumnRenamed("sensor_id", "station")
@@ -174,25 +174,6 @@ def _(spark, d):
     return rounded(rows.select("row_id", "seasonal_speed", "seasonal_sd", "lanes", F.col("fwy").cast("string").alias("fwy"), "dir", F.month("date").alias("month")))
 
 
-_NUMERIC = ["seasonal_speed", "seasonal_sd", "tod", "dow"]
-
-
-def _fitted(spark, d):
-    rows = frame(spark, d, "readings").join(_profile(spark, d), ["station", "dow", "tod"])
-    return model.fit(model.label(rows, "speed"), _NUMERIC, [], rounds=5, depth=3)
-
-
-@query("M6_forecast_table")
-def _(spark, d):
-    """Boosted trees with absolute loss fitted to all readings, and their forecast of the next seven days."""
-    return rounded(model.forecast_table(_fitted(spark, d), _profile(spark, d), "2026-08-01", 7, _NUMERIC))
-
-
-@query("A29_importances")
-def _(spark, d):
-    return rounded(model.importances(_fitted(spark, d), spark))
-
-
 @query("R14_simplified_lines")
 def _(spark, d):
     lines = _vertices(spark, d).groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lon"))).alias("p"))
@@ -207,10 +188,10 @@ def _(spark, d):
     return rounded(chunks.select("way_id", "chunk_no", fn.line_length(F.col("points")).alias("miles")))
 
 
-@query("R7_all_day_profile")
+@query("R7_all_day_profile", f"{_ALL_DAY} SELECT {_PRICED} FROM priced")
 def _(spark, d):
     routes = routing.priced_spans(_spans(spark, d), _speeds(spark, d))
-    return rounded(routing.price(routes, routing.all_day(routes)))
+    return _settled(routing.price(routes, routing.all_day(routes)))
 
 
 @query("F24_minutes_at_mile", f"""{_TRAVEL}, m AS (SELECT corridor, min(raw_minutes) AS a, max(raw_minutes) AS b, max(mi) AS mi FROM tt GROUP BY corridor) SELECT corridor, round(a + (mi / 2) / mi * (b - a), 4) AS minutes FROM m""")
@@ -220,10 +201,10 @@ def _(spark, d):
     return rounded(tt.groupBy("corridor").agg(fn.interpolated(mi / 2, F.lit(0.0), F.min("raw_minutes"), mi, F.max("raw_minutes")).alias("minutes")))
 
 
-@query("A26_route_coverage")
+@query("A26_route_coverage", f"{_ALL_DAY} SELECT CAST(route_id AS BIGINT) AS route_id, round(avg(fm / mi), 3) AS measured_share, max(n) AS stations, round(avg(total), 3) AS minutes FROM priced WHERE route_id IN (SELECT route_id FROM matched) GROUP BY route_id")
 def _(spark, d):
     priced = routing.price(routing.priced_spans(_spans(spark, d), _speeds(spark, d)), routing.all_day(_matched(spark, d).select("route_id").distinct()))
-    return rounded(priced.groupBy("route_id").agg(F.avg("measured_share").alias("measured_share"), F.max("stations").alias("stations"), F.avg("total_minutes").alias("minutes")))
+    return _settled(priced.groupBy("route_id").agg(F.avg("measured_share").alias("measured_share"), F.max("stations").alias("stations"), F.avg("total_minutes").alias("minutes")))
 
 
 @query("M3_spatial_holdout")

@@ -180,7 +180,7 @@ def _(spark, d):
 
 
 @query("F11_maxspeed", f"""{cte('ways')}, w AS (SELECT *, TRY_CAST(regexp_replace(tag, '[^0-9]', '', 'g') AS DOUBLE) AS n FROM ways)
-SELECT way_id, round(coalesce(CASE WHEN lower(tag) LIKE '%mph%' THEN n ELSE n * 0.621371 END, CASE highway WHEN 'motorway' THEN 65 WHEN 'trunk' THEN 45 WHEN 'primary' THEN 35 WHEN 'secondary' THEN 35 WHEN 'tertiary' THEN 30 END), 4) AS mph FROM w""")
+SELECT way_id, round(coalesce(CASE WHEN lower(tag) LIKE '%mph%' THEN n ELSE n * 0.621371 END, CASE highway WHEN 'motorway' THEN 65 WHEN 'trunk' THEN 45 WHEN 'primary' THEN 35 WHEN 'secondary' THEN 35 WHEN 'tertiary' THEN 30 ELSE 30 END), 4) AS mph FROM w""")
 def _(spark, d):
     return rounded(frame(spark, d, "ways").select("way_id", fn.maxspeed_mph(F.col("tag"), F.col("highway")).alias("mph")))
 
@@ -260,7 +260,7 @@ def _(spark, d):
 
 
 def _asof_sql(low: float, high: float) -> str:
-    return f"""{cte('probes', 'venue_events')}, h AS (SELECT p.row_id, e.event_id, e.title, date_sub('second', e.start, p.ts) / 3600.0 AS h FROM probes p JOIN venue_events e ON p.venue = e.venue),
+    return f"""{cte('probes', 'venue_events')}, h AS (SELECT p.row_id, e.event_id, e.title, date_sub('microsecond', e.start, p.ts) / 3600000000.0 AS h FROM probes p JOIN venue_events e ON p.venue = e.venue),
 b AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY CASE WHEN h >= 0 THEN 0 ELSE 1 END, abs(h), event_id) AS r FROM h WHERE h BETWEEN {low} AND {high})"""
 
 
@@ -270,9 +270,9 @@ def _(spark, d):
     return rounded(got.select("row_id", "event_id", "hours_since_event", "title"))
 
 
-@query("J8_hour_bucket", f"{_asof_sql(0, 6)} SELECT p.row_id, CAST(floor(b.h) AS BIGINT) AS bucket FROM probes p LEFT JOIN b ON p.row_id = b.row_id AND b.r = 1")
+@query("J8_hour_bucket", f"{_asof_sql(-4, 6)} SELECT p.row_id, CASE WHEN floor(b.h) BETWEEN -3 AND 6 THEN CAST(floor(b.h) AS BIGINT) END AS bucket FROM probes p LEFT JOIN b ON p.row_id = b.row_id AND b.r = 1")
 def _(spark, d):
-    got = asof.nearest_event(frame(spark, d, "probes"), frame(spark, d, "venue_events"), key="venue", row_id="row_id", backward_only=True)
+    got = asof.nearest_event(frame(spark, d, "probes"), frame(spark, d, "venue_events"), key="venue", row_id="row_id")
     return rounded(got.select("row_id", asof.hour_bucket(F.col("hours_since_event")).alias("bucket")))
 
 
@@ -292,8 +292,7 @@ SELECT CAST(sensor_id AS BIGINT) AS sensor_id, clat AS lat, clon AS lon FROM r W
 def _(spark, d):
     st = frame(spark, d, "stations")
     cells = spatial.occupied_cells(st).select(F.concat_ws(",", "lat", "lon").alias("right_id"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    d2 = F.round(F.pow(F.col("lat") - F.col("r_lat"), 2) + F.pow(F.col("lon") - F.col("r_lon"), 2), 9)
-    got = spatial.nearest(st.select(F.col("sensor_id").alias("left_id"), "lat", "lon"), cells, d2)
+    got = spatial.nearest_in_grid(st.select(F.col("sensor_id").alias("left_id"), "lat", "lon"), cells, 0.25)
     at = F.split("right_id", ",")
     return got.select(F.col("left_id").cast("bigint").alias("sensor_id"), at[0].cast("double").alias("lat"), at[1].cast("double").alias("lon"))
 
@@ -324,10 +323,11 @@ def _(spark, d):
 
 
 @query("J20_aligned_measures", f"""{cte('stations', 'readings')}, {_CORRIDORS}, {_MEMBERS}, total AS (SELECT slug, sum(length) AS t FROM members GROUP BY slug)
-SELECT m.slug AS corridor, ts, round(sum(length / speed * 60) * max(t) / sum(length), 4) AS actual_minutes, round(sum(length / base * 60) * max(t) / sum(length), 4) AS base_minutes, round(sum(length / pred * 60) * max(t) / sum(length), 4) AS pred_minutes, round(sum(length) / max(t), 4) AS coverage
+SELECT m.slug AS corridor, ts, round(round(sum(length / speed * 60) * max(t) / sum(length), 9), 4) AS actual_minutes, round(round(sum(length / base * 60) * max(t) / sum(length), 9), 4) AS base_minutes, round(round(sum(length / pred * 60) * max(t) / sum(length), 9), 4) AS pred_minutes, round(sum(length) / max(t), 4) AS coverage
 FROM readings JOIN members m ON station = sensor_id JOIN total ON total.slug = m.slug WHERE speed > 0 GROUP BY 1, 2""")
 def _(spark, d):
-    return rounded(corridor.compose(frame(spark, d, "readings"), _members(spark, d), {"actual_minutes": "speed", "base_minutes": "base", "pred_minutes": "pred"}, weight="length"))
+    """Sums in another order differ in the last bits, so they are rounded to nine digits first, which settles ties."""
+    return rounded(rounded(corridor.compose(frame(spark, d, "readings"), _members(spark, d), {"actual_minutes": "speed", "base_minutes": "base", "pred_minutes": "pred"}, weight="length"), 9))
 
 
 @query("A17_relative_coverage", f"""{_TRAVEL}, c AS (SELECT corridor, ts, mi / total_mi AS coverage FROM tt), t AS (SELECT corridor, quantile_cont(coverage, 0.5) AS typical FROM c GROUP BY corridor)
@@ -411,8 +411,8 @@ def _(spark, d):
 
 @query("W5_rolling_rain", f"{cte('series')} SELECT id, round(sum(precip) OVER (PARTITION BY corridor ORDER BY ts, id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS rain3, round(sum(precip) OVER (PARTITION BY corridor ORDER BY ts, id ROWS BETWEEN 35 PRECEDING AND CURRENT ROW), 4) AS rain36 FROM series")
 def _(spark, d):
-    s = seasonal.rolling_sum(frame(spark, d, "series"), "precip", ("corridor",), ("ts", "id"), 3, "rain3")
-    return rounded(seasonal.rolling_sum(s, "precip", ("corridor",), ("ts", "id"), 36, "rain36").select("id", "rain3", "rain36"))
+    s = seasonal.rolling_sums(frame(spark, d, "series"), "precip", ("corridor",), ("ts", "id"), {"rain3": 3, "rain36": 36})
+    return rounded(s.select("id", "rain3", "rain36"))
 
 
 _W = "OVER (PARTITION BY fwy, dir ORDER BY abs_pm, sensor_id)"
@@ -498,11 +498,26 @@ def _speeds(spark, d):
     return routing.slot_speeds(fc)
 
 
-_PRICE = f"""{_SPANS.replace('WITH ', 'WITH RECURSIVE ', 1)}, fc AS (SELECT station, tod // 15 AS slot, round(avg(speed), 3) AS mph FROM readings GROUP BY 1, 2),
-sp AS (SELECT route_id, span_no, kind, e - s AS miles, sensor_id FROM spans), dep AS (SELECT route_id, i * 60 AS depart FROM routes, range(6, 20) t(i)),
-fold AS (SELECT d.route_id, d.depart, CAST(-1 AS BIGINT) AS span_no, CAST(d.depart AS DOUBLE) AS t, CAST(0 AS DOUBLE) AS fw FROM dep d
-  UNION ALL SELECT f.route_id, f.depart, x.span_no, f.t + x.miles / greatest(coalesce(fc.mph, 30), 5) * 60, f.fw + CASE WHEN fc.mph IS NULL THEN 0 ELSE x.miles / greatest(fc.mph, 5) * 60 END
-  FROM fold f JOIN sp x ON x.route_id = f.route_id AND x.span_no = f.span_no + 1 LEFT JOIN fc ON x.kind = 'freeway' AND fc.station = x.sensor_id AND fc.slot = least(CAST(floor(f.t / 15) AS BIGINT), 95))"""
+def _price_sql(departures: str) -> str:
+    """The fold over a route's spans, one by one: minutes, freeway minutes and miles, and stations so far."""
+    return f"""{_SPANS.replace('WITH ', 'WITH RECURSIVE ', 1)}, fc AS (SELECT station, tod // 15 AS slot, round(avg(speed), 3) AS mph FROM readings GROUP BY 1, 2),
+sp AS (SELECT route_id, span_no, kind, e - s AS miles, sensor_id FROM spans), dep AS (SELECT route_id, depart FROM routes, ({departures}) t(depart)),
+fold AS (SELECT d.route_id, d.depart, CAST(-1 AS BIGINT) AS span_no, CAST(d.depart AS DOUBLE) AS t, CAST(0 AS DOUBLE) AS fw, CAST(0 AS DOUBLE) AS fm, CAST(0 AS BIGINT) AS n FROM dep d
+  UNION ALL SELECT f.route_id, f.depart, x.span_no, f.t + x.miles / greatest(coalesce(fc.mph, 30), 5) * 60, f.fw + CASE WHEN fc.mph IS NULL THEN 0 ELSE x.miles / greatest(fc.mph, 5) * 60 END,
+    f.fm + CASE WHEN fc.mph IS NULL THEN 0 ELSE x.miles END, f.n + CASE WHEN fc.mph IS NULL THEN 0 ELSE 1 END
+  FROM fold f JOIN sp x ON x.route_id = f.route_id AND x.span_no = f.span_no + 1 LEFT JOIN fc ON x.kind = 'freeway' AND fc.station = x.sensor_id AND fc.slot = least(CAST(floor(f.t / 15) AS BIGINT), 95)),
+mi AS (SELECT route_id, sum(miles) AS mi FROM sp GROUP BY route_id),
+priced AS (SELECT f.route_id, depart, max_by(t, span_no) - depart AS total, max_by(fw, span_no) AS fw, max_by(fm, span_no) AS fm, max_by(n, span_no) AS n, max(mi) AS mi FROM fold f JOIN mi ON mi.route_id = f.route_id GROUP BY 1, 2)"""
+
+
+_PRICE = _price_sql("SELECT i * 60 FROM range(6, 20) t(i)")
+_ALL_DAY = _price_sql("SELECT i * 15 FROM range(0, 96) t(i)")
+_PRICED = "CAST(route_id AS BIGINT) AS route_id, CAST(depart AS BIGINT) AS depart, round(total, 3) AS total_minutes, round(fw, 3) AS freeway_minutes, round(round(total - fw, 9), 3) AS surface_minutes, round(fm, 3) AS freeway_mi, round(round(mi - fm, 9), 3) AS surface_mi, n AS stations, round(fm / mi, 3) AS measured_share"
+
+
+def _settled(df, digits=3):
+    """Rounded twice, so that sums in another order give the same digits."""
+    return rounded(rounded(df, 9), digits)
 
 
 @query("R4_price_routes", f"{_PRICE} SELECT CAST(route_id AS BIGINT) AS route_id, CAST(depart AS BIGINT) AS depart, round(max_by(t, span_no) - depart, 3) AS total_minutes, round(max_by(fw, span_no), 3) AS freeway_minutes FROM fold GROUP BY route_id, depart")
@@ -512,17 +527,17 @@ def _(spark, d):
     return rounded(routing.price(routes, departures).select("route_id", "depart", "total_minutes", "freeway_minutes"), 3)
 
 
-@query("R6_band")
+@query("R6_band", f"{_ALL_DAY}, b AS (SELECT *, fm * 60 * 8 / 2500 AS sd, fm * 60 * 8 / 2500 * (1 + (total - fw) / nullif(fw, 0)) AS spread FROM priced) SELECT {_PRICED}, round(sd, 3) AS minutes_sd, CASE WHEN fw > 0 THEN round(total + 0.4 * spread, 3) END AS slow_minutes, CASE WHEN fw > 0 THEN round(greatest(total - 0.25 * spread, 1), 3) END AS fast_minutes FROM b")
 def _(spark, d):
     routes = routing.priced_spans(_spans(spark, d), _speeds(spark, d))
     priced = routing.price(routes, routing.all_day(routes)).withColumn("minutes_sd", routing.minutes_sd(F.col("freeway_mi"), F.lit(50.0), F.lit(8.0)))
-    return rounded(routing.band(priced))
+    return _settled(routing.band(priced))
 
 
-@query("R8_arrive_by")
+@query("R8_arrive_by", f"{_ALL_DAY}, l AS (SELECT p.route_id, deadline, max(depart) AS depart, max_by(total, depart) AS total FROM priced p, (VALUES (540), (1080)) t(deadline) WHERE depart + total <= deadline AND depart <= deadline GROUP BY 1, 2) SELECT CAST(route_id AS BIGINT) AS route_id, CAST(deadline AS BIGINT) AS deadline, CAST(depart AS BIGINT) AS depart, round(depart + total, 3) AS arrive, round(total, 3) AS minutes, round(deadline - (depart + total), 3) AS slack_minutes FROM l")
 def _(spark, d):
     routes = routing.priced_spans(_spans(spark, d), _speeds(spark, d))
-    return rounded(routing.arrive_by(routes, routes.select("route_id", F.explode(F.array(F.lit(540), F.lit(1080))).alias("deadline"))))
+    return _settled(routing.arrive_by(routes, routes.select("route_id", F.explode(F.array(F.lit(540), F.lit(1080))).alias("deadline"))))
 
 
 @query("R9_surface_minutes", f"""{_KNN.replace("WITH ways AS", cte("readings") + ", ways AS", 1)}, st AS (SELECT station, least(greatest(avg(speed) / 60, 0.15), 1.05) AS ratio FROM readings GROUP BY station),
@@ -535,7 +550,11 @@ def _(spark, d):
     return rounded(routing.surface_minutes(ways, routing.way_links(ways, frame(spark, d, "stations")), state))
 
 
-@query("J13_chunk_governor")
+@query("J13_chunk_governor", f"""{cte('stations', 'ways')}, n AS (SELECT sensor_id, lat, lon, dir, coalesce(lag(lat) {_W}, lat) AS la1, coalesce(lag(lon) {_W}, lon) AS lo1, coalesce(lead(lat) {_W}, lat) AS la2, coalesce(lead(lon) {_W}, lon) AS lo2 FROM stations),
+b AS (SELECT sensor_id, lat, lon, CASE WHEN la1 = la2 AND lo1 = lo2 THEN CASE dir WHEN 'N' THEN 0 WHEN 'E' THEN 90 WHEN 'S' THEN 180 ELSE 270 END WHEN dir IN ('S', 'W') THEN ({_BEARING} + 900) % 360 ELSE ({_BEARING} + 720) % 360 END AS bearing FROM n),
+k AS (SELECT way_id, sensor_id, bearing, way_id * 37 % 360 AS heading, sqrt(pow((b.lat - w.lat) * 69, 2) + pow((b.lon - w.lon) * 54.6, 2)) AS dist FROM ways w, b),
+r AS (SELECT *, dist <= 4 AND least(abs(heading - bearing), 360 - abs(heading - bearing)) <= 70 AS fits, row_number() OVER (PARTITION BY way_id ORDER BY dist, sensor_id) AS rank FROM k WHERE dist <= 8)
+SELECT way_id AS chunk_id, CAST(min_by(sensor_id, dist) FILTER (WHERE fits) AS BIGINT) AS sensor_id, round(min(dist), 4) AS nearest_mi FROM r WHERE rank <= 14 GROUP BY way_id""")
 def _(spark, d):
     chunks = frame(spark, d, "ways").select(F.col("way_id").alias("chunk_id"), "lat", "lon", F.pmod(F.col("way_id") * 37, F.lit(360)).cast("double").alias("heading"))
     return rounded(spatial.govern_chunks(chunks, spatial.station_bearings(frame(spark, d, "stations"))))
@@ -548,7 +567,10 @@ def _(spark, d):
     return rounded(asof.nearest_slot(s.select("id", "tod"), hours, id_col="id", minutes="tod", slot="slot"))
 
 
-@query("J22_events_on_drive")
+@query("J22_events_on_drive", f"""{cte('venue_events', 'ways')}, e AS (SELECT event_id, start, 372e-1 + (event_id * 37 % 100) / 125.0 AS elat, -1226e-1 + (event_id * 53 % 100) / 110.0 AS elon FROM venue_events),
+dr AS (SELECT way_id, lat, lon, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(way_id * 97 % 43200 AS BIGINT)) AS depart FROM ways),
+m AS (SELECT way_id, event_id, sqrt(pow((elat - lat) * 69, 2) + pow((elon - lon) * 69 * cos(radians(lat)), 2)) AS miles FROM dr JOIN e ON depart + INTERVAL 1 HOUR >= start - INTERVAL 3 HOUR AND depart <= start + INTERVAL 6 HOUR),
+r AS (SELECT *, row_number() OVER (PARTITION BY way_id ORDER BY miles, event_id) AS rank FROM m WHERE miles <= 12) SELECT way_id AS drive_id, event_id, round(miles, 4) AS miles, rank FROM r WHERE rank <= 2""")
 def _(spark, d):
     ev = frame(spark, d, "venue_events").select("event_id", "start", (F.lit(37.2) + (F.col("event_id") * 37 % 100) / 125.0).alias("lat"), (F.lit(-122.6) + (F.col("event_id") * 53 % 100) / 110.0).alias("lon"))
     drives = frame(spark, d, "ways").select(F.col("way_id").alias("drive_id"), "lat", "lon", (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("way_id") * 97 % 43200).cast("int"))).alias("depart"))
@@ -570,12 +592,6 @@ def _(spark, d):
     return features.unseen_values(frame(spark, d, "probes"), frame(spark, d, "venue_events").where("value > 485"), "venue")
 
 
-@query("F3_holiday_class")
-def _(spark, d):
-    s = frame(spark, d, "series")
-    return features.holiday_class(s.select("id", "date"), features.holidays(spark, 1991, 1999))
-
-
 @query("J4_weather", f"""{cte('series', 'probes')}, w AS (SELECT corridor AS cell, date_trunc('hour', ts) AS h, ts, id, precip FROM series), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cell, h ORDER BY ts, precip NULLS FIRST) AS k FROM w) WHERE k = 1),
 g AS (SELECT *, sum(precip) OVER (PARTITION BY cell ORDER BY h ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS rain FROM f)
 SELECT s.id, round(g.rain, 4) AS rain, CASE WHEN g.precip IS NULL THEN 'unknown' WHEN g.precip >= 2.5 THEN 'rain_heavy' WHEN g.precip >= 0.2 THEN 'rain_light' ELSE 'dry' END AS rain_class FROM series s LEFT JOIN g ON g.cell = s.corridor AND g.h = date_trunc('hour', s.ts)""")
@@ -622,14 +638,14 @@ def _(spark, d):
     return events.json_ld_events(spark.read.parquet(f"{d}/pages.parquet"))
 
 
-@query("X2_folded_titles")
+@query("X2_folded_titles", r"SELECT doc_id, left(regexp_replace(lower(strip_accents(text)), '[^\p{L}\p{N}]', '', 'g'), 40) AS key FROM documents")
 def _(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", events.folded("text").alias("key"))
 
 
-@query("S11_day_payload")
+@query("S11_day_payload", f"""{cte('readings')} SELECT CAST(station AS BIGINT) AS corridor, date, '[' || string_agg('{{"tod":' || tod || ',"pred":' || p || ',"typical":' || t || '}}', ',' ORDER BY tod, p, t) || ']' AS payload FROM (SELECT station, date, tod, round(pred, 1)::DOUBLE AS p, round(base, 1)::DOUBLE AS t FROM readings) GROUP BY 1, 2""")
 def _(spark, d):
-    return publish.day_payload(frame(spark, d, "readings").select(F.col("station").alias("corridor"), "date", "tod", "pred", F.col("base").alias("typical")))
+    return publish.day_payload(frame(spark, d, "readings").select(F.col("station").cast("bigint").alias("corridor"), "date", "tod", "pred", F.col("base").alias("typical")))
 
 
 @query("T2_mergeable_profile", f"{cte('readings')} SELECT CAST(station AS BIGINT) AS station, CAST(dow AS BIGINT) AS dow, CAST(tod AS BIGINT) AS tod, count(*) AS n, round(avg(speed), 4) AS seasonal_speed, round(stddev_pop(speed), 3) AS sd FROM readings GROUP BY 1, 2, 3 HAVING count(*) >= 4")

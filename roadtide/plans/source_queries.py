@@ -6,14 +6,18 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from roadtide.functions import columns as fn
-from roadtide.operators import asof, corridor, evaluate, events, publish, routing, seasonal, spatial
+from roadtide.operators import asof, corridor, events, publish, routing, spatial
 from roadtide.plans.demo import cte, frame
-from roadtide.plans.queries import _PRICE, _W, _matched, _members, _profile, _spans, _speeds, query, rounded
+from roadtide.plans.queries import _ALL_DAY, _PRICE, _W, _matched, _members, _profile, _settled, _spans, _speeds, query, rounded
 from roadtide.session import scratch_dir
 from roadtide.sources import readers
 from roadtide.streaming import ingest
 
 
+#: Payloads that a day's events are dealt to, as a service sends them in pages.
+SNAPSHOTS = 64
+
+
 @query("S1_positional_csv", f"{cte('readings', 'stations')} SELECT CAST(station AS BIGINT) AS station, ts, round(speed, 4) AS speed, round(pct_observed, 4)::DOUBLE AS pct_observed FROM readings JOIN stations ON station = sensor_id WHERE type IN ('ML', 'HV') AND pct_observed >= 20")
 def _(spark, d):
     path = scratch_dir(spark)
@@ -36,7 +40,7 @@ def _(spark, d):
 def _(spark, d):
     """Days written one partition each, replaced once more, and read over a range that prunes partitions."""
     path = scratch_dir(spark)
-    days = frame(spark, d, "series").where("date between '1995-12-15' and '1996-02-15'").select("date", "tod", "minutes")
+    days = frame(spark, d, "series").select("date", "tod", "minutes")
     readers.write_days(days, path)
     readers.write_days(days.where("date = '1996-01-05'"), path)
     return readers.day_readings(spark, path, "1996-01-01", "1996-01-31").groupBy("date").agg(F.count("*").alias("n"), F.round(F.sum("minutes"), 2).alias("minutes"))
@@ -63,17 +67,16 @@ def _(spark, d):
     """A day's events as a nested closure snapshot, unwrapped by structure and counted by facility."""
     facility = F.when(F.col("event_id") % 3 == 0, "Mainline").when(F.col("event_id") % 3 == 1, "On Ramp").otherwise("Surface Street")
     one = F.struct(F.struct(F.struct(facility.alias("facility")).alias("closure"), "event_id").alias("lcs"))
-    snaps = frame(spark, d, "venue_events").groupBy(F.to_date("start").alias("day")).agg(F.to_json(F.struct(F.collect_list(one).alias("data"))).alias("payload"))
+    snaps = frame(spark, d, "venue_events").groupBy(F.to_date("start").alias("day"), F.pmod(F.xxhash64("event_id"), F.lit(SNAPSHOTS)).alias("part")).agg(F.to_json(F.struct(F.collect_list(one).alias("data"))).alias("payload"))
     c = readers.closures(snaps)
-    freeway = F.col("facility").isin("Mainline", "On Ramp", "Off Ramp", "Connector", "Toll Bridge", "Tunnels/Tubes", "Toll Plaza")
-    return c.groupBy("day").agg(F.count("*").alias("total"), F.count_if(freeway).alias("freeway"), F.count_if(F.col("facility") == "Mainline").alias("mainline"))
+    return publish.facility_counts(c, "day")
 
 
 @query("S16_league_games", f"{cte('venue_events')} SELECT venue, strftime(start, '%Y-%m-%dT%H:%M:%S') AS start, title FROM venue_events WHERE venue = 'v3'")
 def _(spark, d):
     """Events as nested schedules, dates[].games[], of which the home games of one venue are kept."""
     game = F.struct(F.date_format("start", "yyyy-MM-dd'T'HH:mm:ss").alias("start"), "venue", "title")
-    days = frame(spark, d, "venue_events").groupBy(F.to_date("start").alias("day")).agg(F.collect_list(game).alias("games"))
+    days = frame(spark, d, "venue_events").groupBy(F.to_date("start").alias("day"), F.pmod(F.xxhash64("event_id"), F.lit(SNAPSHOTS)).alias("part")).agg(F.collect_list(game).alias("games"))
     return events.flatten_games(days.select(F.array(F.struct("games")).alias("dates")), "V3").select("venue", "start", "title")
 
 
@@ -105,15 +108,6 @@ def _(spark, d):
     return rounded(_spans(spark, d).select("route_id", "span_no", "kind", (F.col("end_mi") - F.col("start_mi")).alias("miles"), "sensor_id"))
 
 
-@query("A12_six_slices", f"""{cte('series')}, p AS (SELECT *, abs(minutes - 25) AS err FROM series), q AS (SELECT quantile_cont(err, 0.95) AS cut FROM p),
-s AS (SELECT p.*, unnest(list_filter(['all', CASE WHEN tod BETWEEN 420 AND 595 OR tod BETWEEN 900 AND 1135 THEN 'peak' END, CASE WHEN precip >= 0.2 THEN 'rain' END, CASE WHEN imputed_day THEN 'imputed' END, CASE WHEN dow >= 5 THEN 'weekend' END, CASE WHEN err > cut THEN 'worst' END], lambda v: v IS NOT NULL)) AS slice FROM p, q)
-SELECT slice, count(*) AS n, round(avg(err), 4) AS mae_baseline FROM s GROUP BY slice""")
-def _(spark, d):
-    rows = evaluate.worst(frame(spark, d, "series").withColumn("guess", F.lit(25.0)), "minutes", "guess")
-    slices = {"peak": fn.is_peak(F.col("tod")), "rain": F.col("precip") >= fn.RAIN_LIGHT, "imputed": F.col("imputed_day"), "weekend": F.col("dow") >= 5, "worst": F.col("is_worst")}
-    return rounded(evaluate.slice_report(rows, "minutes", "guess", {}, slices))
-
-
 @query("A16_route_composition", f"""{cte('stations', 'readings')}, s AS (SELECT *, coalesce(lead(abs_pm) {_W} - abs_pm, abs_pm - lag(abs_pm) {_W}, length, 0.5) AS spacing FROM stations), m AS (SELECT concat('c', CAST(fwy AS STRING), dir) AS slug, sensor_id, spacing FROM s WHERE type = 'ML'),
 t AS (SELECT slug, sum(spacing) AS total FROM m GROUP BY slug)
 SELECT m.slug AS corridor, ts, round(sum(spacing / speed * 60) * max(total) / sum(spacing), 3) AS minutes, round(sum(spacing) / max(total), 4) AS coverage FROM readings JOIN m ON station = sensor_id JOIN t ON t.slug = m.slug WHERE speed > 0 AND spacing > 0 GROUP BY 1, 2""")
@@ -152,17 +146,7 @@ def _(spark, d):
     return dense.join(tt.groupBy("corridor").agg(F.round(F.avg("coverage") * 100, 1).alias("coverage_pct")), "corridor")
 
 
-@query("M12_day_ahead")
-def _(spark, d):
-    """Each corridor's next day: the latest eight of each slot, the last day's residual, and the worst morning slot."""
-    s = frame(spark, d, "series")
-    typical = seasonal.last_n(s, "minutes", ("corridor", "dow", "tod"), ("ts", "id"))
-    rolled = seasonal.causal_rolling(s, "minutes", ("corridor", "dow", "tod"), ("ts", "id"))
-    pred = typical.join(seasonal.latest_residual(rolled), "corridor").withColumns({"pred": F.col("median") + 0.5 * F.col("residual"), "typical": F.col("median")})
-    return rounded(publish.peak_summary(pred, 420, 600, keys=("corridor", "dow")))
-
-
-@query("M14_event_labels", f"""{cte('probes', 'venue_events')}, h AS (SELECT p.row_id, p.ts, e.event_id, e.start, e.title, p.venue, date_sub('second', e.start, p.ts) / 3600.0 AS h FROM probes p JOIN venue_events e ON p.venue = e.venue),
+@query("M14_event_labels", f"""{cte('probes', 'venue_events')}, h AS (SELECT p.row_id, p.ts, e.event_id, e.start, e.title, p.venue, date_sub('microsecond', e.start, p.ts) / 3600000000.0 AS h FROM probes p JOIN venue_events e ON p.venue = e.venue),
 b AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY CASE WHEN h >= 0 THEN 0 ELSE 1 END, abs(h), event_id) AS r FROM h WHERE h BETWEEN -4 AND 6)
 SELECT p.row_id, CASE WHEN CAST(b.start AS DATE) = CAST(p.ts AS DATE) THEN concat(p.venue, ': ', b.title) END AS label FROM probes p LEFT JOIN b ON b.row_id = p.row_id AND b.r = 1""")
 def _(spark, d):
@@ -170,11 +154,11 @@ def _(spark, d):
     return got.select("row_id", F.when(F.to_date("start") == F.to_date("ts"), F.concat_ws(": ", "venue", "title")).alias("label"))
 
 
-@query("O8_latest_departure")
+@query("O8_latest_departure", f"{_ALL_DAY}, l AS (SELECT p.route_id, deadline, max(depart) AS depart, max_by(total, depart) AS total FROM priced p, (SELECT DISTINCT route_id AS r, 1020 AS deadline FROM matched) t WHERE depart + total <= deadline AND depart <= deadline GROUP BY 1, 2) SELECT CAST(route_id AS BIGINT) AS route_id, CAST(deadline AS BIGINT) AS deadline, CAST(depart AS BIGINT) AS depart, round(depart + total, 3) AS arrive, round(total, 3) AS minutes, round(deadline - (depart + total), 3) AS slack_minutes FROM l".replace("depart <= deadline GROUP", "depart <= deadline AND r = p.route_id GROUP"))
 def _(spark, d):
     routes = routing.priced_spans(_spans(spark, d), _speeds(spark, d))
     asked = _matched(spark, d).select("route_id").distinct().withColumn("deadline", F.lit(1020))
-    return rounded(routing.arrive_by(routes, asked))
+    return _settled(routing.arrive_by(routes, asked))
 
 
 @query("W7_neighbour_order", f"{cte('stations')} SELECT CAST(sensor_id AS BIGINT) AS sensor_id, CAST(coalesce(lag(sensor_id) {_W}, sensor_id) AS BIGINT) AS before, CAST(coalesce(lead(sensor_id) {_W}, sensor_id) AS BIGINT) AS after FROM stations")

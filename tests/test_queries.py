@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadtide.operators import routing
-from roadtide.plans import more_queries, source_queries  # noqa: F401  register their queries
+from roadtide.plans import forecast_queries, more_queries, source_queries  # noqa: F401  register their queries
 from roadtide.plans import queries as q
 from tests.conftest import TESTDATA
 from tests.oracle import oracle_rows, rows_of
