@@ -7,11 +7,11 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from roadtide.functions.columns import bare_title, embedded_time, is_cancelled, is_non_event, plausible_time
+from roadtide.functions.columns import bare_title, clean_title, embedded_time, is_cancelled, is_non_event, plausible_time, to_local
 
 
 @F.pandas_udf(StringType())
@@ -90,8 +90,17 @@ def merge_league(events: DataFrame, games: DataFrame) -> DataFrame:
     return filled.unionByName(missing.select("venue", "g.title", "g.start", F.col("g.start").contains("T").alias("has_time"), F.lit("league").alias("time_source")))
 
 
+# Tokens of calendar pages, and words that say nothing about a venue.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+MONTH_TOKEN = "(?i)^(" + "|".join(MONTHS) + r")[a-z]*\.?$"
+DAY_TOKEN, YEAR_TOKEN, TIME_TOKEN, STRAY_TOKEN = r"^\d{1,2}$", r"^,?\s*(20\d{2})$", r"(?i)^(\d{1,2}):(\d{2})\s*(am|pm)$", r"^[\d\s,.\-]+$"
+STOP_TOKEN = r"(?i)^(buy tickets|tickets|details|more info|event starts|buy|info|group tickets|learn more|sold out|on sale.*)$"
+PLAIN_WORDS = ("stadium", "center", "centre", "arena", "park", "amphitheatre")
+TITLE_PARTS, LEAST_STRUCTURED = 6, 3
+
+
 def json_ld_events(pages: DataFrame) -> DataFrame:
-    """Events in the JSON-LD blocks of archived pages: page_id, start, title, location, has_time. One row per page, start and title.
+    """Events in the JSON-LD blocks of archived pages: page_id, start, title, location, has_time. One row per page, start, title and location.
 
     Pages are parsed where they lie; a broken block is passed over.
     """
@@ -101,7 +110,7 @@ def json_ld_events(pages: DataFrame) -> DataFrame:
             for x in node:
                 yield from flat(x)
         elif isinstance(node, dict):
-            if "startDate" in node and "Event" in str(node.get("@type", "")):
+            if node.get("startDate") and "Event" in str(node.get("@type", "")):
                 yield node
             for v in node.values():
                 if isinstance(v, (dict, list)):
@@ -109,7 +118,7 @@ def json_ld_events(pages: DataFrame) -> DataFrame:
 
     def place(x):
         if isinstance(x, dict):
-            return " ".join(p for p in (place(x.get(k)) for k in ("name", "address", "addressLocality")) if p)
+            return " ".join(p for p in (place(x.get(k)) for k in ("name", "address", "streetAddress", "addressLocality", "addressRegion")) if p)
         return " ".join(map(place, x)) if isinstance(x, list) else str(x or "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,24 +131,75 @@ def json_ld_events(pages: DataFrame) -> DataFrame:
                 for text in block.findall(html or ""):
                     try:
                         found = list(flat(json.loads(text)))
-                    except ValueError:
+                    except (ValueError, RecursionError):
                         continue
                     for e in found:
-                        start, title = str(e["startDate"]), str(e.get("name") or "").strip()
-                        if title:
-                            out.add((page, start, title, place(e.get("location")), "T" in start))
+                        start = str(e["startDate"])
+                        out.add((page, start, str(e.get("name") or "").strip(), place(e.get("location")), "T" in start))
             yield pd.DataFrame(sorted(out), columns=["page_id", "start", "title", "location", "has_time"])
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, start string, title string, location string, has_time boolean")
 
 
+def text_events(pages: DataFrame) -> DataFrame:
+    """Events in the visible texts of pages: page_id, start, title, has_time, pos. pages: page_id, html, year (where a date has none).
+
+    A month cuts the texts into stretches. A stretch whose second text is a day is an entry: an optional year, then a
+    title of at most TITLE_PARTS texts up to a stop text, with clock times and stray numbers taken out.
+    """
+    w = Window.partitionBy("page_id").orderBy("pos")
+    cut = page_texts(pages).withColumn("entry", F.sum(F.col("token").rlike(MONTH_TOKEN).cast("int")).over(w)).where("entry > 0")
+    entries = cut.groupBy("page_id", "entry").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("x")).join(pages.select("page_id", "year"), "page_id")
+    texts = entries.select("page_id", "year", F.col("x")[0]["pos"].alias("pos"), F.transform("x", lambda t: t["token"]).alias("t")).where(F.get("t", F.lit(1)).rlike(DAY_TOKEN))
+    dated = F.coalesce(F.get("t", F.lit(2)).rlike(YEAR_TOKEN), F.lit(False))
+    kind = lambda t: F.when(t.rlike(TIME_TOKEN), "time").when(t.rlike(STOP_TOKEN), "stop").when(t.rlike(STRAY_TOKEN), "stray").otherwise("title")
+    rest = F.slice("t", F.when(dated, 4).otherwise(3), F.size("t"))
+    df = texts.withColumns({"dated": dated, "rest": F.transform(rest, lambda t, i: F.struct(i.alias("i"), t.alias("t"), kind(t).alias("k")))})
+    titles = F.filter("rest", lambda r: r["k"] == "title")
+    df = df.withColumn("titles", titles).where(F.size("titles") > 0)
+    stop = F.filter("rest", lambda r: (r["k"] == "stop") & (r["i"] > F.col("titles")[0]["i"]))
+    sixth = F.get("titles", F.lit(TITLE_PARTS - 1))["i"] + 1
+    df = df.withColumn("end", F.least(F.coalesce(F.get(stop, F.lit(0))["i"], F.size("rest")), F.coalesce(sixth, F.size("rest"))))
+    inside = lambda k: F.transform(F.filter("rest", lambda r: (r["k"] == k) & (r["i"] < F.col("end"))), lambda r: r["t"])
+    time = F.try_element_at(inside("time"), F.lit(-1))
+    part = lambda n: F.regexp_extract(time, TIME_TOKEN, n)
+    hour = part(1).try_cast("int") % 12 + F.when(F.lower(part(3)) == "pm", 12).otherwise(0)
+    month = F.array_position(F.lit(list(MONTHS)), F.lower(F.left(F.col("t")[0], F.lit(3))))
+    year = F.when(F.col("dated"), F.regexp_extract(F.col("t")[2], YEAR_TOKEN, 1).try_cast("int")).otherwise(F.col("year"))
+    day = F.format_string("%04d-%02d-%02d", year, month.cast("int"), F.col("t")[1].cast("int"))
+    start = F.when(time.isNull(), day).otherwise(F.concat(day, F.format_string("T%02d:%02d:00", hour, part(2).try_cast("int"))))
+    out = df.select("page_id", start.alias("start"), F.array_join(inside("title"), " - ").alias("title"), time.isNotNull().alias("has_time"), "pos")
+    return out.where(F.try_to_timestamp(F.replace("start", F.lit("T"), F.lit(" "))).isNotNull())
+
+
+def page_events(pages: DataFrame) -> DataFrame:
+    """Events of archived calendar pages: page_id, start (local), title, has_time, by JSON-LD or, where that has fewer than LEAST_STRUCTURED, by the visible texts.
+
+    pages: page_id, html, year, venue_name. A structured event whose location shares no telling word with the venue's
+    name is played elsewhere and left out. Of events of a page that agree in start (to the minute) and title (60
+    characters, cases aside) the first stays.
+    """
+    split = lambda c: F.split(F.lower(c), r"\W+")
+    telling = F.filter(split(F.coalesce("venue_name", F.lit(""))), lambda x: (F.length(x) > 3) & ~x.isin(*PLAIN_WORDS))
+    named = pages.select("page_id", telling.alias("words"))
+    away = (F.col("location") != "") & (F.size("words") > 0) & ~F.arrays_overlap(split(F.col("location")), F.col("words"))
+    structured = json_ld_events(pages).join(named, "page_id").where(~away).select("page_id", "start", "title", "has_time", F.lit(0).alias("pos"))
+    enough = structured.groupBy("page_id").count().where(F.col("count") >= LEAST_STRUCTURED).select("page_id")
+    found = structured.join(enough, "page_id", "left_semi").unionByName(text_events(pages.join(enough, "page_id", "left_anti")))
+    local = to_local(F.col("start"))
+    clean = found.select("page_id", local.alias("start"), F.left(clean_title(F.col("title")), F.lit(200)).alias("title"), "pos", (F.col("has_time") & local.contains("T")).alias("has_time")).where("title <> ''")
+    key = [F.left("start", F.lit(16)).alias("minute"), F.left(F.lower("title"), F.lit(60)).alias("folded")]
+    first = F.min_by(F.struct("start", "title", "has_time"), F.struct("pos", "title", "start")).alias("e")
+    return clean.select("*", *key).groupBy("page_id", "minute", "folded").agg(first).select("page_id", "e.*")
+
+
 def page_texts(pages: DataFrame) -> DataFrame:
     """page_id, pos, token: the visible texts of each page in order, by SQL functions: scripts and styles out, tags to breaks, common entities decoded."""
     bare = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", "\n")
     text = F.regexp_replace(bare, r"(?s)<[^>]*>", "\n")
     for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")):
         text = F.replace(text, F.lit(entity), F.lit(char))
-    tokens = F.filter(F.transform(F.split(text, r"\s*\n\s*"), F.trim), lambda x: x != "")
+    tokens = F.filter(F.transform(F.split(text, r"\s*\n\s*"), lambda t: F.trim(t)), lambda x: x != "")
     return pages.where("html is not null").select("page_id", F.posexplode(tokens).alias("pos", "token"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from roadtide.functions import columns as fn
-from roadtide.operators import asof, corridor, events, publish, routing, spatial
+from roadtide.operators import asof, corridor, events, publish, routing, seasonal, spatial
 from roadtide.plans.demo import cte, frame
 from roadtide.plans.queries import _ALL_DAY, _PRICE, _W, _matched, _members, _profile, _settled, _spans, _speeds, query, rounded
 from roadtide.session import scratch_dir
@@ -179,3 +179,53 @@ def _(spark, d):
     path = scratch_dir(spark)
     _profile(spark, d).write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path).groupBy(F.col("station").cast("bigint").alias("station")).agg(F.count("*").alias("cells"))
+
+
+@query("S4_file_dates", f"{cte('series')} SELECT CAST(date_trunc('month', date) AS DATE) AS date, count(*) AS n FROM series GROUP BY 1")
+def _(spark, d):
+    """A folder a month whose name has its first day, read as files alone: each row's date comes from the name."""
+    path = scratch_dir(spark)
+    s = frame(spark, d, "series").select("id", F.concat(F.lit("d07_text_"), F.date_format(F.trunc("date", "month"), "yyyy_MM_dd")).alias("day"))
+    s.repartition("day").write.partitionBy("day").parquet(path)
+    return readers.with_file_date(spark.read.schema("id long").option("recursiveFileLookup", True).parquet(path)).groupBy("date").agg(F.count("*").alias("n"))
+
+
+@query("S15_newest_snapshot", f"{cte('stations')} SELECT CAST(sensor_id AS BIGINT) AS sensor_id, lat FROM stations WHERE sensor_id % 3 < 2")
+def _(spark, d):
+    """Three snapshots of the station list, of which the last by name is read."""
+    path = scratch_dir(spark)
+    st = frame(spark, d, "stations")
+    for name, rows in (("2026_01_05", st), ("2026_03_01", st.where("sensor_id % 3 < 2")), ("2025_12_31", st.where("sensor_id < 9"))):
+        rows.select("sensor_id", "lat").coalesce(1).write.parquet(f"{path}/meta_{name}")
+    return spark.read.parquet(readers.newest_snapshot(spark, path)).select(F.col("sensor_id").cast("bigint").alias("sensor_id"), "lat")
+
+
+@query("S12_metrics", f"{cte('readings')} SELECT CAST(station AS BIGINT) AS station, 'mae' AS metric, round(avg(abs(pred - actual)), 4) AS value, count(*) AS n FROM readings GROUP BY station")
+def _(spark, d):
+    path = scratch_dir(spark)
+    long = frame(spark, d, "readings").groupBy("station").agg(F.lit("mae").alias("metric"), F.avg(F.abs(F.col("pred") - F.col("actual"))).alias("value"), F.count("*").alias("n"))
+    readers.write_metrics(long, path)
+    return rounded(readers.metrics(spark, path, long.schema))
+
+
+@query("T3_append_snapshots", f"{cte('venue_events')}, r AS (SELECT *, row_number() OVER (PARTITION BY venue ORDER BY start DESC, event_id DESC) AS k FROM venue_events WHERE start <= TIMESTAMP '2024-01-15 00:00:00') SELECT venue, event_id FROM r WHERE k = 1")
+def _(spark, d):
+    """Snapshots that land in two lots are appended by capture date, and asked for as of a time."""
+    base = scratch_dir(spark)
+    src = frame(spark, d, "venue_events").select("venue", "event_id", F.col("start").alias("captured_at"))
+    for part in (0, 1):
+        src.where(F.col("event_id") % 2 == part).write.mode("append").parquet(f"{base}/in")
+        ingest.append_snapshots(spark.readStream.schema(src.schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/check")
+    kept = spark.read.parquet(f"{base}/out").drop("capture_date")
+    return ingest.as_of(kept, ["venue"], F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).select("venue", "event_id")
+
+
+@query("T2_accumulated_profile", f"{cte('readings')} SELECT CAST(station AS BIGINT) AS station, CAST(dow AS BIGINT) AS dow, CAST(tod AS BIGINT) AS tod, count(*) AS n, round(avg(speed), 4) AS seasonal_speed, round(stddev_pop(speed), 3) AS sd FROM readings GROUP BY 1, 2, 3 HAVING count(*) >= 4")
+def _(spark, d):
+    """Three lots of files, each merged into the sums of those before."""
+    base = scratch_dir(spark)
+    src = frame(spark, d, "readings").select("station", "dow", "tod", "speed", "row_id")
+    for part in range(3):
+        src.where(F.col("row_id") % 3 == part).drop("row_id").write.mode("append").parquet(f"{base}/in")
+        ingest.accumulate_profile(spark, f"{base}/in", src.drop("row_id").schema, f"{base}/state", f"{base}/check")
+    return rounded(seasonal.finish_sums(ingest.newest_state(spark, f"{base}/state")).withColumn("sd", F.round("seasonal_sd", 3)).drop("seasonal_sd"))

@@ -35,11 +35,17 @@ _OWN: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares (spark.checkpoint.dir), or of this machine where it is unset, as in local tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="roadtide-")
-        base = _OWN[app]
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder below the one that the cluster shares (spark.checkpoint.dir), deleted when the application ends.
+
+    Where the setting is missing, a temporary folder of this machine takes its place in local mode; elsewhere that is an error.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _OWN:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = base or "file://" + tempfile.mkdtemp(prefix="roadtide-")
+        _OWN[context.applicationId] = f"{base.rstrip('/')}/roadtide-files-{context.applicationId}"
+        folder = context._jvm.org.apache.hadoop.fs.Path(_OWN[context.applicationId])
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return f"{_OWN[context.applicationId]}/{uuid.uuid4().hex}"

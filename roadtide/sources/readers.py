@@ -53,9 +53,9 @@ def station_meta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def newest_snapshot(spark: SparkSession, path: str) -> str | None:
-    """Name of the last file of a folder of snapshots, by file name."""
-    found = spark.read.format("binaryFile").load(path).select("path").agg(F.max("path")).first()
-    return found[0] if found else None
+    """Address of the last file of a folder of snapshots, by its name or folder; None without files."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").agg(F.max("path")).first()
+    return found[0]
 
 
 def day_readings(spark: SparkSession, path: str, first=None, last=None) -> DataFrame:
@@ -67,9 +67,9 @@ def day_readings(spark: SparkSession, path: str, first=None, last=None) -> DataF
 
 
 def with_file_date(df: DataFrame, pattern: str = r"(\d{4})[_-](\d{2})[_-](\d{2})") -> DataFrame:
-    """Adds date, taken from the name of the file that a row is of."""
-    name = F.regexp_extract(F.col("_metadata.file_name"), pattern, 0)
-    return df.select("*", F.to_date(F.regexp_replace(name, "_", "-")).alias("date"))
+    """Adds date, taken from the name of the file that a row is of, or of its folder; null where neither has one."""
+    name = F.nullif(F.regexp_extract(F.col("_metadata.file_path"), pattern + r"[^/]*(?:/[^/]*)?$", 0), F.lit(""))
+    return df.select("*", F.try_to_date(F.replace(F.regexp_extract(name, pattern, 0), F.lit("_"), F.lit("-")), "yyyy-MM-dd").alias("date"))
 
 
 def events(spark: SparkSession, path: str, *, skip: str = r"(normalized|merged)") -> DataFrame:
@@ -110,9 +110,15 @@ def pending_days(listed: DataFrame, written: DataFrame) -> DataFrame:
 
 
 def write_metrics(df: DataFrame, path: str) -> None:
+    """A long table of metrics as JSON lines; an earlier one is replaced."""
     df.write.mode("overwrite").json(path)
 
 
+def metrics(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What write_metrics() wrote."""
+    return spark.read.schema(schema).json(path)
+
+
 def corridor_dimension(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CORRIDORS, "slug string, name string, fwy int, dir string, pm_min double, pm_max double")
 

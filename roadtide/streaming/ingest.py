@@ -30,6 +30,13 @@ def accumulate_profile(spark: SparkSession, source: str, schema, state: str, che
     spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def newest_state(spark: SparkSession, state: str) -> DataFrame:
+    """The sums after the last batch."""
+    every = spark.read.option("basePath", state).parquet(f"{state}/v=*")
+    last = every.agg(F.max("v")).first()[0]
+    return every.where(F.col("v") == last).drop("v")
+
+
 def append_snapshots(stream: DataFrame, sink: str, checkpoint: str, captured: str = "captured_at") -> None:
     """Point-in-time snapshots kept append-only by capture date."""
     dated = stream.withColumn("capture_date", F.to_date(captured))

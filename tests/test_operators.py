@@ -179,3 +179,132 @@ def test_chunks(spark):
     ways = spark.createDataFrame([(1, points)], "way_id int, points array<struct<lat:double,lon:double>>")
     got = routing.chunk_line(ways).collect()
     assert [len(r.points) for r in got] == [3, 2] and got[0].points[-1] == got[1].points[0]
+
+
+def test_nearest_event_against_brute_force(spark, monkeypatch):
+    """Sub-second gaps, ties, rows without key or time, both directions, and buckets that are dealt to several tasks."""
+    import random
+
+    from roadtide.operators import skew
+
+    monkeypatch.setattr(skew, "LEAST", 20)
+    rng, zero = random.Random(1), dt.datetime(2024, 1, 1)
+    when = lambda: zero + dt.timedelta(microseconds=rng.choice([rng.randrange(0, 72 * 3600 * 10**6), 12 * 3600 * 10**6 + rng.randrange(-3, 3), rng.randrange(0, 72) * 3600 * 10**6]))
+    evs = [(i, rng.choice("ab"), when()) for i in range(80)] + [(900, None, zero), (901, "a", None)]
+    rows = [(i, rng.choice("ab"), when()) for i in range(300)] + [(i, "a", zero + dt.timedelta(hours=12)) for i in range(300, 360)] + [(990, None, zero), (991, "a", None)]
+    df = spark.createDataFrame(rows, "row_id int, venue string, ts timestamp_ntz")
+    e = spark.createDataFrame(evs, "event_id int, venue string, start timestamp_ntz")
+    for backward in (False, True):
+        want = {}
+        for i, v, t in rows:
+            best = []
+            for j, w, s in evs:
+                if v is not None and t is not None and v == w and s is not None:
+                    h = (t - s) / dt.timedelta(hours=1)
+                    if (-4 <= h < 0 and not backward) or 0 <= h <= 6:
+                        best.append((h < 0, abs(h), j))
+            want[i] = min(best)[2] if best else None
+        got = {r.row_id: r.event_id for r in asof.nearest_event(df, e, key="venue", row_id="row_id", backward_only=backward).collect()}
+        assert got == want
+
+
+def test_events_on_a_northern_drive(spark):
+    t = dt.datetime(2024, 1, 1)
+    drives = spark.createDataFrame([(i, 55.0 + i * 0.01, 10.0 + i * 0.013, t, t) for i in range(20)], "drive_id int, lat double, lon double, depart timestamp_ntz, arrive timestamp_ntz")
+    evs = spark.createDataFrame([(j, 55.0 + j * 0.011, 10.0 + j * 0.021, t) for j in range(20)], "event_id int, lat double, lon double, start timestamp_ntz")
+    got = {(r.drive_id, r.event_id) for r in asof.events_on_drive(drives, evs, limit=99).collect()}
+    miles = fn.equirect_miles(F.col("lat"), F.col("lon"), F.col("b"), F.col("c"))
+    want = drives.join(evs.select("event_id", F.col("lat").alias("b"), F.col("lon").alias("c"))).where(miles <= 12).select("drive_id", "event_id")
+    assert got == {tuple(r) for r in want.collect()} and len(got) > 100
+
+
+def test_nearest_in_a_growing_grid(spark):
+    left = spark.createDataFrame([(i, 37.0 + i * 0.37, -122.0 - i * 0.91) for i in range(12)], "left_id int, lat double, lon double")
+    right = spark.createDataFrame([(f"c{j}", 37.0 + j * 1.3 % 5, -122.0 - j * 2.7 % 9) for j in range(9)], "right_id string, r_lat double, r_lon double")
+    got = {r.left_id: r.right_id for r in spatial.nearest_in_grid(left, right, 0.25).collect()}
+    d2 = F.round(F.pow(F.col("lat") - F.col("r_lat"), 2) + F.pow(F.col("lon") - F.col("r_lon"), 2), 9)
+    want = {r.left_id: r.right_id for r in spatial.nearest(left, right, d2).collect()}
+    assert got == want and len(got) == 12
+    assert spatial.nearest_in_grid(left, right.where("false"), 0.25).count() == 0
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    for values in ([3.0], [1.0, 2.0], [5.0] * 50 + [1.0], [float(x * x % 997) for x in range(3000)], [1e-300, 1e300, 0.0]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
+        for q in (0.0, 0.5, 0.95, 1.0):
+            assert evaluate.exact_quantile(df, F.col("v"), q, few=10, bins=8) == pytest.approx(np.quantile(values, q), rel=1e-12)
+    assert evaluate.exact_quantile(df.where("false"), F.col("v"), 0.5) is None
+
+
+def test_rolling_sums_over_block_borders(spark):
+    rows = [(k, dt.date(2024, 1, 1 + i // 9), i, float(i % 5)) for k in "ab" for i in range(80)]
+    df = spark.createDataFrame(rows, "k string, date date, t int, v double")
+    got = {(r.k, r.t): (r.a, r.b) for r in seasonal.rolling_sums(df, "v", ("k",), ("date", "t"), {"a": 3, "b": 7}, block=10).collect()}
+    assert got == {(k, i): tuple(sum(float(j % 5) for j in range(max(0, i - n + 1), i + 1)) for n in (3, 7)) for k in "ab" for i in range(80)}
+
+
+def test_titles_of_all_scripts_stay_apart(spark):
+    rows = [("v", "2025-01-01", False, t, "2025") for t in ("日本の夜", "東京の朝", "Вечер", "Beyoncé", "Beyonc", "BEYONCE")]
+    got = events.merge_observations(spark.createDataFrame(rows, "venue string, start string, has_time boolean, title string, captured_at string"))
+    assert sorted(r.observations for r in got.collect()) == [1, 1, 1, 1, 2]
+
+
+def test_away_games_and_the_walk_over_texts(spark):
+    fact = lambda n, place: f'{{"@type": "SportsEvent", "name": "Game {n}", "startDate": "2025-10-0{n}T19:00:00", "location": {{"name": "{place}", "address": {{"addressLocality": "Palo Alto"}}}}}}'
+    block = lambda *facts: f'<script type="application/ld+json">[{", ".join(facts)}]</script>'
+    texts = "<p>Oct</p><p>4</p><p>, 2026</p><p>Band &amp; Co</p><p>Opening</p><p>7:30 PM</p><p>Tickets</p><p>8:00 PM</p><p>Nov</p><p>31</p><p>No such day</p><p>Dec</p><p>5</p><p>Tickets</p><p>Late</p><p>May come</p>"
+    pages = [
+        (1, block(fact(1, "Stanford Stadium"), fact(2, "California Memorial"), fact(3, "Stanford"), fact(4, "Stanford")), 2025, "Stanford Stadium"),
+        (2, block(fact(1, "Stanford Stadium"), fact(2, "Elsewhere")) + texts, 2025, "Stanford Stadium"),
+        (3, None, 2025, None),
+    ]
+    got = events.page_events(spark.createDataFrame(pages, "page_id long, html string, year int, venue_name string")).collect()
+    assert sorted(map(tuple, got)) == [
+        (1, "2025-10-01T19:00:00", "Game 1", True), (1, "2025-10-03T19:00:00", "Game 3", True), (1, "2025-10-04T19:00:00", "Game 4", True),
+        (2, "2025-12-05", "Late - May come", False), (2, "2026-10-04T19:30:00", "Band & Co - Opening", True),
+    ]
+
+
+def test_simplified_lines(spark):
+    import random
+
+    from roadtide.operators import geometry
+
+    rng = random.Random(3)
+    lines = [[(37.0 + i * 0.0005 + rng.random() * 0.0007, -122.0 + rng.random() * 0.0007) for i in range(n)] for n in (1, 2, 3, 60, 200)] + [[(37.0, -122.0), (37.0005, -122.0), (37.0, -122.0)]]
+    got = {r.way_id: r.points for r in geometry.simplify(spark.createDataFrame(list(enumerate(lines)), "way_id long, points array<struct<lat:double,lon:double>>")).collect()}
+
+    def off(p, a, b):
+        scale = 111_320.0
+        import math
+
+        c = scale * math.cos(math.radians(line[0][0]))
+        x, y = (p[1] - a[1]) * c, (p[0] - a[0]) * scale
+        dx, dy = (b[1] - a[1]) * c, (b[0] - a[0]) * scale
+        return abs(dx * y - dy * x) / math.hypot(dx, dy) if math.hypot(dx, dy) else math.hypot(x, y)
+
+    for i, line in enumerate(lines):
+        kept = [tuple(p) for p in got[i]]
+        assert kept[0] == line[0] and kept[-1] == line[-1] and set(kept) <= set(line)
+        marks = [line.index(p) for p in kept[:-1]] + [len(line) - 1]
+        for a, b in zip(marks, marks[1:]):  # noqa: B905
+            assert all(off(line[k], line[a], line[b]) <= 25.0 + 1e-6 for k in range(a + 1, b))
+    assert len(got[5]) == 3 and len(got[4]) < 200
+
+
+def test_states_are_merged_and_streams_drop_late_rows(spark, tmp_path):
+    src, state, ck = (str(tmp_path / n) for n in ("src", "state", "ck"))
+    rows = lambda *s: spark.createDataFrame([(1, 0, 0, float(x)) for x in s], "station int, dow int, tod int, speed double")
+    for part in ((1, 2), (3,), (4, 5)):
+        rows(*part).write.mode("append").parquet(src)
+        ingest.accumulate_profile(spark, src, rows(1).schema, state, ck)
+    assert [(r.n, r.s1, r.s2) for r in ingest.newest_state(spark, state).collect()] == [(5, 15.0, 55.0)]
+    live, out, ck = (str(tmp_path / n) for n in ("live", "out", "ck2"))
+    at = lambda *m: spark.createDataFrame([(1, dt.datetime(2024, 1, 1, 8) + dt.timedelta(minutes=x), float(x)) for x in m], "station int, ts timestamp, value double").coalesce(1)
+    for part in ((1, 14, 16), (120,), (2, 121), (300,)):  # minute 2 comes when its window is closed
+        at(*part).write.mode("append").parquet(live)
+        stream = ingest.windowed(spark.readStream.schema(at(1).schema).parquet(live))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.window_start.minute, r.n) for r in spark.read.parquet(out).where("window_start < '2024-01-01 09:00:00'").collect()) == [(0, 2), (15, 1)]
