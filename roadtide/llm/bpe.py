@@ -15,16 +15,19 @@ the same result; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import itertools
 import json
 from collections import defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import regex
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,9 +52,8 @@ def byte_alphabet() -> dict[int, str]:
 class Vocabulary:
     """Vocabulary, merges and special tokens of a tokenizers JSON file."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            data = json.load(f)
+    def __init__(self, content: bytes):
+        data = json.loads(content)
         vocab = data["model"]["vocab"]
         alphabet = byte_alphabet()
         back = {c: b for b, c in alphabet.items()}
@@ -208,11 +210,23 @@ def _text(raw: bytes) -> bytes:
     return raw
 
 
+def _broadcast(docs: DataFrame, path: str) -> Broadcast[bytes]:
+    """The driver's vocabulary file for all tasks: its size is that of the vocabulary."""
+    return docs.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
+
+
+@functools.lru_cache(maxsize=2)
+def _parsed(content: bytes) -> Vocabulary:
+    """Parsed once a Python worker, which runs many tasks."""
+    return Vocabulary(content)
+
+
 def encode(docs: DataFrame, vocab_path: str, *, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens long, ids_sha256, decoded_sha256 of every row, and the ids themselves if asked for.
 
     ids_sha256: of the decimal ids joined by commas; decoded_sha256: of the text that the ids decode to.
     """
+    content = _broadcast(docs, vocab_path)
     fields = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def rows_of(codec: Codec, ids: np.ndarray, texts: list[str]) -> Iterator[pd.DataFrame]:
@@ -232,7 +246,7 @@ def encode(docs: DataFrame, vocab_path: str, *, with_ids: bool = True) -> DataFr
             yield got
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(Vocabulary(vocab_path))
+        codec = Codec(_parsed(content.value))
         for batch in batches:
             yield from rows_of(codec, batch["doc_id"].array, ["" if t is None else t for t in batch["text"]])
 
@@ -241,9 +255,10 @@ def encode(docs: DataFrame, vocab_path: str, *, with_ids: bool = True) -> DataFr
 
 def decode(tokens: DataFrame, vocab_path: str) -> DataFrame:
     """doc_id and the text that the ids of each row decode to (null ids: empty)."""
+    content = _broadcast(tokens, vocab_path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        to_bytes = Vocabulary(vocab_path).bytes
+        to_bytes = _parsed(content.value).bytes
         for batch in batches:
             texts = ["" if x is None else b"".join([to_bytes[i] for i in x]).decode("utf-8", "replace") for x in batch["ids"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"].array, "text": texts})
