@@ -20,12 +20,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadtide.llm.common import let, words
+from roadtide.llm.common import let, small_enough, words
 
 #: Number of hash buckets of the multinomials, a power of two.
 BUCKETS = 16384
-#: Trusted documents that the target is fitted on at most (those with the smallest hash of doc_id).
-MAX_TRUSTED = 65536
+#: Trusted documents (8 bytes each) that are broadcast at most; beyond it they are joined by a shuffle.
+MAX_BROADCAST_TRUSTED = 500_000
 #: Counts that the target is smoothed with, spread as the raw corpus is.
 PRIOR = 4096.0
 #: Mean log ratio per n-gram below which a document goes.
@@ -77,14 +77,14 @@ def _bucket(h, buckets: int) -> F.Column:
     return h.bitwiseAND(F.lit(buckets - 1)).cast("int")
 
 
-def fit(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED, prior: float = PRIOR) -> list[float]:
+def fit(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, prior: float = PRIOR) -> list[float]:
     """The log ratio of every bucket.
 
-    trusted: doc_id of documents known to be good; at most max_trusted of them are used, so what is broadcast is bounded.
-    Raw counts are over all documents. Only two counts a bucket come to the driver, however large the corpus.
+    trusted: doc_id of documents known to be good. Raw counts are over all documents, target counts over all trusted ones.
+    Only two counts a bucket come to the driver, however large the corpus.
     """
-    chosen = trusted.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted).withColumn("target", F.lit(1))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left")
+    chosen = trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(1))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen) if small_enough(chosen, MAX_BROADCAST_TRUSTED) else chosen, "doc_id", "left")
     counted = (
         _hashed(rows)
         .select("target", F.explode(F.concat("one", "two")).alias("h"))
