@@ -96,10 +96,38 @@ def op7_minhash_bbit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_bbit.near_components(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents WHERE doc_id IS NOT NULL),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS x FROM w),
+u AS (SELECT doc_id, len(x) AS m, unnest(x) AS g FROM s),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.m AS ma, b.m AS mb, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id AND a.m * 100 >= b.m * 85 AND b.m * 100 >= a.m * 85 GROUP BY ALL),
+e AS (SELECT a, b FROM pairs WHERE 100 * c >= 85 * (ma + mb - c)),
+sides AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT r.x, b.b FROM reach r JOIN sides b ON r.y = b.a),
+c AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT doc_id, CAST(len(s.x) AS BIGINT) AS n_shingles, y AS component_id, y = doc_id AS kept FROM s JOIN c ON c.x = doc_id
+"""
+
+
 def op8_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse_suffix.repeated_spans(table(spark, sf_dir, "documents"))
 
 
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+twice AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+marked AS (SELECT DISTINCT doc_id, i FROM win WHERE h IN (SELECT h FROM twice)),
+new AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS n FROM marked),
+runs AS (SELECT doc_id, i, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM new)
+SELECT doc_id, CAST(min(i) - 1 AS INTEGER) AS start, CAST(max(i) + 49 AS INTEGER) AS stop FROM runs GROUP BY doc_id, g
+"""
+
+
 def op9_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts are scanned once; the model is fitted to the candidates and applied to them."""
     scanned = saved(pii_boost.scan(table(spark, sf_dir, "documents")).drop("text"), "pii-scan")
@@ -129,4 +157,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_va_topk": OP1_SQL, "op3_poisson_mix": OP3_SQL, "op6_line_dedup": OP6_SQL, "op10_warc_shards": OP10_SQL}
+    return {"op1_va_topk": OP1_SQL, "op3_poisson_mix": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_minhash_bbit": OP7_SQL, "op8_sparse_suffix": OP8_SQL, "op10_warc_shards": OP10_SQL}
