@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadtide.functions.columns import MPH_MIN, surface_mph
+from roadtide.functions.columns import MPH_MIN, flow_ratio, surface_mph
 from roadtide.operators.spatial import idw, knn
 
 #: Longest stretch that one station speaks for, and band factors (fixed values).
@@ -36,10 +36,32 @@ def slot_speeds(forecast: DataFrame, value: str = "mph", slots: int = 96) -> Dat
     return per.select("station", F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.try_element_at("m", i)).alias("speeds"))
 
 
-def priced_spans(spans: DataFrame, speeds: DataFrame, *, free_mph: float = 30.0) -> DataFrame:
-    """route_id and spans: array<struct<span_no, kind, miles, speeds>> in order. Surface spans have no speeds and run at free_mph."""
+def street_speeds(spans: DataFrame, vertices: DataFrame, stations: DataFrame, speeds: DataFrame, freeflow: DataFrame, *, limit_mph: float = 30.0, alpha: float = 0.5, slots: int = 96) -> DataFrame:
+    """route_id, span_no, streets: array of a surface span's estimated speeds by slot.
+
+    The stations near the vertex next to the span's middle are weighted as for ways; the share of free flow that they
+    have in a slot slows the street by a part alpha of it. Null where no station near has a speed.
+    speeds: from slot_speeds(); freeflow: station, freeflow; vertices: route_id, seq, lat, lon, cum_mi.
+    """
+    middle = spans.where("kind = 'surface'").select("route_id", "span_no", ((F.col("start_mi") + F.col("end_mi")) / 2).alias("__mid"))
+    near = F.min_by(F.struct("lat", "lon"), F.struct(F.abs(F.col("cum_mi") - F.col("__mid")), F.col("seq"))).alias("p")
+    points = middle.join(vertices.select("route_id", "seq", "lat", "lon", "cum_mi"), "route_id").groupBy("route_id", "span_no").agg(near)
+    links = way_links(points.select(F.struct("route_id", "span_no").alias("way_id"), "p.lat", "p.lon"), stations)
+    shares = links.join(speeds, "station").join(freeflow, "station").select("way_id", "weight", "freeflow", F.posexplode("speeds").alias("slot", "mph"))
+    ratio = flow_ratio(F.col("mph"), F.col("freeflow"))
+    by_slot = shares.where(ratio.isNotNull()).groupBy("way_id", "slot").agg(F.try_divide(F.sum(F.col("weight") * ratio), F.sum("weight")).alias("ratio"))
+    per = by_slot.groupBy("way_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", surface_mph(F.col("ratio"), F.lit(limit_mph), alpha)))).alias("m"))
+    return per.select("way_id.route_id", "way_id.span_no", F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.try_element_at("m", i)).alias("streets"))
+
+
+def priced_spans(spans: DataFrame, speeds: DataFrame, *, free_mph: float = 30.0, streets: DataFrame | None = None) -> DataFrame:
+    """route_id and spans: array<struct<span_no, kind, miles, speeds, streets, free>> in order.
+
+    Surface spans run at the speed of their slot in `streets` (from street_speeds()), or at free_mph where there is none.
+    """
     rows = spans.join(speeds, F.col("sensor_id") == F.col("station"), "left")
-    one = F.struct("span_no", "kind", (F.col("end_mi") - F.col("start_mi")).alias("miles"), "speeds", F.lit(free_mph).alias("free"))
+    rows = rows.join(streets, ["route_id", "span_no"], "left") if streets is not None else rows.withColumn("streets", F.lit(None).cast("array<double>"))
+    one = F.struct("span_no", "kind", (F.col("end_mi") - F.col("start_mi")).alias("miles"), "speeds", "streets", F.lit(free_mph).alias("free"))
     return rows.groupBy("route_id").agg(F.array_sort(F.collect_list(one)).alias("spans"))
 
 
@@ -53,10 +75,11 @@ def price(routes: DataFrame, departures: DataFrame, *, slot_min: int = 15) -> Da
     zero = F.struct(F.col("depart").cast("double").alias("t"), F.lit(0.0).alias("freeway"), F.lit(0.0).alias("surface"), F.lit(0.0).alias("freeway_mi"), F.lit(0.0).alias("surface_mi"), F.lit(0).alias("stations"))
 
     def step(acc, x):
-        slot = F.greatest(F.least(F.floor(acc["t"] / slot_min).cast("int"), F.size(x["speeds"]) - 1), F.lit(0))
-        mph = F.when((x["kind"] == "freeway") & x["speeds"].isNotNull(), F.get(x["speeds"], slot))
+        at = lambda c: F.when(x[c].isNotNull(), F.get(x[c], F.greatest(F.least(F.floor(acc["t"] / slot_min).cast("int"), F.size(x[c]) - 1), F.lit(0))))
+        mph = F.when(x["kind"] == "freeway", at("speeds"))
+        street = F.when(x["kind"] == "surface", at("streets"))
         known = mph.isNotNull()
-        minutes = x["miles"] / F.greatest(F.coalesce(mph, x["free"]), F.lit(MPH_MIN)) * 60.0
+        minutes = x["miles"] / F.greatest(F.coalesce(mph, street, x["free"]), F.lit(MPH_MIN)) * 60.0
         add = lambda c, v, when: (acc[c] + F.when(when, v).otherwise(0.0)).alias(c)
         return F.struct(
             (acc["t"] + minutes).alias("t"), add("freeway", minutes, known), add("surface", minutes, ~known), add("freeway_mi", x["miles"], known), add("surface_mi", x["miles"], ~known),

@@ -534,6 +534,34 @@ def _(spark, d):
     return _settled(routing.band(priced))
 
 
+_STREETS = """ff AS (SELECT station, quantile_cont(speed, 0.9) AS ff FROM readings GROUP BY station), mids AS (SELECT route_id, span_no, (s + e) / 2 AS mid FROM spans WHERE kind = 'surface'),
+pt AS (SELECT * FROM (SELECT route_id, span_no, lat, lon, row_number() OVER (PARTITION BY route_id, span_no ORDER BY abs(cum_mi - mid), seq) AS k FROM mids JOIN vert USING (route_id)) WHERE k = 1),
+kn AS (SELECT route_id, span_no, sensor_id, sqrt(pow((s.lat - pt.lat) * 69, 2) + pow((s.lon - pt.lon) * 54.6, 2)) AS dist FROM pt, stations s),
+ln AS (SELECT * FROM (SELECT *, 1 / pow(greatest(dist, 0.15), 2) AS w, row_number() OVER (PARTITION BY route_id, span_no ORDER BY dist, sensor_id) AS rank FROM kn WHERE dist <= 2) WHERE rank <= 6),
+st AS (SELECT route_id, span_no, slot, sum(w * least(greatest(mph / ff, 0.15), 1.05)) / sum(w) AS ratio FROM ln JOIN fcs ON station = sensor_id JOIN ff USING (station) GROUP BY 1, 2, 3),
+est AS (SELECT route_id, span_no, slot, greatest(least(30 * (1 - 0.5 * (1 - ratio)), 30), 5) AS mph FROM st)"""
+_FCS = "fcs AS (SELECT station, tod // 15 AS slot, round(avg(speed), 3) AS mph FROM readings GROUP BY 1, 2)"
+
+
+def _streets(spark, d):
+    ff = frame(spark, d, "readings").groupBy("station").agg(F.percentile("speed", 0.9).alias("freeflow"))
+    return routing.street_speeds(_spans(spark, d), _vertices(spark, d), frame(spark, d, "stations"), _speeds(spark, d), ff)
+
+
+@query("R5_street_speeds", f"{_SPANS}, {_FCS}, {_STREETS} SELECT CAST(route_id AS BIGINT) AS route_id, CAST(span_no AS BIGINT) AS span_no, CAST(slot AS BIGINT) AS slot, round(round(mph, 9), 3) AS mph FROM est")
+def _(spark, d):
+    got = _streets(spark, d).select("route_id", "span_no", F.posexplode("streets").alias("slot", "mph")).where("mph is not null")
+    return _settled(got)
+
+
+@query("R5_priced_streets", _price_sql("SELECT i * 60 FROM range(6, 20) t(i)").replace("sp AS (", f"{_FCS}, {_STREETS}, sp AS (", 1).replace("greatest(coalesce(fc.mph, 30), 5) * 60, f.fw", "greatest(coalesce(fc.mph, est.mph, 30), 5) * 60, f.fw").replace("AND fc.slot = least(CAST(floor(f.t / 15) AS BIGINT), 95))", "AND fc.slot = least(CAST(floor(f.t / 15) AS BIGINT), 95) LEFT JOIN est ON x.kind = 'surface' AND est.route_id = x.route_id AND est.span_no = x.span_no AND est.slot = least(CAST(floor(f.t / 15) AS BIGINT), 95))") + f" SELECT {_PRICED} FROM priced")
+def _(spark, d):
+    """Routes whose surface spans slow down with the stations near them."""
+    routes = routing.priced_spans(_spans(spark, d), _speeds(spark, d), streets=_streets(spark, d))
+    departures = routes.select("route_id", F.explode(F.sequence(F.lit(360), F.lit(1140), F.lit(60))).alias("depart"))
+    return _settled(routing.price(routes, departures))
+
+
 @query("R8_arrive_by", f"{_ALL_DAY}, l AS (SELECT p.route_id, deadline, max(depart) AS depart, max_by(total, depart) AS total FROM priced p, (VALUES (540), (1080)) t(deadline) WHERE depart + total <= deadline AND depart <= deadline GROUP BY 1, 2) SELECT CAST(route_id AS BIGINT) AS route_id, CAST(deadline AS BIGINT) AS deadline, CAST(depart AS BIGINT) AS depart, round(depart + total, 3) AS arrive, round(total, 3) AS minutes, round(deadline - (depart + total), 3) AS slack_minutes FROM l")
 def _(spark, d):
     routes = routing.priced_spans(_spans(spark, d), _speeds(spark, d))
