@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -89,3 +90,46 @@ def repeated_words(rows, least):
             for i, a in at:
                 out[i].update(range(a, a + least))
     return out
+
+
+def near_lines(rows, least=20):
+    """doc_id: numbers of the lines that an earlier line equals or differs from by one code point."""
+    lines = [(i, n, x.strip(" \t\n\x0b\x0c\r")) for i, t in rows if t is not None for n, x in enumerate(t.split("\n"))]
+    lines = [x for x in lines if len(x[2]) >= least]
+    first = {}
+    for i, n, x in sorted(lines):
+        first.setdefault(x, (i, n))
+
+    def close(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        k = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
+        return a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k + 1 :]
+
+    by_size = defaultdict(list)
+    for x in first:
+        by_size[len(x)].append(x)
+    near = {x for x in first if any(first[y] < first[x] and y != x and close(x, y) for m in (-1, 0, 1) for y in by_size[len(x) + m])}
+    out = defaultdict(set)
+    for i, n, x in lines:
+        if x in near or first[x] != (i, n):
+            out[i].add(n)
+    return out
+
+
+def poisson_counts(rows, seed=17):
+    """Copies of each (doc_id, source), drawn by inverting the distribution at a hash."""
+    sizes = Counter(s for _, s in rows)
+    total = sum(n**0.5 for n in sizes.values())
+    out = {}
+    for i, s in rows:
+        rate = sizes[s] ** 0.5 * len(rows) / (total * sizes[s])
+        digest = hashlib.md5(f"count{seed}|{'' if s is None else s}|{i}|1".encode()).hexdigest()
+        u, k, p = int(digest[:13], 16) / 2**52, 0, math.exp(-rate)
+        c = p
+        while u >= c:
+            k += 1
+            p *= rate / k
+            c += p
+        out[i] = k
+    return out
