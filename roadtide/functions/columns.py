@@ -218,6 +218,11 @@ def coordinate_key(lat, lon, digits: int = 2) -> Column:
     return F.concat_ws(",", F.round(lat, digits).cast("string"), F.round(lon, digits).cast("string"))
 
 
+def place_key(lat, lon, name) -> dict[str, Column]:
+    """What two results for one place agree in: coordinates of four digits and 24 letters of the name."""
+    return {"key_lat": F.round(lat, 4), "key_lon": F.round(lon, 4), "key_name": F.lower(F.left(name, F.lit(24)))}
+
+
 def in_box(lat, lon, south: float, west: float, north: float, east: float) -> Column:
     return F.coalesce(lat.between(south, north) & lon.between(west, east), F.lit(False))
 

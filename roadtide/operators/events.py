@@ -30,7 +30,7 @@ def _pinned(df: DataFrame, columns: dict) -> DataFrame:
 
 
 def labelled(raw: DataFrame) -> DataFrame:
-    """Adds title, start and has_time as cleaned, and reason: non_event, cancelled, time_recovered, time_demoted or kept.
+    """Adds title, start and has_time as cleaned, reason (non_event, cancelled, time_recovered, time_demoted or kept), and whether a time was recovered and demoted, which may both be.
 
     raw: venue, start (ISO string), has_time, title, captured_at.
     """
@@ -50,6 +50,7 @@ def labelled(raw: DataFrame) -> DataFrame:
     return df.select(
         *other, F.col("__bare").alias("title"), F.when(F.col("__demoted"), F.left("__start", F.lit(10))).otherwise(F.col("__start")).alias("start"),
         (F.col("__timed") & ~F.col("__demoted")).alias("has_time"), reason.alias("reason"),
+        (F.col("__gone").isNull() & F.col("__recovered")).alias("recovered"), (F.col("__gone").isNull() & F.col("__demoted")).alias("demoted"),
     )
 
 
@@ -71,9 +72,16 @@ def merge_observations(rows: DataFrame, key=None) -> DataFrame:
 
 
 def normalize(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Clean events, and rows by reason."""
+    """Clean events, and counts of the rows by what became of them: in, non_event, cancelled, time_recovered, time_demoted, deduped and out."""
     rows = labelled(raw)
-    return merge_observations(rows.where(~F.col("reason").isin("non_event", "cancelled"))), rows.groupBy("reason").agg(F.count("*").alias("rows"))
+    clean = merge_observations(rows.where(~F.col("reason").isin("non_event", "cancelled")))
+    tally = rows.agg(
+        F.count("*").alias("in"), F.count_if(F.col("reason") == "non_event").alias("non_event"), F.count_if(F.col("reason") == "cancelled").alias("cancelled"),
+        F.count_if("recovered").alias("time_recovered"), F.count_if("demoted").alias("time_demoted"),
+    )
+    merged = clean.agg((F.coalesce(F.sum("observations"), F.lit(0)) - F.count("*")).alias("deduped"), F.count("*").alias("out"))
+    names = ("in", "non_event", "cancelled", "time_recovered", "time_demoted", "deduped", "out")
+    return clean, tally.join(F.broadcast(merged)).select(F.inline(F.array(*(F.struct(F.lit(n).alias("reason"), F.col(n).alias("rows")) for n in names))))
 
 
 def merge_league(events: DataFrame, games: DataFrame) -> DataFrame:

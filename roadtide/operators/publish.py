@@ -27,6 +27,17 @@ def dense_slots(df: DataFrame, key: str, slot: str, value: str, slots: int, miss
     return per.select(key, F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.coalesce(F.rint(F.try_element_at("m", i)).cast("int"), F.lit(missing))).alias("values"))
 
 
+def week_product(week: DataFrame) -> DataFrame:
+    """corridor, at (ISO times), minutes, typical (rounded arrays in order of time) and coverage_pct of the given days.
+
+    week: corridor, ts, minutes, typical, coverage; a week has at most 2,016 times of five minutes.
+    """
+    settled = lambda c: F.round(F.round(c, 9), 1).alias(c)
+    one = F.struct("ts", settled("minutes"), settled("typical"))
+    rows = week.groupBy("corridor").agg(F.array_sort(F.collect_list(one)).alias("w"), F.round(F.round(F.avg("coverage") * 100, 9), 1).alias("coverage_pct"))
+    return rows.select("corridor", "coverage_pct", F.transform("w", lambda x: F.date_format(x["ts"], "yyyy-MM-dd'T'HH:mm:ss")).alias("at"), F.col("w.minutes").alias("minutes"), F.col("w.typical").alias("typical"))
+
+
 def day_payload(df: DataFrame, keys=("corridor", "date")) -> DataFrame:
     """keys, payload: a day's slots as JSON in order."""
     one = F.struct("tod", F.round("pred", 1).alias("pred"), F.round("typical", 1).alias("typical"))

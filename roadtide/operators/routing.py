@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadtide.functions.columns import MPH_MIN, flow_ratio, surface_mph
+from roadtide.functions.columns import MPH_MIN, flow_ratio, interpolated, surface_mph
 from roadtide.operators.spatial import idw, knn
 
 #: Longest stretch that one station speaks for, and band factors (fixed values).
@@ -139,6 +139,39 @@ def surface_minutes(ways: DataFrame, links: DataFrame, state: DataFrame, *, alph
     return out.select("way_id", "miles", "ratio", mph.alias("est_mph"), (F.col("miles") / mph * 60.0).alias("minutes"))
 
 
+def minutes_at(asked: DataFrame, marks: DataFrame) -> DataFrame:
+    """asked (route_id, mile, ...) with the minutes interpolated between the route's marks (route_id, mile, minutes), and held at its ends.
+
+    Asked miles and marks are put in one order by route, and each takes the marks before and after it.
+    """
+    m = marks.select("route_id", F.col("mile").alias("__mile"), F.struct("mile", "minutes").alias("__mark"))
+    a = asked.select("route_id", F.col("mile").alias("__mile"), F.struct(*asked.columns).alias("__row"))
+    every = a.unionByName(m, allowMissingColumns=True).withColumn("__asks", F.col("__row").isNotNull())
+    part = Window.partitionBy("route_id").rowsBetween(Window.unboundedPreceding, 0)
+    low, high = F.last("__mark", ignorenulls=True).over(part.orderBy("__mile", "__asks")), F.last("__mark", ignorenulls=True).over(part.orderBy(F.desc("__mile"), "__asks"))
+    got = every.withColumns({"__low": low, "__high": high}).where("__asks")
+    x, y = F.coalesce("__low", "__high"), F.coalesce("__high", "__low")
+    return got.select("__row.*", interpolated(F.col("__mile"), x["mile"], x["minutes"], y["mile"], y["minutes"]).alias("minutes"))
+
+
+def segments(routes: DataFrame, departures: DataFrame, *, slot_min: int = 15) -> DataFrame:
+    """A row per route, departure and span: kind, miles, mph, minutes, arrive (minutes since the first slot), estimate (no station's speed). Arguments as for price()."""
+    one = "array<struct<span_no:int,mph:double,minutes:double,arrive:double,estimate:boolean>>"
+    zero = F.struct(F.col("depart").cast("double").alias("t"), F.array().cast(one).alias("out"))
+
+    def step(acc, x):
+        at = lambda c: F.when(x[c].isNotNull(), F.get(x[c], F.greatest(F.least(F.floor(acc["t"] / slot_min).cast("int"), F.size(x[c]) - 1), F.lit(0))))
+        known = F.when(x["kind"] == "freeway", at("speeds"))
+        mph = F.greatest(F.coalesce(known, F.when(x["kind"] == "surface", at("streets")), x["free"]), F.lit(MPH_MIN))
+        minutes = x["miles"] / mph * 60.0
+        row = F.struct(x["span_no"].cast("int").alias("span_no"), mph.alias("mph"), minutes.alias("minutes"), (acc["t"] + minutes).alias("arrive"), known.isNull().alias("estimate"))
+        return F.struct((acc["t"] + minutes).alias("t"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    rows = departures.join(routes, "route_id").select("route_id", "depart", "spans", F.aggregate("spans", zero, step, lambda acc: acc["out"]).alias("out"))
+    both = rows.select("route_id", "depart", F.explode(F.arrays_zip("spans", "out")).alias("z"))
+    return both.select("route_id", "depart", "z.out.span_no", "z.spans.kind", "z.spans.miles", "z.out.mph", "z.out.minutes", "z.out.arrive", "z.out.estimate")
+
+
 def chunk_line(ways: DataFrame, chunk_mi: float = 0.4) -> DataFrame:
     """Cuts array<struct<lat, lon>> of each way into pieces of about chunk_mi: way_id, chunk_no, points.
 
@@ -157,3 +190,17 @@ def chunk_line(ways: DataFrame, chunk_mi: float = 0.4) -> DataFrame:
 
     pieces = F.aggregate(F.col("points").cast(pt), zero, step, lambda acc: F.when(F.size(acc["cur"]) > 1, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]))
     return ways.select("way_id", F.posexplode(pieces).alias("chunk_no", "points"))
+
+
+def governed_chunks(chunks: DataFrame, stations: DataFrame) -> DataFrame:
+    """way_id, chunk_no, sensor_id, nearest_mi: the station that governs each chunk of a line, by the chunk's middle point and its heading there.
+
+    chunks: from chunk_line(); stations (those with a forecast): sensor_id, lat, lon, bearing.
+    """
+    from roadtide.functions.columns import bearing
+    from roadtide.operators.spatial import govern_chunks
+
+    mid = F.floor(F.size("points") / 2).cast("int")
+    at = chunks.select(F.struct("way_id", "chunk_no").alias("chunk_id"), F.get("points", mid).alias("p"), F.get("points", F.greatest(mid - 1, F.lit(0))).alias("a"), F.get("points", F.least(mid + 1, F.size("points") - 1)).alias("b"))
+    headed = at.select("chunk_id", "p.lat", "p.lon", bearing(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")).alias("heading"))
+    return govern_chunks(headed, stations).select("chunk_id.way_id", "chunk_id.chunk_no", "sensor_id", "nearest_mi")

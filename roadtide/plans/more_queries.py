@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roadtide.functions import columns as fn
 from roadtide.operators import corridor, evaluate, features, geometry, routing, seasonal
 from roadtide.plans.demo import cte, frame
-from roadtide.plans.queries import _ALL_DAY, _PRICED, _PROFILE, _ROLLED, _TRAVEL, _matched, _members, _profile, _rolled, _settled, _spans, _speeds, _vertices, query, rounded
+from roadtide.plans.queries import _ALL_DAY, _PRICED, _PROFILE, _ROLLED, _SPANS, _matched, _members, _profile, _rolled, _settled, _spans, _speeds, _vertices, query, rounded
 
 
 @query("P2_positive_speed", f"{cte('readings')} SELECT row_id, round(speed, 4) AS speed FROM readings WHERE speed > 0")
@@ -34,9 +34,10 @@ def _(spark, d):
     return rounded(frame(spark, d, "series").where("minute(ts) = 0").select("corridor", "date", "tod", "minutes", "id"))
 
 
-@query("F4_event_start", f"{cte('venue_events')} SELECT event_id, strftime(start, '%Y-%m-%d') || 'T19:00:00' AS start FROM venue_events")
+@query("F4_event_start", f"{cte('venue_events')} SELECT event_id, CASE WHEN event_id % 2 = 0 THEN strftime(start, '%Y-%m-%d') || 'T19:00:00' ELSE strftime(start, '%Y-%m-%dT%H:%M:%S') END AS start FROM venue_events")
 def _(spark, d):
-    return frame(spark, d, "venue_events").select("event_id", fn.event_start(F.date_format("start", "yyyy-MM-dd")).alias("start"))
+    told = F.when(F.col("event_id") % 2 == 0, F.date_format("start", "yyyy-MM-dd")).otherwise(F.date_format("start", "yyyy-MM-dd'T'HH:mm:ss"))
+    return frame(spark, d, "venue_events").select("event_id", fn.event_start(told).alias("start"))
 
 
 @query("F5_embedded_time", f"{cte('venue_events')} SELECT event_id, title AS bare, lpad(CAST((event_id % 12 + 1) % 12 + 12 AS STRING), 2, '0') || ':30' AS at FROM venue_events")
@@ -45,16 +46,21 @@ def _(spark, d):
     return frame(spark, d, "venue_events").select("event_id", fn.bare_title(titled).alias("bare"), fn.embedded_time(titled).alias("at"))
 
 
-@query("F8_clean_title", f"{cte('venue_events')} SELECT event_id, title FROM venue_events")
+@query("F8_clean_title", f"{cte('venue_events')} SELECT event_id, CASE event_id % 4 WHEN 2 THEN title || ' - Aug' WHEN 3 THEN title || ' 21' ELSE title END AS title FROM venue_events")
 def _(spark, d):
-    wrapped = F.concat(F.lit("/ 2026 - "), F.col("title"), F.lit(" - Aug 21 - Aug 22"))
+    """Dates at either end go; a month without a day and a number without a month stay."""
+    t = F.col("title")
+    wrapped = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("/ 2026 - "), t, F.lit(" - Aug 21 - Aug 22"))).when(F.col("event_id") % 4 == 1, F.concat(t, F.lit(" – September 3"))).when(F.col("event_id") % 4 == 2, F.concat(t, F.lit(" - Aug"))).otherwise(F.concat(t, F.lit(" 21")))
     return frame(spark, d, "venue_events").select("event_id", fn.clean_title(wrapped).alias("title"))
 
 
-@query("F9_local_time", f"{cte('venue_events')} SELECT event_id, strftime(start - INTERVAL 8 HOUR, '%Y-%m-%dT%H:%M:%S') AS local FROM venue_events")
+@query("F9_local_time", f"""{cte('venue_events')}, e AS (SELECT event_id, start + to_days(CAST(event_id % 12 * 30 AS INTEGER)) AS s FROM venue_events), z AS (SELECT *, CASE event_id % 4 WHEN 1 THEN s - INTERVAL 2 HOUR WHEN 2 THEN s + INTERVAL 450 MINUTE ELSE s END AS utc FROM e)
+SELECT event_id, strftime(CASE WHEN event_id % 4 = 3 THEN s WHEN utc >= TIMESTAMP '2024-03-10 10:00:00' AND utc < TIMESTAMP '2024-11-03 09:00:00' THEN utc - INTERVAL 7 HOUR ELSE utc - INTERVAL 8 HOUR END, '%Y-%m-%dT%H:%M:%S') AS local FROM z""")
 def _(spark, d):
-    """January is standard time, eight hours behind UTC."""
-    return frame(spark, d, "venue_events").select("event_id", fn.to_local(F.concat(F.date_format("start", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).alias("local"))
+    """All months, so summer time too; stamps in UTC, with offsets of either form, and without one."""
+    s = F.col("start") + F.make_dt_interval((F.col("event_id") % 12 * 30).cast("int"))
+    zone = F.when(F.col("event_id") % 4 == 0, "Z").when(F.col("event_id") % 4 == 1, "+02:00").when(F.col("event_id") % 4 == 2, "-0730").otherwise("")
+    return frame(spark, d, "venue_events").select("event_id", fn.to_local(F.concat(F.date_format(s, "yyyy-MM-dd'T'HH:mm:ss"), zone)).alias("local"))
 
 
 @query("F13_angle_between", f"{cte('stations')} SELECT CAST(sensor_id AS BIGINT) AS sensor_id, round(least(abs(a - b) % 360, 360 - abs(a - b) % 360), 4) AS angle FROM (SELECT sensor_id, CAST(sensor_id * 53 % 360 AS DOUBLE) AS a, CAST(sensor_id * 131 % 360 AS DOUBLE) AS b FROM stations)")
@@ -194,11 +200,15 @@ def _(spark, d):
     return _settled(routing.price(routes, routing.all_day(routes)))
 
 
-@query("F24_minutes_at_mile", f"""{_TRAVEL}, m AS (SELECT corridor, min(raw_minutes) AS a, max(raw_minutes) AS b, max(mi) AS mi FROM tt GROUP BY corridor) SELECT corridor, round(a + (mi / 2) / mi * (b - a), 4) AS minutes FROM m""")
+@query("F24_minutes_at_mile", f"""{_SPANS}, marks AS (SELECT route_id, seq, cum_mi, cum_mi * 2 + seq * 0.1 AS minutes FROM vert), a AS (SELECT route_id, span_no, (s + e) / 2 AS mile FROM spans),
+b AS (SELECT a.*, max(m.seq) FILTER (WHERE cum_mi <= mile) AS lo, min(m.seq) FILTER (WHERE cum_mi >= mile) AS hi FROM a JOIN marks m USING (route_id) GROUP BY ALL)
+SELECT CAST(b.route_id AS BIGINT) AS route_id, CAST(span_no AS BIGINT) AS span_no, round(round(x.minutes + CASE WHEN y.cum_mi > x.cum_mi THEN (mile - x.cum_mi) / (y.cum_mi - x.cum_mi) ELSE 0 END * (y.minutes - x.minutes), 9), 4) AS minutes
+FROM b JOIN marks x ON x.route_id = b.route_id AND x.seq = b.lo JOIN marks y ON y.route_id = b.route_id AND y.seq = b.hi""")
 def _(spark, d):
-    tt = corridor.travel_time(frame(spark, d, "readings"), _members(spark, d))
-    mi = F.max(F.lit(1.0))
-    return rounded(tt.groupBy("corridor").agg(fn.interpolated(mi / 2, F.lit(0.0), F.min("raw_minutes"), mi, F.max("raw_minutes")).alias("minutes")))
+    """Minutes at the middle of every span, between the marks of the route's vertices."""
+    marks = _vertices(spark, d).select("route_id", F.col("cum_mi").alias("mile"), (F.col("cum_mi") * 2 + F.col("seq") * 0.1).alias("minutes"))
+    asked = _spans(spark, d).select("route_id", "span_no", ((F.col("start_mi") + F.col("end_mi")) / 2).alias("mile"))
+    return _settled(routing.minutes_at(asked, marks).select("route_id", "span_no", "minutes"), 4)
 
 
 @query("A26_route_coverage", f"{_ALL_DAY} SELECT CAST(route_id AS BIGINT) AS route_id, round(avg(fm / mi), 3) AS measured_share, max(n) AS stations, round(avg(total), 3) AS minutes FROM priced WHERE route_id IN (SELECT route_id FROM matched) GROUP BY route_id")

@@ -217,10 +217,12 @@ def _(spark, d):
     return spatial.occupied_cells(frame(spark, d, "stations"))
 
 
-@query("F30_coordinate_dedupe", f"{cte('ways')} SELECT count(*) AS n, count(DISTINCT (round(lat, 2), round(lon, 2), highway)) AS kept FROM ways")
+@query("F30_coordinate_dedupe", f"{cte('ways')} SELECT min(way_id) AS way_id, count(*) AS n FROM ways GROUP BY round(lat, 4), round(lon, 4), lower(left(concat(highway, ' Street Number ', coalesce(tag, '')), 24))")
 def _(spark, d):
-    w = frame(spark, d, "ways").withColumns({"a": F.round("lat", 2), "b": F.round("lon", 2)})
-    return w.agg(F.count("*").alias("n")).join(F.broadcast(w.dropDuplicates(["a", "b", "highway"]).agg(F.count("*").alias("kept"))))
+    """One place of those that agree in rounded coordinates and the first 24 letters of the name."""
+    name = F.concat("highway", F.lit(" Street Number "), F.coalesce("tag", F.lit("")))
+    key = [c.alias(n) for n, c in fn.place_key(F.col("lat"), F.col("lon"), name).items()]
+    return frame(spark, d, "ways").select("way_id", *key).groupBy("key_lat", "key_lon", "key_name").agg(F.min("way_id").alias("way_id"), F.count("*").alias("n")).select("way_id", "n")
 
 
 _PROFILE = "profile AS (SELECT station, dow, tod, avg(speed) AS seasonal_speed, stddev_pop(speed) AS seasonal_sd FROM readings WHERE pct_observed >= 20 GROUP BY station, dow, tod HAVING count(*) >= 4)"
@@ -476,6 +478,16 @@ def _(spark, d):
     return rounded(_matched(spark, d))
 
 
+@query("J11_heading_matched", f"""{_VERTICES}, ro AS (SELECT route_id, seq, lat, lon, coalesce(nla, lat) AS la2, coalesce(nlo, lon) AS lo2, CASE WHEN nla IS NULL THEN pla ELSE lat END AS la1, CASE WHEN nla IS NULL THEN plo ELSE lon END AS lo1 FROM leg),
+rh AS (SELECT route_id, seq, lat, lon, ({_BEARING} + 720) % 360 AS heading FROM ro), n AS (SELECT sensor_id, lat, lon, dir, coalesce(lag(lat) {_W}, lat) AS la1, coalesce(lag(lon) {_W}, lon) AS lo1, coalesce(lead(lat) {_W}, lat) AS la2, coalesce(lead(lon) {_W}, lon) AS lo2 FROM stations),
+b AS (SELECT sensor_id, lat, lon, CASE WHEN la1 = la2 AND lo1 = lo2 THEN CASE dir WHEN 'N' THEN 0 WHEN 'E' THEN 90 WHEN 'S' THEN 180 ELSE 270 END WHEN dir IN ('S', 'W') THEN ({_BEARING} + 900) % 360 ELSE ({_BEARING} + 720) % 360 END AS bearing FROM n),
+near AS (SELECT v.route_id, sensor_id, v.seq, cum_mi, sqrt(pow((b.lat - v.lat) * 69, 2) + pow((b.lon - v.lon) * 54.6, 2)) AS off, abs(heading - bearing) AS turn FROM vert v JOIN rh ON rh.route_id = v.route_id AND rh.seq = v.seq, b),
+m AS (SELECT *, row_number() OVER (PARTITION BY route_id, sensor_id ORDER BY off, seq) AS k FROM near WHERE off <= 0.5 AND least(turn, 360 - turn) <= 65)
+SELECT CAST(route_id AS BIGINT) AS route_id, CAST(sensor_id AS BIGINT) AS sensor_id, round(cum_mi, 4) AS along_mi, round(off, 4) AS off_mi FROM m WHERE k = 1""")
+def _(spark, d):
+    return rounded(spatial.match_routes(_vertices(spark, d), spatial.station_bearings(frame(spark, d, "stations")), tolerance_mi=0.5))
+
+
 _SPANS = f"""{_MATCH}, routes AS (SELECT route_id, max(cum_mi) AS route_mi FROM vert GROUP BY route_id),
 nx AS (SELECT m.route_id, sensor_id, along_mi AS s, coalesce(lead(along_mi) OVER (PARTITION BY m.route_id ORDER BY along_mi, sensor_id), route_mi) AS e FROM matched m JOIN routes USING (route_id)),
 al AS (SELECT route_id, CASE WHEN e - s > 2.5 THEN 'surface' ELSE 'freeway' END AS kind, s, e, CASE WHEN e - s <= 2.5 THEN sensor_id END AS sensor_id FROM nx
@@ -639,17 +651,28 @@ def _raw_events(spark, d):
     )
 
 
-@query("X3_normalize_events")
+_RAW = f"""{cte('venue_events')}, raw AS (SELECT event_id, venue, CAST(start AS DATE) AS day, strftime(start, '%Y-%m-%dT%H:%M:%S') AS stamp, event_id % 3 = 0 AS has, title, strftime(start - INTERVAL 10 DAY, '%Y-%m-%dT%H:%M:%S') AS captured_at,
+  CASE WHEN event_id % 5 = 0 THEN 'embedded' WHEN event_id % 7 = 0 THEN 'cancelled' WHEN event_id % 11 = 0 THEN 'non_event' ELSE 'plain' END AS what, minute(start) % 5 = 0 AND NOT (hour(start) = 0 AND minute(start) = 0) AS plausible FROM venue_events),
+cl AS (SELECT venue, day, title, captured_at, lower(replace(title, ' ', '')) AS key, what = 'embedded' AND NOT has AS recovered, has AND NOT plausible AS demoted, (has AND plausible) OR (what = 'embedded' AND NOT has) AS timed,
+  CASE WHEN has AND plausible THEN stamp WHEN what = 'embedded' AND NOT has THEN strftime(day, '%Y-%m-%d') || 'T19:30:00' ELSE strftime(day, '%Y-%m-%d') END AS start FROM raw WHERE what IN ('embedded', 'plain')),
+o AS (SELECT *, row_number() OVER (PARTITION BY venue, day, key ORDER BY captured_at, title, start) AS k, count(*) OVER (PARTITION BY venue, day, key) AS n, first_value(CASE WHEN timed THEN start END IGNORE NULLS) OVER (PARTITION BY venue, day, key ORDER BY captured_at, title, start ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS lent FROM cl),
+x3 AS (SELECT venue, title, CASE WHEN NOT timed AND lent IS NOT NULL THEN lent ELSE start END AS start, timed OR lent IS NOT NULL AS has_time, captured_at, n AS observations FROM o WHERE k = 1)"""
+
+
+@query("X3_normalize_events", f"{_RAW} SELECT * FROM x3")
 def _(spark, d):
     return events.normalize(_raw_events(spark, d))[0]
 
 
-@query("A23_normalizer_reasons")
+@query("A23_normalizer_reasons", f"""{_RAW} SELECT reason, CAST(rows AS BIGINT) AS rows FROM (VALUES ('in', (SELECT count(*) FROM raw)), ('non_event', (SELECT count(*) FROM raw WHERE what = 'non_event')), ('cancelled', (SELECT count(*) FROM raw WHERE what = 'cancelled')),
+('time_recovered', (SELECT count(*) FROM cl WHERE recovered)), ('time_demoted', (SELECT count(*) FROM cl WHERE demoted)), ('deduped', (SELECT sum(observations) - count(*) FROM x3)), ('out', (SELECT count(*) FROM x3))) t(reason, rows)""")
 def _(spark, d):
     return events.normalize(_raw_events(spark, d))[1]
 
 
-@query("J17_merge_league")
+@query("J17_merge_league", f"""{_RAW}, g AS (SELECT venue, left(start, 10) AS day, min(start) AS start, min_by(title, (start, title)) AS title FROM (SELECT venue, strftime(date_trunc('hour', start), '%Y-%m-%dT%H:%M:%S') AS start, title FROM venue_events) GROUP BY 1, 2)
+SELECT c.venue, c.title, CASE WHEN NOT has_time AND g.start IS NOT NULL THEN g.start ELSE c.start END AS start, has_time OR g.start IS NOT NULL AS has_time, CASE WHEN has_time THEN 'crawl' WHEN g.start IS NOT NULL THEN 'league' END AS time_source FROM x3 c LEFT JOIN g ON g.venue = c.venue AND g.day = left(c.start, 10)
+UNION ALL SELECT venue, title, start, true, 'league' FROM g WHERE NOT EXISTS (SELECT 1 FROM x3 c WHERE c.venue = g.venue AND left(c.start, 10) = g.day)""")
 def _(spark, d):
     clean, _ = events.normalize(_raw_events(spark, d))
     games = frame(spark, d, "venue_events").select("venue", F.date_format(F.date_trunc("HOUR", "start"), "yyyy-MM-dd'T'HH:mm:ss").alias("start"), F.col("title"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roadtide.functions import columns as fn
 from roadtide.operators import asof, corridor, events, publish, routing, seasonal, spatial
 from roadtide.plans.demo import cte, frame
-from roadtide.plans.queries import _ALL_DAY, _PRICE, _W, _matched, _members, _profile, _settled, _spans, _speeds, query, rounded
+from roadtide.plans.queries import _ALL_DAY, _PRICE, _W, _matched, _members, _profile, _settled, _spans, _speeds, _vertices, query, rounded
 from roadtide.session import scratch_dir
 from roadtide.sources import readers
 from roadtide.streaming import ingest
@@ -103,9 +103,18 @@ def _(spark, d):
     return frame(spark, d, "probes").where("ts between timestamp_ntz'2024-01-05 00:00:00' and timestamp_ntz'2024-01-12 00:00:00'").select("row_id")
 
 
-@query("P17_segment_projection", _PRICE + " SELECT CAST(route_id AS BIGINT) AS route_id, CAST(span_no AS BIGINT) AS span_no, kind, round(miles, 4) AS miles, CAST(sensor_id AS BIGINT) AS sensor_id FROM sp")
+@query("P17_segment_projection", _PRICE + """, seg AS (SELECT f.route_id, f.depart, f.span_no, x.kind, x.miles, x.sensor_id, f.t, f.t - p.t AS minutes, f.fm > p.fm AS known FROM fold f JOIN fold p ON p.route_id = f.route_id AND p.depart = f.depart AND p.span_no = f.span_no - 1 JOIN sp x ON x.route_id = f.route_id AND x.span_no = f.span_no)
+SELECT CAST(route_id AS BIGINT) AS route_id, CAST(depart AS BIGINT) AS depart, CAST(span_no AS BIGINT) AS span_no, kind, round(miles, 3) AS miles, round(miles / minutes * 60, 3) AS mph, round(minutes, 3) AS minutes, strftime(TIMESTAMP '2026-08-01 00:00:00' + to_seconds(CAST(round(t * 60) AS BIGINT)), '%Y-%m-%dT%H:%M:%S') AS arrive,
+  NOT known AS estimate, CAST(seg.sensor_id AS BIGINT) AS sensor_id, CAST(fwy AS BIGINT) AS freeway, dir AS direction, round(s.lat, 3) AS lat, round(s.lon, 3) AS lon FROM seg LEFT JOIN stations s ON s.sensor_id = seg.sensor_id""")
 def _(spark, d):
-    return rounded(_spans(spark, d).select("route_id", "span_no", "kind", (F.col("end_mi") - F.col("start_mi")).alias("miles"), "sensor_id"))
+    """The segments of every priced route as they are served: nulls kept, arrival as an ISO time."""
+    spans = _spans(spark, d)
+    routes = routing.priced_spans(spans, _speeds(spark, d))
+    departures = routes.select("route_id", F.explode(F.sequence(F.lit(360), F.lit(1140), F.lit(60))).alias("depart"))
+    st = frame(spark, d, "stations").select("sensor_id", F.col("fwy").alias("freeway"), F.col("dir").alias("direction"), "lat", "lon")
+    rows = routing.segments(routes, departures).join(spans.select("route_id", "span_no", "sensor_id"), ["route_id", "span_no"]).join(st, "sensor_id", "left")
+    at = F.lit("2026-08-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.round(F.col("arrive") * 60))
+    return _settled(rows.withColumn("arrive", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")))
 
 
 @query("A16_route_composition", f"""{cte('stations', 'readings')}, s AS (SELECT *, coalesce(lead(abs_pm) {_W} - abs_pm, abs_pm - lag(abs_pm) {_W}, length, 0.5) AS spacing FROM stations), m AS (SELECT concat('c', CAST(fwy AS STRING), dir) AS slug, sensor_id, spacing FROM s WHERE type = 'ML'),
@@ -138,12 +147,26 @@ def _(spark, d):
     return routing.way_links(frame(spark, d, "ways"), known).select("way_id", F.col("station").cast("bigint").alias("station"), F.round("weight", 3).alias("weight"))
 
 
-@query("R13_week_product")
+_SPACED = f"""s AS (SELECT *, coalesce(lead(abs_pm) {_W} - abs_pm, abs_pm - lag(abs_pm) {_W}, length, 0.5) AS spacing FROM stations), m AS (SELECT concat('c', CAST(fwy AS STRING), dir) AS slug, sensor_id, spacing FROM s WHERE type = 'ML'), t AS (SELECT slug, sum(spacing) AS total FROM m GROUP BY slug)"""
+
+
+@query("R13_week_product", f"""{cte('stations', 'readings')}, {_SPACED}, c AS (SELECT m.slug AS corridor, ts, sum(spacing / speed * 60) * max(total) / sum(spacing) AS minutes, sum(spacing / base * 60) * max(total) / sum(spacing) AS typical, sum(spacing) / max(total) AS coverage
+  FROM readings JOIN m ON station = sensor_id JOIN t ON t.slug = m.slug WHERE speed > 0 AND spacing > 0 AND date >= DATE '1996-01-08' AND date < DATE '1996-01-15' GROUP BY 1, 2)
+SELECT corridor, round(max(total), 1) AS miles, round(round(avg(coverage) * 100, 9), 1) AS coverage_pct, list(strftime(ts, '%Y-%m-%dT%H:%M:%S') ORDER BY ts) AS at, list(round(round(minutes, 9), 1) ORDER BY ts) AS minutes, list(round(round(typical, 9), 1) ORDER BY ts) AS typical FROM c JOIN t ON slug = corridor GROUP BY corridor""")
+def _(spark, d):
+    """A week of each corridor: minutes and typical minutes by time, miles, and the share of it that its detectors cover."""
+    st = corridor.spacing(frame(spark, d, "stations")).where("type = 'ML'").select(F.concat(F.lit("c"), F.col("fwy").cast("string"), F.col("dir")).alias("slug"), "sensor_id", "spacing")
+    live = frame(spark, d, "readings").where("date >= '1996-01-08' and date < '1996-01-15'").join(st.where("spacing <= 0").select(F.col("sensor_id").alias("station")), "station", "left_anti")
+    week = corridor.compose(live, st, {"minutes": "speed", "typical": "base"})
+    return publish.week_product(week).join(st.groupBy(F.col("slug").alias("corridor")).agg(F.round(F.sum("spacing"), 1).alias("miles")), "corridor")
+
+
+@query("R11_governed_chunks")
 def _(spark, d):
-    """Corridor week: dense arrays of minutes by slot of day, with the coverage of the detectors."""
-    tt = corridor.travel_time(frame(spark, d, "readings"), _members(spark, d)).withColumn("slot", fn.slot_of(fn.tod(F.col("ts"))))
-    dense = publish.dense_slots(tt, "corridor", "slot", "minutes", 96)
-    return dense.join(tt.groupBy("corridor").agg(F.round(F.avg("coverage") * 100, 1).alias("coverage_pct")), "corridor")
+    """Lines cut into chunks, each with the station that governs it."""
+    lines = _vertices(spark, d).groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lon"))).alias("p"))
+    chunks = routing.chunk_line(lines.select(F.col("route_id").alias("way_id"), F.transform("p", lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon"))).alias("points")))
+    return rounded(routing.governed_chunks(chunks, spatial.station_bearings(frame(spark, d, "stations"))))
 
 
 @query("M14_event_labels", f"""{cte('probes', 'venue_events')}, h AS (SELECT p.row_id, p.ts, e.event_id, e.start, e.title, p.venue, date_sub('microsecond', e.start, p.ts) / 3600000000.0 AS h FROM probes p JOIN venue_events e ON p.venue = e.venue),
