@@ -73,7 +73,8 @@ def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     buckets, of = subwords(list(counts.index))
     ids, at = np.unique(buckets, return_inverse=True)
     weights = np.bincount(at, weights=counts.to_numpy()[of])
-    return ids, (weights / weights.sum()).astype(np.float32)
+    # Two bytes hold a bucket's number, so the sample's bags stay small.
+    return ids.astype(np.uint16), (weights / weights.sum()).astype(np.float32)
 
 
 class Model:
