@@ -6,9 +6,10 @@
    smallest ids stay: no more can be among a query's k best.
 2. The scan: cells and queries are dealt into blocks by a hash of their id, and
    each pair of blocks is one group of a cogroup. One matrix product gives the
-   middle of every score's bounds, the query's size times the cell's width the
-   rest. A block keeps what its kth lower bound does not rule out, and the kth
-   lower bound over all blocks rules out more.
+   middle of every score's bounds; the rest is the lesser of the query's sum
+   times half the cell's width and of the query's length times that of what the
+   cells leave out. A block keeps what its kth lower bound does not rule out,
+   ties by id included, and the kth lower bound over all blocks rules out more.
 3. Exact vectors are fetched for what is left, and read in the order of the
    bounds until the kth best score is above the next bound, so it is certain.
 
@@ -56,7 +57,7 @@ def _hashed(vectors: DataFrame) -> DataFrame:
 
 
 def cells(vectors: DataFrame) -> DataFrame:
-    """DataFrame[id, h1, h2, width double, cells binary]: component i lies within half a width of cells[i] * width."""
+    """DataFrame[id, h1, h2, width double, rest double, cells binary]: component i lies within half a width of cells[i] * width, and the vector within rest."""
 
     def encode(batches):
         for batch in batches:
@@ -66,15 +67,16 @@ def cells(vectors: DataFrame) -> DataFrame:
             for v in batch["v"]:
                 x = np.asarray(v, np.float64)
                 width = (np.abs(x).max() if len(x) else 0.0) / CELLS or 1.0
-                rows.append((width, np.rint(x / width).astype(np.int8).tobytes()))
-            yield batch[["id", "h1", "h2"]].assign(width=[w for w, _ in rows], cells=[c for _, c in rows])
+                cell = np.rint(x / width)
+                rows.append((width, float(np.linalg.norm(x - cell * width)) * (1 + 1e-9), cell.astype(np.int8).tobytes()))
+            yield batch[["id", "h1", "h2"]].assign(width=[r[0] for r in rows], rest=[r[1] for r in rows], cells=[r[2] for r in rows])
 
-    return _hashed(vectors).mapInPandas(encode, "id long, h1 long, h2 long, width double, cells binary")
+    return _hashed(vectors).mapInPandas(encode, "id long, h1 long, h2 long, width double, rest double, cells binary")
 
 
 def distinct_cells(file: DataFrame, k: int) -> DataFrame:
     """The file with one row an id, and of equal vectors the k + 1 smallest ids."""
-    own = file.groupBy("id").agg(F.min(F.struct("h1", "h2", "width", "cells")).alias("c")).select("id", "c.*")
+    own = file.groupBy("id").agg(F.min(F.struct("h1", "h2", "width", "rest", "cells")).alias("c")).select("id", "c.*")
     return own.withColumn("n", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))).where(F.col("n") <= k + 1).drop("n")
 
 
@@ -90,14 +92,14 @@ def block_bounds(queries: pd.DataFrame, data: pd.DataFrame, k: int) -> pd.DataFr
     """query_id, vec_id, h1, h2, lower, upper of the pairs that the block's own kth lower bounds do not rule out."""
     dims = max([1, *queries["v"].map(len), *data["cells"].map(len)])
     own, q = queries["id"].to_numpy(np.int64), _padded(list(queries["v"]), None, dims)
-    ids, width, codes = data["id"].to_numpy(np.int64), data["width"].to_numpy(), list(data["cells"])
-    size = np.abs(q).sum(axis=1)
+    ids, width, rest, codes = data["id"].to_numpy(np.int64), data["width"].to_numpy(), data["rest"].to_numpy(), list(data["cells"])
+    size, length = np.abs(q).sum(axis=1), np.linalg.norm(q, axis=1) * (1 + 1e-9)
     least, found = np.full(len(q), -np.inf), []
     for a in range(0, len(ids), SCAN):
         x, w = _padded(codes[a : a + SCAN], np.int8, dims), width[a : a + SCAN]
         middle = (q @ x.T) * w
-        # Half a cell in every dimension, and the rounding of all these sums.
-        reach = size[:, None] * w * (0.5 + CELLS * (dims + 8) * 2.0**-52)
+        # What the cells leave out, and the rounding of all these sums.
+        reach = np.minimum(size[:, None] * w * 0.5, length[:, None] * rest[a : a + SCAN]) + size[:, None] * w * (CELLS * (dims + 8) * 2.0**-52)
         lower, upper = middle - reach, middle + reach
         self_ = own[:, None] == ids[a : a + SCAN]
         lower[self_], upper[self_] = -np.inf, -np.inf
@@ -107,7 +109,16 @@ def block_bounds(queries: pd.DataFrame, data: pd.DataFrame, k: int) -> pd.DataFr
         i, j = np.nonzero((upper >= least[:, None]) & ~self_)
         found.append((i, j + a, lower[i, j], upper[i, j]))
     i, j, lower, upper = map(np.concatenate, zip(*found, strict=True))
-    stay = upper >= least[i]
+    if not len(i):
+        return pd.DataFrame({c: [] for c in ("query_id", "vec_id", "h1", "h2", "lower", "upper")})
+    # The kth of the lower bounds, equal ones by id: what reaches no further and has a larger id is ruled out too.
+    order = np.lexsort((ids[j], -lower, i))
+    first = np.searchsorted(i[order], np.arange(len(q)))
+    kth = first + k - 1
+    full = (kth < len(order)) & (i[order[np.minimum(kth, len(order) - 1)]] == np.arange(len(q)))
+    at = order[np.minimum(kth, len(order) - 1)]
+    low, who = np.where(full, lower[at], -np.inf), ids[j[at]]
+    stay = (upper > low[i]) | ((upper == low[i]) & (ids[j] <= who[i])) | ~full[i]
     i, j = i[stay], j[stay]
     return pd.DataFrame({"query_id": own[i], "vec_id": ids[j], "h1": data["h1"].to_numpy()[j], "h2": data["h2"].to_numpy()[j], "lower": lower[stay], "upper": upper[stay]})
 
@@ -155,9 +166,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, data_block: int
         return block_bounds(some, data, k)
 
     bounds = left.groupBy("d", "q").cogroup(right.groupBy("d", "q")).applyInPandas(scan, schema)
-    ranked = bounds.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lower"))))
-    least = F.max(F.when(F.col("n") == k, F.col("lower"))).over(Window.partitionBy("query_id"))
-    open_ = ranked.withColumn("least", least).where("least is null or upper >= least").drop("n", "least")
+    ranked = bounds.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lower"), "vec_id")))
+    kth = F.max(F.when(F.col("n") == k, F.struct("lower", "vec_id"))).over(Window.partitionBy("query_id"))
+    open_ = ranked.withColumn("kth", kth).where("kth is null or upper > kth.lower or (upper = kth.lower and vec_id <= kth.vec_id)").drop("n", "kth")
     exact = _hashed(vectors).withColumnRenamed("id", "vec_id")
     read = open_.join(exact, ["vec_id", "h1", "h2"]).join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("asked")), "query_id")
     return read.select("query_id", "asked", "vec_id", "upper", "v").groupBy("query_id").applyInPandas(lambda rows: certain_top(rows, k), "query_id long, rank int, vec_id long, score long")

@@ -76,6 +76,15 @@ def test_top_k_with_one_very_common_vector(spark):
     assert va_topk.distinct_cells(va_topk.cells(v), 5).where("cells is not null").count() <= 8 * 6
 
 
+def test_a_query_that_scores_all_alike_keeps_few(spark):
+    import pandas as pd
+
+    rows = [(i, [float(i), 1.0, -float(i % 11)]) for i in range(500)]
+    v = va_topk.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    asked = pd.DataFrame({"id": [7], "v": [[0, 0, 0]]})
+    assert va_topk.block_bounds(asked, va_topk.cells(v).toPandas(), 5)["vec_id"].tolist() == [0, 1, 2, 3, 4]
+
+
 # Quality
 
 
