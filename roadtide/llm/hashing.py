@@ -9,7 +9,7 @@ import pandas as pd
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Characters of text that are worked on at once.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -40,7 +40,7 @@ MAX_ROW, MAX_OUT = 1.0, 10.0
 REJECT = 0.001
 UND = "und"
 #: Characters of text that are worked on at once.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 _PRIME, _MIX = np.uint64(1099511628211), np.uint64(0x9E3779B97F4A7C15)
 
 
