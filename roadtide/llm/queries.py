@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadtide.llm import bpe, lang_id, minhash_bbit, pii_boost, sparse_suffix, va_topk, warc_shards
+from roadtide.llm import bpe, lang_id, merkle_manifest, minhash_bbit, pii_boost, sparse_suffix, va_topk, warc_shards
 from roadtide.llm import line_dedup as line_dedup_
 from roadtide.llm import poisson_mix as poisson_mix_
 from roadtide.llm import quality_llr as quality_llr_
@@ -149,11 +149,20 @@ FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >=
 """
 
 
+def op13_merkle_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of all documents, climbed by each; of every second one the line feeds were taken out since."""
+    cut = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle_manifest.verify(table(spark, sf_dir, "documents"), "source", "doc_id", ["doc_id", "source", "lang", "n_chars", "text"], {"text": cut})
+
+
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_va_topk, op2_quality_llr, op3_poisson_mix, op4_lang_id, op5_bpe, op6_line_dedup, op7_minhash_bbit, op8_sparse_suffix, op9_pii_boost, op10_warc_shards)
-    }
+        for f in (
+            op1_va_topk, op2_quality_llr, op3_poisson_mix, op4_lang_id, op5_bpe, op6_line_dedup, op7_minhash_bbit, op8_sparse_suffix, op9_pii_boost, op10_warc_shards,
+            op13_merkle_climb,
+        )
+    }
 
 
 def oracle_sql() -> dict:
