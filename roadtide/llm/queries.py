@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadtide.llm import bpe, lang_id, merkle_manifest, minhash_bbit, pii_boost, sparse_suffix, va_topk, warc_shards
+from roadtide.llm import bpe, chat_format, lang_id, merkle_manifest, minhash_bbit, pii_boost, prefix_trie, sparse_suffix, va_topk, warc_shards
 from roadtide.llm import line_dedup as line_dedup_
 from roadtide.llm import poisson_mix as poisson_mix_
 from roadtide.llm import quality_llr as quality_llr_
@@ -149,6 +149,20 @@ FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >=
 """
 
 
+def op11_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that is full of control strings, formatted and read back."""
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    return chat_format.digest(rows.select("conv_id", "turn", "role", chat_format.text_content(F.col("text")).alias("content")))
+
+
+def op12_splitter_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each begun with turns of the one that heads its twenty."""
+    own = saved(prefix_trie.paths(table(spark, sf_dir, "conversations")), "trie-own")
+    return prefix_trie.trie(prefix_trie.with_shared_heads(own))
+
+
 def op13_merkle_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest of all documents, climbed by each; of every second one the line feeds were taken out since."""
     cut = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
@@ -160,7 +174,7 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             op1_va_topk, op2_quality_llr, op3_poisson_mix, op4_lang_id, op5_bpe, op6_line_dedup, op7_minhash_bbit, op8_sparse_suffix, op9_pii_boost, op10_warc_shards,
-            op13_merkle_climb,
+            op11_chat_parts, op12_splitter_trie, op13_merkle_climb,
         )
     }
 
