@@ -1,9 +1,10 @@
 """Merkle manifest of a dataset: a tree of hashes in every group, one over the groups, and a recursive climb that proves each row.
 
 Rows are hashed where they lie, so texts never move. The hashes are ranged by (group, key), which gives each its place in its group
-from counts of the ranges; a group of any size is spread over as many tasks as its rows need. Levels are built bottom up, each a
-third of the one below, and stored as runs: a run is an inner node with the hashes of its children and the link to its own parent.
-A recursive query then ascends from every leaf, appends the siblings that it meets, and folds the hash that the leaf has now.
+from counts of the ranges; a group of any size is spread over as many tasks as its rows need. The tree is built bottom up, three
+levels at a time, and stored as blocks: the hashes of up to 27 nodes and of the two levels over them, with the hash that comes out
+and the link to the block above. A recursive query then ascends from every leaf, appends the siblings that it meets, and folds the
+hash that the leaf has now. Spark shuffles all rows in each round of a recursion; blocks make three levels one round.
 
 Cases: a null value is hashed as a value of its own; a null group is a group and comes first; rows without key come first in their
 group; rows that share a key are ordered by hash, equal ones are leaves of their own; a group of one row is its own subroot, an only
@@ -15,7 +16,7 @@ from __future__ import annotations
 import contextlib
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,21 +25,24 @@ from roadtide.llm.common import saved, shared_dir, small_enough
 
 #: Children of a node.
 ARITY = 3
-#: Runs of the upper levels that are broadcast to the climb; the levels below are joined by a shuffle.
-MAX_BROADCAST = 20_000
+#: Levels of a block.
+HEIGHT = 3
+WIDTH = ARITY**HEIGHT
+#: Blocks of the upper levels that are broadcast to the climb, and rows of the table of cuts; below and beyond, joins shuffle.
+MAX_BROADCAST = 8_000
 #: Number of the tree over the groups.
 TOP = -1
 
 
 @dataclass(frozen=True)
 class Manifest:
-    """leaves: at (long, unique), the rows' own columns, and the link to the first run (tree, level, run, place; null for an only leaf).
-    runs: tree, level, run, kids (hashes), hash, and the link p_tree, p_level, p_run, place (null for the root).
-    sizes: runs at each level, lowest first; the tree over the groups counts above all others.
+    """leaves: at (long, unique), the rows' own columns, and the link to the first block (tree, level, block, place; null for an only leaf).
+    blocks: tree, level, block, levels (arrays of hashes, lowest first), hash, and the link p_tree, p_level, p_block, place (null for the root).
+    sizes: blocks at each level, lowest first; the tree over the groups counts above all others.
     """
 
     leaves: DataFrame
-    runs: DataFrame
+    blocks: DataFrame
     root: str | None
     sizes: list[int]
 
@@ -70,17 +74,28 @@ def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     return joined.withColumn("pos", F.col("at") - F.col("__first") + F.col("__before")).drop("__range", "__group", "__first", "__before")
 
 
+def _above(hashes) -> F.Column:
+    """Hashes of the nodes over these: one for each run of ARITY."""
+    run = lambda i: F.slice(hashes, i * ARITY + 1, ARITY)
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(hashes) - 1) / ARITY).cast("int")), lambda i: F.sha2(F.array_join(run(i), ""), 256))
+
+
 def _levels(nodes: DataFrame, path: str, most: int) -> tuple[DataFrame | None, list[int]]:
-    """Runs over nodes (tree, n, pos, hash), n the nodes of the tree and most the largest n, level by level until each tree has one."""
+    """Blocks over nodes (tree, n, pos, hash), n the nodes of the tree and most the largest n, until each tree has one node."""
     spark, k, sizes = nodes.sparkSession, 0, []
     while most > 1:
-        k, most = k + 1, -(-most // ARITY)
-        kids = F.array_sort(F.collect_list(F.struct((F.col("pos") % ARITY).alias("i"), "hash")))["hash"]
-        runs = nodes.where("n > 1").groupBy("tree", F.ceil(F.col("n") / ARITY).alias("n"), F.floor(F.col("pos") / ARITY).alias("run")).agg(kids.alias("kids"))
-        runs.select("tree", F.lit(k).alias("level"), "run", "n", "kids", F.sha2(F.array_join("kids", ""), 256).alias("hash")).write.parquet(f"{path}/level={k}")
+        k, most = k + 1, -(-most // WIDTH)
+        kids = F.array_sort(F.collect_list(F.struct((F.col("pos") % WIDTH).alias("i"), "hash")))["hash"]
+        blocks = nodes.where("n > 1").groupBy("tree", "n", F.floor(F.col("pos") / WIDTH).alias("block")).agg(kids.alias("l0"))
+        for j in range(1, HEIGHT + 1):  # a level more as long as the tree has several nodes
+            blocks = blocks.withColumn(f"l{j}", F.when(F.col("n") > ARITY ** (j - 1), _above(F.col(f"l{j - 1}"))))
+        done = [F.col(f"l{j}") for j in range(HEIGHT + 1)]
+        levels = F.slice(F.filter(F.array(*done), lambda x: x.isNotNull()), F.lit(1), F.size(F.filter(F.array(*done), lambda x: x.isNotNull())) - 1)
+        blocks = blocks.select("tree", F.lit(k).alias("level"), "block", F.ceil(F.col("n") / WIDTH).alias("n"), levels.alias("levels"), F.coalesce(*reversed(done))[0].alias("hash"))
+        blocks.write.parquet(f"{path}/level={k}")
         level = spark.read.parquet(f"{path}/level={k}")
         sizes.append(level.count())
-        nodes = level.select("tree", "n", F.col("run").alias("pos"), "hash")
+        nodes = level.select("tree", "n", F.col("block").alias("pos"), "hash")
     return (spark.read.parquet(*(f"{path}/level={i}" for i in range(1, k + 1))) if k else None), sizes
 
 
@@ -92,80 +107,88 @@ def build(rows: DataFrame, group: str, order: list[str], hashed: str = "leaf") -
     inner, sizes = _levels(leaves.select("tree", F.col("size").alias("n"), "pos", F.col(hashed).alias("hash")), f"{path}/inner", most)
     single = leaves.where("size = 1").select("tree", F.col(hashed).alias("hash"))
     subroots = single if inner is None else single.union(inner.where("n = 1").select("tree", "hash"))
-    over = subroots.select(F.lit(TOP).cast("long").alias("tree"), F.lit(groups).alias("n"), F.col("tree").alias("pos"), "hash")
+    over = subroots.select(F.lit(TOP).cast("long").alias("tree"), F.lit(groups).cast("long").alias("n"), F.col("tree").alias("pos"), "hash")
     top, more = _levels(over, f"{path}/top", groups)
     whole = top.where("n = 1") if top is not None else subroots
     root = whole.select("hash").first() if groups else None
     parts = [x for x in (inner, top) if x is not None]
-    runs = parts[0].unionByName(parts[-1]) if len(parts) > 1 else parts[0] if parts else spark.createDataFrame([], "tree long, level int, run long, n long, kids array<string>, hash string")
-    up = _link(F.col("tree"), F.col("level") + 1, F.col("run"), F.col("n"), groups)
-    runs = runs.select("tree", "level", "run", "kids", "hash", up.alias("up"))
-    runs = runs.select("tree", "level", "run", "kids", "hash", F.col("up.tree").alias("p_tree"), F.col("up.level").alias("p_level"), F.col("up.run").alias("p_run"), "up.place")
+    empty = "tree long, level int, block long, n long, levels array<array<string>>, hash string"
+    blocks = parts[0].unionByName(parts[-1]) if len(parts) > 1 else parts[0] if parts else spark.createDataFrame([], empty)
+    up = _link(F.col("tree"), F.col("level") + 1, F.col("block"), F.col("n"), groups)
+    links = (F.col("up.tree").alias("p_tree"), F.col("up.level").alias("p_level"), F.col("up.block").alias("p_block"), "up.place")
+    blocks = blocks.withColumn("up", up).select("tree", "level", "block", "levels", "hash", *links)
     link = _link(F.col("tree"), F.lit(1), F.col("pos"), F.col("size"), groups)
-    leaves = leaves.select("at", *rows.columns, link.alias("__up")).select("at", *rows.columns, *(F.col(f"__up.{c}").alias(c) for c in ("tree", "level", "run", "place")))
-    return Manifest(leaves, runs, root and root[0], [*sizes, *more])
+    leaves = leaves.select("at", *rows.columns, link.alias("__up")).select("at", *rows.columns, *(F.col(f"__up.{c}").alias(c) for c in LINK))
+    return Manifest(leaves, blocks, root and root[0], [*sizes, *more])
+
+
+#: What leads to a block, and to a place in its lowest level.
+LINK = ("tree", "level", "block", "place")
 
 
 def _link(tree, level, pos, n, groups: int) -> F.Column:
-    """The run above the node at pos of n on its level, and the node's place there; null above the root."""
+    """The block above the node at pos of n on its level, and the node's place there; null above the root."""
 
     def to(t, k, p) -> F.Column:
-        return F.struct(t.cast("long").alias("tree"), k.cast("int").alias("level"), F.floor(p / ARITY).alias("run"), (p % ARITY).cast("int").alias("place"))
+        return F.struct(t.cast("long").alias("tree"), k.cast("int").alias("level"), F.floor(p / WIDTH).alias("block"), (p % WIDTH).cast("int").alias("place"))
 
     above = F.when((tree != TOP) & F.lit(groups > 1), to(F.lit(TOP), F.lit(1), tree))
     return F.when(n > 1, to(tree, level, pos)).otherwise(above)
 
 
 @contextlib.contextmanager
-def _unlimited(spark: SparkSession) -> Iterator[None]:
-    """Recursive queries with any number of rows."""
-    key = "spark.sql.cteRecursionRowLimit"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "-1")
+def _recursion(spark: SparkSession, broadcast: bool) -> Iterator[None]:
+    """Recursive queries with any number of rows. A hint does not reach their rounds, so broadcast raises the size up to which a table is."""
+    wanted = {"spark.sql.cteRecursionRowLimit": "-1"} | ({"spark.sql.autoBroadcastJoinThreshold": "64m"} if broadcast else {})
+    before = {key: spark.conf.get(key) for key in wanted}
     try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
+#: A round of the climb: up through the levels of a block, with the siblings of each appended and the hash folded.
 CLIMB = """
 WITH RECURSIVE climb AS (
   SELECT * FROM {start}
   UNION ALL
-  SELECT {hint} {carried}
-         sha2(array_join(transform(r.kids, (k, i) -> if(i = c.place, c.folded, k)), ''), 256) AS folded,
-         concat(c.proof, unhex(array_join(filter(r.kids, (k, i) -> i <> c.place), ''))) AS proof,
-         if(r.tree = -1 AND r.level = 1, r.kids[c.place], c.subroot) AS subroot,
-         r.p_tree AS tree, r.p_level AS level, r.p_run AS run, r.place AS place
-  FROM climb c JOIN {runs} r ON c.tree = r.tree AND c.level = r.level AND c.run = r.run)
+  SELECT {carried} unhex(up.folded) AS folded, concat(proof, unhex(up.proof)) AS proof, if(of_top, unhex(lowest), subroot) AS subroot, tree, level, block, place
+  FROM (
+    SELECT {carried} c.proof, c.subroot, b.tree = -1 AND b.level = 1 AS of_top, b.levels[0][c.place] AS lowest, b.p_tree AS tree, b.p_level AS level, b.p_block AS block, b.place,
+           aggregate(b.levels, named_struct('folded', lower(hex(c.folded)), 'place', c.place, 'proof', ''), (s, hashes) -> named_struct(
+             'folded', sha2(array_join(transform(slice(hashes, s.place - s.place % {arity} + 1, {arity}), (h, i) -> if(i = s.place % {arity}, s.folded, h)), ''), 256),
+             'place', CAST(s.place DIV {arity} AS INT),
+             'proof', concat(s.proof, array_join(filter(slice(hashes, s.place - s.place % {arity} + 1, {arity}), (h, i) -> i <> s.place % {arity}), '')))) AS up
+    FROM climb c JOIN {blocks} b ON c.tree = b.tree AND c.level = b.level AND c.block = b.block))
 SELECT * FROM climb WHERE tree IS NULL{over}
 """
 
 
 def climb(manifest: Manifest, hashed: str, keep: list[str], original: str = "leaf", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """Every leaf's keep columns, folded (the root that its column hashed gives), proof (the siblings' hashes, binary) and subroot.
+    """Every leaf's keep columns, and binary: folded (the root that its column hashed gives), proof (the siblings' hashes), subroot.
 
-    The levels with at most max_broadcast runs from the root down are broadcast; the climb through those below joins by a
-    shuffle, where a run has too few leaves below it to be a heavy key.
+    The levels with at most max_broadcast blocks from the root down are broadcast; the climb through those below joins by a
+    shuffle, where a block has too few leaves below it to be a heavy key.
     """
-    spark, runs, sizes = manifest.runs.sparkSession, manifest.runs, manifest.sizes
+    spark, blocks, sizes = manifest.blocks.sparkSession, manifest.blocks, manifest.sizes
     low = next((k for k in range(len(sizes) + 1) if sum(sizes[k:]) <= max_broadcast), len(sizes))
-    names = ("tree", "level", "run", "place")
-    rows = manifest.leaves.select(*keep, F.col(hashed).alias("folded"), F.unhex(F.lit("")).alias("proof"), F.when(F.expr("tree = -1"), F.col(original)).alias("subroot"), *names)
-    ends = [low, None] if low else [None]
-    with _unlimited(spark):
-        for end in ends:
-            wide = end is not None
-            part = runs.where((F.col("level") <= end) & (F.col("tree") != TOP)) if wide else runs.where((F.col("level") > low) | (F.col("tree") == TOP))
-            views = {"start": f"start_{uuid.uuid4().hex}", "runs": f"runs_{uuid.uuid4().hex}"}
-            rows.createOrReplaceTempView(views["start"])
-            part.createOrReplaceTempView(views["runs"])
-            over = f" OR tree = {TOP} OR level > {end}" if wide else ""
-            sql = CLIMB.format(hint="" if wide else "/*+ BROADCAST(r) */", carried="".join(f"c.`{c}`, " for c in keep), over=over, **views)
-            rows = saved(spark.sql(sql), "merkle-climb")
-            for view in views.values():
-                spark.catalog.dropTempView(view)
-    return rows.drop(*names)
+    own = F.when(F.col("tree") == TOP, F.unhex(original))
+    rows = manifest.leaves.select(*keep, F.unhex(hashed).alias("folded"), F.unhex(F.lit("")).alias("proof"), own.alias("subroot"), *LINK)
+    for end in [low, None] if low else [None]:
+        wide = end is not None
+        part = blocks.where((F.col("level") <= end) & (F.col("tree") != TOP)) if wide else saved(blocks.where((F.col("level") > low) | (F.col("tree") == TOP)), "merkle-upper")
+        views = {"start": f"start_{uuid.uuid4().hex}", "blocks": f"blocks_{uuid.uuid4().hex}"}
+        rows.createOrReplaceTempView(views["start"])
+        part.createOrReplaceTempView(views["blocks"])
+        over = f" OR tree = {TOP} OR level > {end}" if wide else ""
+        with _recursion(spark, not wide):
+            rows = saved(spark.sql(CLIMB.format(carried="".join(f"`{c}`, " for c in keep), arity=ARITY, over=over, **views)), "merkle-climb")
+        for view in views.values():
+            spark.catalog.dropTempView(view)
+    return rows.drop(*LINK)
 
 
 def verify(docs: DataFrame, group: str, key: str, columns: list[str], tampered: dict[str, F.Column]) -> DataFrame:
@@ -176,10 +199,10 @@ def verify(docs: DataFrame, group: str, key: str, columns: list[str], tampered:
     now = leaf_hash(*(tampered.get(c, F.col(c)) for c in columns))
     rows = docs.select(F.col(key).alias("key"), F.col(group).alias("group"), leaf_hash(*columns).alias("leaf"), now.alias("now"))
     manifest = build(rows, "group", ["key"])
-    done = climb(manifest, "now", ["key", "leaf"])
-    root = F.lit(manifest.root)
-    subroot = F.coalesce("subroot", root)
+    manifest = replace(manifest, leaves=manifest.leaves.withColumn("own", F.unhex("leaf")))
+    done = climb(manifest, "now", ["key", "own"])
+    root, folded = F.lit(manifest.root), F.lower(F.hex("folded"))
     return done.select(
-        F.col("key").alias(key), "leaf", subroot.alias("subroot"), root.alias("root"), F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"),
-        F.col("folded").alias("folded_root"), (F.col("folded") == root).alias("verified"),
+        F.col("key").alias(key), F.lower(F.hex("own")).alias("leaf"), F.coalesce(F.lower(F.hex("subroot")), root).alias("subroot"), root.alias("root"),
+        F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"), folded.alias("folded_root"), (folded == root).alias("verified"),
     )
