@@ -174,7 +174,7 @@ def turns(text: str) -> list[tuple[str, str]]:
     return out
 
 
-DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_segments long, n_attachments long, expanded_tokens long"
+DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, expanded_tokens long"
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +199,6 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 now["loss_chars"] += len(said)
                 now["loss_sha256"].update(said.encode())
             now["formatted_chars"] += len(s["text"])
-            now["n_segments"] += 1
             now["n_attachments"] += len(s["attachments"])
             now["expanded_tokens"] += s["tokens"]
         if out:

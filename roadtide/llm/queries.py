@@ -157,18 +157,97 @@ def op11_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(rows.select("conv_id", "turn", "role", chat_format.text_content(F.col("text")).alias("content")))
 
 
+OP11_SQL = r"""
+WITH m AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+e AS (
+  SELECT *, replace(replace(replace(replace(text, '\', '\\'), '##', '#\#'), '</', '<\/'), '<|', '<\|') AS said,
+         replace(replace(replace(replace(replace(role, '\', '\\'), '##', '#\#'), '</', '<\/'), '<|', '<\|'), ': ', ':\ ') AS by_whom,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM m)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(4 + length(by_whom) + 2 + length(said) + 8) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_attachments, CAST(sum(words) AS BIGINT) AS expanded_tokens
+FROM e GROUP BY conv_id
+"""
+#: Unsigned CRC-32 of x in decimal, bit by bit.
+_CRC32 = """(4294967295 - list_reduce(list_transform(string_split(CAST({x} AS VARCHAR), ''), lambda ch: CAST(ord(ch) AS BIGINT)),
+  lambda a, b: xor(a >> 8, list_reduce(list_prepend(xor(a & 255, b), range(8)), lambda p, q: xor(p >> 1, (p & 1) * 3988292384))), CAST(4294967295 AS BIGINT)))"""
+
+
 def op12_splitter_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trie of all conversations, each begun with turns of the one that heads its twenty."""
     own = saved(prefix_trie.paths(table(spark, sf_dir, "conversations")), "trie-own")
     return prefix_trie.trie(prefix_trie.with_shared_heads(own))
 
 
+OP12_SQL = rf"""
+WITH t AS (
+  SELECT conv_id, turn, sha256(octet_length(encode(role)) || ':' || role || text) AS d, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+own AS (SELECT conv_id, list({{'d': d, 'w': w}} ORDER BY turn NULLS FIRST, d) AS l, {_CRC32.format(x="conv_id")} % 4 AS h FROM t GROUP BY conv_id),
+rebuilt AS (SELECT o.conv_id, list_concat(coalesce(b.l, [])[1:o.h], o.l[o.h + 1:]) AS l FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20),
+deep AS (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS depth FROM rebuilt),
+pre AS (
+  SELECT conv_id, depth, depth = len(l) AS ends, CASE WHEN depth > 0 THEN l[depth].w ELSE 0 END AS w, md5(array_to_string(list_transform(l[1:depth], lambda x: x.d), '')) AS k,
+         CASE WHEN depth > 0 THEN md5(array_to_string(list_transform(l[1:depth - 1], lambda x: x.d), '')) END AS up FROM deep),
+node AS (
+  SELECT depth, k, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n, any_value(w) AS w, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends) AS ids FROM pre GROUP BY depth, k),
+kids AS (SELECT depth - 1 AS depth, up AS k, count(*) AS c FROM node WHERE depth > 0 GROUP BY ALL),
+full_ AS (SELECT n.*, coalesce(c, 0) AS c FROM node n LEFT JOIN kids USING (depth, k)),
+sub AS (
+  SELECT p.depth, p.k, count(*) FILTER (WHERE n.c = 0) AS leaves, sum((n.n - 1) * n.w) AS saved FROM full_ n JOIN pre p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY p.depth, p.k)
+SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n AS n_convs, f.c AS n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(f.ids, '')) AS ends_sha256
+FROM full_ f JOIN sub s ON s.depth = f.depth AND s.k = f.k LEFT JOIN full_ u ON u.depth = f.depth - 1 AND u.k = f.up
+"""
+
+
 def op13_merkle_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest of all documents, climbed by each; of every second one the line feeds were taken out since."""
     cut = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
     return merkle_manifest.verify(table(spark, sf_dir, "documents"), "source", "doc_id", ["doc_id", "source", "lang", "n_chars", "text"], {"text": cut})
 
 
+def _h(text: str) -> str:
+    columns = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({c})) || ':' || {c}, '-')" for c in columns) + ")"
+
+
+def _fold(name: str, start: str) -> str:
+    """Climb of the rows of start through the levels of their tree."""
+    run, i = "hs[pos - pos % 3 + 1:pos - pos % 3 + 3]", "pos % 3 + 1"
+    return f"""{name} AS (
+  SELECT * FROM {start}
+  UNION ALL
+  SELECT c.id, c.tree, c.k + 1, c.pos // 3, sha256(array_to_string(list_transform({run}, lambda h, i: CASE WHEN i = {i} THEN c.folded ELSE h END), '')),
+         c.proof || array_to_string(list_filter({run}, lambda h, i: i <> {i}), '')
+  FROM {name} c JOIN up ON up.tree = c.tree AND up.k = c.k WHERE len(hs) > 1)"""
+
+
+OP13_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS id, doc_id, source, {_h("text")} AS leaf,
+         {_h(f"(CASE WHEN doc_id IS NOT NULL AND {_CRC32.format(x='doc_id')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END)")} AS now FROM documents),
+p AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+low AS (
+  SELECT tree, 0 AS k, list(leaf ORDER BY pos) AS hs FROM p GROUP BY tree
+  UNION ALL SELECT tree, k + 1, list_transform(range(0, len(hs), 3), lambda i: sha256(array_to_string(hs[i + 1:i + 3], ''))) FROM low WHERE len(hs) > 1),
+subroots AS (SELECT tree, hs[1] AS subroot FROM low WHERE len(hs) = 1),
+high AS (
+  SELECT -1 AS tree, 0 AS k, list(subroot ORDER BY tree) AS hs FROM subroots
+  UNION ALL SELECT tree, k + 1, list_transform(range(0, len(hs), 3), lambda i: sha256(array_to_string(hs[i + 1:i + 3], ''))) FROM high WHERE len(hs) > 1),
+up AS (SELECT * FROM low UNION ALL SELECT * FROM high),
+start1 AS (SELECT id, tree, 0 AS k, pos, now AS folded, '' AS proof FROM p),
+{_fold("c1", "start1")},
+start2 AS (SELECT id, -1 AS tree, 0 AS k, c.tree AS pos, folded, proof FROM c1 c JOIN up ON up.tree = c.tree AND up.k = c.k WHERE len(hs) = 1),
+{_fold("c2", "start2")},
+root AS (SELECT hs[1] AS root FROM high WHERE len(hs) = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM p JOIN subroots USING (tree) CROSS JOIN root JOIN (SELECT c.* FROM c2 c JOIN up ON up.tree = c.tree AND up.k = c.k WHERE len(hs) = 1) c ON c.id = p.id
+"""
+
+
 def queries() -> dict:
     return {
         f.__name__: f
@@ -180,4 +259,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_va_topk": OP1_SQL, "op3_poisson_mix": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_minhash_bbit": OP7_SQL, "op8_sparse_suffix": OP8_SQL, "op10_warc_shards": OP10_SQL}
+    return {"op1_va_topk": OP1_SQL, "op3_poisson_mix": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_minhash_bbit": OP7_SQL, "op8_sparse_suffix": OP8_SQL, "op10_warc_shards": OP10_SQL, "op11_chat_parts": OP11_SQL, "op12_splitter_trie": OP12_SQL, "op13_merkle_climb": OP13_SQL}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -133,3 +134,66 @@ def poisson_counts(rows, seed=17):
             c += p
         out[i] = k
     return out
+
+
+def trie(rows):
+    """A row for each node of the trie of conversations that begin with turns of the one that heads their twenty."""
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            own[c].append(((turn is not None, turn or 0, hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).hexdigest()), (role, text)))
+    own = {c: [x[1] for x in sorted(v, key=lambda x: x[0])] for c, v in own.items()}
+    members, ends, kids = defaultdict(list), defaultdict(list), defaultdict(list)
+    for c, v in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        path = tuple(own.get(c - int(math.fmod(c, 20)), [])[:h] + v[h:])
+        ends[path].append(c)
+        for i in range(len(path) + 1):
+            members[path[:i]].append(c)
+    for k in members:
+        if k:
+            kids[k[:-1]].append(k)
+    leaves, saved, out = {}, {}, []
+    for k in sorted(members, key=len, reverse=True):
+        leaves[k] = sum(leaves[x] for x in kids[k]) or 1
+        saved[k] = (len(members[k]) - 1) * (len(WORD.findall(k[-1][1])) if k else 0) + sum(saved[x] for x in kids[k])
+        digest = hashlib.sha256(",".join(map(str, sorted(ends[k]))).encode()).hexdigest()
+        out.append((min(members[k]), len(k), min(members[k[:-1]]) if k else None, len(members[k]), len(kids[k]), leaves[k], saved[k], digest))
+    return out
+
+
+def merkle(rows, now, arity=3):
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of (doc_id, source, lang, n_chars, text) rows; now gives a row's present text."""
+
+    def h(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    def leaf(row):
+        return h("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+    def levels(hashes):
+        out = [hashes]
+        while len(out[-1]) > 1:
+            out.append([h("".join(out[-1][i : i + arity])) for i in range(0, len(out[-1]), arity)])
+        return out
+
+    def climb(tree, i, folded):
+        proof = ""
+        for hashes in tree[:-1]:
+            run, k = hashes[i - i % arity :][:arity], i % arity
+            proof += "".join(run[:k] + run[k + 1 :])
+            folded, i = h("".join(run[:k] + [folded] + run[k + 1 :])), i // arity
+        return proof, folded
+
+    groups = defaultdict(list)
+    for row in rows:
+        groups[row[1]].append((row[0] is not None, row[0] or 0, leaf(row), row))
+    order = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {s: levels([x[2] for x in sorted(groups[s], key=lambda x: x[:3])]) for s in order}
+    top = levels([trees[s][-1][0] for s in order])
+    for n, s in enumerate(order):
+        for i, (*_, own, row) in enumerate(sorted(groups[s], key=lambda x: x[:3])):
+            low, folded = climb(trees[s], i, leaf((*row[:4], now(row))))
+            high, folded = climb(top, n, folded)
+            yield row[0], own, trees[s][-1][0], top[-1][0], h(low + high), folded, folded == top[-1][0]
