@@ -26,17 +26,20 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadtide.llm.common import pieces
+
 #: The pre-tokeniser's pattern (fixed value of the vocabulary).
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Pieces never cross the borders of these units, and a unit's pieces don't depend on what stands around it.
 UNIT = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: Bytes of distinct pieces that are encoded at once, characters of text whose units are looked at once, and units kept between.
-PIECE_BYTES, CHUNK, KEEP_UNITS = 12_000_000, 4_000_000, 150_000
+#: Bytes of distinct pieces that are encoded at once, bytes of text whose units are looked at once, and units kept between.
+PIECE_BYTES, CHUNK, KEEP_UNITS = 4_000_000, 2_000_000, 100_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -186,19 +189,13 @@ class Codec:
                 out += UNIT.findall(part)
         return out
 
-    def chunks(self, texts: list[str]) -> Iterator[list[list[int]]]:
-        """Codes of the units of consecutive texts, once all of them are known."""
-        rows, size = [], 0
-        for i, t in enumerate(texts):
-            units = self.units(t)
-            rows.append(np.fromiter(map(self.code.__getitem__, units), np.int32, len(units)))
-            size += len(t)
-            if size >= CHUNK or i == len(texts) - 1:
-                self.learn()
-                yield (r.tolist() for r in rows)
-                rows, size = [], 0
-                if len(self.names) > KEEP_UNITS:
-                    self.clear()
+    def codes(self, texts: list[str]) -> list[list[int]]:
+        """Codes of the units of texts, all of them known."""
+        if len(self.names) > KEEP_UNITS:
+            self.clear()
+        rows = [[self.code[u] for u in self.units(t)] for t in texts]
+        self.learn()
+        return rows
 
 
 def _text(raw: bytes) -> bytes:
@@ -229,28 +226,28 @@ def encode(docs: DataFrame, vocab_path: str, *, with_ids: bool = True) -> DataFr
     content = _broadcast(docs, vocab_path)
     fields = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
-    def rows_of(codec: Codec, ids: np.ndarray, texts: list[str]) -> Iterator[pd.DataFrame]:
-        at = 0
-        for chunk in codec.chunks(texts):
-            out = []
-            for codes in chunk:
-                joined = ",".join(map(codec.names.__getitem__, codes))
-                decoded = _text(b"".join(map(codec.plain.__getitem__, codes)))
-                row = [joined.count(",") + bool(joined), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()]
-                if with_ids:
-                    row.append(np.fromiter(itertools.chain.from_iterable(map(codec.ids.__getitem__, codes)), np.int32, row[0]))
-                out.append(row)
-            got = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
-            got.insert(0, "doc_id", ids[at : at + len(out)])
-            at += len(out)
-            yield got
+    def rows_of(codec: Codec, texts: list[str]) -> list[pa.Array]:
+        sizes, hashes, decodings, ids = [], [], [], []
+        for codes in codec.codes(texts):
+            joined = ",".join(map(codec.names.__getitem__, codes))
+            sizes.append(joined.count(",") + bool(joined))
+            hashes.append(hashlib.sha256(joined.encode()).hexdigest())
+            decodings.append(hashlib.sha256(_text(b"".join(map(codec.plain.__getitem__, codes)))).hexdigest())
+            if with_ids:
+                ids.append(np.fromiter(itertools.chain.from_iterable(map(codec.ids.__getitem__, codes)), np.int32, sizes[-1]))
+        out = [pa.array(sizes, pa.int64()), pa.array(hashes), pa.array(decodings)]
+        if with_ids:
+            ends = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+            out.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))))
+        return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(_parsed(content.value))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, names = Codec(_parsed(content.value)), fields.replace(" long", "").replace(" string", "").replace(" array<int>", "").split(", ")
         for batch in batches:
-            yield from rows_of(codec, batch["doc_id"].array, ["" if t is None else t for t in batch["text"]])
+            for at, texts in pieces(batch.column("text"), CHUNK):
+                yield pa.record_batch([batch.column("doc_id").slice(at, len(texts)), *rows_of(codec, ["" if t is None else t for t in texts])], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, fields)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, fields)
 
 
 def decode(tokens: DataFrame, vocab_path: str) -> DataFrame:

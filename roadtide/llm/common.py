@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +96,17 @@ def let(value, body) -> F.Column:
     return F.transform(F.array(value), body)[0]
 
 
+def pieces(texts: pa.Array, size: int) -> Iterator[tuple[int, list[str | None]]]:
+    """Start and texts of consecutive slices of an Arrow array with about so many bytes each (a longer text alone), so that few are Python strings at once."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(lengths) - lengths) // size
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(lengths)]
+    for a, b in itertools.pairwise(cuts):
+        if b > a:
+            yield a, texts.slice(a, b - a).to_pylist()
+    pa.default_memory_pool().release_unused()
+
+
 def small_enough(df: DataFrame, most: int) -> bool:
     """Whether df has at most so many rows; reads no more than most + 1 of them to the count."""
     return df.limit(most + 1).count() <= most

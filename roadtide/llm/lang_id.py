@@ -8,10 +8,10 @@ is looked up once per batch.
 
 The classifier is fitted on the driver to a bounded sample of labelled rows:
 at most TRAIN_DOCS texts of at most TRAIN_CHARS code points, spread evenly
-over the MAX_LANGS most frequent languages by a hash of doc_id, with
-LEAST_DOCS a language at least. A fifth of them ends the training and sets the
-temperature and the rejection threshold. The number of SGD steps does not
-depend on the sample: a small one is gone through more often.
+over all languages by a hash of doc_id, with LEAST_DOCS a language at least.
+A fifth of them ends the training and sets the temperature and the rejection
+threshold. The number of SGD steps does not depend on the sample, unless it
+has more texts than steps: a small one is gone through more often.
 
 Cases: a null text or one without a letter is `und` with score 0 and
 rejected; ties between languages go to the first in order; long texts count
@@ -27,10 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TRAIN_DOCS, LEAST_DOCS, TRAIN_CHARS, MAX_LANGS = 4000, 20, 8000, 512
+from roadtide.llm.common import pieces
+
+TRAIN_DOCS, LEAST_DOCS, TRAIN_CHARS = 4000, 20, 8000
 BUCKETS, DIM, STEPS, RATE = 1 << 16, 16, 16_000, 0.2
 #: Steps between two looks at the calibration rows, and looks without a lower loss after which training ends.
 LOOK, PATIENCE = 2000, 3
@@ -39,8 +42,8 @@ MAX_ROW, MAX_OUT = 1.0, 10.0
 #: Share of right answers on the calibration rows that the rejection may cost.
 REJECT = 0.001
 UND = "und"
-#: Characters of text that are worked on at once.
-CHUNK = 1_000_000
+#: Bytes of text that are worked on at once.
+CHUNK = 500_000
 _PRIME, _MIX = np.uint64(1099511628211), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,25 +81,28 @@ def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Logits of every bucket, temperature and rejection threshold."""
+    """Embeddings, output weights and bias, temperature and rejection threshold."""
 
-    def __init__(self, langs: list[str], logits: np.ndarray, bias: np.ndarray, temperature: float = 1.0, threshold: float = 0.0):
-        self.langs, self.logits, self.bias, self.temperature, self.threshold = langs, logits, bias, temperature, threshold
+    def __init__(self, langs: list[str], emb: np.ndarray, out: np.ndarray, bias: np.ndarray, temperature: float = 1.0, threshold: float = 0.0):
+        self.langs, self.out, self.bias, self.temperature, self.threshold = langs, out, bias, temperature, threshold
+        # Few languages: a row of logits for each bucket; many: its embedding, so that the table stays small.
+        self.table, self.folded = (emb @ out, True) if len(langs) <= emb.shape[1] else (emb, False)
 
-    def probabilities(self, mean_logits: np.ndarray) -> np.ndarray:
-        z = (mean_logits + self.bias) / self.temperature
+    def probabilities(self, mean: np.ndarray) -> np.ndarray:
+        """Of texts, from the means of their rows of the table."""
+        z = ((mean if self.folded else mean @ self.out) + self.bias) / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
-    def mean_logits(self, texts: list[str]) -> np.ndarray:
+    def means(self, texts: list[str]) -> np.ndarray:
         words = [t.lower().split() for t in texts]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         codes, distinct = pd.factorize(np.array([w for ws in words for w in ws], dtype=object))
         buckets, of = subwords(list(distinct))
-        n = len(distinct)
-        sums = np.stack([np.bincount(of, self.logits[buckets, c], n) for c in range(len(self.langs))] + [np.bincount(of, minlength=n)], axis=1)
+        n, width = len(distinct), self.table.shape[1]
+        sums = np.stack([np.bincount(of, self.table[buckets, c], n) for c in range(width)] + [np.bincount(of, minlength=n)], axis=1)
         rows = np.repeat(np.arange(len(texts)), sizes)
-        total = np.stack([np.bincount(rows, sums[codes, c], len(texts)) for c in range(sums.shape[1])], axis=1)
+        total = np.stack([np.bincount(rows, sums[codes, c], len(texts)) for c in range(width + 1)], axis=1)
         return total[:, :-1] / np.maximum(total[:, -1:], 1)
 
 
@@ -119,8 +125,8 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Model | None:
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32)
     truth = np.array([bags[i][2] for i in held], int)
-    best, bad = None, 0
-    for step, i in enumerate(itertools.islice((i for _ in itertools.count() for i in rng.permutation(fit)), STEPS)):
+    best, bad, steps = None, 0, max(STEPS, len(fit))
+    for step, i in enumerate(itertools.islice((i for _ in itertools.count() for i in rng.permutation(fit)), steps)):
         if step % LOOK == 0 and step and len(held):
             loss = _loss(np.stack([bags[j][1] @ emb[bags[j][0]] for j in held]) @ out + bias, truth)
             if best is None or loss < best[0]:
@@ -130,7 +136,7 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Model | None:
             if bad == PATIENCE:
                 break
         ids, share, y = bags[i]
-        rate = RATE * (1 - step / STEPS)
+        rate = RATE * (1 - step / steps)
         x = share @ emb[ids]
         z = x @ out + bias
         grad = np.exp(z - z.max())
@@ -145,11 +151,11 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Model | None:
         emb[ids] = moved / np.maximum(np.linalg.norm(moved, axis=1, keepdims=True) / MAX_ROW, 1)
     if best is not None and best[0] < _loss(np.stack([bags[j][1] @ emb[bags[j][0]] for j in held]) @ out + bias, truth):
         _, emb, out, bias = best
-    model = Model(langs, emb @ out, bias)
+    model = Model(langs, emb, out, bias)
     if len(held):
-        mean = np.stack([bags[i][1] @ model.logits[bags[i][0]] for i in held])
+        mean = np.stack([bags[i][1] @ model.table[bags[i][0]] for i in held])
         # The temperature at which the mean confidence is the share of right answers (with one right and one wrong added).
-        share = ((mean + bias).argmax(axis=1) == truth).sum() + 1
+        share = (model.probabilities(mean).argmax(axis=1) == truth).sum() + 1
         miss = {}
         for t in np.geomspace(0.05, 50, 121):
             model.temperature = float(t)
@@ -165,10 +171,10 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, *, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, max_langs: int = MAX_LANGS) -> Model | None:
+def fit(docs: DataFrame, *, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Model | None:
     """A model from a bounded sample of the labelled documents that are not held out; the same for the same rows, however they are dealt."""
     labelled = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id")).where(F.length("text").between(1, train_chars))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    counts = labelled.groupBy("lang").count().collect()  # a row for each language
     if not counts:
         return None
     quota = max(LEAST_DOCS, train_docs // len(counts))
@@ -180,34 +186,31 @@ def fit(docs: DataFrame, *, train_docs: int = TRAIN_DOCS, train_chars: int = TRA
     return train(sorted((r["text"], r["lang"]) for r in ranked.where(F.col("n") <= quota).collect()))
 
 
-def _predict(model: Model | None, texts: list[str | None]) -> pd.DataFrame:
-    out = pd.DataFrame({"lang_pred": [UND] * len(texts), "score": 0.0, "rejected": True})
-    at, size, chunks = [], 0, []
-    for i, t in enumerate(texts):
-        if model is None or t is None or not any(map(str.isalpha, t)):
-            continue
-        at.append(i)
-        size += len(t)
-        if size >= CHUNK:
-            chunks.append(at)
-            at, size = [], 0
-    for part in [*chunks, at]:
-        if part:
-            p = model.probabilities(model.mean_logits([texts[i] for i in part]))
-            best = p.argmax(axis=1)
-            out.loc[part, "lang_pred"] = np.array(model.langs, dtype=object)[best]
-            out.loc[part, "score"] = p.max(axis=1)
-            out.loc[part, "rejected"] = p.max(axis=1) < model.threshold
-    return out
+PREDICTED = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
+
+
+def _predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    langs, score, rejected = [UND] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+    at = [i for i, t in enumerate(texts) if model is not None and t is not None and any(map(str.isalpha, t))]
+    if at:
+        p = model.probabilities(model.means([texts[i] for i in at]))
+        for i, best in zip(at, p.argmax(axis=1).tolist(), strict=True):
+            langs[i] = model.langs[best]
+        score[at] = p.max(axis=1)
+        rejected[at] = score[at] < model.threshold
+    return langs, score, rejected
 
 
 def predict(docs: DataFrame, model: Model | None, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """docs with language, score and rejection under these names after its columns, in place of any of the same name; only text is looked at."""
 
-    @F.pandas_udf("lang_pred string, score double, rejected boolean")
-    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double, rejected boolean")
+    def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield _predict(model, list(texts))
+            parts = [_predict(model, part) for _, part in pieces(texts, CHUNK)]
+            langs = pa.array([x for p in parts for x in p[0]], pa.string())
+            numbers = [np.concatenate([[], *(p[k] for p in parts)]) for k in (1, 2)]
+            yield pa.StructArray.from_arrays([langs, pa.array(numbers[0], pa.float64()), pa.array(numbers[1].astype(bool))], fields=list(PREDICTED))
 
     kept = [c for c in docs.columns if c not in names]
     found = docs.select(*kept, udf("text").alias("__lang"))

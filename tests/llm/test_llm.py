@@ -140,7 +140,7 @@ def test_language_accuracy(spark, small):
     rows = lang_id.predict(small.withColumn("held_out", lang_id.held_out("doc_id")), model).where("held_out").collect()
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.95 and all(0 <= r.score <= 1 for r in rows)
     assert np.mean([r.rejected for r in rows]) < 0.02
-    assert lang_id.fit(small.repartition(7)).logits.tolist() == model.logits.tolist()
+    assert lang_id.fit(small.repartition(7)).table.tolist() == model.table.tolist()
 
 
 def test_language_odd(odd, nothing, small):
@@ -151,6 +151,15 @@ def test_language_odd(odd, nothing, small):
     assert {r.lang_pred for r in lang_id.predict(odd, None).select("lang_pred").collect()} == {"und"}
 
 
+def test_language_of_very_many(spark):
+    langs = [f"x{i:03d}" for i in range(600)]
+    rows = [(i * 10 + j, f"{name}a {name}b {name}c word", name) for i, name in enumerate(langs) for j in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.fit(docs)
+    assert model.langs == langs and model.table.shape[1] == lang_id.DIM and not model.folded
+    assert len({r.lang_pred for r in lang_id.predict(docs, model).select("lang_pred").distinct().collect()}) > 5
+
+
 # BPE
 
 
