@@ -4,7 +4,8 @@ Rows are hashed where they lie, so texts never move. The hashes are ranged by (g
 from counts of the ranges; a group of any size is spread over as many tasks as its rows need. The tree is built bottom up, three
 levels at a time, and stored as blocks: the hashes of up to 27 nodes and of the two levels over them, with the hash that comes out
 and the link to the block above. A recursive query then ascends from every leaf, appends the siblings that it meets, and folds the
-hash that the leaf has now. Spark shuffles all rows in each round of a recursion; blocks make three levels one round.
+hash that the leaf has now. Spark shuffles all rows in each round of a recursion, so blocks make three levels one round, and above
+the level at which few blocks are left, siblings are gathered once for each place in these, while the leaves carry their hash alone.
 
 Cases: a null value is hashed as a value of its own; a null group is a group and comes first; rows without key come first in their
 group; rows that share a key are ordered by hash, equal ones are leaves of their own; a group of one row is its own subroot, an only
@@ -28,8 +29,8 @@ ARITY = 3
 #: Levels of a block.
 HEIGHT = 3
 WIDTH = ARITY**HEIGHT
-#: Blocks of the upper levels that are broadcast to the climb, and rows of the table of cuts; below and beyond, joins shuffle.
-MAX_BROADCAST = 8_000
+#: Blocks of the upper levels that are broadcast to the climb, below which joins shuffle, and rows of the table of cuts.
+MAX_UPPER, MAX_CUTS = 500, 20_000
 #: Number of the tree over the groups.
 TOP = -1
 
@@ -38,13 +39,14 @@ TOP = -1
 class Manifest:
     """leaves: at (long, unique), the rows' own columns, and the link to the first block (tree, level, block, place; null for an only leaf).
     blocks: tree, level, block, levels (arrays of hashes, lowest first), hash, and the link p_tree, p_level, p_block, place (null for the root).
-    sizes: blocks at each level, lowest first; the tree over the groups counts above all others.
+    sizes: blocks at each level, lowest first; first_top: level of the lowest blocks of the tree over the groups, which lies above all others.
     """
 
     leaves: DataFrame
     blocks: DataFrame
     root: str | None
     sizes: list[int]
+    first_top: int
 
 
 def leaf_hash(*values) -> F.Column:
@@ -70,7 +72,7 @@ def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     ranges = ranges.select("__range", (F.sum("__groups").over(Window.orderBy("__range")) - F.col("__groups")).alias("__prior"))
     number = F.max(F.when(F.col("__starts") == 1, F.col("__prior") + F.col("__nth") - 1)).over(of_group).alias("tree")
     cuts = saved(cuts.join(F.broadcast(ranges), "__range").select("__range", "__group", "__first", "__before", "size", number), "merkle-cuts")
-    joined = ranged.join(F.broadcast(cuts) if small_enough(cuts, MAX_BROADCAST) else cuts, ["__range", "__group"])
+    joined = ranged.join(F.broadcast(cuts) if small_enough(cuts, MAX_CUTS) else cuts, ["__range", "__group"])
     return joined.withColumn("pos", F.col("at") - F.col("__first") + F.col("__before")).drop("__range", "__group", "__first", "__before")
 
 
@@ -80,9 +82,9 @@ def _above(hashes) -> F.Column:
     return F.transform(F.sequence(F.lit(0), F.floor((F.size(hashes) - 1) / ARITY).cast("int")), lambda i: F.sha2(F.array_join(run(i), ""), 256))
 
 
-def _levels(nodes: DataFrame, path: str, most: int) -> tuple[DataFrame | None, list[int]]:
-    """Blocks over nodes (tree, n, pos, hash), n the nodes of the tree and most the largest n, until each tree has one node."""
-    spark, k, sizes = nodes.sparkSession, 0, []
+def _levels(nodes: DataFrame, path: str, most: int, below: int = 0) -> tuple[DataFrame | None, list[int]]:
+    """Blocks over nodes (tree, n, pos, hash), n the nodes of the tree and most the largest n, until each tree has one node; their levels begin above below."""
+    spark, k, sizes = nodes.sparkSession, below, []
     while most > 1:
         k, most = k + 1, -(-most // WIDTH)
         kids = F.array_sort(F.collect_list(F.struct((F.col("pos") % WIDTH).alias("i"), "hash")))["hash"]
@@ -96,7 +98,7 @@ def _levels(nodes: DataFrame, path: str, most: int) -> tuple[DataFrame | None, l
         level = spark.read.parquet(f"{path}/level={k}")
         sizes.append(level.count())
         nodes = level.select("tree", "n", F.col("block").alias("pos"), "hash")
-    return (spark.read.parquet(*(f"{path}/level={i}" for i in range(1, k + 1))) if k else None), sizes
+    return (spark.read.parquet(*(f"{path}/level={i}" for i in range(below + 1, k + 1))) if sizes else None), sizes
 
 
 def build(rows: DataFrame, group: str, order: list[str], hashed: str = "leaf") -> Manifest:
@@ -108,31 +110,32 @@ def build(rows: DataFrame, group: str, order: list[str], hashed: str = "leaf") -
     single = leaves.where("size = 1").select("tree", F.col(hashed).alias("hash"))
     subroots = single if inner is None else single.union(inner.where("n = 1").select("tree", "hash"))
     over = subroots.select(F.lit(TOP).cast("long").alias("tree"), F.lit(groups).cast("long").alias("n"), F.col("tree").alias("pos"), "hash")
-    top, more = _levels(over, f"{path}/top", groups)
+    top, more = _levels(over, f"{path}/top", groups, len(sizes))
+    first_top = len(sizes) + 1
     whole = top.where("n = 1") if top is not None else subroots
     root = whole.select("hash").first() if groups else None
     parts = [x for x in (inner, top) if x is not None]
     empty = "tree long, level int, block long, n long, levels array<array<string>>, hash string"
     blocks = parts[0].unionByName(parts[-1]) if len(parts) > 1 else parts[0] if parts else spark.createDataFrame([], empty)
-    up = _link(F.col("tree"), F.col("level") + 1, F.col("block"), F.col("n"), groups)
+    up = _link(F.col("tree"), F.col("level") + 1, F.col("block"), F.col("n"), groups, first_top)
     links = (F.col("up.tree").alias("p_tree"), F.col("up.level").alias("p_level"), F.col("up.block").alias("p_block"), "up.place")
     blocks = blocks.withColumn("up", up).select("tree", "level", "block", "levels", "hash", *links)
-    link = _link(F.col("tree"), F.lit(1), F.col("pos"), F.col("size"), groups)
+    link = _link(F.col("tree"), F.lit(1), F.col("pos"), F.col("size"), groups, first_top)
     leaves = leaves.select("at", *rows.columns, link.alias("__up")).select("at", *rows.columns, *(F.col(f"__up.{c}").alias(c) for c in LINK))
-    return Manifest(leaves, blocks, root and root[0], [*sizes, *more])
+    return Manifest(leaves, blocks, root and root[0], [*sizes, *more], first_top)
 
 
 #: What leads to a block, and to a place in its lowest level.
 LINK = ("tree", "level", "block", "place")
 
 
-def _link(tree, level, pos, n, groups: int) -> F.Column:
+def _link(tree, level, pos, n, groups: int, first_top: int) -> F.Column:
     """The block above the node at pos of n on its level, and the node's place there; null above the root."""
 
     def to(t, k, p) -> F.Column:
         return F.struct(t.cast("long").alias("tree"), k.cast("int").alias("level"), F.floor(p / WIDTH).alias("block"), (p % WIDTH).cast("int").alias("place"))
 
-    above = F.when((tree != TOP) & F.lit(groups > 1), to(F.lit(TOP), F.lit(1), tree))
+    above = F.when((tree != TOP) & F.lit(groups > 1), to(F.lit(TOP), F.lit(first_top), tree))
     return F.when(n > 1, to(tree, level, pos)).otherwise(above)
 
 
@@ -150,14 +153,14 @@ def _recursion(spark: SparkSession, broadcast: bool) -> Iterator[None]:
             spark.conf.set(key, value)
 
 
-#: A round of the climb: up through the levels of a block, with the siblings of each appended and the hash folded.
+#: A round of the climb: up through the levels of a block, with the siblings of each appended (if asked for) and the hash folded.
 CLIMB = """
 WITH RECURSIVE climb AS (
   SELECT * FROM {start}
   UNION ALL
-  SELECT {carried} unhex(up.folded) AS folded, concat(proof, unhex(up.proof)) AS proof, if(of_top, unhex(lowest), subroot) AS subroot, tree, level, block, place
+  SELECT {carried} unhex(up.folded) AS folded, {proofs} tree, level, block, place
   FROM (
-    SELECT {carried} c.proof, c.subroot, b.tree = -1 AND b.level = 1 AS of_top, b.levels[0][c.place] AS lowest, b.p_tree AS tree, b.p_level AS level, b.p_block AS block, b.place,
+    SELECT {carried} {before} b.tree = -1 AND b.level = {first_top} AS of_top, b.levels[0][c.place] AS lowest, b.p_tree AS tree, b.p_level AS level, b.p_block AS block, b.place,
            aggregate(b.levels, named_struct('folded', lower(hex(c.folded)), 'place', c.place, 'proof', ''), (s, hashes) -> named_struct(
              'folded', sha2(array_join(transform(slice(hashes, s.place - s.place % {arity} + 1, {arity}), (h, i) -> if(i = s.place % {arity}, s.folded, h)), ''), 256),
              'place', CAST(s.place DIV {arity} AS INT),
@@ -165,30 +168,48 @@ WITH RECURSIVE climb AS (
     FROM climb c JOIN {blocks} b ON c.tree = b.tree AND c.level = b.level AND c.block = b.block))
 SELECT * FROM climb WHERE tree IS NULL{over}
 """
+PROOFS = "concat(proof, unhex(up.proof)) AS proof, if(of_top, unhex(lowest), subroot) AS subroot,"
+
+
+def _ascend(rows: DataFrame, manifest: Manifest, part: DataFrame, keep: list[str], *, proofs: bool, last: int | None) -> DataFrame:
+    """rows (keep, folded, proof and subroot if asked for, LINK) after their climb through the blocks of part: all up to level last, or to the root."""
+    spark = rows.sparkSession
+    views = {"start": f"start_{uuid.uuid4().hex}", "blocks": f"blocks_{uuid.uuid4().hex}"}
+    rows.createOrReplaceTempView(views["start"])
+    part.createOrReplaceTempView(views["blocks"])
+    sql = CLIMB.format(
+        carried="".join(f"`{c}`, " for c in keep), arity=ARITY, first_top=manifest.first_top, proofs=PROOFS * proofs, before="c.proof, c.subroot," * proofs,
+        over="" if last is None else f" OR level > {last}", **views,
+    )
+    with _recursion(spark, last is None):
+        done = saved(spark.sql(sql), "merkle-climb")
+    for view in views.values():
+        spark.catalog.dropTempView(view)
+    return done
 
 
-def climb(manifest: Manifest, hashed: str, keep: list[str], original: str = "leaf", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """Every leaf's keep columns, and binary: folded (the root that its column hashed gives), proof (the siblings' hashes), subroot.
+def climb(manifest: Manifest, hashed: str, keep: list[str], max_upper: int = MAX_UPPER) -> DataFrame:
+    """Every leaf's keep columns, and binary: folded (the root that its column hashed gives), proof (the siblings' hashes), subroot (null: the root).
 
-    The levels with at most max_broadcast blocks from the root down are broadcast; the climb through those below joins by a
-    shuffle, where a block has too few leaves below it to be a heavy key.
+    The levels with at most max_upper blocks from the root down are the upper ones, and broadcast. Through those below the
+    leaves climb by shuffle joins, where a block has too few leaves below it to be a heavy key. What a place in an upper
+    block adds to a proof is the same for all leaves that come by it, so it is gathered by a climb from these places.
     """
-    spark, blocks, sizes = manifest.blocks.sparkSession, manifest.blocks, manifest.sizes
-    low = next((k for k in range(len(sizes) + 1) if sum(sizes[k:]) <= max_broadcast), len(sizes))
-    own = F.when(F.col("tree") == TOP, F.unhex(original))
-    rows = manifest.leaves.select(*keep, F.unhex(hashed).alias("folded"), F.unhex(F.lit("")).alias("proof"), own.alias("subroot"), *LINK)
-    for end in [low, None] if low else [None]:
-        wide = end is not None
-        part = blocks.where((F.col("level") <= end) & (F.col("tree") != TOP)) if wide else saved(blocks.where((F.col("level") > low) | (F.col("tree") == TOP)), "merkle-upper")
-        views = {"start": f"start_{uuid.uuid4().hex}", "blocks": f"blocks_{uuid.uuid4().hex}"}
-        rows.createOrReplaceTempView(views["start"])
-        part.createOrReplaceTempView(views["blocks"])
-        over = f" OR tree = {TOP} OR level > {end}" if wide else ""
-        with _recursion(spark, not wide):
-            rows = saved(spark.sql(CLIMB.format(carried="".join(f"`{c}`, " for c in keep), arity=ARITY, over=over, **views)), "merkle-climb")
-        for view in views.values():
-            spark.catalog.dropTempView(view)
-    return rows.drop(*LINK)
+    sizes = manifest.sizes
+    low = next((k for k in range(len(sizes) + 1) if sum(sizes[k:]) <= max_upper), len(sizes))
+    level, empty, none = F.col("level"), F.unhex(F.lit("")), F.lit(None).cast("binary")
+    rows = manifest.leaves.select("at", *keep, F.unhex(hashed).alias("folded"), empty.alias("proof"), none.alias("subroot"), *LINK)
+    if low:
+        rows = _ascend(rows, manifest, manifest.blocks.where(level <= low), ["at", *keep], proofs=True, last=low)
+    upper = saved(manifest.blocks.where(level > low), "merkle-upper")
+    places = upper.select("tree", "level", "block", F.posexplode(F.col("levels")[0]).alias("place", "hash")).withColumns({f"from_{c}": F.col(c) for c in LINK})
+    starts = [f"from_{c}" for c in LINK]
+    by_place = _ascend(places.select(*starts, F.unhex("hash").alias("folded"), empty.alias("proof"), none.alias("subroot"), *LINK), manifest, upper, starts, proofs=True, last=None)
+    folded = _ascend(rows.select("at", "folded", *LINK), manifest, upper, ["at"], proofs=False, last=None).select("at", F.col("folded").alias("__folded"))
+    more = by_place.select(*(F.col(f"from_{c}").alias(c) for c in LINK), F.col("proof").alias("__proof"), F.col("subroot").alias("__subroot"))
+    joined = rows.join(folded, "at").join(F.broadcast(more), list(LINK), "left")
+    proof = F.concat("proof", F.coalesce("__proof", empty))
+    return joined.select(*keep, F.col("__folded").alias("folded"), proof.alias("proof"), F.coalesce("subroot", "__subroot").alias("subroot"))
 
 
 def verify(docs: DataFrame, group: str, key: str, columns: list[str], tampered: dict[str, F.Column]) -> DataFrame:

@@ -135,10 +135,10 @@ def merkle_brute(docs):
     return sorted(brute.merkle(rows, now), key=repr)
 
 
-@pytest.mark.parametrize("most", [merkle_manifest.MAX_BROADCAST, 1])
+@pytest.mark.parametrize("most", [merkle_manifest.MAX_UPPER, 3, 0])
 def test_manifest_against_brute_force(spark, small, odd, most, monkeypatch):
-    monkeypatch.setattr(merkle_manifest, "MAX_BROADCAST", most)
-    monkeypatch.setattr(merkle_manifest.climb, "__defaults__", ("leaf", most))
+    monkeypatch.setattr(merkle_manifest, "MAX_CUTS", most)
+    monkeypatch.setattr(merkle_manifest.climb, "__defaults__", (most,))
     for docs in (small, odd.withColumns({"tree": F.lit(1), "at": F.lit("x"), "key": F.lit(0), "leaf": F.lit("y")})):
         got = merkle(docs)
         assert got == merkle_brute(docs) and any(r[-1] for r in got)
