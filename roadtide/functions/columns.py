@@ -151,7 +151,9 @@ def mph_of_pace(minutes_per_mile) -> Column:
 
 
 def flow_ratio(mph, freeflow) -> Column:
-    return F.least(F.greatest(F.try_divide(mph, freeflow), F.lit(RATIO_MIN)), F.lit(RATIO_MAX))
+    """Share of the free-flow speed within its limits; null where either is not known."""
+    share = F.try_divide(mph, freeflow)
+    return F.when(share.isNotNull(), F.least(F.greatest(share, F.lit(RATIO_MIN)), F.lit(RATIO_MAX)))
 
 
 def surface_mph(ratio, limit, alpha: float = 0.5) -> Column:

@@ -71,7 +71,7 @@ def nearest_slot(asked: DataFrame, slots: DataFrame, *, id_col: str, minutes: st
     return asked.select(id_col, minutes).join(F.broadcast(best), minutes).select(id_col, slot)
 
 
-def events_on_drive(drives: DataFrame, events: DataFrame, *, limit: int = 2, max_miles: float = 12.0, before_h: float = 3.0, after_h: float = 6.0) -> DataFrame:
+def events_on_drive(drives: DataFrame, events: DataFrame, *, limit: int = 2, max_miles: float = 12.0, before_h: float = 4.0, after_h: float = 6.0) -> DataFrame:
     """The nearest events of each drive whose window overlaps it and that are within max_miles of one of its points.
 
     drives: drive_id, lat, lon, depart, arrive (a row per point); events: event_id, lat, lon, start.
@@ -85,7 +85,7 @@ def events_on_drive(drives: DataFrame, events: DataFrame, *, limit: int = 2, max
     narrow = max(0.01, math.cos(math.radians(min(ends or 0.0, 89.0))))
     e = in_cells(events.select("event_id", F.col("lat").alias("e_lat"), F.col("lon").alias("e_lon"), "start"), "e_lat", "e_lon", max_miles, narrow)
     d = with_neighbours(drives, "lat", "lon", max_miles, narrow)
-    window = (F.col("arrive") >= F.col("start") - F.make_dt_interval(F.lit(0), F.lit(int(before_h)))) & (F.col("depart") <= F.col("start") + F.make_dt_interval(F.lit(0), F.lit(int(after_h))))
+    window = (F.col("arrive") >= F.col("start") - F.make_dt_interval(secs=F.lit(before_h * 3600))) & (F.col("depart") <= F.col("start") + F.make_dt_interval(secs=F.lit(after_h * 3600)))
     near = d.join(e, ["cy", "cx"]).where(window).withColumn("miles", equirect_miles(F.col("lat"), F.col("lon"), F.col("e_lat"), F.col("e_lon"))).where(F.col("miles") <= max_miles)
     best = near.groupBy("drive_id", "event_id").agg(F.min("miles").alias("miles"))
     w = Window.partitionBy("drive_id").orderBy("miles", "event_id")

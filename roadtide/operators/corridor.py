@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadtide.operators.quantiles import group_quantiles
+
 #: Lane types that carry speed; least share observed of a day that was not imputed; least coverage (fixed values).
 LANE_TYPES = ("ML", "HV")
 IMPUTED_BELOW, MIN_COVERAGE, RELATIVE_COVERAGE, DEFAULT_SPACING = 10.0, 0.90, 0.80, 0.5
@@ -83,7 +85,7 @@ def compose(rows: DataFrame, members: DataFrame, measures: dict[str, str], *, we
 
 def well_covered(df: DataFrame, share: float = RELATIVE_COVERAGE) -> DataFrame:
     """Rows with at least this share of their corridor's median coverage."""
-    typical = df.groupBy("corridor").agg(F.median("coverage").alias("__typical"))
+    typical = group_quantiles(df, ["corridor"], F.col("coverage"), {"__typical": 0.5}).drop("n")
     return df.join(typical, "corridor").where(F.col("coverage") >= share * F.col("__typical")).drop("__typical")
 
 

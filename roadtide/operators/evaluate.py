@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadtide.operators.quantiles import group_quantiles
+
 
 def slice_report(df: DataFrame, actual: str, baseline: str, predictions: dict[str, str], slices: dict[str, object], *, by: str | None = None) -> DataFrame:
     """Mean absolute errors of overlapping slices: [by,] slice, n, mae_baseline, mae_<name>, gain_pct_<name>.
@@ -19,36 +21,31 @@ def slice_report(df: DataFrame, actual: str, baseline: str, predictions: dict[st
     return out.withColumns(gain)
 
 
-def exact_quantile(df: DataFrame, value, q: float, *, few: int = 100_000, bins: int = 4096) -> float | None:
-    """The interpolated q-quantile of a column expression; nulls and NaN don't count, and without values it is None.
+def slice_cube(df: DataFrame, actual: str, baseline: str, predictions: dict[str, str], slices: dict[str, object], *, by: str) -> DataFrame:
+    """slice_report() with totals, in one pass over grouping sets: a row for each by and slice (level 0), for each slice (level 2), and for all rows (level 3).
 
-    Each pass counts the values by bins and goes on in the bin that holds the wanted rank, until that has few enough
-    values to sort; no task gets all values.
+    by and slice are null in the totals; level is Spark's grouping id, which tells such a null from one of the data.
+    The last row counts every row once, not once for each slice that it is in.
     """
-    x = df.select(value.cast("double").alias("x")).where("x is not null and not isnan(x)")
-    n, low, high = x.agg(F.count("*"), F.min("x"), F.max("x")).first()
-    if not n:
-        return None
-    place = q * (n - 1)
-    rank = int(place)
-
-    def at(k: int) -> float:
-        inside, m, a, b = x, n, low, high
-        while m > few and a < b:
-            width = (b - a) / bins
-            number = F.least(F.floor((F.col("x") - a) / width), F.lit(bins - 1)) if width > 0 else F.lit(0)
-            counted = sorted(inside.groupBy(number.alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).collect())
-            for r in counted:
-                if k < r["n"]:
-                    inside, m, a, b = inside.where(F.col("x").between(r["a"], r["b"])), r["n"], r["a"], r["b"]
-                    break
-                k -= r["n"]
-            if len(counted) == 1:
-                break
-        return a if a == b else inside.orderBy("x").offset(k).limit(1).first()[0]
-
-    first = at(rank)
-    return first if place == rank else first + (place - rank) * (at(rank + 1) - first)
+    named = F.array_compact(F.array(F.lit("all"), *(F.when(cond, F.lit(name)) for name, cond in slices.items())))
+    rows = df.withColumn("slice", F.explode(named))
+    once, level = F.col("slice") == "all", F.grouping_id()
+    error = lambda c: F.abs(F.col(c) - F.col(actual))
+    errors = {"baseline": error(baseline)} | {n: error(c) for n, c in predictions.items()}
+    sums = [F.count("*").alias("__n"), F.count_if(once).alias("__n1")]
+    sums += [x for n, e in errors.items() for x in (F.avg(e).alias(f"__{n}"), F.avg(F.when(once, e)).alias(f"__{n}1"))]
+    got = rows.groupingSets([[F.col(by), F.col("slice")], [F.col("slice")], []], F.col(by), F.col("slice")).agg(level.alias("level"), *sums)
+    pick = lambda c: F.when(F.col("level") == 3, F.col(f"__{c}1")).otherwise(F.col(f"__{c}"))
+    by_level = [F.when(F.col("level") == 0, F.col(by)).alias(by), F.when(F.col("level") < 3, F.col("slice")).alias("slice"), F.col("level").cast("int")]
+    # grouping_id has a bit for each column that is left out, the first one highest: 0 both, 2 slices, 3 all.
+    out = got.select(*by_level, pick("n").alias("n"), *(pick(n).alias(f"mae_{n}") for n in errors))
+    return out.withColumns({f"gain_pct_{n}": F.try_divide(F.col("mae_baseline") - F.col(f"mae_{n}"), F.col("mae_baseline")) * 100.0 for n in predictions})
+
+
+def exact_quantile(df: DataFrame, value, q: float, **limits: int) -> float | None:
+    """The interpolated q-quantile of a column expression; nulls and NaN don't count, and without values it is None. No task gets all values."""
+    row = group_quantiles(df, [], value, {"v": q}, **limits).first()
+    return row.v if row and row.n else None
 
 
 def worst(df: DataFrame, actual: str, baseline: str, q: float = 0.95) -> DataFrame:
@@ -76,7 +73,8 @@ def backtest(series: DataFrame, *, test_start, test_end, order=("ts",)) -> DataF
     from roadtide.operators.seasonal import causal_rolling
 
     rolled = causal_rolling(series, "minutes", ("corridor", "dow", "tod"), order)
-    before = series.where(F.col("date") < F.lit(test_start).cast("date")).groupBy("corridor").agg(F.median("minutes").alias("overall"))
+    before = series.where(F.col("date") < F.lit(test_start).cast("date"))
+    before = group_quantiles(before, ["corridor"], F.col("minutes"), {"overall": 0.5}).drop("n")
     test = rolled.where((F.col("date") >= F.lit(test_start).cast("date")) & (F.col("date") < F.lit(test_end).cast("date")) & F.col("seasonal_median").isNotNull() & F.col("prev_value").isNotNull())
     err = lambda c: F.avg(F.abs(F.col(c) - F.col("minutes")))
     return test.join(before, "corridor").groupBy("corridor").agg(F.count("*").alias("n"), err("seasonal_median").alias("mae_seasonal"), err("prev_value").alias("mae_last"), err("overall").alias("mae_overall"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadtide.functions.columns import rain_class
+from roadtide.operators.quantiles import group_quantiles
 
 #: Fewest rows of a context factor (fixed value).
 FACTOR_LEAST = 20
@@ -113,8 +114,7 @@ def network_matrix(rows: DataFrame, seasonal: DataFrame, stations: DataFrame, ev
 
 def learn_factor(train: DataFrame, keys, *, actual: str = "actual", base: str = "base", least: int = FACTOR_LEAST) -> DataFrame:
     """keys, factor: median of actual over base, of keys with enough rows."""
-    rows = train.withColumn("__q", F.try_divide(actual, base)).where("__q is not null")
-    return rows.groupBy(*keys).agg(F.median("__q").alias("factor"), F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
+    return group_quantiles(train, list(keys), F.try_divide(F.col(actual), F.col(base)), {"factor": 0.5}).where(F.col("n") >= least).drop("n")
 
 
 def apply_factor(df: DataFrame, factor: DataFrame, keys, col: str) -> DataFrame:
@@ -127,20 +127,44 @@ def apply_factor(df: DataFrame, factor: DataFrame, keys, col: str) -> DataFrame:
     return df.join(f, on, "left").select(*(F.col(c) if c != col else (F.col(c) * F.coalesce("__factor", F.lit(1.0))).alias(c) for c in df.columns))
 
 
-def layered_corrections(train: DataFrame, test: DataFrame, layers: list[tuple[str, list[str], object]]) -> DataFrame:
-    """Multiplies base by one factor after another: (name, keys, condition). Each layer is learnt on the training rows
-    on which it is active, after the layers before it, and applied where it is active. Adds corrected."""
-    train, test = train.withColumn("corrected", F.col("base")), test.withColumn("corrected", F.col("base"))
-    for _, keys, active in layers:
-        factor = learn_factor(train.where(active), keys, base="corrected")
-        train, test = (_where_active(df, factor, keys, active) for df in (train, test))
-    return test
+def layer_factors(train: DataFrame, layers: list[tuple[str, list[str], object]], *, actual: str = "actual", base: str = "base") -> list[DataFrame]:
+    """The factors of each layer (name, keys, condition), learnt on the plain baseline of the training rows on which the layer is active and the baseline positive."""
+    return [learn_factor(train.where(active & (F.col(base) > 0)), keys, actual=actual, base=base) for _, keys, active in layers]
 
 
-def _where_active(df: DataFrame, factor: DataFrame, keys, active) -> DataFrame:
-    plain = df.withColumn("__plain", F.col("corrected"))
-    done = apply_factor(plain, factor, keys, "corrected")
-    return done.withColumn("corrected", F.when(active, F.col("corrected")).otherwise(F.col("__plain"))).drop("__plain")
+def layered_corrections(train: DataFrame, test: DataFrame, layers: list[tuple[str, list[str], object]], *, actual: str = "actual", base: str = "base") -> DataFrame:
+    """test with f_<name>, the factor of each layer (name, keys, condition) where it is active and 1 elsewhere, and corrected: base times all of them.
+
+    No layer sees what another one has corrected: all are learnt on the plain baseline.
+    """
+    done = test.withColumn("corrected", F.col(base))
+    for (name, keys, active), factor in zip(layers, layer_factors(train, layers, actual=actual, base=base), strict=True):
+        done = apply_factor(done.withColumn(f"f_{name}", F.lit(1.0)), factor, keys, f"f_{name}")
+        done = done.withColumn(f"f_{name}", F.when(active, F.col(f"f_{name}")).otherwise(1.0)).withColumn("corrected", F.col("corrected") * F.col(f"f_{name}"))
+    return done
+
+
+def layer_report(done: DataFrame, layers: list[tuple[str, list[str], object]], *, actual: str = "actual", base: str = "base") -> DataFrame:
+    """What each layer of layered_corrections() does alone, and all together, a row for each: layer, rows (active), share_pct, mae_before and
+    mae_after of these rows, gain_pct there, global_gain_pct (of the mean error of all rows), error_share_pct (of the baseline's error that these rows have).
+
+    The last row, `all layers`, is about every row. One pass over the data.
+    """
+    err = lambda c: F.abs(c - F.col(actual))
+    plain = err(F.col(base))
+    aggs, rows = [F.count("*").alias("n"), F.sum(plain).alias("whole")], []
+    parts = [(name, F.coalesce(active, F.lit(False)), F.col(base) * F.col(f"f_{name}")) for name, _, active in layers] + [("all layers", F.lit(True), F.col("corrected"))]
+    for i, (name, on, adjusted) in enumerate(parts):
+        aggs += [F.count_if(on).alias(f"r{i}"), F.sum(F.when(on, plain)).alias(f"b{i}"), F.sum(F.when(on, err(adjusted))).alias(f"a{i}")]
+        r, b, a = (F.col(f"{c}{i}") for c in "rba")
+        pct = lambda x, y: F.try_divide(x * 100.0, y)
+        rows.append(
+            F.struct(
+                F.lit(i).alias("no"), F.lit(name).alias("layer"), r.alias("rows"), pct(r, F.col("n")).alias("share_pct"), F.try_divide(b, r).alias("mae_before"), F.try_divide(a, r).alias("mae_after"),
+                pct(b - a, b).alias("gain_pct"), pct(b - a, F.col("whole")).alias("global_gain_pct"), pct(b, F.col("whole")).alias("error_share_pct"),
+            )
+        )
+    return done.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
 def spatial_holdout(stations: DataFrame, *, share: float = 0.3, seed: int = 7) -> DataFrame:

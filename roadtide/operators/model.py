@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,39 +27,47 @@ def to_mph(prediction, target: str, base=None):
     return F.least(F.greatest(raw, F.lit(MPH_MIN)), F.lit(MPH_MAX))
 
 
-def fit(train: DataFrame, numeric: list[str], categorical: list[str], *, rounds: int = 20, depth: int = 5, seed: int = 7, valid: str | None = None) -> PipelineModel:
+def fit(train: DataFrame, numeric: list[str], categorical: list[str], *, rounds: int = 400, depth: int = 5, seed: int = 7, tol: float = 0.001, valid: str | None = None) -> PipelineModel | None:
     """Boosted trees with absolute loss. Missing numbers get their median and a flag; unknown categories a place of their own.
 
-    valid: a Boolean column of rows that stop the boosting early.
+    valid: a Boolean column of rows that end the boosting once a round betters their error by less than tol of it; rounds
+    bounds it. A numeric column without any value counts as 0 throughout. Without rows to learn from there is no model.
     """
-    flags = [f"{c}_missing" for c in numeric]
+    learnt = train.where(~F.coalesce(F.col(valid), F.lit(False))) if valid else train
+    counts = learnt.agg(F.count("*").alias("__n"), *(F.count(F.col(c).cast("double")).alias(c) for c in numeric)).first()
+    if not counts["__n"]:
+        return None
+    stop = valid and not train.where(F.col(valid)).isEmpty()
+    blank = [c for c in numeric if not counts[c]]
+    known = [c for c in numeric if counts[c]]
+    columns = ", ".join(f"{'0.0D' if c in blank else f'CAST(`{c}` AS DOUBLE)'} AS `{c}_known`, CAST(`{c}` IS NULL AS DOUBLE) AS `{c}_missing`" for c in numeric)
     stages = [
+        SQLTransformer(statement=f"SELECT *, {columns} FROM __THIS__"),
         *(StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep") for c in categorical),
-        Imputer(inputCols=numeric, outputCols=[f"{c}_filled" for c in numeric], strategy="median"),
-        VectorAssembler(inputCols=[*(f"{c}_filled" for c in numeric), *flags, *(f"{c}_index" for c in categorical)], outputCol="features"),
-        GBTRegressor(lossType="absolute", maxIter=rounds, maxDepth=depth, maxBins=256, seed=seed, **({"validationIndicatorCol": valid} if valid else {})),
+        *([Imputer(inputCols=[f"{c}_known" for c in known], outputCols=[f"{c}_filled" for c in known], strategy="median")] if known else []),
+        VectorAssembler(inputCols=[*(f"{c}_known" if c in blank else f"{c}_filled" for c in numeric), *(f"{c}_missing" for c in numeric), *(f"{c}_index" for c in categorical)], outputCol="features"),
+        GBTRegressor(lossType="absolute", maxIter=rounds, maxDepth=depth, maxBins=256, seed=seed, validationTol=tol, **({"validationIndicatorCol": valid} if stop else {})),
     ]
-    return Pipeline(stages=stages).fit(flagged(train, numeric))
+    return Pipeline(stages=stages).fit(train if stop or not valid else learnt)
 
 
-def flagged(df: DataFrame, numeric: list[str]) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("double") for c in numeric} | {f"{c}_missing": F.col(c).isNull().cast("double") for c in numeric})
-
-
-def predict(model: PipelineModel, df: DataFrame, numeric: list[str], target: str = "speed", base: str = "seasonal_speed", out: str = "mph") -> DataFrame:
-    """df with the prediction under the name `out`: mph held within its limits, or minutes as they are."""
-    done = model.transform(flagged(df, numeric))
+def predict(model: PipelineModel | None, df: DataFrame, target: str = "speed", base: str = "seasonal_speed", out: str = "mph") -> DataFrame:
+    """df with the prediction under the name `out`: mph held within its limits, or minutes as they are. Without a model, no row."""
+    if model is None:
+        return df.where(F.lit(False)).withColumn(out, F.lit(None).cast("double"))
+    done = model.transform(df)
     value = F.col("prediction") if target == "minutes" else to_mph(F.col("prediction"), target, F.col(base) if target == "ratio" else None)
     return done.select(*df.columns, value.alias(out))
 
 
-def importances(model: PipelineModel, spark) -> DataFrame:
+def importances(model: PipelineModel | None, spark) -> DataFrame:
     """feature, share (percent) of the fitted trees."""
-    names, tree = model.stages[-2].getInputCols(), model.stages[-1]
-    shares = tree.featureImportances.toArray()
-    return spark.createDataFrame([(n, float(s) * 100.0) for n, s in zip(names, shares, strict=True)], "feature string, share double")
+    rows = []
+    if model is not None:
+        rows = [(n.removesuffix("_known"), float(s) * 100.0) for n, s in zip(model.stages[-2].getInputCols(), model.stages[-1].featureImportances.toArray(), strict=True)]
+    return spark.createDataFrame(rows, "feature string, share double")
 
 
-def forecast_table(model: PipelineModel, seasonal: DataFrame, start_date, days: int, numeric: list[str], *, target: str = "speed") -> DataFrame:
+def forecast_table(model: PipelineModel | None, seasonal: DataFrame, start_date, days: int, *, target: str = "speed") -> DataFrame:
     """station, date, tod, mph, seasonal_speed, seasonal_sd of the coming days."""
-    return predict(model, horizon(seasonal, start_date, days), numeric, target).select("station", "date", "tod", "mph", "seasonal_speed", "seasonal_sd")
+    return predict(model, horizon(seasonal, start_date, days), target).select("station", "date", "tod", "mph", "seasonal_speed", "seasonal_sd")

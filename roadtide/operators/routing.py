@@ -10,13 +10,16 @@ from roadtide.operators.spatial import idw, knn
 
 #: Longest stretch that one station speaks for, and band factors (fixed values).
 MAX_SPAN_MI, SLOW, FAST = 2.5, 0.40, 0.25
+#: A first station so near to the start has no surface span before it; miles an hour of a stretch without free-flow minutes; part of
+#: the freeway's slowdown that other roads take (fixed values).
+START_MI, LAST_RESORT_MPH, ALPHA = 0.01, 30.0, 0.5
 
 
 def build_spans(matched: DataFrame, routes: DataFrame, *, max_span_mi: float = MAX_SPAN_MI) -> DataFrame:
     """Spans of each route: route_id, span_no, kind, start_mi, end_mi, sensor_id.
 
-    Each matched station governs up to the next; what comes before the first, and stretches over max_span_mi, are
-    surface. matched: route_id, sensor_id, along_mi; routes: route_id, route_mi.
+    Each matched station governs up to the next; what comes before the first (beyond START_MI), and stretches over
+    max_span_mi, are surface. matched: route_id, sensor_id, along_mi; routes: route_id, route_mi.
     """
     w = Window.partitionBy("route_id").orderBy("along_mi", "sensor_id")
     runs = matched.join(routes, "route_id").select("route_id", "sensor_id", F.col("along_mi").alias("start_mi"), F.lead("along_mi").over(w).alias("next_mi"), "route_mi")
@@ -24,73 +27,101 @@ def build_spans(matched: DataFrame, routes: DataFrame, *, max_span_mi: float = M
     long = F.col("end_mi") - F.col("start_mi") > max_span_mi
     governed = runs.select("route_id", F.when(long, "surface").otherwise("freeway").alias("kind"), "start_mi", "end_mi", F.when(~long, F.col("sensor_id")).alias("sensor_id"))
     first = matched.groupBy("route_id").agg(F.min("along_mi").alias("first_mi"))
-    lead = routes.join(first, "route_id", "left").select("route_id", F.lit("surface").alias("kind"), F.lit(0.0).alias("start_mi"), F.coalesce("first_mi", "route_mi").alias("end_mi"), F.lit(None).cast("int").alias("sensor_id"))
+    lead = routes.join(first, "route_id", "left").select("route_id", F.lit("surface").alias("kind"), F.lit(0.0).alias("start_mi"), F.coalesce("first_mi", "route_mi").alias("end_mi"), F.lit(None).cast("int").alias("sensor_id"), "first_mi")
+    lead = lead.where(F.col("first_mi").isNull() | (F.col("end_mi") > START_MI)).drop("first_mi")
     every = governed.unionByName(lead).where("end_mi > start_mi")
     order = Window.partitionBy("route_id").orderBy("start_mi", "end_mi", "sensor_id")
     return every.select("route_id", (F.row_number().over(order) - 1).alias("span_no"), "kind", "start_mi", "end_mi", "sensor_id")
 
 
-def slot_speeds(forecast: DataFrame, value: str = "mph", slots: int = 96) -> DataFrame:
-    """station, speeds: array of `slots` values in slot order, null where the forecast has none. forecast: station, slot, value."""
-    per = forecast.groupBy("station").agg(F.map_from_entries(F.collect_list(F.struct("slot", value))).alias("m"))
-    return per.select("station", F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.try_element_at("m", i)).alias("speeds"))
+def slot_speeds(forecast: DataFrame, value: str = "mph", slots: int = 96, sd: str | None = None) -> DataFrame:
+    """station, speeds, sds: arrays of `slots` values in slot order, null where the forecast has none. forecast: station, slot, value, and the deviation sd if it is known."""
+    deviation = F.col(sd).cast("double") if sd else F.lit(None).cast("double")
+    per = forecast.groupBy("station").agg(F.map_from_entries(F.collect_list(F.struct("slot", F.struct(F.col(value).alias("mph"), deviation.alias("sd"))))).alias("m"))
+    at = lambda c: F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.try_element_at("m", i)[c])
+    return per.select("station", at("mph").alias("speeds"), at("sd").alias("sds"))
 
 
-def street_speeds(spans: DataFrame, vertices: DataFrame, stations: DataFrame, speeds: DataFrame, freeflow: DataFrame, *, limit_mph: float = 30.0, alpha: float = 0.5, slots: int = 96) -> DataFrame:
-    """route_id, span_no, streets: array of a surface span's estimated speeds by slot.
+def free_speeds(spans: DataFrame, vertices: DataFrame) -> DataFrame:
+    """route_id, span_no, free_mph: a span's miles over the route's own free-flow minutes between its ends. vertices: route_id, cum_mi, cum_min."""
+    marks = vertices.select("route_id", F.col("cum_mi").alias("mile"), F.col("cum_min").alias("minutes"))
+    ends = spans.select("route_id", "span_no", F.inline(F.array(*(F.struct(F.lit(i).alias("end"), F.col(c).alias("mile")) for i, c in enumerate(("start_mi", "end_mi"))))))
+    value = lambda c, i: F.max(F.when(F.col("end") == i, F.col(c)))
+    per = minutes_at(ends, marks).groupBy("route_id", "span_no").agg((value("mile", 1) - value("mile", 0)).alias("miles"), (value("minutes", 1) - value("minutes", 0)).alias("minutes"))
+    return per.select("route_id", "span_no", F.when(F.col("minutes") > 0, F.col("miles") / F.col("minutes") * 60.0).otherwise(LAST_RESORT_MPH).alias("free_mph"))
 
-    The stations near the vertex next to the span's middle are weighted as for ways; the share of free flow that they
-    have in a slot slows the street by a part alpha of it. Null where no station near has a speed.
-    speeds: from slot_speeds(); freeflow: station, freeflow; vertices: route_id, seq, lat, lon, cum_mi.
+
+def street_speeds(spans: DataFrame, vertices: DataFrame, stations: DataFrame, speeds: DataFrame, freeflow: DataFrame, *, alpha: float = ALPHA, slots: int = 96) -> DataFrame:
+    """route_id, span_no, free_mph, streets: the estimated speeds by slot of a span that no station speaks for, null where no station near has a speed.
+
+    Any span may need them: surface ones, and freeway spans in slots without a forecast. The stations near the first
+    vertex at or behind the span's middle are weighted as for ways; the share of free flow that they have in a slot
+    slows the span's free speed by a part alpha of it. Vertices count as behind from a billionth of a mile before.
+    speeds: from slot_speeds(); freeflow: station, freeflow; vertices: route_id, seq, lat, lon, cum_mi, cum_min.
     """
-    middle = spans.where("kind = 'surface'").select("route_id", "span_no", ((F.col("start_mi") + F.col("end_mi")) / 2).alias("__mid"))
-    near = F.min_by(F.struct("lat", "lon"), F.struct(F.abs(F.col("cum_mi") - F.col("__mid")), F.col("seq"))).alias("p")
-    points = middle.join(vertices.select("route_id", "seq", "lat", "lon", "cum_mi"), "route_id").groupBy("route_id", "span_no").agg(near)
+    middle = spans.select("route_id", "span_no", ((F.col("start_mi") + F.col("end_mi")) / 2 - 1e-9).alias("__mid"))
+    behind = F.col("cum_mi") >= F.col("__mid")
+    first = F.min_by(F.struct("lat", "lon"), F.struct((~behind).alias("b"), F.when(behind, F.col("seq")).otherwise(-F.col("seq")).alias("s"))).alias("p")
+    points = middle.join(vertices.select("route_id", "seq", "lat", "lon", "cum_mi"), "route_id").groupBy("route_id", "span_no").agg(first)
     links = way_links(points.select(F.struct("route_id", "span_no").alias("way_id"), "p.lat", "p.lon"), stations)
     shares = links.join(speeds, "station").join(freeflow, "station").select("way_id", "weight", "freeflow", F.posexplode("speeds").alias("slot", "mph"))
     ratio = flow_ratio(F.col("mph"), F.col("freeflow"))
     by_slot = shares.where(ratio.isNotNull()).groupBy("way_id", "slot").agg(F.try_divide(F.sum(F.col("weight") * ratio), F.sum("weight")).alias("ratio"))
-    per = by_slot.groupBy("way_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", surface_mph(F.col("ratio"), F.lit(limit_mph), alpha)))).alias("m"))
-    return per.select("way_id.route_id", "way_id.span_no", F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.try_element_at("m", i)).alias("streets"))
+    per = by_slot.groupBy("way_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", 1.0 - alpha * (1.0 - F.col("ratio"))))).alias("m")).select("way_id.route_id", "way_id.span_no", "m")
+    slowed = lambda i: F.greatest(F.col("free_mph") * F.try_element_at("m", i), F.lit(MPH_MIN))
+    at = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.when(F.try_element_at("m", i).isNotNull(), slowed(i)))
+    return free_speeds(spans, vertices).join(per, ["route_id", "span_no"], "left").select("route_id", "span_no", "free_mph", F.when(F.col("m").isNotNull(), at).alias("streets"))
 
 
-def priced_spans(spans: DataFrame, speeds: DataFrame, *, free_mph: float = 30.0, streets: DataFrame | None = None) -> DataFrame:
-    """route_id and spans: array<struct<span_no, kind, miles, speeds, streets, free>> in order.
+def priced_spans(spans: DataFrame, speeds: DataFrame, streets: DataFrame | None = None) -> DataFrame:
+    """route_id and spans: array<struct<span_no, kind, miles, speeds, sds, streets, free>> in order.
 
-    Surface spans run at the speed of their slot in `streets` (from street_speeds()), or at free_mph where there is none.
+    Where no station speaks for a span it runs at the speed of its slot in `streets` (from street_speeds()), at its free
+    speed where there is none, and at LAST_RESORT_MPH where that is not known either.
     """
     rows = spans.join(speeds, F.col("sensor_id") == F.col("station"), "left")
-    rows = rows.join(streets, ["route_id", "span_no"], "left") if streets is not None else rows.withColumn("streets", F.lit(None).cast("array<double>"))
-    one = F.struct("span_no", "kind", (F.col("end_mi") - F.col("start_mi")).alias("miles"), "speeds", "streets", F.lit(free_mph).alias("free"))
+    rows = rows.join(streets, ["route_id", "span_no"], "left") if streets is not None else rows.withColumns({"streets": F.lit(None).cast("array<double>"), "free_mph": F.lit(None).cast("double")})
+    if "sds" not in speeds.columns:
+        rows = rows.withColumn("sds", F.lit(None).cast("array<double>"))
+    one = F.struct("span_no", "kind", (F.col("end_mi") - F.col("start_mi")).alias("miles"), "speeds", "sds", "streets", F.coalesce("free_mph", F.lit(LAST_RESORT_MPH)).alias("free"))
     return rows.groupBy("route_id").agg(F.array_sort(F.collect_list(one)).alias("spans"))
 
 
+def _span_at(x, t, slot_min: int) -> tuple:
+    """The forecast speed of span x at minute t (null without one), the speed it runs at, and its deviation in minutes."""
+    at = lambda c: F.when(x[c].isNotNull(), F.get(x[c], F.greatest(F.least(F.floor(t / slot_min).cast("int"), F.size(x[c]) - 1), F.lit(0))))
+    forecast = F.when((x["kind"] == "freeway") & (at("speeds") > 0), at("speeds"))
+    mph = F.coalesce(forecast, at("streets"), F.greatest(x["free"], F.lit(MPH_MIN)))
+    return forecast, mph, F.when(forecast.isNotNull(), minutes_sd(x["miles"], forecast, F.coalesce(at("sds"), F.lit(0.0)))).otherwise(0.0)
+
+
 def price(routes: DataFrame, departures: DataFrame, *, slot_min: int = 15) -> DataFrame:
     """Minutes of every route and departure, each span at the slot when the driver reaches it.
 
     routes: from priced_spans(); departures: route_id, depart (minutes since the first slot). A slot beyond the last
-    stays at the last. Without a speed a span falls back to its free speed and counts as surface. The fold runs inside
-    one row per (route, departure), so the plan has one join and no state across rows.
+    stays at the last. A span without a forecast in its slot counts as surface. measured_share is that of the minutes;
+    minutes_sd adds up the deviations of the forecast spans. The fold runs inside one row per (route, departure), so the
+    plan has one join and no state across rows.
     """
-    zero = F.struct(F.col("depart").cast("double").alias("t"), F.lit(0.0).alias("freeway"), F.lit(0.0).alias("surface"), F.lit(0.0).alias("freeway_mi"), F.lit(0.0).alias("surface_mi"), F.lit(0).alias("stations"))
+    zero = F.struct(
+        F.col("depart").cast("double").alias("t"), *(F.lit(0.0).alias(c) for c in ("freeway", "surface", "freeway_mi", "surface_mi", "sd")), F.lit(0).alias("stations"),
+    )
 
     def step(acc, x):
-        at = lambda c: F.when(x[c].isNotNull(), F.get(x[c], F.greatest(F.least(F.floor(acc["t"] / slot_min).cast("int"), F.size(x[c]) - 1), F.lit(0))))
-        mph = F.when(x["kind"] == "freeway", at("speeds"))
-        street = F.when(x["kind"] == "surface", at("streets"))
-        known = mph.isNotNull()
-        minutes = x["miles"] / F.greatest(F.coalesce(mph, street, x["free"]), F.lit(MPH_MIN)) * 60.0
+        forecast, mph, sd = _span_at(x, acc["t"], slot_min)
+        known, minutes = forecast.isNotNull(), x["miles"] / mph * 60.0
         add = lambda c, v, when: (acc[c] + F.when(when, v).otherwise(0.0)).alias(c)
         return F.struct(
             (acc["t"] + minutes).alias("t"), add("freeway", minutes, known), add("surface", minutes, ~known), add("freeway_mi", x["miles"], known), add("surface_mi", x["miles"], ~known),
-            (acc["stations"] + known.cast("int")).alias("stations"),
+            (acc["sd"] + sd).alias("sd"), (acc["stations"] + known.cast("int")).alias("stations"),
         )
 
     rows = departures.join(routes, "route_id").withColumn("r", F.aggregate("spans", zero, step))
+    total = F.col("r.t") - F.col("depart")
     return rows.select(
-        "route_id", "depart", (F.col("r.t") - F.col("depart")).alias("total_minutes"), F.col("r.freeway").alias("freeway_minutes"), F.col("r.surface").alias("surface_minutes"),
+        "route_id", "depart", total.alias("total_minutes"), F.col("r.freeway").alias("freeway_minutes"), F.col("r.surface").alias("surface_minutes"),
         F.col("r.freeway_mi").alias("freeway_mi"), F.col("r.surface_mi").alias("surface_mi"), F.col("r.stations").alias("stations"),
-        F.try_divide(F.col("r.freeway_mi"), F.col("r.freeway_mi") + F.col("r.surface_mi")).alias("measured_share"),
+        F.coalesce(F.try_divide(F.col("r.freeway"), total), F.lit(0.0)).alias("measured_share"), F.col("r.sd").alias("minutes_sd"),
     )
 
 
@@ -160,11 +191,9 @@ def segments(routes: DataFrame, departures: DataFrame, *, slot_min: int = 15) ->
     zero = F.struct(F.col("depart").cast("double").alias("t"), F.array().cast(one).alias("out"))
 
     def step(acc, x):
-        at = lambda c: F.when(x[c].isNotNull(), F.get(x[c], F.greatest(F.least(F.floor(acc["t"] / slot_min).cast("int"), F.size(x[c]) - 1), F.lit(0))))
-        known = F.when(x["kind"] == "freeway", at("speeds"))
-        mph = F.greatest(F.coalesce(known, F.when(x["kind"] == "surface", at("streets")), x["free"]), F.lit(MPH_MIN))
+        forecast, mph, _ = _span_at(x, acc["t"], slot_min)
         minutes = x["miles"] / mph * 60.0
-        row = F.struct(x["span_no"].cast("int").alias("span_no"), mph.alias("mph"), minutes.alias("minutes"), (acc["t"] + minutes).alias("arrive"), known.isNull().alias("estimate"))
+        row = F.struct(x["span_no"].cast("int").alias("span_no"), mph.alias("mph"), minutes.alias("minutes"), (acc["t"] + minutes).alias("arrive"), forecast.isNull().alias("estimate"))
         return F.struct((acc["t"] + minutes).alias("t"), F.concat(acc["out"], F.array(row)).alias("out"))
 
     rows = departures.join(routes, "route_id").select("route_id", "depart", "spans", F.aggregate("spans", zero, step, lambda acc: acc["out"]).alias("out"))

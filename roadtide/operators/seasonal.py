@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadtide.operators.quantiles import group_quantiles
+
 KEYS = ("station", "dow", "tod")
 #: Observations of a rolling window and the fewest that count (fixed values).
 WINDOW, LEAST, STATION_LEAST, MIN_OBSERVED = 8, 3, 4, 20
@@ -68,7 +70,7 @@ def last_n(df: DataFrame, value: str, keys, order, *, n: int = WINDOW) -> DataFr
 
 def freeflow(seasonal: DataFrame, q: float = 0.9) -> DataFrame:
     """station, freeflow: interpolated quantile of its seasonal speeds."""
-    return seasonal.groupBy("station").agg(F.percentile("seasonal_speed", q).alias("freeflow"))
+    return group_quantiles(seasonal, ["station"], F.col("seasonal_speed"), {"freeflow": q}).select("station", "freeflow")
 
 
 def rolling_sums(df: DataFrame, value: str, keys, order, sums: dict[str, int], *, day: str = "date", block: int = 4096) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadtide.functions.columns import IDW_FLOOR_MI, MI_PER_LAT, MI_PER_LON, angle_between, bearing, cell_centre, direction_bearing, planar_miles
+from roadtide.session import written
 
 #: Match and link limits (fixed values).
 TOLERANCE_MI, MAX_BEARING, RADIUS_MI, MAX_STATIONS, MAX_EVENT_MI = 0.10, 65.0, 2.0, 6, 12.0
@@ -85,6 +86,7 @@ def nearest_in_grid(left: DataFrame, right: DataFrame, step: float, *, digits: i
         pairs = open_.withColumns({"cy": cell("lat"), "cx": cell("lon")}).join(near, ["cy", "cx"], "left")
         d2 = F.round(F.pow(F.col("lat") - F.col("r_lat"), 2) + F.pow(F.col("lon") - F.col("r_lon"), 2), digits)
         best = pairs.withColumn("dist", d2).groupBy("left_id").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"), F.min_by(F.struct("right_id", "dist"), F.when(F.col("right_id").isNotNull(), F.struct("dist", "right_id"))).alias("b"))
+        best = written(best)  # a round is computed once, not again by each that follows
         sure = F.coalesce(F.col("b.dist") < size * size - 10.0**-digits, F.lit(False)) if size <= most else F.lit(True)
         done = best.where(sure & F.col("b.right_id").isNotNull()).select("left_id", "b.right_id", "b.dist")
         found = done if found is None else found.union(done)

@@ -109,7 +109,7 @@ def _fitted(spark, d):
     """Boosted trees on the network features, stopped early on the year after the training ones."""
     rows = _network_matrix(spark, d).withColumn("is_weekend", F.col("is_weekend").cast("int"))
     split = features.temporal_split(rows, "1997-01-01", "1998-01-01", "1999-01-01").where("split <> 'test'").withColumn("valid", F.col("split") == "valid")
-    return model.fit(model.label(split, "ratio"), features.NETWORK_NUMERIC, features.NETWORK_CATEGORICAL, rounds=20, depth=5, valid="valid")
+    return model.fit(model.label(split, "ratio"), features.NETWORK_NUMERIC, features.NETWORK_CATEGORICAL, rounds=60, valid="valid")
 
 
 def _coming(spark, d):
@@ -122,7 +122,7 @@ def _coming(spark, d):
 @query("M6_forecast_table")
 def _(spark, d):
     """The forecast of a week: share of the seasonal speed by the model, with the station's free-flow speed."""
-    rows = model.predict(_fitted(spark, d), _coming(spark, d), features.NETWORK_NUMERIC, "ratio")
+    rows = model.predict(_fitted(spark, d), _coming(spark, d), "ratio")
     free = seasonal.freeflow(_profile(spark, d))
     return rounded(rows.join(free, "station").select("station", "date", "tod", "mph", "seasonal_speed", "seasonal_sd", "freeflow"))
 
@@ -136,8 +136,8 @@ def _(spark, d):
 def _(spark, d):
     """The corridor model: minutes from the corridor features, and its mean error by corridor on the last year."""
     rows = features.temporal_split(_corridor_matrix(spark, d).withColumn("is_weekend", F.col("is_weekend").cast("int")), "1997-01-01", "1998-01-01", "1999-01-01")
-    fitted = model.fit(model.label(rows.where("split <> 'test'").withColumn("valid", F.col("split") == "valid"), "minutes", actual="minutes"), features.CORRIDOR_NUMERIC, features.CORRIDOR_CATEGORICAL, rounds=10, depth=4, valid="valid")
-    done = model.predict(fitted, rows.where("split = 'test'"), features.CORRIDOR_NUMERIC, "minutes", out="predicted")
+    fitted = model.fit(model.label(rows.where("split <> 'test'").withColumn("valid", F.col("split") == "valid"), "minutes", actual="minutes"), features.CORRIDOR_NUMERIC, features.CORRIDOR_CATEGORICAL, rounds=60, valid="valid")
+    done = model.predict(fitted, rows.where("split = 'test'"), "minutes", out="predicted")
     return rounded(done.groupBy("corridor").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("predicted") - F.col("minutes"))).alias("mae_model"), F.avg(F.abs(F.col("seasonal_median") - F.col("minutes"))).alias("mae_seasonal")))
 
 
@@ -163,7 +163,7 @@ _PEAK = "(tod BETWEEN 420 AND 595 OR tod BETWEEN 900 AND 1135)"
 
 @query("A12_six_slices", f"""{cte('series', 'venue_events')}, {_HOLIDAYS}, {_EVENTS}, m AS (SELECT DISTINCT concat('v', i % 7) AS venue, concat('k', i % 9) AS corridor FROM range(0, 14) t(i)),
 n AS (SELECT DISTINCT corridor, CAST(start AS DATE) AS date FROM ev JOIN m USING (venue)), p AS (SELECT s.*, abs(minutes - 25) AS err, hc.class, n.date IS NOT NULL AS eventful FROM series s JOIN hc USING (date) LEFT JOIN n ON n.corridor = s.corridor AND n.date = s.date), q AS (SELECT quantile_cont(err, 0.95) AS cut FROM p),
-s AS (SELECT p.*, unnest(list_filter(['all', CASE WHEN {_PEAK} THEN 'peak' END, CASE WHEN class = 'holiday' THEN 'holiday' END, CASE WHEN eventful THEN 'event' END, CASE WHEN precip >= 0.2 THEN 'rain' END, CASE WHEN err > cut THEN 'worst' END], lambda v: v IS NOT NULL)) AS slice FROM p, q)
+s AS (SELECT p.*, unnest(list_filter(['all', CASE WHEN {_PEAK} THEN 'peak' END, CASE WHEN class <> 'none' THEN 'holiday' END, CASE WHEN eventful THEN 'event' END, CASE WHEN precip >= 0.2 THEN 'rain' END, CASE WHEN err > cut THEN 'worst' END], lambda v: v IS NOT NULL)) AS slice FROM p, q)
 SELECT slice, count(*) AS n, round(avg(err), 4) AS mae_baseline FROM s GROUP BY slice""")
 def _(spark, d):
     pairs = [(f"v{v}", sorted({f"k{i % 9}" for i in range(14) if i % 7 == v})) for v in range(7)]
@@ -171,7 +171,7 @@ def _(spark, d):
     busy = _events(spark, d).join(reach, "venue").select("corridor", F.to_date("start").alias("date"), F.lit(True).alias("eventful")).distinct()
     rows = features.holiday_class(frame(spark, d, "series"), features.holidays(spark, 1991, 2005)).join(busy, ["corridor", "date"], "left")
     rows = evaluate.worst(rows.withColumn("guess", F.lit(25.0)), "minutes", "guess")
-    slices = {"peak": fn.is_peak(F.col("tod")), "holiday": F.col("holiday_class") == "holiday", "event": F.coalesce("eventful", F.lit(False)), "rain": F.col("precip") >= fn.RAIN_LIGHT, "worst": F.col("is_worst")}
+    slices = {"peak": fn.is_peak(F.col("tod")), "holiday": F.col("holiday_class") != "none", "event": F.coalesce("eventful", F.lit(False)), "rain": F.col("precip") >= fn.RAIN_LIGHT, "worst": F.col("is_worst")}
     return rounded(evaluate.slice_report(rows, "minutes", "guess", {}, slices))
 
 
@@ -181,5 +181,5 @@ def _(spark, d):
     rows = _network_matrix(spark, d, frame(spark, d, "readings")).withColumn("held", F.pmod(F.col("station").cast("bigint") * 7919, F.lit(1000)) < 300)
     rows = evaluate.worst(rows, "actual", "base")
     peak, slow = fn.is_peak(F.col("tod")), F.col("base") < 45
-    slices = {"peak": peak, "congested": slow, "peak+congested": peak & slow, "holiday": F.col("holiday_class") == "holiday", "rain": F.col("precip_mm") >= fn.RAIN_LIGHT, "near event": F.col("hours_since_event").isNotNull(), "worst": F.col("is_worst")}
+    slices = {"peak": peak, "congested": slow, "peak+congested": peak & slow, "holiday": F.col("holiday_class") != "none", "rain": F.col("precip_mm") >= fn.RAIN_LIGHT, "near event": F.col("hours_since_event").isNotNull(), "worst": F.col("is_worst")}
     return rounded(evaluate.slice_report(rows, "actual", "base", {"model": "pred"}, slices, by="held"))

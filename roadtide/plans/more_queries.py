@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from roadtide.functions import columns as fn
-from roadtide.operators import corridor, evaluate, features, geometry, routing, seasonal
+from roadtide.operators import corridor, evaluate, features, geometry, quantiles, routing, seasonal
 from roadtide.plans.demo import cte, frame
-from roadtide.plans.queries import _ALL_DAY, _PRICED, _PROFILE, _ROLLED, _SPANS, _matched, _members, _profile, _rolled, _settled, _spans, _speeds, _vertices, query, rounded
+from roadtide.plans.queries import _ALL_DAY, _PRICED, _PROFILE, _ROLLED, _SPANS, _matched, _members, _profile, _rolled, _routes, _settled, _spans, _vertices, query, rounded
 
 
 @query("P2_positive_speed", f"{cte('readings')} SELECT row_id, round(speed, 4) AS speed FROM readings WHERE speed > 0")
@@ -100,7 +100,7 @@ def _(spark, d):
 
 @query("A5_median_before", f"{cte('series')} SELECT corridor, round(quantile_cont(minutes, 0.5), 4) AS overall FROM series WHERE date < DATE '1996-01-01' GROUP BY corridor")
 def _(spark, d):
-    return rounded(frame(spark, d, "series").where("date < '1996-01-01'").groupBy("corridor").agg(F.median("minutes").alias("overall")))
+    return rounded(quantiles.group_quantiles(frame(spark, d, "series").where("date < '1996-01-01'"), ["corridor"], F.col("minutes"), {"overall": 0.5}).drop("n"))
 
 
 @query("A9_events_per_day", f"{cte('probes', 'venue_events')}, n AS (SELECT venue, CAST(start AS DATE) AS day, count(*) AS events FROM venue_events WHERE value > 300 GROUP BY 1, 2) SELECT row_id, coalesce(events, 0) AS events FROM probes p LEFT JOIN n ON n.venue = p.venue AND n.day = CAST(p.ts AS DATE)")
@@ -196,7 +196,7 @@ def _(spark, d):
 
 @query("R7_all_day_profile", f"{_ALL_DAY} SELECT {_PRICED} FROM priced")
 def _(spark, d):
-    routes = routing.priced_spans(_spans(spark, d), _speeds(spark, d))
+    routes = _routes(spark, d)
     return _settled(routing.price(routes, routing.all_day(routes)))
 
 
@@ -211,9 +211,9 @@ def _(spark, d):
     return _settled(routing.minutes_at(asked, marks).select("route_id", "span_no", "minutes"), 4)
 
 
-@query("A26_route_coverage", f"{_ALL_DAY} SELECT CAST(route_id AS BIGINT) AS route_id, round(avg(fm / mi), 3) AS measured_share, max(n) AS stations, round(avg(total), 3) AS minutes FROM priced WHERE route_id IN (SELECT route_id FROM matched) GROUP BY route_id")
+@query("A26_route_coverage", f"{_ALL_DAY} SELECT CAST(route_id AS BIGINT) AS route_id, round(round(avg(coalesce(fw / nullif(total, 0), 0)), 9), 3) AS measured_share, max(n) AS stations, round(avg(total), 3) AS minutes FROM priced WHERE route_id IN (SELECT route_id FROM matched) GROUP BY route_id")
 def _(spark, d):
-    priced = routing.price(routing.priced_spans(_spans(spark, d), _speeds(spark, d)), routing.all_day(_matched(spark, d).select("route_id").distinct()))
+    priced = routing.price(_routes(spark, d), routing.all_day(_matched(spark, d).select("route_id").distinct()))
     return _settled(priced.groupBy("route_id").agg(F.avg("measured_share").alias("measured_share"), F.max("stations").alias("stations"), F.avg("total_minutes").alias("minutes")))
 
 

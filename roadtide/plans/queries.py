@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadtide.functions import columns as fn
-from roadtide.operators import asof, corridor, evaluate, events, features, publish, routing, seasonal, spatial
+from roadtide.operators import asof, corridor, evaluate, events, features, publish, quantiles, routing, seasonal, spatial
 from roadtide.plans.demo import cte, frame
-from roadtide.session import broadcast_if_small
+from roadtide.session import broadcast_if_small, written
 from roadtide.sources import readers
 from roadtide.streaming import ingest
 
@@ -202,7 +202,7 @@ def _(spark, d):
 SELECT row_id, round(ratio, 4) AS ratio, CAST(CASE WHEN ratio >= 0.95 THEN 1 WHEN ratio >= 0.85 THEN 2 WHEN ratio >= 0.7 THEN 3 WHEN ratio >= 0.5 THEN 4 ELSE 5 END AS BIGINT) AS level, round(greatest(least(35 * (1 - 0.5 * (1 - ratio)), 35), 5), 4) AS street_mph FROM r""")
 def _(spark, d):
     r = frame(spark, d, "readings")
-    ff = r.groupBy("station").agg(F.percentile("speed", 0.9).alias("ff"))
+    ff = quantiles.group_quantiles(r, ["station"], F.col("speed"), {"ff": 0.9}).select("station", "ff")
     ratio = fn.flow_ratio(F.col("speed"), F.col("ff"))
     return rounded(r.join(ff, "station").select("row_id", ratio.alias("ratio"), fn.service_level(ratio).alias("level"), fn.surface_mph(ratio, F.lit(35.0)).alias("street_mph")))
 
@@ -272,7 +272,14 @@ def _(spark, d):
     return rounded(got.select("row_id", "event_id", "hours_since_event", "title"))
 
 
-@query("J8_hour_bucket", f"{_asof_sql(-4, 6)} SELECT p.row_id, CASE WHEN floor(b.h) BETWEEN -3 AND 6 THEN CAST(floor(b.h) AS BIGINT) END AS bucket FROM probes p LEFT JOIN b ON p.row_id = b.row_id AND b.r = 1")
+@query("J8_hour_bucket", f"{_asof_sql(0, 6)} SELECT p.row_id, CAST(floor(b.h) AS BIGINT) AS bucket FROM probes p LEFT JOIN b ON p.row_id = b.row_id AND b.r = 1")
+def _(spark, d):
+    """Hours since the last event only."""
+    got = asof.nearest_event(frame(spark, d, "probes"), frame(spark, d, "venue_events"), key="venue", row_id="row_id", backward_only=True)
+    return rounded(got.select("row_id", asof.hour_bucket(F.col("hours_since_event")).alias("bucket")))
+
+
+@query("J8_two_sided_bucket", f"{_asof_sql(-4, 6)} SELECT p.row_id, CASE WHEN floor(b.h) BETWEEN -3 AND 6 THEN CAST(floor(b.h) AS BIGINT) END AS bucket FROM probes p LEFT JOIN b ON p.row_id = b.row_id AND b.r = 1")
 def _(spark, d):
     got = asof.nearest_event(frame(spark, d, "probes"), frame(spark, d, "venue_events"), key="venue", row_id="row_id")
     return rounded(got.select("row_id", asof.hour_bucket(F.col("hours_since_event")).alias("bucket")))
@@ -365,16 +372,29 @@ def _(spark, d):
     return rounded(features.learn_factor(frame(spark, d, "readings"), ["station", "tod"]))
 
 
-@query("M8_layered_corrections", f"""{cte('readings')}, tr AS (SELECT * FROM readings WHERE date < DATE '1997-01-01'), te AS (SELECT * FROM readings WHERE date >= DATE '1997-01-01'),
+# Layers of the demo: each is learnt on the plain baseline before 1997, of groups with enough rows, and acts on the rows from then on.
+_LAYERS = f"""{cte('readings')}, tr AS (SELECT * FROM readings WHERE date < DATE '1997-01-01' AND base > 0), te AS (SELECT * FROM readings WHERE date >= DATE '1997-01-01'),
 f1 AS (SELECT dow, quantile_cont(actual / base, 0.5) AS f FROM tr WHERE tod < 600 GROUP BY dow HAVING count(*) >= 20),
-tr2 AS (SELECT tr.*, base * CASE WHEN tod < 600 THEN coalesce(f, 1) ELSE 1 END AS c FROM tr LEFT JOIN f1 USING (dow)), te2 AS (SELECT te.*, base * CASE WHEN tod < 600 THEN coalesce(f, 1) ELSE 1 END AS c FROM te LEFT JOIN f1 USING (dow)),
-f2 AS (SELECT tod, quantile_cont(actual / c, 0.5) AS f FROM tr2 WHERE pct_observed >= 50 GROUP BY tod HAVING count(*) >= 20)
-SELECT row_id, round(c * CASE WHEN pct_observed >= 50 THEN coalesce(f, 1) ELSE 1 END, 4) AS corrected FROM te2 LEFT JOIN f2 USING (tod)""")
-def _(spark, d):
+f2 AS (SELECT tod, quantile_cont(actual / base, 0.5) AS f FROM tr WHERE pct_observed >= 50 GROUP BY tod HAVING count(*) >= 20),
+done AS (SELECT te.*, tod < 600 AS on1, pct_observed >= 50 AS on2, CASE WHEN tod < 600 THEN coalesce(f1.f, 1) ELSE 1 END AS g1, CASE WHEN pct_observed >= 50 THEN coalesce(f2.f, 1) ELSE 1 END AS g2 FROM te LEFT JOIN f1 USING (dow) LEFT JOIN f2 USING (tod))"""
+
+
+def _layered(spark, d):
     r = frame(spark, d, "readings")
-    cut = F.lit("1997-01-01").cast("date")
-    got = features.layered_corrections(r.where(F.col("date") < cut), r.where(F.col("date") >= cut), [("morning", ["dow"], F.col("tod") < 600), ("observed", ["tod"], F.col("pct_observed") >= 50)])
-    return rounded(got.select("row_id", "corrected"))
+    cut, layers = F.lit("1997-01-01").cast("date"), [("morning", ["dow"], F.col("tod") < 600), ("observed", ["tod"], F.col("pct_observed") >= 50)]
+    return features.layered_corrections(r.where(F.col("date") < cut), r.where(F.col("date") >= cut), layers), layers
+
+
+@query("M8_layered_corrections", f"{_LAYERS} SELECT row_id, round(g1, 4) AS f_morning, round(g2, 4) AS f_observed, round(base * g1 * g2, 4) AS corrected FROM done")
+def _(spark, d):
+    return rounded(_layered(spark, d)[0].select("row_id", "f_morning", "f_observed", "corrected"))
+
+
+@query("M13_layer_report", f"""{_LAYERS}, l AS (SELECT 0 AS no, 'morning' AS layer, on1 AS active, base * g1 AS adj, * FROM done UNION ALL SELECT 1, 'observed', on2, base * g2, * FROM done UNION ALL SELECT 2, 'all layers', true, base * g1 * g2, * FROM done),
+g AS (SELECT no, layer, count(*) AS n, count(*) FILTER (WHERE active) AS r, sum(abs(base - actual)) AS w, sum(abs(base - actual)) FILTER (WHERE active) AS b, sum(abs(adj - actual)) FILTER (WHERE active) AS a FROM l GROUP BY 1, 2)
+SELECT CAST(no AS BIGINT) AS no, layer, r AS rows, round(r * 100 / n, 4) AS share_pct, round(b / r, 4) AS mae_before, round(a / r, 4) AS mae_after, round((b - a) * 100 / b, 4) AS gain_pct, round((b - a) * 100 / w, 4) AS global_gain_pct, round(b * 100 / w, 4) AS error_share_pct FROM g""")
+def _(spark, d):
+    return rounded(features.layer_report(*_layered(spark, d)))
 
 
 @query("A21_error_share", f"{cte('readings')} SELECT round(sum(abs(pred - actual)) FILTER (WHERE tod < 600) / sum(abs(pred - actual)), 4) AS error_share, count(*) FILTER (WHERE tod < 600) AS rows FROM readings")
@@ -382,9 +402,15 @@ def _(spark, d):
     return rounded(evaluate.error_share(frame(spark, d, "readings"), "actual", "pred", F.col("tod") < 600))
 
 
+@query("A22_table_distribution", f"{cte('readings')} SELECT round(quantile_cont(pred, 0.05), 4) AS p05, round(quantile_cont(pred, 0.5), 4) AS p50, round(quantile_cont(pred, 0.95), 4) AS p95, count(pred) AS n FROM readings")
+def _(spark, d):
+    """The quantiles of the whole table."""
+    return rounded(quantiles.group_quantiles(frame(spark, d, "readings"), [], F.col("pred"), {"p05": 0.05, "p50": 0.5, "p95": 0.95}))
+
+
 @query("A22_distribution", f"{cte('readings')} SELECT CAST(station AS BIGINT) AS station, round(quantile_cont(pred, 0.05), 4) AS p05, round(quantile_cont(pred, 0.5), 4) AS p50, round(quantile_cont(pred, 0.95), 4) AS p95 FROM readings GROUP BY station")
 def _(spark, d):
-    return rounded(frame(spark, d, "readings").groupBy("station").agg(*(F.percentile("pred", q).alias(n) for n, q in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95)))))
+    return rounded(quantiles.group_quantiles(frame(spark, d, "readings"), ["station"], F.col("pred"), {"p05": 0.05, "p50": 0.5, "p95": 0.95}).drop("n"))
 
 
 @query("A18_peak_summary", f"""{cte('readings')}, r AS (SELECT *, row_number() OVER (PARTITION BY station, date ORDER BY pred DESC, tod, base) AS k FROM readings WHERE tod >= 420 AND tod < 600)
@@ -445,18 +471,25 @@ def _(spark, d):
     return rounded(spatial.station_bearings(frame(spark, d, "stations")).select("sensor_id", "bearing"), 3)
 
 
-# Routes of the demo: from each station to those next to it by number, in steps of about a mile.
+# Routes of the demo, in 41 steps: every fourth station's leads to the next by number, the others stay near their station, which lies at
+# the start or on the way. Each leg has free-flow minutes of its own.
+_ENDS = {0: ("lat", "lon", "b", "l"), 1: ("lat", "lon", "lat + 4e-2", "lon + 4e-2"), 2: ("lat - 3e-2", "lon", "lat + 2e-2", "lon"), 3: ("lat", "lon", "lat + 2e-2", "lon + 1e-2")}
+_AT = ["CASE sensor_id % 4 " + " ".join(f"WHEN {k} THEN {e[i]}" for k, e in _ENDS.items()) + " END" for i in range(4)]
+
+
 def _vertices(spark, d):
     st = frame(spark, d, "stations").select("sensor_id", "lat", "lon")
-    ends = st.join(st.select((F.col("sensor_id") - 1).alias("sensor_id"), F.col("lat").alias("b"), F.col("lon").alias("l")), "sensor_id")
-    steps = ends.withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(40))))
-    return spatial.along(steps.select(F.col("sensor_id").alias("route_id"), "seq", (F.col("lat") + (F.col("b") - F.col("lat")) * F.col("seq") / 40).alias("lat"), (F.col("lon") + (F.col("l") - F.col("lon")) * F.col("seq") / 40).alias("lon")))
+    ends = st.join(st.select((F.col("sensor_id") - 1).alias("sensor_id"), F.col("lat").alias("b"), F.col("lon").alias("l")), "sensor_id").selectExpr("sensor_id AS route_id", *(f"{e} AS {n}" for e, n in zip(_AT, ("a1", "o1", "a2", "o2"), strict=True)))
+    steps = ends.withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(41))))
+    at = spatial.along(steps.select("route_id", "seq", (F.col("a1") + (F.col("a2") - F.col("a1")) * F.col("seq") / 41).alias("lat"), (F.col("o1") + (F.col("o2") - F.col("o1")) * F.col("seq") / 41).alias("lon")))
+    w = Window.partitionBy("route_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return at.withColumn("cum_min", F.sum(F.col("leg_mi") / (25 + (F.col("route_id") * 3 + F.col("seq") * 7) % 30) * 60.0).over(w))
 
 
-_VERTICES = f"""{cte('stations', 'readings')}, ends AS (SELECT a.sensor_id AS route_id, a.lat, a.lon, b.lat AS b, b.lon AS l FROM stations a JOIN stations b ON b.sensor_id = a.sensor_id + 1),
-v AS (SELECT route_id, i AS seq, lat + (b - lat) * i / 40 AS lat, lon + (l - lon) * i / 40 AS lon FROM ends, range(0, 41) t(i)),
+_VERTICES = f"""{cte('stations', 'readings')}, ends AS (SELECT sensor_id AS route_id, {', '.join(f'{e} AS {n}' for e, n in zip(_AT, ('a1', 'o1', 'a2', 'o2'), strict=True))} FROM (SELECT a.sensor_id, a.lat, a.lon, b.lat AS b, b.lon AS l FROM stations a JOIN stations b ON b.sensor_id = a.sensor_id + 1)),
+v AS (SELECT route_id, i AS seq, a1 + (a2 - a1) * i / 41 AS lat, o1 + (o2 - o1) * i / 41 AS lon FROM ends, range(0, 42) t(i)),
 leg AS (SELECT *, coalesce(sqrt(pow((lat - lag(lat) OVER w) * 69, 2) + pow((lon - lag(lon) OVER w) * 54.6, 2)), 0) AS leg_mi, lag(lat) OVER w AS pla, lag(lon) OVER w AS plo, lead(lat) OVER w AS nla, lead(lon) OVER w AS nlo FROM v WINDOW w AS (PARTITION BY route_id ORDER BY seq)),
-vert AS (SELECT route_id, seq, lat, lon, sum(leg_mi) OVER (PARTITION BY route_id ORDER BY seq) AS cum_mi FROM leg)"""
+vert AS (SELECT route_id, seq, lat, lon, sum(leg_mi) OVER (PARTITION BY route_id ORDER BY seq) AS cum_mi, sum(leg_mi / (25 + (route_id * 3 + seq * 7) % 30) * 60) OVER (PARTITION BY route_id ORDER BY seq) AS cum_min FROM leg)"""
 
 
 @query("W9_cumulative_miles", f"{_VERTICES} SELECT CAST(route_id AS BIGINT) AS route_id, CAST(seq AS BIGINT) AS seq, round(cum_mi, 4) AS cum_mi FROM vert")
@@ -491,13 +524,13 @@ def _(spark, d):
 _SPANS = f"""{_MATCH}, routes AS (SELECT route_id, max(cum_mi) AS route_mi FROM vert GROUP BY route_id),
 nx AS (SELECT m.route_id, sensor_id, along_mi AS s, coalesce(lead(along_mi) OVER (PARTITION BY m.route_id ORDER BY along_mi, sensor_id), route_mi) AS e FROM matched m JOIN routes USING (route_id)),
 al AS (SELECT route_id, CASE WHEN e - s > 2.5 THEN 'surface' ELSE 'freeway' END AS kind, s, e, CASE WHEN e - s <= 2.5 THEN sensor_id END AS sensor_id FROM nx
-  UNION ALL SELECT r.route_id, 'surface', 0, coalesce(f, route_mi), NULL FROM routes r LEFT JOIN (SELECT route_id, min(along_mi) AS f FROM matched GROUP BY route_id) x ON r.route_id = x.route_id),
+  UNION ALL SELECT r.route_id, 'surface', 0, coalesce(f, route_mi), NULL FROM routes r LEFT JOIN (SELECT route_id, min(along_mi) AS f FROM matched GROUP BY route_id) x ON r.route_id = x.route_id WHERE f IS NULL OR f > 0.01),
 spans AS (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY s, e, sensor_id NULLS FIRST) - 1 AS span_no FROM al WHERE e > s)"""
 
 
 def _spans(spark, d):
     v = _vertices(spark, d)
-    return routing.build_spans(_matched(spark, d), v.groupBy("route_id").agg(F.max("cum_mi").alias("route_mi")))
+    return written(routing.build_spans(_matched(spark, d), v.groupBy("route_id").agg(F.max("cum_mi").alias("route_mi"))))
 
 
 @query("R3_build_spans", f"{_SPANS} SELECT CAST(route_id AS BIGINT) AS route_id, CAST(span_no AS BIGINT) AS span_no, kind, round(s, 4) AS start_mi, round(e, 4) AS end_mi, CAST(sensor_id AS BIGINT) AS sensor_id FROM spans")
@@ -506,25 +539,54 @@ def _(spark, d):
 
 
 def _speeds(spark, d):
-    fc = frame(spark, d, "readings").groupBy("station", fn.slot_of(F.col("tod")).alias("slot")).agg(F.round(F.avg("speed"), 3).alias("mph"))
-    return routing.slot_speeds(fc)
+    fc = frame(spark, d, "readings").groupBy("station", fn.slot_of(F.col("tod")).alias("slot")).agg(F.round(F.avg("speed"), 3).alias("mph"), F.round(F.stddev_pop("speed"), 3).alias("sd"))
+    return routing.slot_speeds(fc, sd="sd")
+
+
+def _streets(spark, d, spans):
+    ff = seasonal.freeflow(frame(spark, d, "readings").select("station", F.col("speed").alias("seasonal_speed")))
+    return routing.street_speeds(spans, _vertices(spark, d), frame(spark, d, "stations"), _speeds(spark, d), ff)
+
+
+def _routes(spark, d, spans=None):
+    spans = _spans(spark, d) if spans is None else spans
+    return routing.priced_spans(spans, _speeds(spark, d), _streets(spark, d, spans))
+
+
+# Free-flow minutes between the ends of every span, and what the stations near its middle make of its free speed in each slot.
+_STREETS = f"""{_SPANS}, fc AS (SELECT station, tod // 15 AS slot, round(avg(speed), 3) AS mph, round(stddev_pop(speed), 3) AS sd FROM readings GROUP BY 1, 2),
+ff AS (SELECT station, quantile_cont(speed, 0.9) AS ff FROM readings GROUP BY station),
+sp AS (SELECT route_id, span_no, kind, s, e, e - s AS miles, sensor_id FROM spans),
+edge AS (SELECT route_id, span_no, 's' AS side, s AS mile FROM sp UNION ALL SELECT route_id, span_no, 'e', e FROM sp),
+mk AS (SELECT n.*, max(seq) FILTER (WHERE cum_mi <= mile) AS lo, min(seq) FILTER (WHERE cum_mi >= mile) AS hi FROM edge n JOIN vert USING (route_id) GROUP BY ALL),
+mn AS (SELECT mk.route_id, span_no, side, x.cum_min + CASE WHEN y.cum_mi > x.cum_mi THEN (mile - x.cum_mi) / (y.cum_mi - x.cum_mi) ELSE 0 END * (y.cum_min - x.cum_min) AS m
+  FROM mk JOIN vert x ON x.route_id = mk.route_id AND x.seq = coalesce(mk.lo, mk.hi) JOIN vert y ON y.route_id = mk.route_id AND y.seq = coalesce(mk.hi, mk.lo)),
+fr AS (SELECT route_id, span_no, max(m) FILTER (WHERE side = 'e') - max(m) FILTER (WHERE side = 's') AS m FROM mn GROUP BY 1, 2),
+free AS (SELECT sp.*, CASE WHEN m > 0 THEN miles / m * 60 ELSE 30 END AS free FROM sp JOIN fr USING (route_id, span_no)),
+pt AS (SELECT * FROM (SELECT route_id, span_no, lat, lon, row_number() OVER (PARTITION BY route_id, span_no ORDER BY CASE WHEN cum_mi >= mid THEN 0 ELSE 1 END, CASE WHEN cum_mi >= mid THEN seq ELSE -seq END) AS k
+  FROM (SELECT route_id, span_no, (s + e) / 2 - 1e-9 AS mid FROM sp) JOIN vert USING (route_id)) WHERE k = 1),
+kn AS (SELECT route_id, span_no, sensor_id, sqrt(pow((s.lat - pt.lat) * 69, 2) + pow((s.lon - pt.lon) * 54.6, 2)) AS dist FROM pt, stations s),
+ln AS (SELECT * FROM (SELECT *, 1 / pow(greatest(dist, 0.15), 2) AS w, row_number() OVER (PARTITION BY route_id, span_no ORDER BY dist, sensor_id) AS rank FROM kn WHERE dist <= 2) WHERE rank <= 6),
+st AS (SELECT route_id, span_no, slot, sum(w * least(greatest(mph / ff, 0.15), 1.05)) / sum(w) AS ratio FROM ln JOIN fc ON station = sensor_id JOIN ff USING (station) GROUP BY 1, 2, 3),
+est AS (SELECT st.route_id, st.span_no, slot, greatest(free * (1 - 0.5 * (1 - ratio)), 5) AS mph FROM st JOIN free USING (route_id, span_no))"""
 
 
 def _price_sql(departures: str) -> str:
-    """The fold over a route's spans, one by one: minutes, freeway minutes and miles, and stations so far."""
-    return f"""{_SPANS.replace('WITH ', 'WITH RECURSIVE ', 1)}, fc AS (SELECT station, tod // 15 AS slot, round(avg(speed), 3) AS mph FROM readings GROUP BY 1, 2),
-sp AS (SELECT route_id, span_no, kind, e - s AS miles, sensor_id FROM spans), dep AS (SELECT route_id, depart FROM routes, ({departures}) t(depart)),
-fold AS (SELECT d.route_id, d.depart, CAST(-1 AS BIGINT) AS span_no, CAST(d.depart AS DOUBLE) AS t, CAST(0 AS DOUBLE) AS fw, CAST(0 AS DOUBLE) AS fm, CAST(0 AS BIGINT) AS n FROM dep d
-  UNION ALL SELECT f.route_id, f.depart, x.span_no, f.t + x.miles / greatest(coalesce(fc.mph, 30), 5) * 60, f.fw + CASE WHEN fc.mph IS NULL THEN 0 ELSE x.miles / greatest(fc.mph, 5) * 60 END,
-    f.fm + CASE WHEN fc.mph IS NULL THEN 0 ELSE x.miles END, f.n + CASE WHEN fc.mph IS NULL THEN 0 ELSE 1 END
-  FROM fold f JOIN sp x ON x.route_id = f.route_id AND x.span_no = f.span_no + 1 LEFT JOIN fc ON x.kind = 'freeway' AND fc.station = x.sensor_id AND fc.slot = least(CAST(floor(f.t / 15) AS BIGINT), 95)),
+    """The fold over a route's spans, one by one: minutes, freeway minutes and miles, deviation, and stations so far."""
+    known = "x.kind = 'freeway' AND fc.mph > 0"
+    return f"""{_STREETS.replace('WITH ', 'WITH RECURSIVE ', 1)}, dep AS (SELECT route_id, depart FROM routes, ({departures}) t(depart)),
+fold AS (SELECT d.route_id, d.depart, CAST(-1 AS BIGINT) AS span_no, CAST(d.depart AS DOUBLE) AS t, CAST(0 AS DOUBLE) AS fw, CAST(0 AS DOUBLE) AS fm, CAST(0 AS DOUBLE) AS sd, CAST(0 AS BIGINT) AS n FROM dep d
+  UNION ALL SELECT f.route_id, f.depart, x.span_no, f.t + x.miles / CASE WHEN {known} THEN fc.mph ELSE coalesce(est.mph, greatest(x.free, 5)) END * 60, f.fw + CASE WHEN {known} THEN x.miles / fc.mph * 60 ELSE 0 END,
+    f.fm + CASE WHEN {known} THEN x.miles ELSE 0 END, f.sd + CASE WHEN {known} THEN x.miles * 60 * coalesce(fc.sd, 0) / pow(greatest(fc.mph, 5), 2) ELSE 0 END, f.n + CASE WHEN {known} THEN 1 ELSE 0 END
+  FROM fold f JOIN free x ON x.route_id = f.route_id AND x.span_no = f.span_no + 1 LEFT JOIN fc ON x.kind = 'freeway' AND fc.station = x.sensor_id AND fc.slot = least(CAST(floor(f.t / 15) AS BIGINT), 95)
+  LEFT JOIN est ON est.route_id = x.route_id AND est.span_no = x.span_no AND est.slot = least(CAST(floor(f.t / 15) AS BIGINT), 95)),
 mi AS (SELECT route_id, sum(miles) AS mi FROM sp GROUP BY route_id),
-priced AS (SELECT f.route_id, depart, max_by(t, span_no) - depart AS total, max_by(fw, span_no) AS fw, max_by(fm, span_no) AS fm, max_by(n, span_no) AS n, max(mi) AS mi FROM fold f JOIN mi ON mi.route_id = f.route_id GROUP BY 1, 2)"""
+priced AS (SELECT f.route_id, depart, max_by(t, span_no) - depart AS total, max_by(fw, span_no) AS fw, max_by(fm, span_no) AS fm, max_by(sd, span_no) AS sd, max_by(n, span_no) AS n, max(mi) AS mi FROM fold f JOIN mi ON mi.route_id = f.route_id GROUP BY 1, 2)"""
 
 
 _PRICE = _price_sql("SELECT i * 60 FROM range(6, 20) t(i)")
 _ALL_DAY = _price_sql("SELECT i * 15 FROM range(0, 96) t(i)")
-_PRICED = "CAST(route_id AS BIGINT) AS route_id, CAST(depart AS BIGINT) AS depart, round(total, 3) AS total_minutes, round(fw, 3) AS freeway_minutes, round(round(total - fw, 9), 3) AS surface_minutes, round(fm, 3) AS freeway_mi, round(round(mi - fm, 9), 3) AS surface_mi, n AS stations, round(fm / mi, 3) AS measured_share"
+_PRICED = "CAST(route_id AS BIGINT) AS route_id, CAST(depart AS BIGINT) AS depart, round(total, 3) AS total_minutes, round(fw, 3) AS freeway_minutes, round(round(total - fw, 9), 3) AS surface_minutes, round(fm, 3) AS freeway_mi, round(round(mi - fm, 9), 3) AS surface_mi, n AS stations, round(round(coalesce(fw / nullif(total, 0), 0), 9), 3) AS measured_share, round(round(sd, 9), 3) AS minutes_sd"
 
 
 def _settled(df, digits=3):
@@ -532,51 +594,39 @@ def _settled(df, digits=3):
     return rounded(rounded(df, 9), digits)
 
 
-@query("R4_price_routes", f"{_PRICE} SELECT CAST(route_id AS BIGINT) AS route_id, CAST(depart AS BIGINT) AS depart, round(max_by(t, span_no) - depart, 3) AS total_minutes, round(max_by(fw, span_no), 3) AS freeway_minutes FROM fold GROUP BY route_id, depart")
-def _(spark, d):
-    routes = routing.priced_spans(_spans(spark, d), _speeds(spark, d))
-    departures = routes.select("route_id", F.explode(F.sequence(F.lit(360), F.lit(1140), F.lit(60))).alias("depart"))
-    return rounded(routing.price(routes, departures).select("route_id", "depart", "total_minutes", "freeway_minutes"), 3)
+def _hourly(routes):
+    return routes.select("route_id", F.explode(F.sequence(F.lit(360), F.lit(1140), F.lit(60))).alias("depart"))
 
 
-@query("R6_band", f"{_ALL_DAY}, b AS (SELECT *, fm * 60 * 8 / 2500 AS sd, fm * 60 * 8 / 2500 * (1 + (total - fw) / nullif(fw, 0)) AS spread FROM priced) SELECT {_PRICED}, round(sd, 3) AS minutes_sd, CASE WHEN fw > 0 THEN round(total + 0.4 * spread, 3) END AS slow_minutes, CASE WHEN fw > 0 THEN round(greatest(total - 0.25 * spread, 1), 3) END AS fast_minutes FROM b")
+@query("R4_price_routes", f"{_PRICE} SELECT CAST(route_id AS BIGINT) AS route_id, CAST(depart AS BIGINT) AS depart, round(round(total, 9), 3) AS total_minutes, round(round(fw, 9), 3) AS freeway_minutes FROM priced")
 def _(spark, d):
-    routes = routing.priced_spans(_spans(spark, d), _speeds(spark, d))
-    priced = routing.price(routes, routing.all_day(routes)).withColumn("minutes_sd", routing.minutes_sd(F.col("freeway_mi"), F.lit(50.0), F.lit(8.0)))
-    return _settled(routing.band(priced))
-
+    routes = _routes(spark, d)
+    return _settled(routing.price(routes, _hourly(routes)).select("route_id", "depart", "total_minutes", "freeway_minutes"))
 
-_STREETS = """ff AS (SELECT station, quantile_cont(speed, 0.9) AS ff FROM readings GROUP BY station), mids AS (SELECT route_id, span_no, (s + e) / 2 AS mid FROM spans WHERE kind = 'surface'),
-pt AS (SELECT * FROM (SELECT route_id, span_no, lat, lon, row_number() OVER (PARTITION BY route_id, span_no ORDER BY abs(cum_mi - mid), seq) AS k FROM mids JOIN vert USING (route_id)) WHERE k = 1),
-kn AS (SELECT route_id, span_no, sensor_id, sqrt(pow((s.lat - pt.lat) * 69, 2) + pow((s.lon - pt.lon) * 54.6, 2)) AS dist FROM pt, stations s),
-ln AS (SELECT * FROM (SELECT *, 1 / pow(greatest(dist, 0.15), 2) AS w, row_number() OVER (PARTITION BY route_id, span_no ORDER BY dist, sensor_id) AS rank FROM kn WHERE dist <= 2) WHERE rank <= 6),
-st AS (SELECT route_id, span_no, slot, sum(w * least(greatest(mph / ff, 0.15), 1.05)) / sum(w) AS ratio FROM ln JOIN fcs ON station = sensor_id JOIN ff USING (station) GROUP BY 1, 2, 3),
-est AS (SELECT route_id, span_no, slot, greatest(least(30 * (1 - 0.5 * (1 - ratio)), 30), 5) AS mph FROM st)"""
-_FCS = "fcs AS (SELECT station, tod // 15 AS slot, round(avg(speed), 3) AS mph FROM readings GROUP BY 1, 2)"
 
-
-def _streets(spark, d):
-    ff = frame(spark, d, "readings").groupBy("station").agg(F.percentile("speed", 0.9).alias("freeflow"))
-    return routing.street_speeds(_spans(spark, d), _vertices(spark, d), frame(spark, d, "stations"), _speeds(spark, d), ff)
+@query("R6_band", f"{_ALL_DAY}, b AS (SELECT *, sd * (1 + (total - fw) / nullif(fw, 0)) AS spread FROM priced) SELECT {_PRICED}, CASE WHEN fw > 0 THEN round(round(total + 0.4 * spread, 9), 3) END AS slow_minutes, CASE WHEN fw > 0 THEN round(round(greatest(total - 0.25 * spread, 1), 9), 3) END AS fast_minutes FROM b")
+def _(spark, d):
+    """Each span's deviation at the slot in which it is reached, added up by the fold."""
+    routes = _routes(spark, d)
+    return _settled(routing.band(routing.price(routes, routing.all_day(routes))))
 
 
-@query("R5_street_speeds", f"{_SPANS}, {_FCS}, {_STREETS} SELECT CAST(route_id AS BIGINT) AS route_id, CAST(span_no AS BIGINT) AS span_no, CAST(slot AS BIGINT) AS slot, round(round(mph, 9), 3) AS mph FROM est")
+@query("R5_street_speeds", f"{_STREETS} SELECT CAST(route_id AS BIGINT) AS route_id, CAST(span_no AS BIGINT) AS span_no, round(round(free, 9), 3) AS free_mph, CAST(slot AS BIGINT) AS slot, round(round(mph, 9), 3) AS mph FROM est JOIN free USING (route_id, span_no)")
 def _(spark, d):
-    got = _streets(spark, d).select("route_id", "span_no", F.posexplode("streets").alias("slot", "mph")).where("mph is not null")
+    got = _streets(spark, d, _spans(spark, d)).select("route_id", "span_no", "free_mph", F.posexplode("streets").alias("slot", "mph")).where("mph is not null")
     return _settled(got)
 
 
-@query("R5_priced_streets", _price_sql("SELECT i * 60 FROM range(6, 20) t(i)").replace("sp AS (", f"{_FCS}, {_STREETS}, sp AS (", 1).replace("greatest(coalesce(fc.mph, 30), 5) * 60, f.fw", "greatest(coalesce(fc.mph, est.mph, 30), 5) * 60, f.fw").replace("AND fc.slot = least(CAST(floor(f.t / 15) AS BIGINT), 95))", "AND fc.slot = least(CAST(floor(f.t / 15) AS BIGINT), 95) LEFT JOIN est ON x.kind = 'surface' AND est.route_id = x.route_id AND est.span_no = x.span_no AND est.slot = least(CAST(floor(f.t / 15) AS BIGINT), 95))") + f" SELECT {_PRICED} FROM priced")
+@query("R5_priced_streets", f"{_PRICE} SELECT {_PRICED} FROM priced")
 def _(spark, d):
-    """Routes whose surface spans slow down with the stations near them."""
-    routes = routing.priced_spans(_spans(spark, d), _speeds(spark, d), streets=_streets(spark, d))
-    departures = routes.select("route_id", F.explode(F.sequence(F.lit(360), F.lit(1140), F.lit(60))).alias("depart"))
-    return _settled(routing.price(routes, departures))
+    """Routes whose spans without a forecast slow down with the stations near them, with all parts of the price."""
+    routes = _routes(spark, d)
+    return _settled(routing.price(routes, _hourly(routes)))
 
 
 @query("R8_arrive_by", f"{_ALL_DAY}, l AS (SELECT p.route_id, deadline, max(depart) AS depart, max_by(total, depart) AS total FROM priced p, (VALUES (540), (1080)) t(deadline) WHERE depart + total <= deadline AND depart <= deadline GROUP BY 1, 2) SELECT CAST(route_id AS BIGINT) AS route_id, CAST(deadline AS BIGINT) AS deadline, CAST(depart AS BIGINT) AS depart, round(depart + total, 3) AS arrive, round(total, 3) AS minutes, round(deadline - (depart + total), 3) AS slack_minutes FROM l")
 def _(spark, d):
-    routes = routing.priced_spans(_spans(spark, d), _speeds(spark, d))
+    routes = _routes(spark, d)
     return _settled(routing.arrive_by(routes, routes.select("route_id", F.explode(F.array(F.lit(540), F.lit(1080))).alias("deadline"))))
 
 
@@ -609,7 +659,7 @@ def _(spark, d):
 
 @query("J22_events_on_drive", f"""{cte('venue_events', 'ways')}, e AS (SELECT event_id, start, 372e-1 + (event_id * 37 % 100) / 125.0 AS elat, -1226e-1 + (event_id * 53 % 100) / 110.0 AS elon FROM venue_events),
 dr AS (SELECT way_id, lat, lon, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(way_id * 97 % 43200 AS BIGINT)) AS depart FROM ways),
-m AS (SELECT way_id, event_id, sqrt(pow((elat - lat) * 69, 2) + pow((elon - lon) * 69 * cos(radians(lat)), 2)) AS miles FROM dr JOIN e ON depart + INTERVAL 1 HOUR >= start - INTERVAL 3 HOUR AND depart <= start + INTERVAL 6 HOUR),
+m AS (SELECT way_id, event_id, sqrt(pow((elat - lat) * 69, 2) + pow((elon - lon) * 69 * cos(radians(lat)), 2)) AS miles FROM dr JOIN e ON depart + INTERVAL 1 HOUR >= start - INTERVAL 4 HOUR AND depart <= start + INTERVAL 6 HOUR),
 r AS (SELECT *, row_number() OVER (PARTITION BY way_id ORDER BY miles, event_id) AS rank FROM m WHERE miles <= 12) SELECT way_id AS drive_id, event_id, round(miles, 4) AS miles, rank FROM r WHERE rank <= 2""")
 def _(spark, d):
     ev = frame(spark, d, "venue_events").select("event_id", "start", (F.lit(37.2) + (F.col("event_id") * 37 % 100) / 125.0).alias("lat"), (F.lit(-122.6) + (F.col("event_id") * 53 % 100) / 110.0).alias("lon"))

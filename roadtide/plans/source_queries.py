@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roadtide.functions import columns as fn
 from roadtide.operators import asof, corridor, events, publish, routing, seasonal, spatial
 from roadtide.plans.demo import cte, frame
-from roadtide.plans.queries import _ALL_DAY, _PRICE, _W, _matched, _members, _profile, _settled, _spans, _speeds, _vertices, query, rounded
+from roadtide.plans.queries import _ALL_DAY, _PRICE, _W, _matched, _members, _profile, _settled, _routes, _spans, _vertices, query, rounded
 from roadtide.session import scratch_dir
 from roadtide.sources import readers
 from roadtide.streaming import ingest
@@ -109,7 +109,7 @@ SELECT CAST(route_id AS BIGINT) AS route_id, CAST(depart AS BIGINT) AS depart, C
 def _(spark, d):
     """The segments of every priced route as they are served: nulls kept, arrival as an ISO time."""
     spans = _spans(spark, d)
-    routes = routing.priced_spans(spans, _speeds(spark, d))
+    routes = _routes(spark, d, spans)
     departures = routes.select("route_id", F.explode(F.sequence(F.lit(360), F.lit(1140), F.lit(60))).alias("depart"))
     st = frame(spark, d, "stations").select("sensor_id", F.col("fwy").alias("freeway"), F.col("dir").alias("direction"), "lat", "lon")
     rows = routing.segments(routes, departures).join(spans.select("route_id", "span_no", "sensor_id"), ["route_id", "span_no"]).join(st, "sensor_id", "left")
@@ -179,7 +179,7 @@ def _(spark, d):
 
 @query("O8_latest_departure", f"{_ALL_DAY}, l AS (SELECT p.route_id, deadline, max(depart) AS depart, max_by(total, depart) AS total FROM priced p, (SELECT DISTINCT route_id AS r, 1020 AS deadline FROM matched) t WHERE depart + total <= deadline AND depart <= deadline GROUP BY 1, 2) SELECT CAST(route_id AS BIGINT) AS route_id, CAST(deadline AS BIGINT) AS deadline, CAST(depart AS BIGINT) AS depart, round(depart + total, 3) AS arrive, round(total, 3) AS minutes, round(deadline - (depart + total), 3) AS slack_minutes FROM l".replace("depart <= deadline GROUP", "depart <= deadline AND r = p.route_id GROUP"))
 def _(spark, d):
-    routes = routing.priced_spans(_spans(spark, d), _speeds(spark, d))
+    routes = _routes(spark, d)
     asked = _matched(spark, d).select("route_id").distinct().withColumn("deadline", F.lit(1020))
     return _settled(routing.arrive_by(routes, asked))
 

@@ -49,3 +49,10 @@ def scratch_dir(spark: SparkSession) -> str:
         folder = context._jvm.org.apache.hadoop.fs.Path(_OWN[context.applicationId])
         folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return f"{_OWN[context.applicationId]}/{uuid.uuid4().hex}"
+
+
+def written(df):
+    """df written to a folder of its own in the shared place and read back: cuts the lineage, and survives lost executors."""
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

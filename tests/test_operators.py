@@ -2,11 +2,12 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from roadtide.functions import columns as fn
-from roadtide.operators import asof, corridor, evaluate, events, features, routing, seasonal, spatial
+from roadtide.operators import asof, corridor, evaluate, events, features, model, quantiles, routing, seasonal, spatial
 from roadtide.sources import readers
 from roadtide.streaming import ingest
 
@@ -229,8 +230,6 @@ def test_nearest_in_a_growing_grid(spark):
 
 
 def test_exact_quantiles(spark):
-    import numpy as np
-
     for values in ([3.0], [1.0, 2.0], [5.0] * 50 + [1.0], [float(x * x % 997) for x in range(3000)], [1e-300, 1e300, 0.0]):
         df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
         for q in (0.0, 0.5, 0.95, 1.0):
@@ -308,3 +307,66 @@ def test_states_are_merged_and_streams_drop_late_rows(spark, tmp_path):
         stream = ingest.windowed(spark.readStream.schema(at(1).schema).parquet(live))
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.window_start.minute, r.n) for r in spark.read.parquet(out).where("window_start < '2024-01-01 09:00:00'").collect()) == [(0, 2), (15, 1)]
+
+
+def test_group_quantiles_with_heavy_groups(spark):
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.normal(size=3000), None: 10.0 ** rng.uniform(-300, 300, 500), "one": np.array([7.0]), "same": np.full(400, 2.5), "ends": np.array([-1e308] * 40 + [1e308] * 41), "steps": (np.arange(900) % 7).astype(float), "zero": np.array([0.0, -0.0] * 30)}
+    rows = [(k, 1, float(v)) for k, vs in groups.items() for v in vs] + [("a", 1, None), ("a", 1, float("nan")), ("none", 1, None)]
+    df = spark.createDataFrame(rows, "k string, j int, v double").withColumns({"x": F.lit("q"), "i": F.lit(0), "n": F.lit(0), "low": F.lit(1)}).repartition(5)
+    qs = {"q0": 0.0, "q5": 0.05, "med": 0.5, "q95": 0.95, "q1": 1.0}
+    for few, bins in ((10_000, 1024), (20, 64)):
+        got = {r.k: r for r in quantiles.group_quantiles(df, ["k", "j"], F.col("v"), qs, few=few, bins=bins).collect()}
+        assert got.keys() == groups.keys()
+        for k, vs in groups.items():
+            assert got[k].n == len(vs) and [got[k][n] for n in qs] == pytest.approx([float(np.quantile(vs, q)) for q in qs.values()], rel=1e-9)
+
+
+def test_a_key_of_all_rows_is_counted_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "MOST", 1)
+    df = spark.range(0, 30_000, 1, 6).select(F.lit("k").alias("k"), F.pmod(F.col("id") * 7919, F.lit(30_000)).cast("double").alias("v"))
+    assert tuple(quantiles.group_quantiles(df, ["k"], F.col("v"), {"m": 0.5, "h": 0.9999}, few=100, bins=64).first()) == ("k", 30_000, 14_999.5, pytest.approx(29_996.0001))
+
+
+def test_slices_with_totals(spark):
+    rows = [(10.0, 11.0, 10.5, True, True), (10.0, 13.0, 10.0, False, True), (10.0, 10.0, 12.0, True, None)]
+    df = spark.createDataFrame(rows, "a double, b double, p double, peak boolean, held boolean")
+    got = {(r.level, r.held, r.slice): (r.n, r.mae_baseline, r.mae_m) for r in evaluate.slice_cube(df, "a", "b", {"m": "p"}, {"peak": F.col("peak")}, by="held").collect()}
+    assert got[3, None, None] == (3, pytest.approx(4 / 3), pytest.approx(2.5 / 3)) and got[2, None, "peak"] == (2, 0.5, 1.25)
+    assert got[0, None, "peak"] == (1, 0.0, 2.0) and got[0, True, "all"] == (2, 2.0, 0.25) and len(got) == 7
+
+
+def test_layers_are_learnt_on_the_plain_baseline(spark):
+    train = spark.createDataFrame([(8.0, 10.0, "x", True)] * 30 + [(6.0, 0.0, "x", True)] * 30 + [(20.0, 10.0, "y", True)] * 30, "actual double, base double, k string, wet boolean")
+    layers = [("k", ["k"], F.lit(True)), ("wet", ["wet"], F.col("wet"))]
+    test = spark.createDataFrame([(8.0, 10.0, "x", True), (10.0, 10.0, "x", False), (10.0, 10.0, "z", None)], "actual double, base double, k string, wet boolean")
+    done = features.layered_corrections(train, test, layers)
+    assert [(r.f_k, r.f_wet, round(r.corrected, 6)) for r in done.orderBy("k", F.desc("wet")).collect()] == [(0.8, 1.4, 11.2), (0.8, 1.0, 8.0), (1.0, 1.0, 10.0)]
+    got = {r.layer: r for r in features.layer_report(done, layers).collect()}
+    assert (got["wet"].rows, got["wet"].mae_before, got["wet"].mae_after) == (1, 2.0, 6.0) and got["k"].rows == 3 and got["k"].global_gain_pct == pytest.approx(0.0)
+
+
+def test_model_of_nothing_and_of_blank_columns(spark):
+    schema = "a double, b double, c string, label double, valid boolean"
+    rows = spark.createDataFrame([(float(i % 5), None, "x" if i % 2 else None, float(i % 5), i % 4 == 0) for i in range(80)], schema)
+    assert model.fit(rows.where("false"), ["a", "b"], ["c"], valid="valid") is None and model.fit(rows.where("valid"), ["a", "b"], ["c"], valid="valid") is None
+    assert model.predict(None, rows).columns == [*rows.columns, "mph"] and model.predict(None, rows).count() == 0 and model.importances(None, spark).count() == 0
+    fitted = model.fit(rows, ["a", "b"], ["c"], rounds=8, valid="valid")
+    asked = spark.createDataFrame([(3.0, 9.0, "new", None, None), (None, None, None, None, None)], schema)
+    got = model.predict(fitted, asked, "minutes", out="m").collect()
+    assert got[0].m == pytest.approx(3.0, abs=0.8) and got[1].m is not None and {r.feature for r in model.importances(fitted, spark).collect()} >= {"a_filled", "b", "a_missing", "c_index"}
+
+
+def test_streets_take_the_slowdown_of_stations_near(spark):
+    vertices = spark.createDataFrame([(1, i, 37.0 + i * 0.01, -122.0, 0.69 * i, 1.0 * i) for i in range(5)], "route_id int, seq int, lat double, lon double, cum_mi double, cum_min double")
+    spans = spark.createDataFrame([(1, 0, "surface", 0.0, 1.38, None), (1, 1, "freeway", 1.38, 2.76, 9)], "route_id int, span_no int, kind string, start_mi double, end_mi double, sensor_id int")
+    stations = spark.createDataFrame([(9, 37.01, -122.0)], "sensor_id int, lat double, lon double")
+    speeds = routing.slot_speeds(spark.createDataFrame([(9, 0, 30.0, 3.0), (9, 2, None, None)], "station int, slot int, mph double, sd double"), slots=4, sd="sd")
+    streets = routing.street_speeds(spans, vertices, stations, speeds, spark.createDataFrame([(9, 60.0)], "station int, freeflow double"), slots=4)
+    got = {r.span_no: r for r in streets.collect()}
+    assert got[0].free_mph == pytest.approx(41.4) and got[0].streets == [pytest.approx(41.4 * 0.75), None, None, None]
+    routes = routing.priced_spans(spans, speeds, streets)
+    r = {r.depart: r for r in routing.price(routes, spark.createDataFrame([(1, 0), (1, 15)], "route_id int, depart int")).collect()}
+    first, second = 1.38 / (41.4 * 0.75) * 60, 1.38 / 30 * 60
+    assert r[0].total_minutes == pytest.approx(first + second) and r[0].measured_share == pytest.approx(second / (first + second)) and r[0].minutes_sd == pytest.approx(1.38 * 60 * 3 / 900)
+    assert r[15].total_minutes == pytest.approx(4.0) and r[15].stations == 0 and r[15].minutes_sd == 0
