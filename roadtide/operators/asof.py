@@ -54,6 +54,50 @@ def nearest_event(df: DataFrame, events: DataFrame, *, key: str, row_id: str, ts
     return both.select(*(F.col(f"row.{c}").alias(c) for c in df.columns), F.col("b.e.event").alias(event_id), F.col("b.h").alias("hours_since_event"), *(F.col(f"b.e.keep_{c}").alias(c) for c in keep))
 
 
+def valid_versions(versions: DataFrame, *, key: str, captured: str, version_id: str, keep=(), width_h: float = 24) -> DataFrame:
+    """key, valid_from, valid_to and the version's columns: a version holds from its capture up to the next one of its key (null: still).
+
+    Of versions captured at the same moment the largest version_id stands. The next version is looked for in the version's
+    own bucket of time, and then in the next bucket that has any, by one row a bucket; no task gets a key's history.
+    """
+    width = int(width_h * 3_600_000_000)
+    known = versions.where(F.col(key).isNotNull() & F.col(captured).isNotNull())
+    v = known.select(F.col(key).alias("__key"), _micros(F.col(captured)).alias("__at"), F.struct(F.col(version_id).alias("id"), *(F.col(c).alias(f"keep_{c}") for c in keep)).alias("v"))
+    v = v.groupBy("__key", "__at").agg(F.max_by("v", "v.id").alias("v")).withColumn("__bucket", F.floor(F.col("__at") / width).cast("long"))
+    firsts = v.groupBy("__key", "__bucket").agg(F.min("__at").alias("__first"))
+    later = firsts.withColumn("__later", F.lead("__first").over(Window.partitionBy("__key").orderBy("__bucket"))).select("__key", "__bucket", "__later")
+    following = F.lead("__at").over(Window.partitionBy("__key", "__bucket").orderBy("__at"))
+    return v.withColumn("__to", following).join(later, ["__key", "__bucket"]).withColumn("__to", F.coalesce("__to", "__later")).drop("__later")
+
+
+def as_of_each(df: DataFrame, versions: DataFrame, *, key: str, row_id: str, ts: str = "ts", captured: str = "captured_at", version_id: str = "version_id", keep=(), width_h: float = 24) -> DataFrame:
+    """df with the version of its key that holds at each row's own time: version_id, keep columns, valid_from and valid_to (null: still).
+
+    However long ago it was captured: rows and versions meet in buckets of time, and a bucket begins with the last version
+    of those before, carried over by one row for each bucket that has rows or versions. A version captured at a row's time
+    holds. Rows before the first version, and those without key or time, get nulls. Buckets with very many rows are dealt
+    to several tasks; rows are shuffled once, and no pair of a row and a version is made.
+    """
+    width = int(width_h * 3_600_000_000)
+    v = valid_versions(versions, key=key, captured=captured, version_id=version_id, keep=keep, width_h=width_h)
+    v = v.select("__key", "__bucket", "__at", F.struct("__at", "__to", "v").alias("e"))
+    asked = df.select(F.struct(*df.columns).alias("row"), F.col(key).alias("__key"), _micros(F.col(ts)).alias("__at"), F.xxhash64(row_id).alias("__deal"))
+    asked = asked.withColumn("__bucket", F.floor(F.col("__at") / width).cast("long"))
+    known = asked.where("__key is not null and __at is not null")
+    lasts = v.groupBy("__key", "__bucket").agg(F.max_by("e", "__at").alias("last")).unionByName(known.select("__key", "__bucket").distinct(), allowMissingColumns=True)
+    lasts = lasts.groupBy("__key", "__bucket").agg(F.first("last", ignorenulls=True).alias("last"))
+    before = Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select("__key", "__bucket", F.last("last", ignorenulls=True).over(before).alias("e")).where("e is not null").select("__key", "__bucket", F.col("e.__at").alias("__at"), "e")
+    heavy = heavy_keys(known, ["__key", "__bucket"])
+    rows = dealt(known, heavy, ["__key", "__bucket"], ["__deal"]).select("__key", "__bucket", "__part", "__at", "row", F.lit(True).alias("asks"))
+    every = rows.unionByName(copied(v.unionByName(carried), heavy, ["__key", "__bucket"]).withColumn("asks", F.lit(False)), allowMissingColumns=True)
+    w = Window.partitionBy("__key", "__bucket", "__part").orderBy("__at", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    found = every.withColumn("b", F.last("e", ignorenulls=True).over(w)).where("asks").select("row", "b")
+    both = found.unionByName(asked.where("__key is null or __at is null").select("row"), allowMissingColumns=True)
+    moment = lambda c: F.timestamp_add("MICROSECOND", F.col(c), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return both.select(*(F.col(f"row.{c}").alias(c) for c in df.columns), F.col("b.v.id").alias(version_id), *(F.col(f"b.v.keep_{c}").alias(c) for c in keep), moment("b.__at").alias("valid_from"), moment("b.__to").alias("valid_to"))
+
+
 def hour_bucket(delta, low: int = -3, high: int = 6):
     """floor(hours) of an event in reach, else null."""
     b = F.floor(delta)

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from roadtide.functions import columns as fn
 from roadtide.operators import asof, corridor, events, publish, routing, seasonal, spatial
 from roadtide.plans.demo import cte, frame
-from roadtide.plans.queries import _ALL_DAY, _PRICE, _W, _matched, _members, _profile, _settled, _routes, _spans, _vertices, query, rounded
-from roadtide.session import scratch_dir
-from roadtide.sources import readers
+from roadtide.plans.queries import _ALL_DAY, _CORRIDORS, _MEMBERS, _PRICE, _W, _matched, _members, _profile, _routes, _settled, _spans, _vertices, query, rounded
+from roadtide.session import scratch_dir, written
+from roadtide.sources import commits, readers
 from roadtide.streaming import ingest
 
 
@@ -245,10 +245,59 @@ def _(spark, d):
 
 @query("T2_accumulated_profile", f"{cte('readings')} SELECT CAST(station AS BIGINT) AS station, CAST(dow AS BIGINT) AS dow, CAST(tod AS BIGINT) AS tod, count(*) AS n, round(avg(speed), 4) AS seasonal_speed, round(stddev_pop(speed), 3) AS sd FROM readings GROUP BY 1, 2, 3 HAVING count(*) >= 4")
 def _(spark, d):
-    """Three lots of files, each merged into the sums of those before."""
+    """Three lots of files, of each of which only the sums are written; two are folded into a base before the third lands."""
     base = scratch_dir(spark)
     src = frame(spark, d, "readings").select("station", "dow", "tod", "speed", "row_id")
     for part in range(3):
+        if part == 2:
+            ingest.compact_profile(spark, f"{base}/state")
         src.where(F.col("row_id") % 3 == part).drop("row_id").write.mode("append").parquet(f"{base}/in")
         ingest.accumulate_profile(spark, f"{base}/in", src.drop("row_id").schema, f"{base}/state", f"{base}/check")
     return rounded(seasonal.finish_sums(ingest.newest_state(spark, f"{base}/state")).withColumn("sd", F.round("seasonal_sd", 3)).drop("seasonal_sd"))
+
+
+@query("T3_as_of_each", f"""{cte('probes', 'venue_events')}, v AS (SELECT venue, start, max(event_id) AS event_id FROM venue_events GROUP BY 1, 2),
+w AS (SELECT *, lead(start) OVER (PARTITION BY venue ORDER BY start) AS until FROM v)
+SELECT p.row_id, w.event_id, w.start AS valid_from, w.until AS valid_to FROM probes p ASOF LEFT JOIN w ON p.venue = w.venue AND p.ts >= w.start""")
+def _(spark, d):
+    """The version of its venue that holds at each probe's own time, whenever it was captured."""
+    versions = frame(spark, d, "venue_events").select("venue", "event_id", F.col("start").alias("captured_at"))
+    got = asof.as_of_each(frame(spark, d, "probes"), versions, key="venue", row_id="row_id", version_id="event_id")
+    return got.select("row_id", "event_id", "valid_from", "valid_to")
+
+
+@query("S9_landed_months", f"{cte('series')} SELECT CAST(date_trunc('month', date) AS DATE) AS month, count(*) AS n, round(sum(minutes), 2) AS minutes FROM series GROUP BY 1")
+def _(spark, d):
+    """The months before 1995 land, then all; what comes a second time for a finished month changes nothing."""
+    root = scratch_dir(spark)
+    src = frame(spark, d, "series").select(F.trunc("date", "month").alias("month"), "id", "minutes")
+    early = F.col("month") < F.lit("1995-01-01").cast("date")
+    commits.land_days(src.where(early), root, "month", ("id",))
+    commits.land_days(src.withColumn("minutes", F.when(early, -1.0).otherwise(F.col("minutes"))), root, "month", ("id",))
+    rows = commits.read_days(spark, root, "id long, minutes double, month date", "month")
+    return rows.groupBy("month").agg(F.count("*").alias("n"), F.round(F.sum("minutes"), 2).alias("minutes"))
+
+
+#: Borders of the three lots in which the readings of T4 land.
+_LOTS = ("1994-06-01", "1996-06-01")
+_LIVE = f"""{cte('stations', 'readings')}, {_CORRIDORS}, {_MEMBERS}, total AS (SELECT slug, sum(length) AS total_mi FROM members GROUP BY slug),
+lots AS (SELECT station, ts, speed, CASE WHEN ts >= TIMESTAMP '{_LOTS[1]} 00:00:00' THEN 3 WHEN row_id % 10 = 3 THEN 3 WHEN ts >= TIMESTAMP '{_LOTS[0]} 00:00:00' THEN 2 ELSE 1 END AS lot FROM readings WHERE speed > 0),
+mark AS (SELECT lot, max(max(ts)) OVER (ORDER BY lot) - INTERVAL 30 MINUTE AS mark FROM lots GROUP BY lot),
+kept AS (SELECT l.*, time_bucket(INTERVAL 15 MINUTE, ts) AS w FROM lots l LEFT JOIN mark m ON m.lot = l.lot - 1 WHERE m.mark IS NULL OR time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 15 MINUTE > m.mark),
+means AS (SELECT station, w, avg(speed) AS mph FROM kept WHERE w + INTERVAL 15 MINUTE <= (SELECT max(mark) FROM mark) GROUP BY 1, 2)
+SELECT m.slug AS corridor, w AS window_start, round(round(sum(length / mph * 60), 9), 4) AS raw_minutes, count(*) AS n_stations, round(round(sum(length) / max(total_mi), 9), 4) AS coverage, round(round(sum(length / mph * 60) * max(total_mi) / sum(length), 9), 4) AS minutes
+FROM means JOIN members m ON m.sensor_id = station JOIN total t ON t.slug = m.slug GROUP BY 1, 2"""
+
+
+@query("T4_live_corridors", _LIVE)
+def _(spark, d):
+    """Readings land in three lots, each followed by a call; a tenth of the older ones come with the last, when most of their windows are over."""
+    base = scratch_dir(spark)
+    r = frame(spark, d, "readings").select("row_id", "station", F.col("ts").cast("timestamp").alias("ts"), "speed")
+    border = [F.lit(x).cast("timestamp") for x in _LOTS]
+    lot = F.when(F.col("ts") >= border[1], 3).when(F.col("row_id") % 10 == 3, 3).when(F.col("ts") >= border[0], 2).otherwise(1)
+    members = written(_members(spark, d))
+    for i in (1, 2, 3):
+        r.where(lot == i).drop("row_id").write.mode("append").parquet(f"{base}/in")
+        ingest.live_corridors(spark, f"{base}/in", "station int, ts timestamp, speed double", members, f"{base}/out", f"{base}/check")
+    return _settled(spark.read.parquet(f"{base}/out").withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), 4)

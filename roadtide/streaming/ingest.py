@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadtide.operators.seasonal import merge_sums, partial_sums
+from roadtide.sources.commits import commit, committed, names, remove
 
 
 def ingest_new_files(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, transform=None) -> None:
@@ -15,26 +16,85 @@ def ingest_new_files(spark: SparkSession, source: str, schema, sink: str, checkp
     out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).partitionBy("date").trigger(availableNow=True).start().awaitTermination()
 
 
+#: Columns of the sums that are kept.
+SUMS = "station int, dow int, tod int, n long, s1 double, s2 double"
+
+
+def _base(spark: SparkSession, state: str) -> tuple[int, str | None]:
+    """The last batch that the newest committed base holds (-1: none), and the base's folder."""
+    last = max((int(n.removeprefix("base=")) for n in committed(spark, state) if n.startswith("base=")), default=-1)
+    return last, f"{state}/base/{last:012d}" if last >= 0 else None
+
+
 def accumulate_profile(spark: SparkSession, source: str, schema, state: str, checkpoint: str) -> None:
-    """Keeps mergeable sums (n, sum, sum of squares) by key up to date with new files.
+    """Keeps mergeable sums (n, sum, sum of squares) by key up to date with new files, as a log of deltas.
 
-    Each batch writes a new version of the state named by its number, so a batch that runs again writes the same one.
+    A batch writes the sums of its own rows only, to a folder named by its number: one that runs again writes the same,
+    and one that a base already holds writes nothing. compact_profile() folds the deltas into a base.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
-        new = partial_sums(batch)
-        if number > 0:
-            new = merge_sums(spark.read.parquet(f"{state}/v={number - 1}"), new)
-        new.write.mode("overwrite").parquet(f"{state}/v={number}")
+        if number > _base(spark, state)[0]:
+            partial_sums(batch).write.mode("overwrite").parquet(f"{state}/delta/{number:012d}")
 
     spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def _open_deltas(spark: SparkSession, state: str) -> list[str]:
+    last, _ = _base(spark, state)
+    return [n for n in names(spark, f"{state}/delta") if int(n) > last and "_SUCCESS" in names(spark, f"{state}/delta/{n}")]
+
+
 def newest_state(spark: SparkSession, state: str) -> DataFrame:
-    """The sums after the last batch."""
-    every = spark.read.option("basePath", state).parquet(f"{state}/v=*")
-    last = every.agg(F.max("v")).first()[0]
-    return every.where(F.col("v") == last).drop("v")
+    """The sums after the last finished batch: the newest base and the deltas behind it."""
+    _, base = _base(spark, state)
+    folders = [f"{state}/delta/{n}" for n in _open_deltas(spark, state)] + ([base] if base else [])
+    if not folders:
+        return spark.createDataFrame([], SUMS)
+    return merge_sums(spark.read.parquet(*folders))
+
+
+def compact_profile(spark: SparkSession, state: str) -> bool:
+    """Folds the deltas into a new base; False if there are none.
+
+    The base is written first and counts from its commit on; what it holds is deleted after, but for the base before,
+    which a reader may still be at.
+    """
+    last, before = _base(spark, state)
+    deltas = _open_deltas(spark, state)
+    if not deltas:
+        return False
+    upto = int(deltas[-1])
+    newest_state(spark, state).write.mode("overwrite").parquet(f"{state}/base/{upto:012d}")
+    commit(spark, state, f"base={upto:012d}")
+    for n in deltas:
+        remove(spark, f"{state}/delta/{n}")
+    for n in names(spark, f"{state}/base"):
+        if int(n) < last:
+            remove(spark, f"{state}/base/{n}")
+    return True
+
+
+def live_corridors(spark: SparkSession, source: str, schema, members: DataFrame, sink: str, checkpoint: str, *, every: str = "15 minutes", late: str = "30 minutes") -> None:
+    """Corridor times of tumbling windows from readings that land as files (station, ts, speed), appended to a Parquet sink.
+
+    A window's mean speed of each station, then the minutes over the stations of a corridor, scaled to its whole length:
+    corridor, window_start, raw_minutes, n_stations, coverage, minutes. A window is given once, when the watermark (the
+    newest time less `late`) has passed its end; readings of such a window that come later are dropped. The call ends
+    when the landed files are done; the next one goes on from the checkpoint, where the open windows are kept.
+    members: slug, sensor_id, length; it stays the same for all calls.
+    """
+    whole = members.groupBy("slug").agg(F.sum("length").alias("total_mi"))
+    static = members.join(whole, "slug").select("slug", F.col("sensor_id").alias("station"), "length", "total_mi")
+    live = spark.readStream.schema(schema).parquet(source).where("speed > 0").withWatermark("ts", late)
+    means = live.groupBy(F.window("ts", every).alias("w"), "station").agg(F.avg("speed").alias("mph"))
+    known = means.withColumn("at", F.window_time("w")).join(static, "station")
+    per = known.groupBy(F.window("at", every).alias("w"), F.col("slug").alias("corridor")).agg(
+        F.sum(F.col("length") / F.col("mph") * 60.0).alias("raw_minutes"), F.count("*").alias("n_stations"), F.sum("length").alias("mi"), F.max("total_mi").alias("total_mi"),
+    )
+    coverage = F.col("mi") / F.col("total_mi")
+    out = per.select("corridor", F.col("w.start").alias("window_start"), "raw_minutes", "n_stations", coverage.alias("coverage"), (F.col("raw_minutes") / coverage).alias("minutes"))
+    out.writeStream.format("parquet").outputMode("append").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def append_snapshots(stream: DataFrame, sink: str, checkpoint: str, captured: str = "captured_at") -> None:
