@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadtide.functions.columns import rain_class
+from roadtide.operators.ordered import ranked
 from roadtide.operators.quantiles import group_quantiles
 
 #: Fewest rows of a context factor (fixed value).
@@ -167,14 +168,20 @@ def layer_report(done: DataFrame, layers: list[tuple[str, list[str], object]], *
     return done.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
+def _dealt(seed: int, c: str):
+    """32 bits of a hash of a column and a seed."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(c).cast("string"))), 1, 8), 16, 10).cast("long")
+
+
 def spatial_holdout(stations: DataFrame, *, share: float = 0.3, seed: int = 7) -> DataFrame:
     """Adds held_out: a deterministic share of the stations by a hash; the same station always falls on the same side."""
-    return stations.withColumn("held_out", F.pmod(F.xxhash64(F.lit(seed), "sensor_id"), F.lit(1000)) < int(share * 1000))
+    return stations.withColumn("held_out", _dealt(seed, "sensor_id") % 1000 < int(share * 1000))
 
 
 def station_sample(stations: DataFrame, fraction: float, *, seed: int = 0) -> DataFrame:
-    """The stations whose hash falls under the fraction: stable under added stations."""
-    return stations.where(F.pmod(F.xxhash64(F.lit(seed), "sensor_id"), F.lit(1 << 20)) < int(fraction * (1 << 20)))
+    """The fraction of the stations, rounded down to a whole number of them, that come first by a hash."""
+    first = ranked(stations.withColumn("__dealt", _dealt(seed, "sensor_id")), [], ["__dealt", "sensor_id"], rank="__rank", size="__size")
+    return first.where(F.col("__rank") < F.floor(F.col("__size") * fraction)).drop("__dealt", "__rank", "__size")
 
 
 def temporal_split(df: DataFrame, train_end, valid_end, test_end) -> DataFrame:

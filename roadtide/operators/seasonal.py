@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadtide.operators.ordered import over_blocks
 from roadtide.operators.quantiles import group_quantiles
 
 KEYS = ("station", "dow", "tod")
@@ -48,18 +49,18 @@ def finish_sums(sums: DataFrame, min_obs: int = STATION_LEAST) -> DataFrame:
 def causal_rolling(df: DataFrame, value: str, keys, order, *, n: int = WINDOW, min_obs: int = LEAST) -> DataFrame:
     """Adds seasonal_median, seasonal_sd (sample) over the n rows before each row of its key, and prev_value.
 
-    The row itself and later ones never count. Null where fewer than min_obs rows precede.
+    The row itself and later ones never count. Null where fewer than min_obs rows precede. A key of any length is spread over tasks.
     """
-    by = Window.partitionBy(*keys).orderBy(*order)
-    before = by.rowsBetween(-n, -1)
-    enough = F.count(value).over(before) >= min_obs
-    return df.withColumns(
-        {
-            "seasonal_median": F.when(enough, F.percentile(value, 0.5).over(before)),
-            "seasonal_sd": F.when(enough, F.stddev_samp(value).over(before)),
-            "prev_value": F.lag(value).over(by),
-        }
-    )
+
+    def enough(w):
+        return F.count(value).over(w.rowsBetween(-n, -1)) >= min_obs
+
+    columns = {
+        "seasonal_median": lambda w: F.when(enough(w), F.percentile(value, 0.5).over(w.rowsBetween(-n, -1))),
+        "seasonal_sd": lambda w: F.when(enough(w), F.stddev_samp(value).over(w.rowsBetween(-n, -1))),
+        "prev_value": lambda w: F.lag(value).over(w),
+    }
+    return over_blocks(df, list(keys), list(order), columns, n)
 
 
 def last_n(df: DataFrame, value: str, keys, order, *, n: int = WINDOW) -> DataFrame:

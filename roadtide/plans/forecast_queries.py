@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from roadtide.functions import columns as fn
-from roadtide.operators import evaluate, features, model, publish, seasonal, spatial
+from roadtide.operators import asof, evaluate, features, model, publish, seasonal, spatial
 from roadtide.plans.demo import cte, frame
 from roadtide.plans.queries import _PROFILE, _ROLLED, _VENUES, _profile, query, rounded
+from roadtide.session import written
 from roadtide.sources import readers
 
 # The holidays of features.holidays by conditions on a calendar of days.
@@ -87,16 +88,19 @@ def _network_matrix(spark, d, rows=None):
     return features.network_matrix(rows, _profile(spark, d), st, _events(spark, d), _network_weather(spark, d, st), features.holidays(spark, 1991, 2005))
 
 
-@query("M2_network_matrix", f"""{cte('readings', 'stations', 'venue_events')}, {_PROFILE}, {_HOLIDAYS}, {_EVENTS},
+_NETWORK = f"""{cte('readings', 'stations', 'venue_events')}, {_PROFILE}, {_HOLIDAYS}, {_EVENTS},
 c AS (SELECT DISTINCT round(floor(lat / 0.25) * 0.25 + 0.125, 3) AS clat, round(floor(lon / 0.25) * 0.25 + 0.125, 3) AS clon FROM stations),
 sc AS (SELECT sensor_id, cell FROM (SELECT sensor_id, concat(clat, ',', clon) AS cell, row_number() OVER (PARTITION BY sensor_id ORDER BY round(pow(lat - clat, 2) + pow(lon - clon, 2), 9), concat(clat, ',', clon)) AS k FROM stations, c) WHERE k = 1),
 {_VENUES}, vn AS (SELECT concat('v', row_number() OVER () - 1) AS v, vlat, vlon FROM venues),
 sv AS (SELECT sensor_id, CASE WHEN miles <= 12 THEN v END AS venue, CASE WHEN miles <= 12 THEN miles END AS event_miles FROM (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY miles, v) AS k FROM (SELECT sensor_id, v, sqrt(pow((vlat - lat) * 69, 2) + pow((vlon - lon) * 69 * cos(radians(lat)), 2)) AS miles FROM stations, vn)) WHERE k = 1),
 w AS (SELECT cell, date_trunc('hour', ts) AS hr, round(max(pct_observed) / 20.0, 3) AS precip, max(speed) AS wind FROM readings JOIN sc ON station = sensor_id WHERE tod <> 600 GROUP BY 1, 2),
 ww AS (SELECT *, sum(precip) OVER (PARTITION BY cell ORDER BY hr ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS p3 FROM w),
-x AS (SELECT r.row_id, r.date, r.dow, r.tod, r.ts, seasonal_speed, seasonal_sd, s.*, cell, venue, event_miles FROM readings r JOIN profile p USING (station, dow, tod) JOIN stations s ON s.sensor_id = r.station JOIN sc ON sc.sensor_id = r.station JOIN sv ON sv.sensor_id = r.station),
+x AS (SELECT r.row_id, r.station, r.base, r.pred, r.actual, r.date, r.dow, r.tod, r.ts, seasonal_speed, seasonal_sd, s.*, cell, venue, event_miles FROM readings r JOIN profile p USING (station, dow, tod) JOIN stations s ON s.sensor_id = r.station JOIN sc ON sc.sensor_id = r.station JOIN sv ON sv.sensor_id = r.station),
 h AS (SELECT x.row_id, x.sensor_id, x.ts, e.event_id, e.capacity, date_sub('microsecond', e.start, x.ts) / 3600000000.0 AS h FROM x JOIN ev e ON e.venue = x.venue AND x.date BETWEEN CAST(e.start AS DATE) - 1 AND CAST(e.start AS DATE) + 1),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id, sensor_id, ts ORDER BY CASE WHEN h >= 0 THEN 0 ELSE 1 END, abs(h), event_id) AS k FROM (SELECT DISTINCT * FROM h) WHERE h BETWEEN -4 AND 6) WHERE k = 1)
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id, sensor_id, ts ORDER BY CASE WHEN h >= 0 THEN 0 ELSE 1 END, abs(h), event_id) AS k FROM (SELECT DISTINCT * FROM h) WHERE h BETWEEN -4 AND 6) WHERE k = 1)"""
+
+
+@query("M2_network_matrix", f"""{_NETWORK}
 SELECT x.row_id, round(seasonal_speed, 4) AS seasonal_speed, round(seasonal_sd, 4) AS seasonal_sd, CAST(x.tod AS BIGINT) AS tod, CAST(x.dow AS BIGINT) AS dow, CAST(month(x.date) AS BIGINT) AS month, isodow(x.date) >= 6 AS is_weekend, CAST(lanes AS BIGINT) AS lanes, round(length, 4) AS seg_miles,
   round(lat, 4) AS lat, round(lon, 4) AS lon, round(ww.precip, 4) AS precip_mm, round(ww.wind, 4) AS wind_kmh, round(p3, 4) AS precip_3h, round(b.h, 4) AS hours_since_event, coalesce(b.capacity, 0) AS event_capacity, round(CASE WHEN b.h IS NOT NULL THEN event_miles END, 4) AS event_miles,
   CAST(fwy AS STRING) AS freeway, dir AS direction, hc.class AS holiday_class, CASE WHEN ww.precip IS NULL THEN 'unknown' WHEN ww.precip >= 2.5 THEN 'rain_heavy' WHEN ww.precip >= 0.2 THEN 'rain_light' ELSE 'dry' END AS wx_class
@@ -162,24 +166,31 @@ _PEAK = "(tod BETWEEN 420 AND 595 OR tod BETWEEN 900 AND 1135)"
 
 
 @query("A12_six_slices", f"""{cte('series', 'venue_events')}, {_HOLIDAYS}, {_EVENTS}, m AS (SELECT DISTINCT concat('v', i % 7) AS venue, concat('k', i % 9) AS corridor FROM range(0, 14) t(i)),
-n AS (SELECT DISTINCT corridor, CAST(start AS DATE) AS date FROM ev JOIN m USING (venue)), p AS (SELECT s.*, abs(minutes - 25) AS err, hc.class, n.date IS NOT NULL AS eventful FROM series s JOIN hc USING (date) LEFT JOIN n ON n.corridor = s.corridor AND n.date = s.date), q AS (SELECT quantile_cont(err, 0.95) AS cut FROM p),
+ce AS (SELECT corridor, start FROM ev JOIN m USING (venue)), p AS (SELECT s.*, abs(minutes - 25) AS err, hc.class, EXISTS (SELECT 1 FROM ce WHERE ce.corridor = s.corridor AND date_sub('microsecond', ce.start, s.ts) / 3600000000.0 BETWEEN -4 AND 6) AS eventful FROM series s JOIN hc USING (date)), q AS (SELECT quantile_cont(err, 0.95) AS cut FROM p),
 s AS (SELECT p.*, unnest(list_filter(['all', CASE WHEN {_PEAK} THEN 'peak' END, CASE WHEN class <> 'none' THEN 'holiday' END, CASE WHEN eventful THEN 'event' END, CASE WHEN precip >= 0.2 THEN 'rain' END, CASE WHEN err > cut THEN 'worst' END], lambda v: v IS NOT NULL)) AS slice FROM p, q)
 SELECT slice, count(*) AS n, round(avg(err), 4) AS mae_baseline FROM s GROUP BY slice""")
 def _(spark, d):
     pairs = [(f"v{v}", sorted({f"k{i % 9}" for i in range(14) if i % 7 == v})) for v in range(7)]
     reach = F.broadcast(readers.venue_corridors(spark.createDataFrame(pairs, "slug string, corridors array<string>")))
-    busy = _events(spark, d).join(reach, "venue").select("corridor", F.to_date("start").alias("date"), F.lit(True).alias("eventful")).distinct()
-    rows = features.holiday_class(frame(spark, d, "series"), features.holidays(spark, 1991, 2005)).join(busy, ["corridor", "date"], "left")
+    near = asof.nearest_event(frame(spark, d, "series"), _events(spark, d).join(reach, "venue"), key="corridor", row_id="id")
+    rows = features.holiday_class(near, features.holidays(spark, 1991, 2005))
     rows = evaluate.worst(rows.withColumn("guess", F.lit(25.0)), "minutes", "guess")
-    slices = {"peak": fn.is_peak(F.col("tod")), "holiday": F.col("holiday_class") != "none", "event": F.coalesce("eventful", F.lit(False)), "rain": F.col("precip") >= fn.RAIN_LIGHT, "worst": F.col("is_worst")}
+    slices = {"peak": fn.is_peak(F.col("tod")), "holiday": F.col("holiday_class") != "none", "event": F.col("hours_since_event").isNotNull(), "rain": F.col("precip") >= fn.RAIN_LIGHT, "worst": F.col("is_worst")}
     return rounded(evaluate.slice_report(rows, "minutes", "guess", {}, slices))
 
 
-@query("A13_eight_slices")
+@query("A13_eight_slices", f"""{_NETWORK}, f AS (SELECT x.station, x.tod, base, pred, actual, abs(base - actual) AS err, (x.station * 7919) % 1000 < 300 AS held, hc.class, ww.precip, b.h
+  FROM x LEFT JOIN b ON b.row_id = x.row_id AND b.sensor_id = x.sensor_id AND b.ts = x.ts JOIN hc ON hc.date = x.date LEFT JOIN ww ON ww.cell = x.cell AND ww.hr = date_trunc('hour', x.ts)),
+q AS (SELECT quantile_cont(err, 0.95) AS cut FROM f),
+s AS (SELECT f.*, unnest(list_filter(['all', CASE WHEN {_PEAK} THEN 'peak' END, CASE WHEN base < 45 THEN 'congested' END, CASE WHEN base < 45 AND {_PEAK} THEN 'peak+congested' END, CASE WHEN class <> 'none' THEN 'holiday' END,
+  CASE WHEN precip >= 0.2 THEN 'rain' END, CASE WHEN h IS NOT NULL THEN 'near event' END, CASE WHEN err > cut THEN 'worst' END], lambda v: v IS NOT NULL)) AS slice FROM f, q),
+g AS (SELECT held, slice, 0 AS level, count(*) AS n, avg(err) AS b, avg(abs(pred - actual)) AS m FROM s GROUP BY held, slice UNION ALL SELECT NULL, slice, 2, count(*), avg(err), avg(abs(pred - actual)) FROM s GROUP BY slice
+  UNION ALL SELECT NULL, NULL, 3, count(*), avg(err), avg(abs(pred - actual)) FROM f)
+SELECT held, slice, CAST(level AS BIGINT) AS level, n, round(round(b, 9), 4) AS mae_baseline, round(round(m, 9), 4) AS mae_model, round(round((b - m) / b * 100, 9), 4) AS gain_pct_model FROM g""")
 def _(spark, d):
-    """The report by held-out stations with all eight slices, on the network features."""
+    """The report by held-out stations with all eight slices, on the network features, with the totals of each slice and of all rows."""
     rows = _network_matrix(spark, d, frame(spark, d, "readings")).withColumn("held", F.pmod(F.col("station").cast("bigint") * 7919, F.lit(1000)) < 300)
-    rows = evaluate.worst(rows, "actual", "base")
+    rows = evaluate.worst(written(rows.select("held", "tod", "base", "pred", "actual", "holiday_class", "precip_mm", "hours_since_event")), "actual", "base")
     peak, slow = fn.is_peak(F.col("tod")), F.col("base") < 45
     slices = {"peak": peak, "congested": slow, "peak+congested": peak & slow, "holiday": F.col("holiday_class") != "none", "rain": F.col("precip_mm") >= fn.RAIN_LIGHT, "near event": F.col("hours_since_event").isNotNull(), "worst": F.col("is_worst")}
-    return rounded(evaluate.slice_report(rows, "actual", "base", {"model": "pred"}, slices, by="held"))
+    return rounded(rounded(evaluate.slice_cube(rows, "actual", "base", {"model": "pred"}, slices, by="held"), 9))

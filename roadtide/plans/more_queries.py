@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from roadtide.functions import columns as fn
-from roadtide.operators import corridor, evaluate, features, geometry, quantiles, routing, seasonal
+from roadtide.operators import corridor, evaluate, features, geometry, ordered, quantiles, routing, seasonal
 from roadtide.plans.demo import cte, frame
-from roadtide.plans.queries import _ALL_DAY, _PRICED, _PROFILE, _ROLLED, _SPANS, _matched, _members, _profile, _rolled, _routes, _settled, _spans, _vertices, query, rounded
+from roadtide.plans.queries import _ALL_DAY, _HASH, _PRICED, _PROFILE, _ROLLED, _SPANS, _matched, _members, _profile, _rolled, _routes, _settled, _spans, _vertices, query, rounded
 
 
 @query("P2_positive_speed", f"{cte('readings')} SELECT row_id, round(speed, 4) AS speed FROM readings WHERE speed > 0")
@@ -141,8 +141,8 @@ def _(spark, d):
 
 @query("O7_even_snapshots", f"{cte('venue_events')}, r AS (SELECT venue, event_id, ntile(12) OVER (PARTITION BY venue ORDER BY start, event_id) AS part, start FROM venue_events) SELECT venue, CAST(part AS BIGINT) AS part, min_by(event_id, start) AS event_id FROM r GROUP BY 1, 2")
 def _(spark, d):
-    w = Window.partitionBy("venue").orderBy("start", "event_id")
-    parts = frame(spark, d, "venue_events").withColumn("part", F.ntile(12).over(w))
+    rows = ordered.ranked(frame(spark, d, "venue_events"), ["venue"], ["start", "event_id"])
+    parts = rows.withColumn("part", ordered.ntile(F.col("rank"), F.col("size"), 12))
     return rounded(parts.groupBy("venue", "part").agg(F.min_by("event_id", "start").alias("event_id")))
 
 
@@ -217,7 +217,7 @@ def _(spark, d):
     return _settled(priced.groupBy("route_id").agg(F.avg("measured_share").alias("measured_share"), F.max("stations").alias("stations"), F.avg("total_minutes").alias("minutes")))
 
 
-@query("M3_spatial_holdout")
+@query("M3_spatial_holdout", f"{cte('readings', 'stations')}, h AS (SELECT sensor_id, {_HASH.format(seed=7)} % 1000 < 300 AS held_out FROM stations) SELECT held_out, count(*) AS rows, count(DISTINCT station) AS stations FROM readings JOIN h ON station = sensor_id GROUP BY 1")
 def _(spark, d):
     held = features.spatial_holdout(frame(spark, d, "stations")).withColumnRenamed("sensor_id", "station")
     return frame(spark, d, "readings").join(held, "station").groupBy("held_out").agg(F.count("*").alias("rows"), F.count_distinct("station").alias("stations"))

@@ -667,7 +667,11 @@ def _(spark, d):
     return rounded(asof.events_on_drive(drives.withColumn("arrive", F.col("depart") + F.make_dt_interval(F.lit(0), F.lit(1))), ev))
 
 
-@query("M4_station_sample")
+_HASH = "('0x' || substr(md5(concat_ws('|', '{seed}', CAST(sensor_id AS VARCHAR))), 1, 8))::BIGINT"
+
+
+@query("M4_station_sample", f"""{cte('stations')}, h AS (SELECT sensor_id, {_HASH.format(seed=7)} % 1000 < 300 AS held_out, row_number() OVER (ORDER BY {_HASH.format(seed=0)}, sensor_id) AS r, count(*) OVER () AS n FROM stations)
+SELECT CAST(sensor_id AS BIGINT) AS sensor_id, held_out FROM h WHERE r <= n // 2""")
 def _(spark, d):
     return rounded(features.station_sample(features.spatial_holdout(frame(spark, d, "stations")), 0.5).select("sensor_id", "held_out"))
 

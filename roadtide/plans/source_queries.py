@@ -72,6 +72,22 @@ def _(spark, d):
     return publish.facility_counts(c, "day")
 
 
+@query("S7_closure_shapes", f"""{cte('venue_events')} SELECT CAST(start AS DATE) AS day, CASE event_id % 3 WHEN 0 THEN 'Mainline' WHEN 1 THEN 'On Ramp' ELSE 'Surface Street' END AS facility, CASE WHEN event_id % 5 = 0 THEN NULL ELSE venue END AS place, count(*) AS n, sum(event_id) AS ids FROM venue_events GROUP BY ALL""")
+def _(spark, d):
+    """A day's events in snapshots of four shapes: a list, a list in an object, a list of wrapped records, and these in two objects; places are texts, objects, or missing."""
+    e = frame(spark, d, "venue_events").select("event_id", "venue", F.to_date("start").alias("day"))
+    facility = F.when(F.col("event_id") % 3 == 0, "Mainline").when(F.col("event_id") % 3 == 1, "On Ramp").otherwise("Surface Street")
+    text = F.to_json(F.struct(F.struct(facility.alias("facility"), F.when(F.col("event_id") % 5 > 2, F.col("venue")).alias("location")).alias("closure"), "event_id"))
+    named = F.to_json(F.struct(F.struct(facility.alias("facility"), F.when(F.col("event_id") % 5 > 0, F.struct(F.col("venue").alias("name"), F.lit("CA").alias("state"))).alias("location")).alias("closure"), "event_id"))
+    shape = F.pmod(F.xxhash64("event_id"), F.lit(4))
+    wrapped = lambda c: F.when(shape >= 2, F.concat(F.lit('{"lcs":'), c, F.lit("}"))).otherwise(c)
+    one = wrapped(F.when(F.col("event_id") % 5 > 2, text).otherwise(named))
+    pages = e.select("day", shape.alias("shape"), F.pmod(F.xxhash64("event_id", "day"), F.lit(SNAPSHOTS)).alias("part"), one.alias("one")).groupBy("day", "shape", "part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("one"), ","), F.lit("]")).alias("l"))
+    around = F.when(F.col("shape") == 1, F.concat(F.lit('{"data":'), F.col("l"), F.lit("}"))).when(F.col("shape") == 3, F.concat(F.lit('{"export":{"closures":'), F.col("l"), F.lit("}}"))).otherwise(F.col("l"))
+    c = readers.closures(pages.select("day", around.alias("payload")))
+    return c.groupBy("day", "facility", "place").agg(F.count("*").alias("n"), F.sum(F.try_variant_get("record", "$.event_id", "long")).alias("ids"))
+
+
 @query("S16_league_games", f"{cte('venue_events')} SELECT venue, strftime(start, '%Y-%m-%dT%H:%M:%S') AS start, title FROM venue_events WHERE venue = 'v3'")
 def _(spark, d):
     """Events as nested schedules, dates[].games[], of which the home games of one venue are kept."""

@@ -90,13 +90,40 @@ def hourly_weather(df: DataFrame, json_col: str = "body", keep=("lat", "lon")) -
     return z.where("z.time is not null").select(*keep, F.to_timestamp_ntz(F.replace(F.col("z.time"), F.lit("T"), F.lit(" ")), F.lit("yyyy-MM-dd HH:mm")).alias("ts"), *(F.col(f"z.{c}").alias(c) for c in cols))
 
 
+#: One-key objects around a list or a record that are taken off, at most.
+WRAPPERS = 4
+
+
+def _members_of(v):
+    """An object's members by name; null for anything else."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _unwrapped(v, stop: str):
+    """v without the one-key objects around it; one with the key `stop` is not taken off."""
+    for _ in range(WRAPPERS):
+        members = _members_of(v)
+        v = F.when((F.size(members) == 1) & ~F.map_contains_key(members, stop), F.map_values(members)[0]).otherwise(v)
+    return v
+
+
+def text_or_name(v):
+    """The text of a place that is given as text or as an object with a name; null for neither."""
+    return F.coalesce(F.try_variant_get(v, "$.name", "string"), F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
+
+
 def closures(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """Closure records of snapshots, unwrapped by structure: a list, or the one value of an object, of records or of one-key wrappers."""
-    records = "array<map<string,string>>"
-    whole = F.coalesce(F.from_json(payload, records), F.from_json(F.map_values(F.from_json(payload, "map<string,string>"))[0], records))
-    one = F.explode(whole).alias("r")
-    inner = F.when(F.size("r") == 1, F.from_json(F.map_values("r")[0], "map<string,string>")).otherwise(F.col("r"))
-    return df.select(*[c for c in df.columns if c != payload], one).select(*[c for c in df.columns if c != payload], inner.alias("record")).withColumn("facility", F.get_json_object(F.col("record")["closure"], "$.facility"))
+    """Closure records of snapshots whose nesting is not known: the other columns, record (variant), facility and place.
+
+    A payload is a list of records, in one-key objects or not; each record may be in one-key objects too. A single record
+    counts as a list of one. Payloads that are no JSON, or have neither list nor record, give no row.
+    """
+    others = [c for c in df.columns if c != payload]
+    whole = df.select(*others, F.try_parse_json(payload).alias("__v")).where("__v is not null").select(*others, _unwrapped(F.col("__v"), "closure").alias("__v"))
+    one = F.when(F.map_contains_key(_members_of(F.col("__v")), "closure"), F.array("__v"))
+    rows = whole.select(*others, F.explode(F.coalesce(F.try_variant_get("__v", "$", "array<variant>"), one)).alias("__r"))
+    records = rows.select(*others, _unwrapped(F.col("__r"), "closure").alias("record")).where(_members_of(F.col("record")).isNotNull())
+    return records.withColumns({"facility": F.try_variant_get("record", "$.closure.facility", "string"), "place": text_or_name(F.try_variant_get("record", "$.closure.location", "variant"))})
 
 
 def write_days(df: DataFrame, path: str, *, by: str = "date") -> None:

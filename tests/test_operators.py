@@ -4,11 +4,12 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from roadtide.functions import columns as fn
-from roadtide.operators import asof, corridor, evaluate, events, features, model, quantiles, routing, seasonal, spatial
-from roadtide.sources import readers
+from roadtide.operators import asof, corridor, evaluate, events, features, model, ordered, quantiles, routing, seasonal, spatial
+from roadtide.sources import commits, readers
 from roadtide.streaming import ingest
 
 
@@ -163,7 +164,7 @@ def test_incremental_ingest_is_exactly_once(spark, tmp_path):
     assert readers.day_readings(spark, sink).count() == 2 and readers.day_readings(spark, sink, first="2024-01-02").count() == 1
     state = str(tmp_path / "state")
     ingest.accumulate_profile(spark, src, rows(1).schema, state, str(tmp_path / "ck2"))
-    assert [(r.n, r.s1) for r in spark.read.parquet(f"{state}/v=0").collect()] == [(2, 3.0)]
+    assert [(r.n, r.s1) for r in ingest.newest_state(spark, state).collect()] == [(2, 3.0)]
 
 
 def test_write_days_replaces_days(spark, tmp_path):
@@ -370,3 +371,120 @@ def test_streets_take_the_slowdown_of_stations_near(spark):
     first, second = 1.38 / (41.4 * 0.75) * 60, 1.38 / 30 * 60
     assert r[0].total_minutes == pytest.approx(first + second) and r[0].measured_share == pytest.approx(second / (first + second)) and r[0].minutes_sd == pytest.approx(1.38 * 60 * 3 / 900)
     assert r[15].total_minutes == pytest.approx(4.0) and r[15].stations == 0 and r[15].minutes_sd == 0
+
+
+def test_version_at_each_row(spark):
+    at = lambda day, h=0: dt.datetime(2024, 1, day, h)
+    versions = spark.createDataFrame([("a", 1, at(1)), ("a", 2, at(1)), ("a", 3, at(9, 5)), ("a", 4, at(9, 7)), ("b", 5, at(3)), (None, 6, at(1)), ("a", 7, None)], "k string, v int, c timestamp_ntz")
+    rows = spark.createDataFrame([(1, "a", at(1)), (2, "a", at(8)), (3, "a", at(9, 6)), (4, "a", at(9, 7)), (5, "a", at(30)), (6, "b", at(2, 23)), (7, "c", at(5)), (8, None, at(5)), (9, "a", None), (10, "b", at(31))], "id int, k string, t timestamp_ntz")
+    got = {r.id: (r.v, r.valid_from, r.valid_to) for r in asof.as_of_each(rows, versions, key="k", row_id="id", ts="t", captured="c", version_id="v").collect()}
+    none = (None, None, None)
+    assert got == {1: (2, at(1), at(9, 5)), 2: (2, at(1), at(9, 5)), 3: (3, at(9, 5), at(9, 7)), 4: (4, at(9, 7), None), 5: (4, at(9, 7), None), 6: none, 7: none, 8: none, 9: none, 10: (5, at(3), None)}
+    plan = asof.as_of_each(rows, versions, key="k", row_id="id", ts="t", captured="c", version_id="v")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_versions_of_a_key_with_all_rows(spark, monkeypatch):
+    monkeypatch.setattr("roadtide.operators.skew.LEAST", 10)
+    start = F.lit("2024-01-01").cast("timestamp_ntz")
+    rows = spark.range(400).select("id", F.lit("a").alias("k"), (start + F.make_dt_interval(F.lit(0), F.lit(0), F.col("id").cast("int"))).alias("t"))
+    versions = rows.where("id % 7 = 3").select("k", F.col("id").alias("v"), F.col("t").alias("c"))
+    got = {r.id: r.v for r in asof.as_of_each(rows, versions, key="k", row_id="id", ts="t", captured="c", version_id="v", width_h=1).collect()}
+    assert got == {i: None if i < 3 else i - (i - 3) % 7 for i in range(400)}
+
+
+def test_profile_as_a_log_of_deltas(spark, tmp_path):
+    src, state = str(tmp_path / "in"), str(tmp_path / "state")
+    rows = lambda speed: spark.createDataFrame([(s, 0, 0, speed) for s in range(3)], "station int, dow int, tod int, speed double")
+    sums = lambda: sorted((r.station, r.n, r.s1, r.s2) for r in ingest.newest_state(spark, state).collect())
+    assert sums() == [] and not ingest.compact_profile(spark, state)
+    for i in range(6):
+        rows(float(i)).write.mode("append").parquet(src)
+        ingest.accumulate_profile(spark, src, rows(1.0).schema, state, str(tmp_path / "check"))
+        if i == 3:
+            assert ingest.compact_profile(spark, state) and commits.names(spark, f"{state}/delta") == []
+    want = [(s, 6, 15.0, 55.0) for s in range(3)]
+    assert sums() == want and commits.names(spark, f"{state}/delta") == ["000000000004", "000000000005"]
+    assert spark.read.parquet(f"{state}/delta/000000000005").count() == 3
+    # All batches run again from an empty checkpoint with the same numbers: what the base holds is not written, the rest is written alike.
+    for _ in range(2):
+        ingest.compact_profile(spark, state)
+    assert sums() == want and commits.names(spark, f"{state}/base") == ["000000000003", "000000000005"] and commits.committed(spark, state)[-1] == "base=000000000005"
+    (tmp_path / "state/delta/000000000009").mkdir()  # a batch that broke off
+    assert sums() == want
+
+
+def test_days_land_whole_and_once(spark, tmp_path, monkeypatch):
+    root, src, schema = str(tmp_path / "days"), str(tmp_path / "src"), "id long, v double, date date"
+    days = spark.range(40).selectExpr("id", "double(id) as v", "date_add(date'2024-01-01', cast(id % 4 as int)) as date")
+    days.write.partitionBy("date").parquet(src)
+    read = lambda: sorted((str(r.date), r.n, r.v) for r in commits.read_days(spark, root, schema).groupBy("date").agg(F.count("*").alias("n"), F.sum("v").alias("v")).collect())
+    assert read() == []
+    real, calls = commits.commit, []
+    monkeypatch.setattr(commits, "commit", lambda *a: calls.append(a) or (real(*a) if len(calls) < 3 else 1 / 0))
+    with pytest.raises(ZeroDivisionError):
+        commits.land_days(days, root)
+    assert [d for d, *_ in read()] == ["2024-01-01", "2024-01-02"]
+    monkeypatch.setattr(commits, "commit", real)
+    files = spark.read.schema(schema).parquet(src)
+    assert "PartitionFilters: [NOT date#" in commits.pending(files, root)._jdf.queryExecution().executedPlan().toString() and commits.pending(files, root).count() == 20
+    assert commits.land_days(files.withColumn("v", F.col("v") + 0), root) == ["2024-01-03", "2024-01-04"]
+    assert commits.land_days(files, root) == [] and read() == [(f"2024-01-0{i + 1}", 10, sum(float(x) for x in range(i, 40, 4))) for i in range(4)]
+
+
+def test_live_windows_are_given_once(spark, tmp_path):
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "check"))
+    members = spark.createDataFrame([("c", 1, 1.0), ("c", 2, 3.0), ("d", 2, 2.0)], "slug string, sensor_id int, length double")
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    lots = [[(1, at(8), 60.0), (1, at(8, 5), 30.0), (2, at(8, 10), 60.0), (9, at(8), 50.0)], [(1, at(9, 40), 60.0), (1, at(9, 20), 60.0)], [(1, at(8, 1), 5.0), (2, at(9, 30), 30.0), (1, at(12), 60.0)]]
+    for rows in lots:
+        spark.createDataFrame(rows, "station int, ts timestamp, speed double").coalesce(1).write.mode("append").parquet(src)
+        for _ in range(2):
+            ingest.live_corridors(spark, src, "station int, ts timestamp, speed double", members, out, ck)
+    got = sorted((r.corridor, r.window_start, round(r.raw_minutes, 6), r.n_stations, r.coverage) for r in spark.read.parquet(out).collect())
+    assert got == [("c", at(8), round(60 / 45 + 3, 6), 2, 1.0), ("c", at(9, 15), 1.0, 1, 0.25), ("c", at(9, 30), 7.0, 2, 1.0), ("d", at(8), 2.0, 1, 1.0), ("d", at(9, 30), 4.0, 1, 1.0)]
+
+
+def test_payloads_of_any_nesting(spark):
+    record = '{"closure": {"facility": "F", "location": %s}, "n": 1}'
+    text, named = record % '"here"', record % '{"name": "there", "x": [1]}'
+    cases = {
+        f"[{text}, {named}]": ["here", "there"], f'{{"data": [{text}]}}': ["here"], f'[{{"lcs": {named}}}]': ["there"], f'{{"a": {{"b": [{{"lcs": {{"r": {text}}}}}]}}}}': ["here"], text: ["here"], '[{"closure": {"facility": "F"}}]': [None],
+        record % "7": [None], "not json": [], "[]": [], "{}": [], "7": [], "null": [], '{"a": 1, "b": [2]}': [], "[1, [2]]": [],
+    }
+    df = spark.createDataFrame([*((i, p) for i, p in enumerate(cases)), (99, None)], "id int, payload string")
+    got = {}
+    for r in readers.closures(df).select("id", "facility", "place").collect():
+        assert r.facility == "F"
+        got.setdefault(r.id, []).append(r.place)
+    assert got == {i: places for i, places in enumerate(cases.values()) if places}
+
+
+def test_ranks_of_one_key_with_all_rows(spark):
+    df = spark.range(0, 5000, 1, 6).select(F.lit("k").alias("k"), (F.col("id") * 7919 % 5000).alias("o"), F.col("id").alias("rank_"))
+    mixed = df.unionByName(spark.createDataFrame([(None, 1, 0), (None, None, 1), ("k", 17, 2), ("k", 17, 3)], "k string, o long, rank_ long"))
+    got = {}
+    for r in ordered.ranked(mixed, ["k"], ["o"]).collect():
+        got.setdefault(r.k, []).append((r["rank"], r.o, r.size))
+    assert sorted(got[None]) == [(0, None, 2), (1, 1, 2)]
+    want = sorted([*range(5000), 17, 17])
+    assert [(a, b) for a, b, _ in sorted(got["k"])] == list(enumerate(want)) and {s for *_, s in got["k"]} == {5002}
+    assert ordered.ranked(mixed.where("false"), [], ["o"]).count() == 0
+    tiles = spark.range(23).select(ordered.ntile(F.col("id"), F.lit(23), 5).alias("t"), F.ntile(5).over(Window.orderBy("id")).alias("w"))
+    assert tiles.where("t <> w").count() == 0 and spark.range(3).select(ordered.ntile(F.col("id"), F.lit(3), 5).alias("t")).agg(F.max("t")).first()[0] == 3
+
+
+def test_rolling_statistics_of_a_long_key(spark, monkeypatch):
+    monkeypatch.setattr("roadtide.operators.skew.LEAST", 50)
+    monkeypatch.setattr(ordered, "BLOCK", 16)
+    monkeypatch.setattr(ordered.over_blocks, "__kwdefaults__", {"block": 16})
+    rows = [("long", i, float(i * 37 % 23) if i % 9 else None) for i in range(300)] + [("short", i, float(i)) for i in range(7)]
+    df = spark.createDataFrame(rows, "k string, t int, v double").repartition(4)
+    got = {(r.k, r.t): (r.seasonal_median, r.seasonal_sd, r.prev_value) for r in seasonal.causal_rolling(df, "v", ("k",), ("t",)).collect()}
+    assert len(got) == len(rows)
+    by_key = {"long": [v for k, _, v in rows if k == "long"], "short": [v for k, _, v in rows if k == "short"]}
+    for (k, t), (median, sd, before) in got.items():
+        past = [v for v in by_key[k][max(0, t - 8) : t] if v is not None]
+        want = (float(np.median(past)), float(np.std(past, ddof=1))) if len(past) >= 3 else (None, None)
+        assert (median, sd) == (pytest.approx(want[0]), pytest.approx(want[1])) if past and len(past) >= 3 else (median, sd) == want
+        assert before == (by_key[k][t - 1] if t else None)
