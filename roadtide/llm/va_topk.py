@@ -10,10 +10,13 @@
    times half the cell's width and of the query's length times that of what the
    cells leave out. A block keeps what its kth lower bound does not rule out,
    ties by id included, and the kth lower bound over all blocks rules out more.
-3. Exact vectors are fetched for what is left, and read in the order of the
-   bounds until the kth best score is above the next bound, so it is certain.
+3. Exact vectors are fetched in the order of the bounds, in two rounds: first
+   for the highest upper bounds, then for what the kth best of these exact
+   scores does not rule out, so that the kth result is certain.
 
-Only cells are copied to the query blocks, and exact vectors are shuffled once.
+Only cells are copied to the query blocks. A query's candidates are dealt to
+parts, the k best of each part and then of all are taken, and the joins split
+vectors that many queries ask for and queries that have many candidates.
 
 Cases: null vectors, vectors that hold a null or a non-finite component and
 rows without an id take no part; of rows with one id, the one with the
@@ -30,14 +33,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadtide.llm.common import saved
+from roadtide.llm.common import balanced_join, saved
 
 #: Cells and queries in a block, on average, and cells that are scanned at once.
 DATA_BLOCK, QUERY_BLOCK, SCAN = 32_768, 2048, 4096
 #: Cells on either side of zero.
 CELLS = 127
-#: Exact vectors read between two looks at the bound.
-STEP = 8
+#: A query's candidates in a part, and those of a part that are read in the first round.
+PART, FIRST = 256, 8
 _LONG = 2**63 - 1
 
 
@@ -89,7 +92,7 @@ def _padded(rows, kind, dims: int) -> np.ndarray:
 
 
 def block_bounds(queries: pd.DataFrame, data: pd.DataFrame, k: int) -> pd.DataFrame:
-    """query_id, vec_id, h1, h2, lower, upper of the pairs that the block's own kth lower bounds do not rule out."""
+    """query_id, vec_id, h1, h2, lower, upper of the pairs that the block's own kth lower bounds do not rule out; top: among the block's k highest lower bounds."""
     dims = max([1, *queries["v"].map(len), *data["cells"].map(len)])
     own, q = queries["id"].to_numpy(np.int64), _padded(list(queries["v"]), None, dims)
     ids, width, rest, codes = data["id"].to_numpy(np.int64), data["width"].to_numpy(), data["rest"].to_numpy(), list(data["cells"])
@@ -110,7 +113,7 @@ def block_bounds(queries: pd.DataFrame, data: pd.DataFrame, k: int) -> pd.DataFr
         found.append((i, j + a, lower[i, j], upper[i, j]))
     i, j, lower, upper = map(np.concatenate, zip(*found, strict=True))
     if not len(i):
-        return pd.DataFrame({c: [] for c in ("query_id", "vec_id", "h1", "h2", "lower", "upper")})
+        return pd.DataFrame({c: [] for c in ("query_id", "vec_id", "h1", "h2", "lower", "upper", "top")})
     # The kth of the lower bounds, equal ones by id: what reaches no further and has a larger id is ruled out too.
     order = np.lexsort((ids[j], -lower, i))
     first = np.searchsorted(i[order], np.arange(len(q)))
@@ -118,9 +121,11 @@ def block_bounds(queries: pd.DataFrame, data: pd.DataFrame, k: int) -> pd.DataFr
     full = (kth < len(order)) & (i[order[np.minimum(kth, len(order) - 1)]] == np.arange(len(q)))
     at = order[np.minimum(kth, len(order) - 1)]
     low, who = np.where(full, lower[at], -np.inf), ids[j[at]]
+    top = np.zeros(len(i), bool)
+    top[order] = np.arange(len(order)) - first[i[order]] < k
     stay = (upper > low[i]) | ((upper == low[i]) & (ids[j] <= who[i])) | ~full[i]
-    i, j = i[stay], j[stay]
-    return pd.DataFrame({"query_id": own[i], "vec_id": ids[j], "h1": data["h1"].to_numpy()[j], "h2": data["h2"].to_numpy()[j], "lower": lower[stay], "upper": upper[stay]})
+    i, j, top = i[stay], j[stay], top[stay]
+    return pd.DataFrame({"query_id": own[i], "vec_id": ids[j], "h1": data["h1"].to_numpy()[j], "h2": data["h2"].to_numpy()[j], "lower": lower[stay], "upper": upper[stay], "top": top})
 
 
 def _exact(q: np.ndarray, x: list) -> list[int]:
@@ -132,18 +137,34 @@ def _exact(q: np.ndarray, x: list) -> list[int]:
     return [sum(a * int(b) for a, b in zip(big, v, strict=False)) for v in x]
 
 
-def certain_top(rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """One query's k best of its candidates, which are read in the order of their upper bounds as long as one may still be among them."""
-    rows = rows.drop_duplicates("vec_id").sort_values("upper", ascending=False, kind="stable")
-    query, upper, ids, vectors = np.asarray(rows["asked"].iloc[0], np.int64), rows["upper"].to_numpy(), rows["vec_id"].tolist(), list(rows["v"])
-    best: list[tuple[int, int]] = []
-    for at in range(0, len(ids), STEP):
-        if len(best) == k and -best[-1][0] > upper[at]:
-            break
-        best = sorted([*best, *((-s, i) for s, i in zip(_exact(query, vectors[at : at + STEP]), ids[at : at + STEP], strict=True))])[:k]
-    return pd.DataFrame(
-        {"query_id": rows["query_id"].iloc[0], "rank": range(1, len(best) + 1), "vec_id": [i for _, i in best], "score": [max(-_LONG - 1, min(_LONG, -s)) for s, _ in best]}
-    )
+#: What is added to a score before it is written as bytes, which then sort as the scores do.
+_ABOVE = 1 << 160
+
+
+def _scores(batches):
+    """query_id, vec_id, score (nearest long) and full (the exact one as bytes that sort alike) of pairs of vectors."""
+    for batch in batches:
+        exact = [_exact(np.asarray(q, np.int64), [v])[0] for q, v in zip(batch["asked"], batch["v"], strict=True)]
+        yield pd.DataFrame(
+            {
+                "query_id": batch["query_id"], "vec_id": batch["vec_id"], "score": [max(-_LONG - 1, min(_LONG, s)) for s in exact], "full": [(s + _ABOVE).to_bytes(24, "big") for s in exact],
+            }
+        )
+
+
+def _best(rows: DataFrame, k: int, *order) -> DataFrame:
+    """The k first rows of each query: of its parts, and of what these leave; n is their place."""
+    parts = rows.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).where(F.col("n") <= k)
+    return parts.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("n") <= k)
+
+
+def _scored(pairs: DataFrame, exact: DataFrame, asked: DataFrame) -> DataFrame:
+    """Exact scores of pairs (query_id, part, vec_id, h1, h2). Vectors and queries in very many pairs are split."""
+    key = ["vec_id", "h1", "h2"]
+    count = lambda on: pairs.groupBy(*on).agg(F.count("*").alias("n"))
+    fetched = balanced_join(pairs.select("query_id", *key), exact, key, count(key))
+    both = balanced_join(fetched.select("query_id", "vec_id", "v"), asked.select(F.col("id").alias("query_id"), F.col("v").alias("asked")), ["query_id"], count(["query_id"]))
+    return both.mapInPandas(_scores, "query_id long, vec_id long, score long, full binary").dropDuplicates(["query_id", "vec_id"])
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -158,17 +179,30 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, data_block: int
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     left = asked.select("id", "v", own(query_blocks).alias("q"), every(blocks).alias("d"))
     right = file.select("*", own(blocks).alias("d"), every(query_blocks).alias("q"))
-    schema = "query_id long, vec_id long, h1 long, h2 long, lower double, upper double"
+    schema = "query_id long, vec_id long, h1 long, h2 long, lower double, upper double, top boolean"
 
     def scan(some: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
         if some.empty or data.empty:
             return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
         return block_bounds(some, data, k)
 
-    bounds = left.groupBy("d", "q").cogroup(right.groupBy("d", "q")).applyInPandas(scan, schema)
-    ranked = bounds.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lower"), "vec_id")))
-    kth = F.max(F.when(F.col("n") == k, F.struct("lower", "vec_id"))).over(Window.partitionBy("query_id"))
-    open_ = ranked.withColumn("kth", kth).where("kth is null or upper > kth.lower or (upper = kth.lower and vec_id <= kth.vec_id)").drop("n", "kth")
-    exact = _hashed(vectors).withColumnRenamed("id", "vec_id")
-    read = open_.join(exact, ["vec_id", "h1", "h2"]).join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("asked")), "query_id")
-    return read.select("query_id", "asked", "vec_id", "upper", "v").groupBy("query_id").applyInPandas(lambda rows: certain_top(rows, k), "query_id long, rank int, vec_id long, score long")
+    bounds = saved(left.groupBy("d", "q").cogroup(right.groupBy("d", "q")).applyInPandas(scan, schema), "va-bounds")
+    sizes = saved(bounds.groupBy("query_id").agg(F.count("*").alias("n")), "va-sizes")
+    part = F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("m") / PART))
+    of_query = lambda rows, more: balanced_join(rows, more, ["query_id"], sizes)
+    tops = of_query(bounds.where("top"), sizes.select("query_id", F.col("n").alias("m"))).withColumn("part", part)
+    kth = _best(tops, k, F.desc("lower"), "vec_id").where(F.col("n") == k).select("query_id", F.col("lower").alias("kth_lower"), F.col("vec_id").alias("kth_id"))
+    limits = saved(sizes.select("query_id", F.col("n").alias("m")).join(kth, "query_id", "left"), "va-limits")
+    left_over = of_query(bounds.drop("top"), limits).where("kth_id is null or upper > kth_lower or (upper = kth_lower and vec_id <= kth_id)")
+    open_ = left_over.select("query_id", part.alias("part"), "vec_id", "h1", "h2", "upper")
+    open_ = saved(open_.withColumn("at", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(F.desc("upper"), "vec_id"))), "va-open")
+
+    exact, count = _hashed(vectors).withColumnRenamed("id", "vec_id"), open_.groupBy("query_id").agg(F.count("*").alias("n"))
+    place = lambda rows: rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(PART)))
+    first = saved(_scored(open_.where(F.col("at") <= FIRST), exact, asked), "va-first")
+    sure = _best(place(first), k, F.desc("full"), "vec_id").where(F.col("n") == k).select("query_id", F.when(F.col("score") > -_LONG, F.col("score")).alias("sure"))
+    sure = count.select("query_id").join(sure, "query_id", "left")
+    # Bounds are doubles: one that equals the score may still hide a larger one, so it is read.
+    rest = balanced_join(open_.where(F.col("at") > FIRST), sure, ["query_id"], count).where("sure is null or upper >= cast(sure as double)")
+    every = first.unionByName(_scored(rest.drop("sure"), exact, asked))
+    return _best(place(every), k, F.desc("full"), "vec_id").select("query_id", F.col("n").cast("int").alias("rank"), "vec_id", "score")
