@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -60,6 +62,17 @@ def predict(model: PipelineModel | None, df: DataFrame, target: str = "speed", b
     return done.select(*df.columns, value.alias(out))
 
 
+def cross_fitted(rows: DataFrame, learn, apply, *, key: str = "station", folds: int = 3, seed: int = 7) -> DataFrame:
+    """Out-of-fold predictions: each fold of keys is predicted by a model that never saw one of its rows.
+
+    learn(rows) gives a model (or None), apply(model, rows) rows with a prediction. A key falls on the same fold always.
+    Adds fold. A fold whose complement is empty has no prediction, and no row.
+    """
+    fold = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(folds)).cast("int")
+    dealt = rows.withColumn("fold", fold)
+    return reduce(DataFrame.unionByName, (apply(learn(dealt.where(F.col("fold") != i)), dealt.where(F.col("fold") == i)) for i in range(folds)))
+
+
 def importances(model: PipelineModel | None, spark) -> DataFrame:
     """feature, share (percent) of the fitted trees."""
     rows = []

@@ -136,6 +136,22 @@ def _(spark, d):
     return rounded(model.importances(_fitted(spark, d), spark))
 
 
+@query("M3_cross_fitted_slices")
+def _(spark, d):
+    """Stations predicted by models that never saw them, learnt before 1997 and stopped on that year: errors by fold and slice on the readings from 1998 on, with totals."""
+    rows = written(_network_matrix(spark, d, frame(spark, d, "readings").where("speed > 0")).withColumn("is_weekend", F.col("is_weekend").cast("int")))
+    split = features.temporal_split(rows, "1997-01-01", "1998-01-01", "2000-01-01").withColumn("valid", F.col("split") == "valid")
+
+    def learn(some):
+        return model.fit(model.label(some.where("split <> 'test'"), "ratio"), features.NETWORK_NUMERIC, features.NETWORK_CATEGORICAL, rounds=20, valid="valid")
+
+    done = model.cross_fitted(split, learn, lambda m, some: model.predict(m, some.where("split = 'test'"), "ratio"), folds=2)
+    peak, slow = fn.is_peak(F.col("tod")), F.col("seasonal_speed") < 45
+    rows = evaluate.worst(written(done.select("fold", "tod", "speed", "seasonal_speed", "mph", "holiday_class", "precip_mm", "hours_since_event")), "speed", "seasonal_speed")
+    slices = {"peak": peak, "congested": slow, "peak+congested": peak & slow, "holiday": F.col("holiday_class") != "none", "rain": F.col("precip_mm") >= fn.RAIN_LIGHT, "near event": F.col("hours_since_event").isNotNull(), "worst": F.col("is_worst")}
+    return rounded(evaluate.slice_cube(rows, "speed", "seasonal_speed", {"model": "mph"}, slices, by="fold"))
+
+
 @query("M5_minutes_model")
 def _(spark, d):
     """The corridor model: minutes from the corridor features, and its mean error by corridor on the last year."""

@@ -741,17 +741,13 @@ def _(spark, d):
     return events.page_texts(spark.read.parquet(f"{d}/pages.parquet"))
 
 
-@query("X1_archived_pages")
-def _(spark, d):
-    """The given pages, of which none lists events: months and days stand in running text only."""
-    return events.page_events(spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html", F.lit(2024).alias("year"), F.lit("Levi's Stadium").alias("venue_name")))
-
-
-@query("X1_calendar_pages", f"""{cte('venue_events')}, e AS (SELECT *, CAST(substr(venue, 2) AS BIGINT) * 100 + day(start) AS page_id, day(start) % 2 = 0 AND event_id % 7 <> 3 AS told FROM venue_events),
+_CALENDAR = f"""{cte('venue_events')}, e AS (SELECT *, CAST(substr(venue, 2) AS BIGINT) * 100 + day(start) AS page_id, day(start) % 2 = 0 AND event_id % 7 <> 3 AS told FROM venue_events),
 n AS (SELECT page_id, count(DISTINCT CASE WHEN told THEN (start, title) END) >= 3 AS structured FROM e GROUP BY page_id),
 f AS (SELECT page_id, title, CASE WHEN structured THEN strftime(start, '%Y-%m-%dT%H:%M:%S') ELSE strftime(start, '%Y-%m-%dT%H:%M:00') END AS start FROM e JOIN n USING (page_id) WHERE told OR NOT structured)
-SELECT page_id, min(start) AS start, title, true AS has_time FROM f GROUP BY page_id, left(start, 16), title""")
-def _(spark, d):
+SELECT page_id, min(start) AS start, title, true AS has_time FROM f GROUP BY page_id, left(start, 16), title"""
+
+
+def _calendar(spark, d):
     """A calendar page a venue and day: every entry as texts, and on even days as JSON-LD too, in which some events are away."""
     e = frame(spark, d, "venue_events").withColumns({"day": F.dayofmonth("start"), "even": F.dayofmonth("start") % 2 == 0})
     texts = F.concat(*(F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in (F.date_format("start", "MMM"), F.date_format("start", "d"), F.when(F.col("event_id") % 2 == 0, F.date_format("start", ", yyyy")).otherwise(F.lit(" ")), F.col("title"), F.date_format("start", "h:mm a"), F.lit("Buy Tickets"), F.lit("Gate B"))))
@@ -760,7 +756,19 @@ def _(spark, d):
     page = (F.substring("venue", 2, 9).cast("long") * 100 + F.col("day")).alias("page_id")
     body = e.groupBy(page, "even").agg(F.array_join(F.array_sort(F.collect_list(texts)), "").alias("t"), F.to_json(F.collect_list(fact)).alias("j"))
     html = F.concat(F.lit("<html><script>var jan = 1;</script>"), F.when(F.col("even"), F.concat(F.lit('<script type="application/ld+json">'), F.col("j"), F.lit("</script>"))).otherwise(""), F.lit("<table>"), F.col("t"), F.lit("</table></html>"))
-    return events.page_events(body.select("page_id", html.alias("html"), F.lit(2024).alias("year"), F.lit("Gardens Arena").alias("venue_name")))
+    return body.select("page_id", html.alias("html"), F.lit(2024).alias("year"), F.lit("Gardens Arena").alias("venue_name"))
+
+
+@query("X1_calendar_pages", _CALENDAR)
+def _(spark, d):
+    return events.page_events(_calendar(spark, d))
+
+
+@query("X1_archived_pages", _CALENDAR.replace("SELECT page_id, min(start)", "SELECT -page_id AS page_id, min(start)"))
+def _(spark, d):
+    """The whole archive: the given pages, of which none lists events, and the calendar pages under negative numbers."""
+    given = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html", F.lit(2024).alias("year"), F.lit("Gardens Arena").alias("venue_name"))
+    return events.page_events(given.unionByName(_calendar(spark, d).withColumn("page_id", -F.col("page_id"))))
 
 
 @query("X2_folded_titles", r"SELECT doc_id, left(regexp_replace(lower(strip_accents(text)), '[^\p{L}\p{N}]', '', 'g'), 40) AS key FROM documents")

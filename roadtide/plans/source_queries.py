@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from roadtide.functions import columns as fn
-from roadtide.operators import asof, corridor, events, publish, routing, seasonal, spatial
+from roadtide.operators import asof, corridor, events, ordered, publish, routing, seasonal, spatial
 from roadtide.plans.demo import cte, frame
-from roadtide.plans.queries import _ALL_DAY, _CORRIDORS, _MEMBERS, _PRICE, _W, _matched, _members, _profile, _routes, _settled, _spans, _vertices, query, rounded
+from roadtide.plans.queries import _ALL_DAY, _CORRIDORS, _MEMBERS, _PRICE, _RAW, _W, _matched, _members, _profile, _raw_events, _routes, _settled, _spans, _vertices, query, rounded
 from roadtide.session import scratch_dir, written
 from roadtide.sources import commits, readers
 from roadtide.streaming import ingest
@@ -294,6 +294,38 @@ def _(spark, d):
     return rows.groupBy("month").agg(F.count("*").alias("n"), F.round(F.sum("minutes"), 2).alias("minutes"))
 
 
+_DIMENSION = "dims(slug, fwy, dir, pm_min, pm_max) AS (VALUES " + ", ".join(f"('{c[0]}', {c[2]}, '{c[3]}', CAST({c[4]} AS DOUBLE), CAST({c[5]} AS DOUBLE))" for c in readers.CORRIDORS) + ")"
+#: Freeway number, and postmile of the first of the demo's 40 miles, of each of its five freeways.
+_FREEWAYS = {0: (80, 0), 1: (101, 385), 2: (880, 2), 3: (580, 10), 4: (237, 0)}
+
+
+@query("S13_corridor_dimension", f"""{cte('stations', 'readings')}, {_DIMENSION}, fw(k, fwy2, first) AS (VALUES {', '.join(f'({k}, {a}, {b})' for k, (a, b) in _FREEWAYS.items())}),
+m AS (SELECT d.slug, s.sensor_id, coalesce(length, 0.5) AS length FROM stations s JOIN fw ON fw.k = s.fwy JOIN dims d ON d.fwy = fwy2 AND d.dir = s.dir AND abs_pm + first BETWEEN pm_min AND pm_max WHERE type = 'ML'), t AS (SELECT slug, sum(length) AS total FROM m GROUP BY slug),
+c AS (SELECT m.slug AS corridor, ts, sum(length / speed * 60) * max(total) / sum(length) AS minutes FROM readings JOIN m ON station = sensor_id JOIN t ON t.slug = m.slug WHERE speed > 0 GROUP BY 1, 2)
+SELECT corridor, count(*) AS n, round(round(avg(minutes), 9), 4) AS minutes FROM c GROUP BY corridor""")
+def _(spark, d):
+    """Corridor times of the nine corridors of the dimension, on stations that are moved to their freeways."""
+    moved = spark.createDataFrame([(k, a, float(b)) for k, (a, b) in _FREEWAYS.items()], "fwy int, fwy2 int, first double")
+    st = frame(spark, d, "stations").join(F.broadcast(moved), "fwy").withColumns({"fwy": F.col("fwy2"), "abs_pm": F.col("abs_pm") + F.col("first"), "length": F.coalesce("length", F.lit(0.5))})
+    times = corridor.travel_time(frame(spark, d, "readings"), corridor.members(st, readers.corridor_dimension(spark)))
+    return _settled(times.groupBy("corridor").agg(F.count("*").alias("n"), F.avg("minutes").alias("minutes")), 4)
+
+
+@query("S14_derived_events", f"{_RAW} SELECT venue, title, start, has_time, row_number() OVER (PARTITION BY venue ORDER BY start, title) AS place FROM x3")
+def _(spark, d):
+    """Normalised events as a derived file set in the order of venue and start; the raw reader passes it over, the derived one keeps the order."""
+    path = scratch_dir(spark)
+    readers.write_events(events.normalize(_raw_events(spark, d))[0].select("venue", "start", "has_time", "title", "captured_at"), f"{path}/venues_normalized.jsonl")
+    rows = readers.derived_events(spark, f"{path}/venues_normalized.jsonl")
+    return rows.select("venue", "title", "start", "has_time", F.row_number().over(Window.partitionBy("venue").orderBy("at")).cast("bigint").alias("place"))
+
+
+@query("O6_venue_start_order", f"{cte('venue_events')} SELECT event_id, row_number() OVER (ORDER BY venue, start, event_id) AS place FROM venue_events")
+def _(spark, d):
+    """The place of every event in one order of venue and start, over ranges."""
+    return ordered.ranked(frame(spark, d, "venue_events"), [], ["venue", "start", "event_id"]).select("event_id", (F.col("rank") + 1).alias("place"))
+
+
 #: Borders of the three lots in which the readings of T4 land.
 _LOTS = ("1994-06-01", "1996-06-01")
 _LIVE = f"""{cte('stations', 'readings')}, {_CORRIDORS}, {_MEMBERS}, total AS (SELECT slug, sum(length) AS total_mi FROM members GROUP BY slug),

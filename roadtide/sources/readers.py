@@ -78,6 +78,17 @@ def events(spark: SparkSession, path: str, *, skip: str = r"(normalized|merged)"
     return df.where(~F.col("_metadata.file_name").rlike(skip)).where("venue is not null or title is not null")
 
 
+def write_events(rows: DataFrame, path: str) -> None:
+    """A derived event file set: JSON lines in the order of venue and start, range by range, so that files and lines are in one order."""
+    rows.repartitionByRange("venue", "start", "title").sortWithinPartitions("venue", "start", "title").write.mode("overwrite").json(path)
+
+
+def derived_events(spark: SparkSession, path: str) -> DataFrame:
+    """What write_events() wrote, with at: rises in the order of the lines."""
+    rows = spark.read.schema(EVENT).json(path).withColumns({"__file": F.col("_metadata.file_name"), "__start": F.col("_metadata.file_block_start")})
+    return rows.withColumn("at", F.struct("__file", "__start", F.monotonically_increasing_id())).drop("__file", "__start")
+
+
 def game_schedules(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(GAME_SCHEDULE).option("multiLine", True).json(path)
 

@@ -488,3 +488,16 @@ def test_rolling_statistics_of_a_long_key(spark, monkeypatch):
         want = (float(np.median(past)), float(np.std(past, ddof=1))) if len(past) >= 3 else (None, None)
         assert (median, sd) == (pytest.approx(want[0]), pytest.approx(want[1])) if past and len(past) >= 3 else (median, sd) == want
         assert before == (by_key[k][t - 1] if t else None)
+
+
+def test_a_station_is_predicted_by_a_model_that_never_saw_it(spark):
+    rows = spark.range(200).select((F.col("id") % 10).cast("int").alias("station"), F.col("id"))
+    seen = []
+
+    def learn(some):
+        seen.append({r.station for r in some.select("station").distinct().collect()})
+        return len(seen) - 1
+
+    done = model.cross_fitted(rows, learn, lambda m, some: some.withColumn("by", F.lit(m)), folds=3).collect()
+    assert len(done) == 200 and all(r.station not in seen[r.by] for r in done) and len(seen) == 3
+    assert all(len({r.fold for r in done if r.station == s}) == 1 for s in range(10))
