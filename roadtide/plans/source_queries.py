@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from roadtide.functions import columns as fn
 from roadtide.operators import asof, corridor, events, ordered, publish, routing, seasonal, spatial
 from roadtide.plans.demo import cte, frame
-from roadtide.plans.queries import _ALL_DAY, _CORRIDORS, _MEMBERS, _PRICE, _RAW, _W, _matched, _members, _profile, _raw_events, _routes, _settled, _spans, _vertices, query, rounded
+from roadtide.plans.queries import _ALL_DAY, _CORRIDORS, _MEMBERS, _PRICE, _PROFILE, _RAW, _W, _matched, _members, _profile, _raw_events, _routes, _settled, _spans, _vertices, query, rounded
 from roadtide.session import scratch_dir, written
-from roadtide.sources import commits, readers
+from roadtide.sources import buckets, commits, readers
 from roadtide.streaming import ingest
 
 
-#: Payloads that a day's events are dealt to, as a service sends them in pages.
-SNAPSHOTS = 64
+#: Events of a payload, on average: a day's are sent in pages, as a service does.
+PAGE = 500
+
+
+def _page(rows, *by):
+    """Number of the page of its day that a row is on; there are as many as the table needs."""
+    return F.pmod(F.xxhash64(*by), F.lit(max(1, -(-rows.count() // PAGE))))
 
 
 @query("S1_positional_csv", f"{cte('readings', 'stations')} SELECT CAST(station AS BIGINT) AS station, ts, round(speed, 4) AS speed, round(pct_observed, 4)::DOUBLE AS pct_observed FROM readings JOIN stations ON station = sensor_id WHERE type IN ('ML', 'HV') AND pct_observed >= 20")
@@ -67,7 +72,8 @@ def _(spark, d):
     """A day's events as a nested closure snapshot, unwrapped by structure and counted by facility."""
     facility = F.when(F.col("event_id") % 3 == 0, "Mainline").when(F.col("event_id") % 3 == 1, "On Ramp").otherwise("Surface Street")
     one = F.struct(F.struct(F.struct(facility.alias("facility")).alias("closure"), "event_id").alias("lcs"))
-    snaps = frame(spark, d, "venue_events").groupBy(F.to_date("start").alias("day"), F.pmod(F.xxhash64("event_id"), F.lit(SNAPSHOTS)).alias("part")).agg(F.to_json(F.struct(F.collect_list(one).alias("data"))).alias("payload"))
+    e = frame(spark, d, "venue_events")
+    snaps = e.groupBy(F.to_date("start").alias("day"), _page(e, "event_id").alias("part")).agg(F.to_json(F.struct(F.collect_list(one).alias("data"))).alias("payload"))
     c = readers.closures(snaps)
     return publish.facility_counts(c, "day")
 
@@ -82,7 +88,7 @@ def _(spark, d):
     shape = F.pmod(F.xxhash64("event_id"), F.lit(4))
     wrapped = lambda c: F.when(shape >= 2, F.concat(F.lit('{"lcs":'), c, F.lit("}"))).otherwise(c)
     one = wrapped(F.when(F.col("event_id") % 5 > 2, text).otherwise(named))
-    pages = e.select("day", shape.alias("shape"), F.pmod(F.xxhash64("event_id", "day"), F.lit(SNAPSHOTS)).alias("part"), one.alias("one")).groupBy("day", "shape", "part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("one"), ","), F.lit("]")).alias("l"))
+    pages = e.select("day", shape.alias("shape"), _page(e, "event_id", "day").alias("part"), one.alias("one")).groupBy("day", "shape", "part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("one"), ","), F.lit("]")).alias("l"))
     around = F.when(F.col("shape") == 1, F.concat(F.lit('{"data":'), F.col("l"), F.lit("}"))).when(F.col("shape") == 3, F.concat(F.lit('{"export":{"closures":'), F.col("l"), F.lit("}}"))).otherwise(F.col("l"))
     c = readers.closures(pages.select("day", around.alias("payload")))
     return c.groupBy("day", "facility", "place").agg(F.count("*").alias("n"), F.sum(F.try_variant_get("record", "$.event_id", "long")).alias("ids"))
@@ -92,7 +98,8 @@ def _(spark, d):
 def _(spark, d):
     """Events as nested schedules, dates[].games[], of which the home games of one venue are kept."""
     game = F.struct(F.date_format("start", "yyyy-MM-dd'T'HH:mm:ss").alias("start"), "venue", "title")
-    days = frame(spark, d, "venue_events").groupBy(F.to_date("start").alias("day"), F.pmod(F.xxhash64("event_id"), F.lit(SNAPSHOTS)).alias("part")).agg(F.collect_list(game).alias("games"))
+    e = frame(spark, d, "venue_events")
+    days = e.groupBy(F.to_date("start").alias("day"), _page(e, "event_id").alias("part")).agg(F.collect_list(game).alias("games"))
     return events.flatten_games(days.select(F.array(F.struct("games")).alias("dates")), "V3").select("venue", "start", "title")
 
 
@@ -326,6 +333,27 @@ def _(spark, d):
     return ordered.ranked(frame(spark, d, "venue_events"), [], ["venue", "start", "event_id"]).select("event_id", (F.col("rank") + 1).alias("place"))
 
 
+#: Buckets of the demo's facts.
+BUCKETS = 16
+
+
+@query("J1_bucketed_seasonal", f"{cte('readings')}, {_PROFILE} SELECT row_id, round(speed - seasonal_speed, 4) AS residual FROM readings JOIN profile USING (station, dow, tod)")
+def _(spark, d):
+    """Readings in buckets of the profile's keys: the profile is grouped, and joined back, without an exchange."""
+    keys = ["station", "dow", "tod"]
+    facts = buckets.bucketed(frame(spark, d, "readings"), keys, BUCKETS)
+    profile = buckets.bucketed(seasonal.profile(facts, only_current=False).drop("n"), keys, BUCKETS)
+    return rounded(facts.join(profile.hint("merge"), keys).select("row_id", (F.col("speed") - F.col("seasonal_speed")).alias("residual")))
+
+
+@query("J3_bucketed_semi_join", f"{cte('readings', 'stations')} SELECT row_id, round(speed, 4) AS speed FROM readings WHERE station IN (SELECT sensor_id FROM stations WHERE type IN ('ML', 'HV') AND fwy = 1)")
+def _(spark, d):
+    """Readings and stations in buckets of the station: the semi join needs no exchange."""
+    facts = buckets.bucketed(frame(spark, d, "readings"), ["station"], BUCKETS)
+    kept = frame(spark, d, "stations").where("type in ('ML', 'HV') and fwy = 1").select(F.col("sensor_id").alias("station"))
+    return rounded(facts.join(buckets.bucketed(kept, ["station"], BUCKETS).hint("merge"), "station", "left_semi").select("row_id", "speed"))
+
+
 #: Borders of the three lots in which the readings of T4 land.
 _LOTS = ("1994-06-01", "1996-06-01")
 _LIVE = f"""{cte('stations', 'readings')}, {_CORRIDORS}, {_MEMBERS}, total AS (SELECT slug, sum(length) AS total_mi FROM members GROUP BY slug),

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from roadtide.functions import columns as fn
 from roadtide.operators import asof, corridor, evaluate, events, features, model, ordered, quantiles, routing, seasonal, spatial
-from roadtide.sources import commits, readers
+from roadtide.sources import buckets, commits, readers
 from roadtide.streaming import ingest
+from tests.conftest import TESTDATA
 
 
 def value(spark, column):
@@ -501,3 +502,20 @@ def test_a_station_is_predicted_by_a_model_that_never_saw_it(spark):
     done = model.cross_fitted(rows, learn, lambda m, some: some.withColumn("by", F.lit(m)), folds=3).collect()
     assert len(done) == 200 and all(r.station not in seen[r.by] for r in done) and len(seen) == 3
     assert all(len({r.fold for r in done if r.station == s}) == 1 for s in range(10))
+
+
+@pytest.mark.parametrize("name", ["J1_bucketed_seasonal", "J3_bucketed_semi_join"])
+def test_bucketed_tables_are_joined_without_an_exchange(spark, name):
+    from roadtide.plans import source_queries  # noqa: F401  registers the queries
+    from roadtide.plans.queries import queries
+
+    plan = queries()[name](spark, str(TESTDATA))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_a_profile_of_buckets_is_grouped_without_an_exchange(spark):
+    rows = spark.range(500).selectExpr("cast(id % 7 as int) as station", "cast(id % 5 as int) as dow", "cast(id % 3 as int) as tod", "double(id) as speed", "50 as pct_observed")
+    facts = buckets.bucketed(rows, ["station", "dow", "tod"], 4)
+    profile = seasonal.profile(facts, only_current=False)
+    assert "Exchange" not in profile._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, profile.collect())) == sorted(map(tuple, seasonal.profile(rows, only_current=False).collect()))
