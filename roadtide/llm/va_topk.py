@@ -39,8 +39,8 @@ from roadtide.llm.common import balanced_join, saved
 DATA_BLOCK, QUERY_BLOCK, SCAN = 32_768, 2048, 4096
 #: Cells on either side of zero.
 CELLS = 127
-#: A query's candidates in a part, and those of a part that are read in the first round.
-PART, FIRST = 256, 8
+#: A query's candidates in a part, those of a part that are read in the first round, and parts that exact scores are dealt to.
+PART, FIRST, SCORE_PARTS = 256, 8, 32
 _LONG = 2**63 - 1
 
 
@@ -198,7 +198,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, data_block: int
     open_ = saved(open_.withColumn("at", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(F.desc("upper"), "vec_id"))), "va-open")
 
     exact, count = _hashed(vectors).withColumnRenamed("id", "vec_id"), open_.groupBy("query_id").agg(F.count("*").alias("n"))
-    place = lambda rows: rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(PART)))
+    place = lambda rows: rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(SCORE_PARTS)))
     first = saved(_scored(open_.where(F.col("at") <= FIRST), exact, asked), "va-first")
     sure = _best(place(first), k, F.desc("full"), "vec_id").where(F.col("n") == k).select("query_id", F.when(F.col("score") > -_LONG, F.col("score")).alias("sure"))
     sure = count.select("query_id").join(sure, "query_id", "left")
