@@ -9,20 +9,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Metres a degree of latitude (fixed value).
-M_PER_LAT = 111_320.0
+from roadtide.functions.columns import MI_PER_LAT, MI_PER_LON
+
+#: Metres of a mile (fixed value).
+M_PER_MI = 1609.344
 
 
 def simplify(ways: DataFrame, tolerance_m: float = 25.0) -> DataFrame:
     """way_id, points of array<struct<lat, lon>> without those that lie within the tolerance of the line left.
 
     Between two points that stay, the farthest from their line stays too if it is beyond the tolerance; a round settles
-    one point in every open stretch. Each way is worked on where it lies.
+    one point in every open stretch. Distances are planar, in the miles a degree that matching uses. Each way is worked on
+    where it lies.
     """
 
     def kept(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
         # All points of a round are measured at once against the stretch of kept points that they lie in.
-        x, y = lon * M_PER_LAT * np.cos(np.radians(lat[0])), lat * M_PER_LAT
+        x, y = lon * MI_PER_LON * M_PER_MI, lat * MI_PER_LAT * M_PER_MI
         keep = np.zeros(len(lat), bool)
         keep[[0, -1]] = True
         while True:

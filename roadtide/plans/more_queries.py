@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roadtide.functions import columns as fn
 from roadtide.operators import corridor, evaluate, features, geometry, ordered, quantiles, routing, seasonal
 from roadtide.plans.demo import cte, frame
-from roadtide.plans.queries import _ALL_DAY, _HASH, _PRICED, _PROFILE, _ROLLED, _SPANS, _matched, _members, _profile, _rolled, _routes, _settled, _spans, _vertices, query, rounded
+from roadtide.plans.queries import _ALL_DAY, _HASH, _PRICED, _PROFILE, _ROLLED, _SPANS, _VERTICES, _matched, _members, _profile, _rolled, _routes, _settled, _spans, _vertices, query, rounded
 
 
 @query("P2_positive_speed", f"{cte('readings')} SELECT row_id, round(speed, 4) AS speed FROM readings WHERE speed > 0")
@@ -187,11 +187,13 @@ def _(spark, d):
     return geometry.simplify(lines.select(F.col("route_id").alias("way_id"), bent.alias("points"))).select("way_id", F.size("points").alias("points"))
 
 
-@query("W11_chunks")
+@query("W11_chunks", f"""{_VERTICES.replace('WITH ', 'WITH RECURSIVE ', 1)}, f AS (SELECT route_id, seq, CAST(0 AS DOUBLE) AS mi, 0 AS chunk, CAST(0 AS DOUBLE) AS leg, -1 AS own FROM leg WHERE seq = 0
+  UNION ALL SELECT l.route_id, l.seq, CASE WHEN f.mi + leg_mi >= 0.4 THEN 0 ELSE f.mi + leg_mi END, CASE WHEN f.mi + leg_mi >= 0.4 THEN chunk + 1 ELSE chunk END, leg_mi, chunk FROM f JOIN leg l ON l.route_id = f.route_id AND l.seq = f.seq + 1)
+SELECT CAST(route_id AS BIGINT) AS way_id, CAST(own AS BIGINT) AS chunk_no, round(round(sum(leg), 9), 4) AS miles FROM f WHERE own >= 0 GROUP BY 1, 2""")
 def _(spark, d):
     lines = _vertices(spark, d).groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lon"))).alias("p"))
     chunks = routing.chunk_line(lines.select(F.col("route_id").alias("way_id"), F.transform("p", lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon"))).alias("points")))
-    return rounded(chunks.select("way_id", "chunk_no", fn.line_length(F.col("points")).alias("miles")))
+    return _settled(chunks.select("way_id", "chunk_no", fn.line_length(F.col("points")).alias("miles")), 4)
 
 
 @query("R7_all_day_profile", f"{_ALL_DAY} SELECT {_PRICED} FROM priced")

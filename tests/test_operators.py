@@ -278,10 +278,9 @@ def test_simplified_lines(spark):
     got = {r.way_id: r.points for r in geometry.simplify(spark.createDataFrame(list(enumerate(lines)), "way_id long, points array<struct<lat:double,lon:double>>")).collect()}
 
     def off(p, a, b):
-        scale = 111_320.0
         import math
 
-        c = scale * math.cos(math.radians(line[0][0]))
+        scale, c = 69.0 * 1609.344, 54.6 * 1609.344
         x, y = (p[1] - a[1]) * c, (p[0] - a[0]) * scale
         dx, dy = (b[1] - a[1]) * c, (b[0] - a[0]) * scale
         return abs(dx * y - dy * x) / math.hypot(dx, dy) if math.hypot(dx, dy) else math.hypot(x, y)
