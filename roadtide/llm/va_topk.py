@@ -40,7 +40,7 @@ DATA_BLOCK, QUERY_BLOCK, SCAN = 32_768, 2048, 4096
 #: Cells on either side of zero.
 CELLS = 127
 #: A query's candidates in a part, those of a part that are read in the first round, and parts that exact scores are dealt to.
-PART, FIRST, SCORE_PARTS = 256, 8, 32
+PART, FIRST, SCORE_PARTS = 64, 4, 32
 _LONG = 2**63 - 1
 
 
