@@ -69,6 +69,11 @@ STAGES = [("language_id", identify_language), ("line_dedup", dedup_lines), ("nea
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over all documents; each stage's rows are written to the shared folder and read again.
+
+    The folders stay until the application ends, as the last is what is returned. Nulls, repeated rows and empty tables
+    are as the stages state; an empty table gives no row.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):

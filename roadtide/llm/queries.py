@@ -31,6 +31,7 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <
 
 
 def op2_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its base counts, its length-normalised log-likelihood ratio, and the verdict."""
     return quality_llr_.quality_llr(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
@@ -83,16 +84,19 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 
 
 def op4_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, by a classifier that has learnt from those that are not held out."""
     docs = table(spark, sf_dir, "documents")
     model = lang_id.fit(docs)
     return lang_id.predict(docs.select("doc_id", lang_id.held_out("doc_id").alias("held_out"), "text"), model).drop("text")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token count, and the hashes of its ids and of what they decode to."""
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), with_ids=False)
 
 
 def op7_minhash_bbit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the smallest one that it reaches by links of three words and a similarity of 0.85."""
     return minhash_bbit.near_components(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
@@ -114,6 +118,7 @@ SELECT doc_id, CAST(len(s.x) AS BIGINT) AS n_shingles, y AS component_id, y = do
 
 
 def op8_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of 50 words or more that occur at another place too, as word positions of each document."""
     return sparse_suffix.repeated_spans(table(spark, sf_dir, "documents"))
 
 
@@ -135,6 +140,7 @@ def op9_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it is read back from the archives that are written of them all."""
     manifest = warc_shards.write_warc(table(spark, sf_dir, "pages"), warc_shards.new_archive(spark))
     return warc_shards.read_warc(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
