@@ -13,7 +13,14 @@ min_chars code points always stay.
    as hashed keys. Lines with an equal variant at the same position differ in
    that code point only, so of such a group everyone is paired with the
    earliest, never with each other; a variant that equals a whole line is an
-   insertion. Pairs are verified with the edit distance.
+   insertion. Pairs are verified on the lines themselves: without the code
+   point at the place where their variants are equal, they must be equal. That
+   is an edit distance of 1, found in one pass; levenshtein() takes time
+   quadratic in the length for any bound.
+   The key of a variant of LONG code points or more is made from the hashes of
+   what lies before and after the place; a whole line of that length has such
+   a key at every place between its code points. So a line of n code points
+   costs some n steps and not n * n.
 DataFrame functions only.
 
 Cases: a null text has no lines and stays null; an empty text stays; a
@@ -27,12 +34,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadtide.llm.common import balanced_join, saved, small_enough
+from roadtide.llm.common import balanced_join, let, saved, small_enough
 
 #: Lines shorter than this many code points stay.
 MIN_CHARS = 20
 #: Rows of hashes (three at most, 24 bytes) that are broadcast at most; beyond it they are joined by a shuffle in which common keys are split.
 MAX_BROADCAST_ROWS = 200_000
+#: Variants of so many code points are keyed by the hashes of their two sides, shorter ones by that of the whole.
+LONG = 1000
+#: Code points in a block of a line whose sides are hashed.
+BLOCK = 128
 
 _TRIM = " \t\n\x0b\x0c\r"
 
@@ -58,7 +69,28 @@ def _halves(norm, n) -> F.Column:
     return F.array(*keys)
 
 
-def near_dropped(reps: DataFrame, texts: DataFrame) -> DataFrame:
+def _prefix_hashes(norm) -> F.Column:
+    """Hashes of the first 0, 1, ... n code points: of the blocks before and of what is taken of the last."""
+    blocks = F.regexp_extract_all(F.concat(norm, F.lit("\n")), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    inside = lambda x, before: F.transform(F.sequence(F.lit(0), F.length(x) - 1), lambda o: F.xxhash64(before, F.left(x, o)))
+    within = lambda bs, hs: F.flatten(F.transform(bs, lambda x, b: let(F.xxhash64(F.slice(hs, F.lit(1), b)), lambda before: inside(x, before))))
+    return let(blocks, lambda bs: let(F.transform(bs, lambda x: F.xxhash64(x)), lambda hs: within(bs, hs)))
+
+
+def _long_variants(some: DataFrame, start, stop, long: int) -> DataFrame:
+    """h1, h2, first, i, at: places (from 1) and keys of the variants of `long` code points or more, and of the whole lines that such a variant may equal."""
+
+    def keys(before, after):
+        key = lambda i, skip: F.struct(i.alias("i"), F.xxhash64(i, F.get(before, i - 1), F.get(after, i - 1 + skip)).alias("at"))
+        deleted = F.transform(F.sequence(start, stop), lambda i: key(i, 1))
+        whole = F.transform(F.sequence(F.lit(1), F.col("n") + 1), lambda i: key(i, 0))
+        return F.concat(F.when(F.col("n") > long, deleted).otherwise(F.slice(whole, 1, 0)), whole)
+
+    sides = let(_prefix_hashes(F.col("norm")), lambda a: let(F.reverse(_prefix_hashes(F.reverse("norm"))), lambda z: keys(a, z)))
+    return some.where(F.col("n") >= long).select("h1", "h2", "first", F.inline(sides))
+
+
+def near_dropped(reps: DataFrame, texts: DataFrame, *, long: int = LONG) -> DataFrame:
     """h1, h2 of the distinct lines with an earlier line at distance 1.
 
     reps: DataFrame[h1, h2, first, copies, k1..k4] of distinct lines; texts: DataFrame[h1, h2, norm, n], which may repeat lines.
@@ -80,26 +112,30 @@ def near_dropped(reps: DataFrame, texts: DataFrame) -> DataFrame:
     start = F.when(F.col("by_last"), F.lit(1)).otherwise(F.floor((F.col("n") - 1) / 2).cast("int") + 1)
     stop = F.when(F.col("by_first"), F.col("n")).otherwise(F.floor((F.col("n") + 1) / 2).cast("int"))
     without = lambda i: F.xxhash64(F.concat(F.left("norm", i - 1), F.substr("norm", i + 1)))
-    variants = some.select("h1", "h2", "first", F.explode(F.transform(F.sequence(start, stop), lambda i: F.struct(i.alias("i"), without(i).alias("v")))).alias("x"))
-    variants = variants.select("h1", "h2", "first", F.col("x.v").alias("v"), F.xxhash64("x.i", "x.v").alias("at"))
+    variants = some.where(F.col("n") <= long).select("h1", "h2", "first", F.explode(F.transform(F.sequence(start, stop), lambda i: F.struct(i.alias("i"), without(i).alias("v")))).alias("x"))
+    variants = variants.select("h1", "h2", "first", "x.i", "x.v", F.xxhash64("x.i", "x.v").alias("at"))
     # Replaced: of the lines with one variant at one place, all match the earliest.
-    common = saved(variants.groupBy("at").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("at"), "line-variants")
-    grouped = variants.join(F.broadcast(common) if small_enough(common, MAX_BROADCAST_ROWS) else common, "at").select("at", "h1", "h2", "first")
+    placed = variants.drop("v").union(_long_variants(some, start, stop, long))
+    common = saved(placed.groupBy("at").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("at"), "line-variants")
+    grouped = placed.join(F.broadcast(common) if small_enough(common, MAX_BROADCAST_ROWS) else common, "at").select("at", "h1", "h2", "first", "i")
     earliest = grouped.groupBy("at").agg(F.min(F.struct("first", "h1", "h2")).alias("e"))
-    replaced = grouped.join(earliest, "at").select("h1", "h2", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"))
+    replaced = grouped.join(earliest, "at").select("h1", "h2", "i", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"))
     # Inserted: a variant is a whole other line.
     whole = some.select(F.col("h1").alias("v"), F.col("h1").alias("e1"), F.col("h2").alias("e2"))
-    inserted = variants.select("h1", "h2", "v").join(F.broadcast(whole) if few else whole, "v").select("h1", "h2", "e1", "e2")
-    pairs = replaced.union(inserted).where("h1 <> e1 or h2 <> e2").distinct()
+    inserted = variants.select("h1", "h2", "i", "v").join(F.broadcast(whole) if few else whole, "v").select("h1", "h2", "i", "e1", "e2")
+    pairs = replaced.union(inserted).where("h1 <> e1 or h2 <> e2").groupBy("h1", "h2", "e1", "e2").agg(F.min("i").alias("i"))
     a = some.select("h1", "h2", F.col("norm").alias("na"), F.col("first").alias("fa"))
     b = some.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("norm").alias("nb"), F.col("first").alias("fb"))
-    verified = pairs.join(a, ["h1", "h2"]).join(b, ["e1", "e2"]).where((F.levenshtein("na", "nb", 1) >= 0) & (F.levenshtein("na", "nb", 1) <= 1))
+    cut = lambda c: F.concat(F.left(c, F.col("i") - 1), F.substr(c, F.col("i") + 1))
+    na, nb, longer = F.col("na"), F.col("nb"), F.length("na") - F.length("nb")
+    alike = F.when(longer == 0, cut(na) == cut(nb)).when(longer > 0, cut(na) == nb).otherwise(na == cut(nb))
+    verified = pairs.join(a, ["h1", "h2"]).join(b, ["e1", "e2"]).where(alike)
     later = F.when(F.col("fa") > F.col("fb"), F.struct("h1", "h2")).otherwise(F.struct(F.col("e1").alias("h1"), F.col("e2").alias("h2")))
     return verified.select(later.alias("d")).select("d.h1", "d.h2").distinct()
 
 
-def dropped_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
-    """DataFrame[doc_id, drop array<int>]: numbers of the lines that go, of documents that have such lines."""
+def dropped_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, long: int = LONG) -> DataFrame:
+    """DataFrame[doc_id, drop array<int>]: ascending numbers of the lines that go, of documents that have such lines."""
     docs = docs.select("doc_id", "text")
     lines = _lines(docs, min_chars)
     keyed = lines.withColumn("k", _halves(F.col("norm"), F.col("n")))
@@ -109,14 +145,14 @@ def dropped_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
         *(F.max(F.col("k")[i]).alias(f"k{i + 1}") for i in range(4)),
     )
     reps = saved(reps, "line-reps")
-    near = saved(near_dropped(reps, lines.select("h1", "h2", "norm", "n")), "line-near").withColumn("near", F.lit(True))
+    near = saved(near_dropped(reps, lines.select("h1", "h2", "norm", "n"), long=long), "line-near").withColumn("near", F.lit(True))
     marked = reps.select("h1", "h2", "first", "copies").join(near, ["h1", "h2"], "left").where("near or copies > 1")
     places = lines.select("doc_id", "line_no", "h1", "h2")
     return (
         balanced_join(places, marked.drop("copies"), ["h1", "h2"], reps.where("copies > 1").select("h1", "h2", F.col("copies").alias("n")))
         .where("near or doc_id <> first.doc_id or line_no <> first.line_no")
         .groupBy("doc_id")
-        .agg(F.collect_set("line_no").alias("drop"))
+        .agg(F.sort_array(F.collect_set("line_no")).alias("drop"))
     )
 
 
@@ -124,7 +160,11 @@ def line_dedup(docs: DataFrame, *, min_chars: int = MIN_CHARS, names: tuple[str,
     """docs with the lines that go taken out of text, and the number of lines and of those that went (int) under these names after its columns, in place of any of the same name."""
     drops = dropped_lines(docs, min_chars=min_chars).withColumnsRenamed({"doc_id": "__line_doc", "drop": "__line_drop"})
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__line_drop", i)), "\n")
+    # The stretches between the lines that go.
+    between = lambda ls: F.zip_with(
+        F.concat(F.array(F.lit(-1)), "__line_drop"), F.concat("__line_drop", F.array(F.size(ls))), lambda a, b: F.slice(ls, a + 2, b - a - 1)
+    )
+    kept = let(lines, lambda ls: F.array_join(F.flatten(between(ls)), "\n"))
     return docs.join(drops, F.col("doc_id") == F.col("__line_doc"), "left").select(
         *(F.when(F.col("__line_drop").isNull(), F.col(c)).otherwise(kept).alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in names),
         F.coalesce(F.size(lines), F.lit(0)).alias(names[0]),

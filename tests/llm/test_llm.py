@@ -198,6 +198,36 @@ def test_lines_odd(odd, nothing):
     assert line_dedup.line_dedup(nothing).count() == 0
 
 
+@pytest.mark.parametrize(("long", "block"), [(24, 7), (25, 1), (27, 26), (1000, 1000)])
+def test_near_lines_of_any_length_against_brute_force(spark, monkeypatch, long, block):
+    """Variants keyed by their sides, variants keyed as a whole, and lines on either side of the bound."""
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    base = ["".join(rng.choice(list("ab 🙂é"), n)) for n in (20, 22, 23, 24, 25, 26, 27, 28, 40, 53) for _ in range(4)] + ["a" * n for n in range(20, 32)]
+    rows = []
+    for i in range(120):
+        x = base[rng.integers(len(base))]
+        for _ in range(rng.integers(3)):
+            at = int(rng.integers(len(x) + 1))
+            x = (x[:at] + "b" + x[at:], x[:at] + x[at + 1 :], x[:at] + "é" + x[at + 1 :])[rng.integers(3)]
+        rows.append((i, x + "\nshort\n" + base[rng.integers(len(base))]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r["drop"] for r in line_dedup.dropped_lines(docs, long=long).collect()}
+    assert got == {i: sorted(ns) for i, ns in brute.near_lines(rows).items()}
+
+
+def test_a_line_of_a_million_characters_and_a_million_lines(spark):
+    line = "".join(np.random.default_rng(1).choice(list("abcdefgh é"), 1_000_000)).strip() + "."
+    at = len(line) // 3
+    many = [hashlib.md5(str(i).encode()).hexdigest() for i in range(500_000)]
+    text = "\n".join(x for l in many for x in (l, l))
+    rows = [(1, line), (2, line[:at] + line[at + 1 :]), (3, line[:at] + "?" + line[at + 1 :]), (4, "x" + line[2:-2]), (5, text)]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (line, 0) and got[2] == got[3] == ("", 1) and got[4] == (rows[3][1], 0)
+    kept = got[5][0].split("\n")
+    assert len(kept) == 1_000_000 - got[5][1] and len(set(kept)) == len(kept) and set(kept) <= set(many)
+
+
 # Near-dedup
 
 
