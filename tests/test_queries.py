@@ -31,3 +31,8 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_hours_before_an_event_have_buckets_too(spark):
+    got = q.queries()["J8_hour_bucket"](spark, str(TESTDATA)).agg(F.min("bucket").alias("a"), F.max("bucket").alias("b")).first()
+    assert got.a < 0 and got.b > 0
