@@ -518,3 +518,34 @@ def test_a_profile_of_buckets_is_grouped_without_an_exchange(spark):
     profile = seasonal.profile(facts, only_current=False)
     assert "Exchange" not in profile._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, profile.collect())) == sorted(map(tuple, seasonal.profile(rows, only_current=False).collect()))
+
+
+def test_nearest_of_many_copies_at_one_place(spark, monkeypatch):
+    """Copies on both sides: the result is that of all pairs, of which only places are held against each other."""
+    right = spark.range(150).selectExpr("id AS right_id", "37.0 + id % 5 * 0.004 AS lat", "-122.0 - id % 3 * 0.005 AS lon")
+    left = spark.range(40).selectExpr("id AS left_id", "37.0 + id % 4 * 0.006 AS lat", "-122.0D AS lon")
+    pairs = spatial.within(left, right, miles=1.0).collect()
+    want = {}
+    for p in pairs:
+        want.setdefault(p.left_id, []).append((p.dist_mi, p.right_id))
+    met, within = [], spatial.within
+    monkeypatch.setattr(spatial, "within", lambda a, b, **more: met.append((a.count(), b.count())) or within(a, b, **more))
+    got = {}
+    for r in spatial.knn(left, right, k=7, miles=1.0).collect():
+        got.setdefault(r.left_id, []).append((r["rank"], r.dist_mi, r.right_id))
+    assert met == [(4, 15)]
+    assert {i: [(d, x) for _, d, x in sorted(rows)] for i, rows in got.items()} == {i: sorted(rows)[:7] for i, rows in want.items()}
+    assert all([n for n, _, _ in sorted(rows)] == list(range(1, len(rows) + 1)) for rows in got.values())
+
+
+def test_spans_of_copies_of_stations(spark):
+    """Stations at one place give a route one stretch, so one of them is matched; the spans are those of all."""
+    at = spark.range(12).selectExpr("CAST(1 AS INT) AS route_id", "CAST(id AS INT) AS seq", "37.0 + id * 0.01 AS lat", "-122.0D AS lon")
+    v = spatial.along(at)
+    stations = spark.range(300).selectExpr("CAST(id AS INT) AS sensor_id", "37.0 + id % 6 * 0.02 AS lat", "-122.0D AS lon", "CAST(id % 2 * 180 AS DOUBLE) AS bearing")
+    length = v.groupBy("route_id").agg(F.max("cum_mi").alias("route_mi"))
+    one = spatial.match_routes(v, spatial.governing(stations), tolerance_mi=0.5, max_bearing=180.0)
+    every = spatial.match_routes(v, stations, tolerance_mi=0.5, max_bearing=180.0)
+    spans = lambda m: sorted(map(tuple, routing.build_spans(m, length).collect()))
+    assert (one.count(), every.count()) == (6, 300)
+    assert spans(one) == spans(every) and len(spans(one)) > 5
