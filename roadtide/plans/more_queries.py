@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roadtide.functions import columns as fn
 from roadtide.operators import corridor, evaluate, features, geometry, ordered, quantiles, routing, seasonal
 from roadtide.plans.demo import cte, frame
-from roadtide.plans.queries import _ALL_DAY, _HASH, _PRICED, _PROFILE, _ROLLED, _SPANS, _VERTICES, _matched, _members, _profile, _rolled, _routes, _settled, _spans, _vertices, query, rounded
+from roadtide.plans.queries import _ALL_DAY, _HASH, _PRICED, _PROFILE, _ROLLED, _SPANS, _VERTICES, _governors, _members, _profile, _rolled, _routes, _settled, _spans, _vertices, query, rounded
 
 
 @query("P2_positive_speed", f"{cte('readings')} SELECT row_id, round(speed, 4) AS speed FROM readings WHERE speed > 0")
@@ -215,7 +215,7 @@ def _(spark, d):
 
 @query("A26_route_coverage", f"{_ALL_DAY} SELECT CAST(route_id AS BIGINT) AS route_id, round(round(avg(coalesce(fw / nullif(total, 0), 0)), 9), 3) AS measured_share, max(n) AS stations, round(avg(total), 3) AS minutes FROM priced WHERE route_id IN (SELECT route_id FROM matched) GROUP BY route_id")
 def _(spark, d):
-    priced = routing.price(_routes(spark, d), routing.all_day(_matched(spark, d).select("route_id").distinct()))
+    priced = routing.price(_routes(spark, d), routing.all_day(_governors(spark, d).select("route_id").distinct()))
     return _settled(priced.groupBy("route_id").agg(F.avg("measured_share").alias("measured_share"), F.max("stations").alias("stations"), F.avg("total_minutes").alias("minutes")))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roadtide.functions import columns as fn
 from roadtide.operators import asof, corridor, events, ordered, publish, routing, seasonal, spatial
 from roadtide.plans.demo import cte, frame
-from roadtide.plans.queries import _ALL_DAY, _CORRIDORS, _MEMBERS, _PRICE, _PROFILE, _RAW, _W, _matched, _members, _profile, _raw_events, _routes, _settled, _spans, _vertices, query, rounded
+from roadtide.plans.queries import _ALL_DAY, _CORRIDORS, _MEMBERS, _PRICE, _PROFILE, _RAW, _W, _governors, _members, _profile, _raw_events, _routes, _settled, _spans, _vertices, query, rounded
 from roadtide.session import scratch_dir, written
 from roadtide.sources import buckets, commits, readers
 from roadtide.streaming import ingest
@@ -203,7 +203,7 @@ def _(spark, d):
 @query("O8_latest_departure", f"{_ALL_DAY}, l AS (SELECT p.route_id, deadline, max(depart) AS depart, max_by(total, depart) AS total FROM priced p, (SELECT DISTINCT route_id AS r, 1020 AS deadline FROM matched) t WHERE depart + total <= deadline AND depart <= deadline GROUP BY 1, 2) SELECT CAST(route_id AS BIGINT) AS route_id, CAST(deadline AS BIGINT) AS deadline, CAST(depart AS BIGINT) AS depart, round(depart + total, 3) AS arrive, round(total, 3) AS minutes, round(deadline - (depart + total), 3) AS slack_minutes FROM l".replace("depart <= deadline GROUP", "depart <= deadline AND r = p.route_id GROUP"))
 def _(spark, d):
     routes = _routes(spark, d)
-    asked = _matched(spark, d).select("route_id").distinct().withColumn("deadline", F.lit(1020))
+    asked = _governors(spark, d).select("route_id").distinct().withColumn("deadline", F.lit(1020))
     return _settled(routing.arrive_by(routes, asked))
 
 
