@@ -84,9 +84,12 @@ def compose(rows: DataFrame, members: DataFrame, measures: dict[str, str], *, we
 
 
 def well_covered(df: DataFrame, share: float = RELATIVE_COVERAGE) -> DataFrame:
-    """Rows with at least this share of their corridor's median coverage."""
+    """Rows with at least this share of their corridor's median coverage.
+
+    Both are compared at nine digits: sums in another order differ in the last bits, which must not decide of rows at the limit.
+    """
     typical = group_quantiles(df, ["corridor"], F.col("coverage"), {"__typical": 0.5}).drop("n")
-    return df.join(typical, "corridor").where(F.col("coverage") >= share * F.col("__typical")).drop("__typical")
+    return df.join(typical, "corridor").where(F.round("coverage", 9) >= F.round(share * F.col("__typical"), 9)).drop("__typical")
 
 
 def reduce_station_day(raw: DataFrame, keep: DataFrame) -> DataFrame:

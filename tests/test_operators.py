@@ -549,3 +549,8 @@ def test_spans_of_copies_of_stations(spark):
     spans = lambda m: sorted(map(tuple, routing.build_spans(m, length).collect()))
     assert (one.count(), every.count()) == (6, 300)
     assert spans(one) == spans(every) and len(spans(one)) > 5
+
+
+def test_rows_at_the_limit_of_coverage_stay_whatever_the_order_of_their_sums(spark):
+    rows = spark.createDataFrame([("c", 0.5), ("c", 0.5), ("c", 0.5), ("c", 0.4 - 5e-17), ("c", 0.3)], "corridor string, coverage double")
+    assert corridor.well_covered(rows).count() == 4
