@@ -554,3 +554,23 @@ def test_spans_of_copies_of_stations(spark):
 def test_rows_at_the_limit_of_coverage_stay_whatever_the_order_of_their_sums(spark):
     rows = spark.createDataFrame([("c", 0.5), ("c", 0.5), ("c", 0.5), ("c", 0.4 - 5e-17), ("c", 0.3)], "corridor string, coverage double")
     assert corridor.well_covered(rows).count() == 4
+
+
+def test_events_on_drives_of_many_windows(spark):
+    """Windows that start and end within, and at the ends of, minutes, against all pairs; a window of hundreds of events makes few rows."""
+    t, us = dt.datetime(2024, 1, 1), dt.timedelta(microseconds=1)
+    gaps = [dt.timedelta(seconds=x) for x in (0, 1, 59, 60, 61, 600, 3601, 40000)]
+    drives = [(i % 7, 37.0 + i % 5 * 0.1, -122.0, t + i * dt.timedelta(minutes=13, seconds=i % 3), t + i * dt.timedelta(minutes=13, seconds=i % 3) + gaps[i % 8]) for i in range(30)]
+    events = [(j, 37.0 + j * 7 % 4 * 0.1, -122.0 + j % 3 * 0.1, t + j * dt.timedelta(minutes=3) + j % 5 * us) for j in range(150)]
+    evs = spark.createDataFrame(events, "event_id int, lat double, lon double, start timestamp_ntz")
+    asks = spark.createDataFrame(drives, "drive_id int, lat double, lon double, depart timestamp_ntz, arrive timestamp_ntz")
+    got = sorted((r.drive_id, r.event_id, r["rank"]) for r in asof.events_on_drive(asks, evs, before_h=0.5, after_h=1.0).collect())
+    miles = fn.equirect_miles(F.col("lat"), F.col("lon"), F.col("b"), F.col("c"))
+    pairs = asks.join(evs.select("event_id", F.col("lat").alias("b"), F.col("lon").alias("c"), "start")).withColumn("m", miles).where("m <= 12 and arrive >= start - interval 30 minutes and depart <= start + interval 1 hour")
+    w = Window.partitionBy("drive_id").orderBy("m", "event_id")
+    want = pairs.groupBy("drive_id", "event_id").agg(F.min("m").alias("m")).withColumn("r", F.row_number().over(w)).where("r <= 2")
+    assert got == sorted((r.drive_id, r.event_id, r.r) for r in want.collect()) and len(got) == 14
+    crowd = spark.range(3000).selectExpr("id AS event_id", "1D AS e_lat", "2D AS e_lon", "id * 1000000 AS __at")
+    one = spark.createDataFrame([(1.0, 2.0, 61_500_000, 2_900_500_000)], "e_lat double, e_lon double, __from long, __to long")
+    ids = sorted(r.event_id for r in asof._in_window(one, crowd, 2).collect())
+    assert ids[:2] == [62, 63] and len(ids) < 150
