@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from roadtide.functions.columns import MPH_MAX, MPH_MIN, mph_of_pace, pace
 from roadtide.operators.features import horizon
+from roadtide.session import written
 
 #: How a target is made from minutes or mph and its baseline, and turned back.
 TARGETS = ("speed", "pace", "ratio", "minutes")
@@ -35,6 +36,8 @@ def fit(train: DataFrame, numeric: list[str], categorical: list[str], *, rounds:
     valid: a Boolean column of rows that end the boosting once a round betters their error by less than tol of it; rounds
     bounds it. A numeric column without any value counts as 0 throughout. Without rows to learn from there is no model.
     """
+    # The stages, and every look at the rows, read them again: they are computed once, by the columns that count.
+    train = written(train.select(*numeric, *categorical, "label", *([valid] if valid else [])))
     learnt = train.where(~F.coalesce(F.col(valid), F.lit(False))) if valid else train
     counts = learnt.agg(F.count("*").alias("__n"), *(F.count(F.col(c).cast("double")).alias(c) for c in numeric)).first()
     if not counts["__n"]:

@@ -574,3 +574,15 @@ def test_events_on_drives_of_many_windows(spark):
     one = spark.createDataFrame([(1.0, 2.0, 61_500_000, 2_900_500_000)], "e_lat double, e_lon double, __from long, __to long")
     ids = sorted(r.event_id for r in asof._in_window(one, crowd, 2).collect())
     assert ids[:2] == [62, 63] and len(ids) < 150
+
+
+def test_a_fit_computes_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(x):
+        seen.add(1)
+        return float(x % 3)
+
+    rows = spark.range(200).select(F.udf(told, "double")("id").alias("label"), (F.col("id") % 3).cast("double").alias("a"), (F.col("id") % 2).cast("string").alias("c"), (F.col("id") >= 150).alias("valid"))
+    fitted = model.fit(rows, ["a"], ["c"], rounds=2, valid="valid")
+    assert fitted is not None and seen.value == 200
