@@ -75,6 +75,10 @@ def compact_profile(spark: SparkSession, state: str) -> bool:
     return True
 
 
+#: Members of corridors that are broadcast at most.
+MAX_BROADCAST_MEMBERS = 100_000
+
+
 def live_corridors(spark: SparkSession, source: str, schema, members: DataFrame, sink: str, checkpoint: str, *, every: str = "15 minutes", late: str = "30 minutes") -> None:
     """Corridor times of tumbling windows from readings that land as files (station, ts, speed), appended to a Parquet sink.
 
@@ -82,13 +86,16 @@ def live_corridors(spark: SparkSession, source: str, schema, members: DataFrame,
     corridor, window_start, raw_minutes, n_stations, coverage, minutes. A window is given once, when the watermark (the
     newest time less `late`) has passed its end; readings of such a window that come later are dropped. The call ends
     when the landed files are done; the next one goes on from the checkpoint, where the open windows are kept.
-    members: slug, sensor_id, length; it stays the same for all calls.
+    members: slug, sensor_id, length; it stays the same for all calls. They are broadcast up to MAX_BROADCAST_MEMBERS rows;
+    beyond it both sides are dealt by station. Which side is told, as a batch without new files, which gives the windows that
+    are over, looks empty to the planner: it would send all of those windows through the driver.
     """
     whole = members.groupBy("slug").agg(F.sum("length").alias("total_mi"))
     static = members.join(whole, "slug").select("slug", F.col("sensor_id").alias("station"), "length", "total_mi")
     live = spark.readStream.schema(schema).parquet(source).where("speed > 0").withWatermark("ts", late)
     means = live.groupBy(F.window("ts", every).alias("w"), "station").agg(F.avg("speed").alias("mph"))
-    known = means.withColumn("at", F.window_time("w")).join(static, "station")
+    few = members.limit(MAX_BROADCAST_MEMBERS + 1).count() <= MAX_BROADCAST_MEMBERS
+    known = means.withColumn("at", F.window_time("w")).join(F.broadcast(static) if few else static.hint("merge"), "station")
     per = known.groupBy(F.window("at", every).alias("w"), F.col("slug").alias("corridor")).agg(
         F.sum(F.col("length") / F.col("mph") * 60.0).alias("raw_minutes"), F.count("*").alias("n_stations"), F.sum("length").alias("mi"), F.max("total_mi").alias("total_mi"),
     )

@@ -1,6 +1,7 @@
 """Hand-worked cases and invariants."""
 
 import datetime as dt
+import itertools
 
 import numpy as np
 import pytest
@@ -445,6 +446,29 @@ def test_live_windows_are_given_once(spark, tmp_path):
     assert got == [("c", at(8), round(60 / 45 + 3, 6), 2, 1.0), ("c", at(9, 15), 1.0, 1, 0.25), ("c", at(9, 30), 7.0, 2, 1.0), ("d", at(8), 2.0, 1, 1.0), ("d", at(9, 30), 4.0, 1, 1.0)]
 
 
+@pytest.mark.parametrize("most", [0, 10])
+def test_live_windows_are_never_broadcast(spark, tmp_path, monkeypatch, most):
+    """The batch without new files gives the windows that are over; its plan must not send them through the driver, however many members there are."""
+    from pyspark.sql.streaming import DataStreamWriter
+
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "check"))
+    started, start = [], DataStreamWriter.start
+    monkeypatch.setattr(DataStreamWriter, "start", lambda self, *a, **k: started.append(start(self, *a, **k)) or started[-1])
+    monkeypatch.setattr(ingest, "MAX_BROADCAST_MEMBERS", most, raising=False)
+    members = spark.createDataFrame([("c", 1, 1.0), ("c", 2, 3.0)], "slug string, sensor_id int, length double")
+    rows = [(1, dt.datetime(2024, 1, 1, h), 60.0) for h in (8, 9, 12)]
+    spark.createDataFrame(rows, "station int, ts timestamp, speed double").coalesce(1).write.parquet(src)
+    ingest.live_corridors(spark, src, "station int, ts timestamp, speed double", members, out, ck)
+    plan = started[0]._jsq.explainInternal(False)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    lines, sent = plan.splitlines(), []
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            sent += itertools.takewhile(lambda below, d=depth(line): depth(below) > d, lines[i + 1 :])
+    assert spark.read.parquet(out).count() == 2
+    assert "StateStoreRestore" in plan and not [line for line in sent if "StateStore" in line]
+
+
 def test_payloads_of_any_nesting(spark):
     record = '{"closure": {"facility": "F", "location": %s}, "n": 1}'
     text, named = record % '"here"', record % '{"name": "there", "x": [1]}'
