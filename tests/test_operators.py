@@ -575,6 +575,19 @@ def test_spans_of_copies_of_stations(spark):
     assert spans(one) == spans(every) and len(spans(one)) > 5
 
 
+def test_spans_of_stations_at_one_place_with_bearings_of_their_own(spark):
+    """Where every bearing fits, a place matches once, however many bearings its stations have; a place next to it keeps its own."""
+    at = spark.range(12).selectExpr("CAST(1 AS INT) AS route_id", "CAST(id AS INT) AS seq", "37.0 + id * 0.01 AS lat", "-122.0D AS lon")
+    v = spatial.along(at)
+    stations = spark.range(300).selectExpr("CAST(id AS INT) AS sensor_id", "37.0 + id % 6 * 0.02 AS lat", "-122.0D AS lon", "CAST(id AS DOUBLE) AS bearing")
+    length = v.groupBy("route_id").agg(F.max("cum_mi").alias("route_mi"))
+    one = spatial.match_routes(v, spatial.governing(stations, max_bearing=180.0), tolerance_mi=0.5, max_bearing=180.0)
+    every = spatial.match_routes(v, stations, tolerance_mi=0.5, max_bearing=180.0)
+    spans = lambda m: sorted(map(tuple, routing.build_spans(m, length).collect()))
+    assert (one.count(), every.count(), spatial.governing(stations).count()) == (6, 300, 300)
+    assert spans(one) == spans(every) and len(spans(one)) > 5
+
+
 def test_rows_at_the_limit_of_coverage_stay_whatever_the_order_of_their_sums(spark):
     rows = spark.createDataFrame([("c", 0.5), ("c", 0.5), ("c", 0.5), ("c", 0.4 - 5e-17), ("c", 0.3)], "corridor string, coverage double")
     assert corridor.well_covered(rows).count() == 4
