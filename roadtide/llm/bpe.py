@@ -39,7 +39,7 @@ PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 #: Pieces never cross the borders of these units, and a unit's pieces don't depend on what stands around it.
 UNIT = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Bytes of distinct pieces that are encoded at once, bytes of text whose units are looked at once, and units kept between.
-PIECE_BYTES, CHUNK, KEEP_UNITS = 4_000_000, 2_000_000, 100_000
+PIECE_BYTES, CHUNK, KEEP_UNITS = 1_000_000, 1_000_000, 50_000
 
 
 def byte_alphabet() -> dict[int, str]:

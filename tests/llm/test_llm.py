@@ -2,9 +2,11 @@
 
 import hashlib
 import math
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -174,6 +176,21 @@ def test_bpe_against_the_library(spark, small, extra):
         assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_bpe_holds_few_of_many_new_words():
+    """Words that are all new, the most that a codec is asked to hold: the slices bound it."""
+    codec = bpe.Codec(bpe.Vocabulary(Path(VOCAB).read_bytes()))
+    draw = np.random.default_rng(5)
+    texts = pa.array([" ".join("".join(map(chr, w)) for w in draw.integers(97, 123, (1000, 7))) for _ in range(260)])
+    tracemalloc.start()
+    try:
+        for _, some in bpe.pieces(texts, bpe.CHUNK):
+            codec.codes(some)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 150e6
+
+
 def test_bpe_round_trip_and_odd(odd, nothing):
     tokens = bpe.encode(odd, VOCAB)
     assert sorted(pairs(bpe.decode(tokens, VOCAB)), key=str) == sorted(((i, t or "") for i, t in pairs(odd)), key=str)
