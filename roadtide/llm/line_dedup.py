@@ -17,10 +17,12 @@ min_chars code points always stay.
    point at the place where their variants are equal, they must be equal. That
    is an edit distance of 1, found in one pass; levenshtein() takes time
    quadratic in the length for any bound.
-   The key of a variant of LONG code points or more is made from the hashes of
-   what lies before and after the place; a whole line of that length has such
-   a key at every place between its code points. So a line of n code points
-   costs some n steps and not n * n.
+   Lines of LONG code points or more emit no variants: the places where two
+   of them may differ are cut into PARTS parts, each with a key of what lies
+   before and after it, and only parts in which another line has the same key
+   are cut again, down to single places. So such a line costs PARTS keys a
+   round and not one for each code point; only where it repeats itself does it
+   have near copies at many places.
 DataFrame functions only.
 
 Cases: a null text has no lines and stays null; an empty text stays; a
@@ -40,8 +42,8 @@ from roadtide.llm.common import balanced_join, let, saved, small_enough
 MIN_CHARS = 20
 #: Rows of hashes (three at most, 24 bytes) that are broadcast at most; beyond it they are joined by a shuffle in which common keys are split.
 MAX_BROADCAST_ROWS = 200_000
-#: Variants of so many code points are keyed by the hashes of their two sides, shorter ones by that of the whole.
-LONG = 1000
+#: Lines of so many code points are compared by stretches of places, shorter ones by all their variants; parts that a stretch is cut into.
+LONG, PARTS = 1000, 8
 #: Code points in a block of a line whose sides are hashed.
 BLOCK = 128
 
@@ -69,25 +71,50 @@ def _halves(norm, n) -> F.Column:
     return F.array(*keys)
 
 
-def _prefix_hashes(norm) -> F.Column:
-    """Hashes of the first 0, 1, ... n code points: of the blocks before and of what is taken of the last."""
+def _sides(norm) -> F.Column:
+    """Blocks of a line, and for each block a hash of all that lies before it."""
     blocks = F.regexp_extract_all(F.concat(norm, F.lit("\n")), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
-    inside = lambda x, before: F.transform(F.sequence(F.lit(0), F.length(x) - 1), lambda o: F.xxhash64(before, F.left(x, o)))
-    within = lambda bs, hs: F.flatten(F.transform(bs, lambda x, b: let(F.xxhash64(F.slice(hs, F.lit(1), b)), lambda before: inside(x, before))))
-    return let(blocks, lambda bs: let(F.transform(bs, lambda x: F.xxhash64(x)), lambda hs: within(bs, hs)))
-
-
-def _long_variants(some: DataFrame, start, stop, long: int) -> DataFrame:
-    """h1, h2, first, i, at: places (from 1) and keys of the variants of `long` code points or more, and of the whole lines that such a variant may equal."""
-
-    def keys(before, after):
-        key = lambda i, skip: F.struct(i.alias("i"), F.xxhash64(i, F.get(before, i - 1), F.get(after, i - 1 + skip)).alias("at"))
-        deleted = F.transform(F.sequence(start, stop), lambda i: key(i, 1))
-        whole = F.transform(F.sequence(F.lit(1), F.col("n") + 1), lambda i: key(i, 0))
-        return F.concat(F.when(F.col("n") > long, deleted).otherwise(F.slice(whole, 1, 0)), whole)
-
-    sides = let(_prefix_hashes(F.col("norm")), lambda a: let(F.reverse(_prefix_hashes(F.reverse("norm"))), lambda z: keys(a, z)))
-    return some.where(F.col("n") >= long).select("h1", "h2", "first", F.inline(sides))
+    before = lambda bs: let(F.transform(bs, lambda x: F.xxhash64(x)), lambda hs: F.transform(hs, lambda _, b: F.xxhash64(F.slice(hs, F.lit(1), b))))
+    return let(blocks, lambda bs: F.struct(bs.alias("blocks"), before(bs).alias("before")))
+
+
+def _head(sides, n) -> F.Column:
+    """Hash of the first n code points of the line that _sides() has cut."""
+    b = F.floor(n / BLOCK).cast("int")
+    return F.xxhash64(F.get(sides["before"], b), F.left(F.get(sides["blocks"], b), n - b * BLOCK))
+
+
+def _parts(x) -> F.Column:
+    """The stretch of places x (struct<t, x, y>) in PARTS parts, or as many as it has places."""
+    n = x["y"] - x["x"] + 1
+    k = F.least(n, F.lit(PARTS))
+    cut = lambda j: (x["x"] + F.floor(j * n.cast("long") / k)).cast("int")
+    return F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.struct(x["t"].alias("t"), cut(j).alias("x"), (cut(j + 1) - 1).alias("y")))
+
+
+def _long_pairs(some: DataFrame, long: int) -> DataFrame:
+    """h1, h2, i, e1, e2: lines of `long` code points or more with the earliest line that agrees with them but for the code point at place i (from 1)."""
+    texts = some.where(F.col("n") >= long).select("h1", "h2", "first", "n", "norm")
+    stretch = lambda t: F.struct(t.alias("t"), F.lit(0).alias("x"), t.alias("y"))
+    open_, found = texts.withColumn("open", F.filter(F.array(stretch(F.col("n") - 1), stretch(F.col("n"))), lambda s: s["t"] >= long)), None
+    while True:
+        keyed = lambda a, z: F.transform(
+            F.flatten(F.transform("open", _parts)),
+            lambda s: F.struct(s["t"].alias("t"), s["x"].alias("x"), s["y"].alias("y"), F.xxhash64(s["t"], s["x"], s["y"], _head(a, s["x"]), _head(z, s["t"] - s["y"])).alias("at")),
+        )
+        keys = let(_sides(F.col("norm")), lambda a: let(_sides(F.reverse("norm")), lambda z: keyed(a, z)))
+        placed = saved(open_.select("h1", "h2", "first", "n", F.inline(keys)), "line-places")
+        # All lines of one length differ from each other alone in what is cut away one code point shorter.
+        shared = placed.groupBy("at").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.max(F.col("n") - F.col("t")).alias("deleted"), F.min(F.struct("first", "h1", "h2")).alias("e"), F.count("*").alias("m"))
+        shared = saved(shared.where("a <> b and deleted = 1").select("at", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"), "m"), "line-stretches")
+        alive = placed.join(F.broadcast(shared.drop("m")), "at") if small_enough(shared, MAX_BROADCAST_ROWS) else balanced_join(placed, shared.drop("m"), ["at"], shared.select("at", "m").withColumnRenamed("m", "n"))
+        alive = saved(alive.select("h1", "h2", "t", "x", "y", "e1", "e2"), "line-alive")
+        done = alive.where("x = y").select("h1", "h2", (F.col("x") + 1).alias("i"), "e1", "e2")
+        found = done if found is None else found.union(done)
+        more = alive.where("x < y").groupBy("h1", "h2").agg(F.collect_list(F.struct("t", "x", "y")).alias("open"))
+        if alive.where("x < y").isEmpty():
+            return found
+        open_ = texts.join(more, ["h1", "h2"])
 
 
 def near_dropped(reps: DataFrame, texts: DataFrame, *, long: int = LONG) -> DataFrame:
@@ -115,7 +142,7 @@ def near_dropped(reps: DataFrame, texts: DataFrame, *, long: int = LONG) -> Data
     variants = some.where(F.col("n") <= long).select("h1", "h2", "first", F.explode(F.transform(F.sequence(start, stop), lambda i: F.struct(i.alias("i"), without(i).alias("v")))).alias("x"))
     variants = variants.select("h1", "h2", "first", "x.i", "x.v", F.xxhash64("x.i", "x.v").alias("at"))
     # Replaced: of the lines with one variant at one place, all match the earliest.
-    placed = variants.drop("v").union(_long_variants(some, start, stop, long))
+    placed = variants.drop("v")
     common = saved(placed.groupBy("at").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("at"), "line-variants")
     grouped = placed.join(F.broadcast(common) if small_enough(common, MAX_BROADCAST_ROWS) else common, "at").select("at", "h1", "h2", "first", "i")
     earliest = grouped.groupBy("at").agg(F.min(F.struct("first", "h1", "h2")).alias("e"))
@@ -123,7 +150,7 @@ def near_dropped(reps: DataFrame, texts: DataFrame, *, long: int = LONG) -> Data
     # Inserted: a variant is a whole other line.
     whole = some.select(F.col("h1").alias("v"), F.col("h1").alias("e1"), F.col("h2").alias("e2"))
     inserted = variants.select("h1", "h2", "i", "v").join(F.broadcast(whole) if few else whole, "v").select("h1", "h2", "i", "e1", "e2")
-    pairs = replaced.union(inserted).where("h1 <> e1 or h2 <> e2").groupBy("h1", "h2", "e1", "e2").agg(F.min("i").alias("i"))
+    pairs = replaced.union(inserted).union(_long_pairs(some, long)).where("h1 <> e1 or h2 <> e2").groupBy("h1", "h2", "e1", "e2").agg(F.min("i").alias("i"))
     a = some.select("h1", "h2", F.col("norm").alias("na"), F.col("first").alias("fa"))
     b = some.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("norm").alias("nb"), F.col("first").alias("fb"))
     cut = lambda c: F.concat(F.left(c, F.col("i") - 1), F.substr(c, F.col("i") + 1))

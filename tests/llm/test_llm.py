@@ -233,6 +233,16 @@ def test_near_lines_of_any_length_against_brute_force(spark, monkeypatch, long,
     assert got == {i: sorted(ns) for i, ns in brute.near_lines(rows).items()}
 
 
+def test_near_copies_of_a_long_line_are_not_spelt_out(spark, monkeypatch):
+    """Keys that long lines emit, in all rounds together: some dozens a line, not one for each code point."""
+    made = []
+    monkeypatch.setattr(line_dedup, "saved", lambda df, name: (out := common.saved(df, name), made.append(out.count() if name == "line-places" else 0))[0])
+    line = "".join(np.random.default_rng(2).choice(list("abcdefgh"), 1500))
+    rows = [(i, line[: 20 * i] + str(i % 10) + line[20 * i + 1 :]) for i in range(60)] + [(60, line), (61, line[:700] + line[701:])]
+    got = {r.doc_id: r["drop"] for r in line_dedup.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {60: [0], 61: [0]} and 0 < sum(made) < 100 * len(rows)
+
+
 def test_a_line_of_a_million_characters_and_a_million_lines(spark):
     line = "".join(np.random.default_rng(1).choice(list("abcdefgh é"), 1_000_000)).strip() + "."
     at = len(line) // 3
