@@ -70,13 +70,18 @@ def balanced_join(left: DataFrame, right: DataFrame, on: list[str], counts: Data
     counts: DataFrame[*on, n] of each such key's number n of rows in left.
     total: the number of rows in left; the sum of n where it is not given.
     A key with more than 1 / HEAVY of the rows is dealt to several tasks. Of such
-    keys there are fewer than HEAVY, so they are broadcast, and right has at most
-    2 * HEAVY rows more. how: inner or left_semi.
+    keys there are fewer than HEAVY; they are looked up first, so that counts is
+    computed once and is no part of the join, which is a plain one without any.
+    right has at most 2 * HEAVY rows more. how: inner or left_semi.
     """
     if total is None:
         total = counts.agg(F.sum("n")).first()[0] or 0
     most = max(total // HEAVY, 1)
-    heavy = F.broadcast(counts.where(F.col("n") > most).select(*on, F.ceil(F.col("n") / most).cast("int").alias("__parts")))
+    heavy = counts.where(F.col("n") > most).select(*on, F.ceil(F.col("n") / most).cast("int").alias("__parts"))
+    found = heavy.collect()
+    if not found:
+        return left.join(right, on, how)
+    heavy = F.broadcast(left.sparkSession.createDataFrame(found, heavy.schema).coalesce(1))
     deal = F.pmod(F.xxhash64(*(c for c in left.columns if c not in on)), F.col("__parts"))
     dealt = left.join(heavy, on, "left").withColumn("__part", F.coalesce(deal.cast("int"), F.lit(0))).drop("__parts")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts") - 1, F.lit(0))))

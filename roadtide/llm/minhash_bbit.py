@@ -149,11 +149,12 @@ def components(edges: DataFrame) -> DataFrame:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     while True:
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
-        large = balanced_join(both, least.drop("n"), ["u"], least.select("u", "n"), 2 * n).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        least = saved(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), "cc-least")
+        large, wide = kept(balanced_join(both, least.drop("n"), ["u"], least.select("u", "n"), 2 * n).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "cc-large")
+        down = saved(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "cc-down")
         small = balanced_join(large, down.drop("n"), ["a"], down.select("a", "n"), n).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         (edges, new), old = kept(small.select("e.a", "e.b").where("a <> b").distinct(), "cc"), path
+        discard(spark, wide)
         path = new
         discard(spark, old)
         now = tuple(edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first())

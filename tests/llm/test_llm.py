@@ -258,6 +258,17 @@ def test_a_line_of_a_million_characters_and_a_million_lines(spark):
 # Near-dedup
 
 
+def test_a_join_looks_up_heavy_keys_once(spark):
+    """Without a heavy key the join is a plain one; with one, the list is no query over the counts again."""
+    left, right = spark.range(3000).select(F.lit(1).alias("k"), "id"), spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
+    counts = left.groupBy("k").agg(F.count("*").alias("n"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    split = common.balanced_join(left, right, ["k"], counts)
+    assert split.count() == 3000 and split.columns == ["k", "id", "v"] and "Aggregate" not in plan(split)
+    plain = common.balanced_join(left, right, ["k"], counts, 3_000_000)
+    assert plain.count() == 3000 and plain.columns == ["k", "id", "v"] and plan(plain).count("Join") == 1
+
+
 @pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
 def test_near_components(small, k, percent):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash_bbit.near_components(small, words=k, percent=percent).collect()}
