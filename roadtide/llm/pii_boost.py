@@ -10,13 +10,13 @@ characters, check digits) and the words and signs around it.
 Boosted trees (three splits each, one a level) are fitted to weak labels: a
 candidate is positive if it overlaps a valid base span, has a published key
 format or valid account check digits, or is assigned to a secret word. In every
-second row of the sample the features that tell this are blanked, so that the
-trees learn the look and the surroundings of such values too. They are
-fitted on at most SAMPLE candidates of each label of one fold of documents;
-the same number of the other fold sets the threshold: the lowest score from
-which on at least PRECISION of the candidates are positive, weighted by how
-many the sample stands for. Accepted candidates that overlap no base span are
-added; base spans always stay. Values announced as digests (`sha256`,
+second candidate the features that tell this are blanked, so that the trees
+learn the look and the surroundings of such values too. They are fitted on all
+candidates of one fold of documents, counted by what the trees can tell apart;
+all of the other fold set the threshold: the lowest score, in thousandths, from
+which on at least PRECISION of the candidates are positive. Sums are of whole
+numbers, so they do not depend on the order of rows. Accepted candidates that
+overlap no base span are added; base spans always stay. Values announced as digests (`sha256`,
 `commit`) are no candidates.
 
 DataFrame functions only; the patterns are written so that Java's matcher
@@ -34,15 +34,19 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadtide.llm.common import let
+from roadtide.llm.common import let, saved, small_enough
 
 #: Share of positives that the threshold must reach on the calibration fold.
 PRECISION = 0.98
-#: Trees, splits in a tree, learning rate, borders a feature, and candidates of a label and fold that are sampled at most.
-TREES, DEPTH, RATE, BORDERS, SAMPLE = 40, 3, 0.3, 24, 5_000
+#: Trees, splits in a tree, learning rate, and borders a feature.
+TREES, DEPTH, RATE, BORDERS = 40, 3, 0.3, 24
+#: Rows of counted candidates up to which the driver adds up a level of a tree; beyond, Spark does.
+FEW = 50_000
+#: A probability is a whole number of these parts, a score one of thousandths.
+PARTS, STEPS = 1 << 24, 1000
 
 #: Kinds in the order of the result; the added kinds follow the base kinds.
 BASE, ADDED = ("email", "ip", "card", "phone"), ("address", "number", "secret", "assigned")
@@ -221,87 +225,130 @@ class Boosted:
         self.trees: list[tuple[list[tuple[int, float]], list[float]]] = []
         self.threshold = math.inf
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return sum((np.array(leaves)[sum((x[:, i] > b).astype(int) << n for n, (i, b) in enumerate(splits))] for splits, leaves in self.trees), np.zeros(len(x)))
-
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
-        if not len(x) or len(set(y)) < 2:
+    def fit(self, counted: DataFrame, borders: list[np.ndarray]) -> None:
+        """Trees for counted(), in which a code is the number of a feature's borders below its value."""
+        total = counted.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
+        if not total.good or not total.bad:
             return
-        # Borders between values that occur, BORDERS a feature at most; a code is the number of borders below a value.
-        borders = [np.unique(np.quantile(np.unique(c)[:-1], np.linspace(0, 1, BORDERS), method="nearest")) if len(np.unique(c)) > 1 else np.zeros(0) for c in x.T]
-        codes = [np.searchsorted(b, c, side="left") for b, c in zip(borders, x.T, strict=True)]
-        score = np.zeros(len(x))
+        sums = _sums_here(counted, len(borders)) if small_enough(counted, FEW) else _sums(counted, len(borders))
+        coded = []
         for _ in range(TREES):
-            p = 1 / (1 + np.exp(-score))
-            grad, hess = weight * (y - p), weight * p * (1 - p)
-            leaf, splits = np.zeros(len(x), int), []
+            splits = []
             for level in range(DEPTH):
+                g, h = sums(coded, splits)
                 best = (-1.0, 0, 0)
-                for i, (b, c) in enumerate(zip(borders, codes, strict=True)):
+                for i, b in enumerate(borders):
                     if not len(b):
                         continue
-                    at, shape = leaf * (len(b) + 1) + c, (1 << level, len(b) + 1)
-                    g, h = (np.bincount(at, v, shape[0] * shape[1]).reshape(shape).cumsum(axis=1) for v in (grad, hess))
-                    above_g, above_h = g[:, -1:] - g[:, :-1], h[:, -1:] - h[:, :-1]
-                    gain = (g[:, :-1] ** 2 / (h[:, :-1] + 1) + above_g**2 / (above_h + 1)).sum(axis=0)
+                    below_g, below_h = (v[: 1 << level, i, : len(b) + 1].cumsum(axis=1) / PARTS for v in (g, h))
+                    above_g, above_h = below_g[:, -1:] - below_g[:, :-1], below_h[:, -1:] - below_h[:, :-1]
+                    gain = (below_g[:, :-1] ** 2 / (below_h[:, :-1] + 1) + above_g**2 / (above_h + 1)).sum(axis=0)
                     n = int(np.argmax(np.round(gain, 9)))
                     best = max(best, (round(float(gain[n]), 9), -i, -n))
                 i, n = -best[1], -best[2]
                 if not len(borders[i]):
                     return
-                splits.append((i, float(borders[i][n])))
-                leaf |= (codes[i] > n).astype(int) << level
-            leaves = [RATE * float(grad[leaf == v].sum() / (hess[leaf == v].sum() + 1)) for v in range(1 << DEPTH)]
-            self.trees.append((splits, leaves))
-            score += np.array(leaves)[leaf]
-
-    def calibrate(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, precision: float) -> None:
-        """The lowest score (0 at least) from which on the share of positives is at least `precision`."""
-        if not self.trees or not len(x):
+                splits.append((i, n))
+            g, h = (v[:, 0].sum(axis=1) / PARTS for v in sums(coded, splits))
+            leaves = [RATE * float(a / (b + 1)) for a, b in zip(g, h, strict=True)]
+            coded.append((splits, leaves))
+            self.trees.append(([(i, float(borders[i][n])) for i, n in splits], leaves))
+
+    def calibrate(self, scored: DataFrame, precision: float) -> None:
+        """The lowest score (0 at least) from which on the share of positives is at least `precision`. scored: f, label, n."""
+        if not self.trees:
+            return
+        step = F.greatest(self.step(F.col("f")), F.lit(0)).alias("step")
+        rows = sorted(scored.groupBy(step).agg(F.sum(F.when(F.col("label"), F.col("n")).otherwise(0)).alias("good"), F.sum("n").alias("n")).collect(), reverse=True)
+        if not rows:
             return
-        score, order = (v := np.maximum(self.score(x), 0.0)), np.argsort(-v, kind="stable")
-        share = np.cumsum((weight * y)[order]) / np.cumsum(weight[order])
-        last = np.append(score[order][1:] != score[order][:-1], True)
-        good = np.flatnonzero(last & (share >= precision))
+        good = np.flatnonzero(np.cumsum([r.good for r in rows]) >= precision * np.cumsum([r.n for r in rows]))
         if len(good):
-            self.threshold = float(score[order][good[-1]])
+            self.threshold = rows[good[-1]].step / STEPS
+
+    def step(self, f) -> F.Column:
+        """The score of a candidate with these features, in whole thousandths."""
+        return F.floor((_score(self.trees, f) + 1e-9) * STEPS)
 
     def accepts(self, f) -> F.Column:
         """Whether a candidate with these features reaches the threshold."""
-        if self.threshold == math.inf:
-            return F.lit(False)
-        total = F.lit(0.0)
-        for splits, leaves in self.trees:
-            leaf = F.lit(0)
-            for n, (i, b) in enumerate(splits):
-                leaf = leaf + F.when(F.get(f, F.lit(i)) > b, F.lit(1 << n)).otherwise(F.lit(0))
-            total = total + F.get(F.lit(list(leaves)), leaf)
-        return total >= self.threshold - 1e-9
-
-
-def fit(scanned: DataFrame, *, precision: float = PRECISION, sample: int = SAMPLE) -> Boosted:
-    """Trees and threshold from a bounded sample of the candidates that scan() found."""
+        return F.lit(False) if self.threshold == math.inf else self.step(f) >= round(self.threshold * STEPS)
+
+
+def _leaf(splits, f) -> F.Column:
+    return sum((F.when(F.get(f, F.lit(i)) > b, F.lit(1 << n)).otherwise(F.lit(0)) for n, (i, b) in enumerate(splits)), F.lit(0))
+
+
+def _score(trees, f) -> F.Column:
+    return sum((F.get(F.lit(list(leaves)), _leaf(splits, f)) for splits, leaves in trees), F.lit(0.0))
+
+
+def _sums(counted: DataFrame, width: int):
+    """What gives the sums of gradients and of curvatures by leaf, feature and code, in whole PARTS, for trees so far and splits of the next."""
+    counted = saved(counted, "pii-codes")
+
+    def of(trees, splits):
+        code = F.col("codes")
+        rows = counted.select("codes", "good", "bad", _leaf(splits, code).alias("leaf"), F.rint(PARTS / (1 + F.exp(-_score(trees, code)))).cast("long").alias("p"))
+        grad = F.col("good") * (PARTS - F.col("p")) - F.col("bad") * F.col("p")
+        hess = (F.col("good") + F.col("bad")) * F.shiftright(F.col("p") * (PARTS - F.col("p")), 24)
+        each = rows.select("leaf", grad.alias("g"), hess.alias("h"), F.posexplode("codes").alias("i", "code"))
+        g, h = (np.zeros((1 << DEPTH, width, BORDERS + 1), np.int64) for _ in range(2))
+        for r in each.groupBy("leaf", "i", "code").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
+            g[r.leaf, r.i, r.code], h[r.leaf, r.i, r.code] = r.g, r.h
+        return g, h
+
+    return of
+
+
+def _sums_here(counted: DataFrame, width: int):
+    """As _sums(), of few rows, on the driver."""
+    rows = counted.collect()
+    codes, good, bad = np.array([r.codes for r in rows], np.int64), np.array([r.good for r in rows], np.int64), np.array([r.bad for r in rows], np.int64)
+    leaf_of = lambda splits: sum(((codes[:, i] > b).astype(np.int64) << n for n, (i, b) in enumerate(splits)), np.zeros(len(codes), np.int64))
+
+    def of(trees, splits):
+        score = sum((np.array(leaves)[leaf_of(s)] for s, leaves in trees), np.zeros(len(codes)))
+        p, leaf = np.rint(PARTS / (1 + np.exp(-score))).astype(np.int64), leaf_of(splits)
+        g, h = (np.zeros((1 << DEPTH, width, BORDERS + 1), np.int64) for _ in range(2))
+        for i in range(width):
+            np.add.at(g, (leaf, i, codes[:, i]), good * (PARTS - p) - bad * p)
+            np.add.at(h, (leaf, i, codes[:, i]), (good + bad) * (p * (PARTS - p) >> 24))
+        return g, h
+
+    return of
+
+
+def _rounded_up(v) -> F.Column:
+    """v, rounded up to nine binary digits: whole numbers up to 512 stay, and there are at most 256 values between a number and its double."""
+    unit = F.pow(F.lit(2.0), F.floor(F.log2(v)) - 8)
+    return F.when(v > 0, F.ceil(v / unit) * unit).otherwise(F.lit(0.0))
+
+
+def counted_vectors(scanned: DataFrame) -> DataFrame:
+    """DataFrame[fold, label, f, n]: all candidates that scan() found, counted; in every second one the cues are blanked."""
     every = scanned.select(F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)), F.lit(0)).alias("fold"), F.xxhash64("doc_id", F.lit(3)).alias("k"), F.explode("cand").alias("x"))
-    every = every.select("fold", F.col("x.label").alias("label"), F.xxhash64("k", "x.start", "x.kind").alias("k"), F.col("x.f").alias("f"))
-    model, by_label = Boosted(), Window.partitionBy("fold", "label")
-    counts = {(r["fold"], r["label"]): r["count"] for r in every.groupBy("fold", "label").count().collect()}
-    # A hash leaves about twice the sample of each label and fold, however many tasks there are, before the exact cut.
-    share = F.lit(1.0)
-    for (fold, label), n in counts.items():
-        share = F.when((F.col("fold") == fold) & (F.col("label") == label), F.lit(min(1.0, (2 * sample + 100) / n))).otherwise(share)
-    every = every.where(F.pmod("k", F.lit(1 << 20)) < share * (1 << 20))
-    rows = every.withColumn("n", F.row_number().over(by_label.orderBy("k", "f"))).where(F.col("n") <= sample).drop("n").collect()
-    parts = []
-    for fold in (0, 1):
-        own = sorted((r["k"], r["label"], r["f"]) for r in rows if r["fold"] == fold)
-        x, y = np.array([f for _, _, f in own], float), np.array([label for _, label, _ in own], float)
-        if len(own):
-            x[np.array([k % 2 == 0 for k, _, _ in own]), :CUES] = 0
-        taken = {v: max(1, int((y == v).sum())) for v in (0, 1)}
-        parts.append((x, y, np.array([counts[fold, bool(v)] / taken[int(v)] for v in y])))
-    (x, y, w), held = parts
-    model.fit(x, y, w / w.mean() if len(w) else w)
-    model.calibrate(*held, precision)
+    blank = F.pmod(F.xxhash64("k", "x.start", "x.kind"), F.lit(2)) == 0
+    f = F.when(blank, F.concat(F.lit([0.0] * CUES), F.slice("x.f", CUES + 1, F.size("x.f")))).otherwise(F.col("x.f"))
+    return every.select("fold", F.col("x.label").alias("label"), f.alias("f")).groupBy("fold", "label", "f").agg(F.count("*").alias("n"))
+
+
+def fit(scanned: DataFrame, *, precision: float = PRECISION) -> Boosted:
+    """Trees and threshold from all candidates that scan() found."""
+    vectors, model = saved(counted_vectors(scanned), "pii-vectors"), Boosted()
+    learnt, held = vectors.where("fold = 0"), vectors.where("fold = 1")
+    values: dict[int, list[float]] = {}
+    for r in learnt.select(F.posexplode("f").alias("i", "v")).select("i", _rounded_up(F.col("v")).alias("v")).distinct().collect():
+        values.setdefault(r.i, []).append(r.v)
+    if not values:
+        return model
+    # Borders at values that occur, BORDERS a feature at most.
+    borders = [np.unique(np.quantile(np.sort(v)[:-1], np.linspace(0, 1, BORDERS), method="nearest")) if len(v) > 1 else np.zeros(0) for _, v in sorted(values.items())]
+    cuts = F.lit([list(map(float, b)) for b in borders]).cast("array<array<double>>")
+    code = lambda x, i: F.size(F.filter(F.get(cuts, i), lambda b: b < x))
+    count = lambda label: F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0))
+    model.fit(learnt.groupBy(F.transform("f", code).alias("codes")).agg(count(True).alias("good"), count(False).alias("bad")), borders)
+    model.calibrate(held, precision)
     return model
 
 

@@ -8,6 +8,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -497,6 +498,26 @@ def test_pii_precision_and_recall_on_other_documents(spark):
     assert sum(hits) / len(hits) >= 0.98 and sum(hits) / (sum(hits) + sum(misses)) >= 0.98
 
 
+def test_pii_counts_every_candidate(spark, monkeypatch):
+    monkeypatch.setattr(pii_boost, "TREES", 2)
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    docs = common.saved(spark.range(44_000).withColumnRenamed("id", "doc_id").withColumn("no", F.row_number().over(Window.partitionBy(fold).orderBy("doc_id"))).where("no <= 20000"), "docs")
+
+    def fitted(good):
+        """Of 10,000 candidates of one look so many are positive, of 10,000 of another 200."""
+        first = F.col("no") <= 10_000
+        f = F.array(*(F.lit(0.0) for _ in range(pii_boost.CUES)), F.when(first, 1.0).otherwise(0.0))
+        cand = F.struct(F.lit("secret").alias("kind"), F.lit(0).alias("start"), F.lit(8).alias("stop"), F.when(first, F.col("no") <= good).otherwise(F.col("no") <= 10_200).alias("label"), F.lit(False).alias("overlaps"), f.alias("f"))
+        return pii_boost.fit(docs.select("doc_id", F.array(cand).alias("cand")))
+
+    exact, short = fitted(9_800), fitted(9_799)
+    assert exact.threshold < math.inf and short.threshold == math.inf
+    monkeypatch.setattr(pii_boost, "FEW", -1)
+    spread = fitted(9_800)
+    assert spread.threshold == exact.threshold and [s for s, _ in spread.trees] == [s for s, _ in exact.trees]
+    assert np.allclose([v for _, v in spread.trees], [v for _, v in exact.trees])
+
+
 def test_pii_adds_secrets(spark):
     rows = []
     for i in range(60):
