@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from roadtide.functions.columns import bare_title, clean_title, embedded_time, is_cancelled, is_non_event, plausible_time, to_local
+from roadtide.session import written
 
 
 @F.pandas_udf(StringType())
@@ -107,10 +111,35 @@ PLAIN_WORDS = ("stadium", "center", "centre", "arena", "park", "amphitheatre")
 TITLE_PARTS, LEAST_STRUCTURED = 6, 3
 
 
+#: Events that are sent on at once.
+EVENTS_AT_ONCE = 10_000
+
+
+def members(text: str) -> Iterator:
+    """The values of a JSON text, one at a time where it is a list; ValueError where it is broken."""
+    white, decoder = re.compile(r"[ \t\n\r]*"), json.JSONDecoder()
+    past = lambda at: white.match(text, at).end()
+    at = past(0)
+    if text[at : at + 1] != "[":
+        yield json.loads(text)
+        return
+    at = past(at + 1)
+    if text[at : at + 1] != "]":
+        while True:
+            value, at = decoder.raw_decode(text, at)
+            yield value
+            at = past(at)
+            if text[at : at + 1] != ",":
+                break
+            at = past(at + 1)
+    if text[at : at + 1] != "]" or past(at + 1) != len(text):
+        raise ValueError("not a list")
+
+
 def json_ld_events(pages: DataFrame) -> DataFrame:
     """Events in the JSON-LD blocks of archived pages: page_id, start, title, location, has_time. One row per page, start, title and location.
 
-    Pages are parsed where they lie; a broken block is passed over.
+    Python gets the blocks alone and reads the members of a list one at a time; a broken block is passed over.
     """
 
     def flat(node):
@@ -129,24 +158,35 @@ def json_ld_events(pages: DataFrame) -> DataFrame:
             return " ".join(p for p in (place(x.get(k)) for k in ("name", "address", "streetAddress", "addressLocality", "addressRegion")) if p)
         return " ".join(map(place, x)) if isinstance(x, list) else str(x or "")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
-        block = re.compile(r"<script[^>]*application/ld\+json[^>]*>(.*?)</script>", re.S | re.I)
+    def found(text):
+        for value in members(text):
+            for e in flat(value):
+                start = str(e["startDate"])
+                yield start, str(e.get("name") or "").strip(), place(e.get("location")), "T" in start
+
+    def whole(text):
+        try:
+            return sum(1 for _ in found(text)) > 0
+        except (ValueError, RecursionError):
+            return False
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["page_id", "start", "title", "location", "has_time"]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()]
         for batch in batches:
-            out = set()
-            for page, html in zip(batch["page_id"], batch["html"], strict=True):
-                for text in block.findall(html or ""):
-                    try:
-                        found = list(flat(json.loads(text)))
-                    except (ValueError, RecursionError):
-                        continue
-                    for e in found:
-                        start = str(e["startDate"])
-                        out.add((page, start, str(e.get("name") or "").strip(), place(e.get("location")), "T" in start))
-            yield pd.DataFrame(sorted(out), columns=["page_id", "start", "title", "location", "has_time"])
+            ids, texts = batch.column(0), batch.column(1)
+            for n in range(len(texts)):
+                text = texts[n].as_py()
+                if not whole(text):
+                    continue
+                events = found(text)
+                while some := list(itertools.islice(events, EVENTS_AT_ONCE)):
+                    columns = [[ids[n].as_py()] * len(some), *zip(*some, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, start string, title string, location string, has_time boolean")
+    block = r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"
+    blocks = _pinned(pages.where("html is not null"), {"__blocks": F.regexp_extract_all("html", F.lit(block), F.lit(1))}).select(F.col("page_id").cast("long"), F.explode("__blocks").alias("block"))
+    return blocks.mapInArrow(run, "page_id long, start string, title string, location string, has_time boolean").distinct()
 
 
 def text_events(pages: DataFrame) -> DataFrame:
@@ -157,26 +197,26 @@ def text_events(pages: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("page_id").orderBy("pos")
     cut = page_texts(pages).withColumn("entry", F.sum(F.col("token").rlike(MONTH_TOKEN).cast("int")).over(w)).where("entry > 0")
-    entries = cut.groupBy("page_id", "entry").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("x")).join(pages.select("page_id", "year"), "page_id")
-    texts = entries.select("page_id", "year", F.col("x")[0]["pos"].alias("pos"), F.transform("x", lambda t: t["token"]).alias("t")).where(F.get("t", F.lit(1)).rlike(DAY_TOKEN))
-    dated = F.coalesce(F.get("t", F.lit(2)).rlike(YEAR_TOKEN), F.lit(False))
-    kind = lambda t: F.when(t.rlike(TIME_TOKEN), "time").when(t.rlike(STOP_TOKEN), "stop").when(t.rlike(STRAY_TOKEN), "stray").otherwise("title")
-    rest = F.slice("t", F.when(dated, 4).otherwise(3), F.size("t"))
-    df = texts.withColumns({"dated": dated, "rest": F.transform(rest, lambda t, i: F.struct(i.alias("i"), t.alias("t"), kind(t).alias("k")))})
-    titles = F.filter("rest", lambda r: r["k"] == "title")
-    df = df.withColumn("titles", titles).where(F.size("titles") > 0)
+    kind = F.when(F.col("token").rlike(TIME_TOKEN), "time").when(F.col("token").rlike(STOP_TOKEN), "stop").when(F.col("token").rlike(STRAY_TOKEN), "stray").otherwise("title")
+    entries = cut.groupBy("page_id", "entry").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("token").alias("t"), kind.alias("k")))).alias("x"))
+    texts = entries.where(F.get("x", F.lit(1))["t"].rlike(DAY_TOKEN)).join(pages.select("page_id", "year"), "page_id")
+    df = _pinned(texts, {"dated": F.coalesce(F.get("x", F.lit(2))["t"].rlike(YEAR_TOKEN), F.lit(False))})
+    rest = F.slice("x", F.when(F.col("dated"), 4).otherwise(3), F.size("x"))
+    df = _pinned(df, {"rest": F.transform(rest, lambda r, i: F.struct(i.alias("i"), r["t"].alias("t"), r["k"].alias("k")))})
+    df = _pinned(df, {"titles": F.filter("rest", lambda r: r["k"] == "title")}).where(F.size("titles") > 0)
     stop = F.filter("rest", lambda r: (r["k"] == "stop") & (r["i"] > F.col("titles")[0]["i"]))
     sixth = F.get("titles", F.lit(TITLE_PARTS - 1))["i"] + 1
-    df = df.withColumn("end", F.least(F.coalesce(F.get(stop, F.lit(0))["i"], F.size("rest")), F.coalesce(sixth, F.size("rest"))))
+    df = _pinned(df, {"end": F.least(F.coalesce(F.get(stop, F.lit(0))["i"], F.size("rest")), F.coalesce(sixth, F.size("rest")))})
     inside = lambda k: F.transform(F.filter("rest", lambda r: (r["k"] == k) & (r["i"] < F.col("end"))), lambda r: r["t"])
-    time = F.try_element_at(inside("time"), F.lit(-1))
+    df = _pinned(df, {"time": F.try_element_at(inside("time"), F.lit(-1)), "title": F.array_join(inside("title"), " - ")})
+    time, first = F.col("time"), lambda i: F.col("x")[i]["t"]
     part = lambda n: F.regexp_extract(time, TIME_TOKEN, n)
     hour = part(1).try_cast("int") % 12 + F.when(F.lower(part(3)) == "pm", 12).otherwise(0)
-    month = F.array_position(F.lit(list(MONTHS)), F.lower(F.left(F.col("t")[0], F.lit(3))))
-    year = F.when(F.col("dated"), F.regexp_extract(F.col("t")[2], YEAR_TOKEN, 1).try_cast("int")).otherwise(F.col("year"))
-    day = F.format_string("%04d-%02d-%02d", year, month.cast("int"), F.col("t")[1].cast("int"))
+    month = F.array_position(F.lit(list(MONTHS)), F.lower(F.left(first(0), F.lit(3))))
+    year = F.when(F.col("dated"), F.regexp_extract(first(2), YEAR_TOKEN, 1).try_cast("int")).otherwise(F.col("year"))
+    day = F.format_string("%04d-%02d-%02d", year, month.cast("int"), first(1).cast("int"))
     start = F.when(time.isNull(), day).otherwise(F.concat(day, F.format_string("T%02d:%02d:00", hour, part(2).try_cast("int"))))
-    out = df.select("page_id", start.alias("start"), F.array_join(inside("title"), " - ").alias("title"), time.isNotNull().alias("has_time"), "pos")
+    out = _pinned(df, {"start": start}).select("page_id", "start", "title", time.isNotNull().alias("has_time"), F.col("x")[0]["pos"].alias("pos"))
     return out.where(F.try_to_timestamp(F.replace("start", F.lit("T"), F.lit(" "))).isNotNull())
 
 
@@ -191,7 +231,7 @@ def page_events(pages: DataFrame) -> DataFrame:
     telling = F.filter(split(F.coalesce("venue_name", F.lit(""))), lambda x: (F.length(x) > 3) & ~x.isin(*PLAIN_WORDS))
     named = pages.select("page_id", telling.alias("words"))
     away = (F.col("location") != "") & (F.size("words") > 0) & ~F.arrays_overlap(split(F.col("location")), F.col("words"))
-    structured = json_ld_events(pages).join(named, "page_id").where(~away).select("page_id", "start", "title", "has_time", F.lit(0).alias("pos"))
+    structured = written(json_ld_events(pages).join(named, "page_id").where(~away).select("page_id", "start", "title", "has_time", F.lit(0).alias("pos")))
     enough = structured.groupBy("page_id").count().where(F.col("count") >= LEAST_STRUCTURED).select("page_id")
     found = structured.join(enough, "page_id", "left_semi").unionByName(text_events(pages.join(enough, "page_id", "left_anti")))
     local = to_local(F.col("start"))
@@ -208,7 +248,7 @@ def page_texts(pages: DataFrame) -> DataFrame:
     for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")):
         text = F.replace(text, F.lit(entity), F.lit(char))
     tokens = F.filter(F.transform(F.split(text, r"\s*\n\s*"), lambda t: F.trim(t)), lambda x: x != "")
-    return pages.where("html is not null").select("page_id", F.posexplode(tokens).alias("pos", "token"))
+    return _pinned(pages.where("html is not null"), {"__tokens": tokens}).select("page_id", F.posexplode("__tokens").alias("pos", "token"))
 
 
 def flatten_games(schedule: DataFrame, home_venue: str) -> DataFrame:

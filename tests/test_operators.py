@@ -2,6 +2,8 @@
 
 import datetime as dt
 import itertools
+import json
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -121,6 +123,25 @@ def test_normalized_events_do_not_depend_on_order(spark):
     assert a == b and ("v", "Game", "2025-07-07T18:45:00", True, "2025-01-02", 2) in a and ("v", "Other", "2025-07-07", False, "2025-01-01", 1) in a
 
 
+def test_json_lists_are_read_one_member_at_a_time():
+    text = json.dumps([{"name": f"event {i}", "startDate": "2024-01-01"} for i in range(50_000)])
+    tracemalloc.start()
+    assert sum(1 for _ in events.members(text)) == 50_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1_000_000
+    for good in ("[]", " [ 1 , [2], {} ] ", '{"a": [1]}', "7"):
+        assert list(events.members(good)) == (v if isinstance(v := json.loads(good), list) else [v])
+    for broken in ("", "[1, 2", "[1,]", "[1] 2", "[1 2]", "[,]", "{"):
+        with pytest.raises(ValueError):
+            list(events.members(broken))
+
+
+def test_the_start_of_an_entry_is_worked_out_once(spark):
+    pages = spark.createDataFrame([(1, "<p>a</p>", 2024)], "page_id long, html string, year int")
+    assert events.text_events(pages)._jdf.queryExecution().optimizedPlan().toString().count("format_string") == 3
+
+
 def test_json_ld(spark):
     html = '<script type="application/ld+json">{"@type": "MusicEvent", "name": "Band", "startDate": "2025-01-01T19:00", "location": {"name": "Hall"}}</script><script type="application/ld+json">{broken</script>'
     got = events.json_ld_events(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")).collect()
