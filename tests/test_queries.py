@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from roadtide.operators import routing
+from roadtide.operators import asof, routing
 from roadtide.plans import forecast_queries, more_queries, source_queries  # noqa: F401  register their queries
 from roadtide.plans import queries as q
 from tests.conftest import TESTDATA
@@ -36,3 +36,10 @@ def test_entry(spark):
 def test_hours_before_an_event_have_buckets_too(spark):
     got = q.queries()["J8_hour_bucket"](spark, str(TESTDATA)).agg(F.min("bucket").alias("a"), F.max("bucket").alias("b")).first()
     assert got.a < 0 and got.b > 0
+
+
+def test_events_are_asked_once_a_venue_and_time(spark, monkeypatch):
+    asked, nearest = [], asof.nearest_event
+    monkeypatch.setattr(asof, "nearest_event", lambda df, *a, **more: asked.append(df) or nearest(df, *a, **more))
+    q.queries()["M2_network_matrix"](spark, str(TESTDATA))
+    assert asked[0].count() == asked[0].select("venue", "ts").distinct().count() > 0
