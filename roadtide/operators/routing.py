@@ -101,7 +101,8 @@ def price(routes: DataFrame, departures: DataFrame, *, slot_min: int = 15) -> Da
     routes: from priced_spans(); departures: route_id, depart (minutes since the first slot). A slot beyond the last
     stays at the last. A span without a forecast in its slot counts as surface. measured_share is that of the minutes;
     minutes_sd adds up the deviations of the forecast spans. The fold runs inside one row per (route, departure), so the
-    plan has one join and no state across rows.
+    plan has one join and no state across rows. It is a merge join: departures that explode() has made count for the
+    planner as the few rows they come from, and it would broadcast them all.
     """
     zero = F.struct(
         F.col("depart").cast("double").alias("t"), *(F.lit(0.0).alias(c) for c in ("freeway", "surface", "freeway_mi", "surface_mi", "sd")), F.lit(0).alias("stations"),
@@ -116,7 +117,7 @@ def price(routes: DataFrame, departures: DataFrame, *, slot_min: int = 15) -> Da
             (acc["sd"] + sd).alias("sd"), (acc["stations"] + known.cast("int")).alias("stations"),
         )
 
-    rows = departures.join(routes, "route_id").withColumn("r", F.aggregate("spans", zero, step))
+    rows = departures.join(routes.hint("merge"), "route_id").withColumn("r", F.aggregate("spans", zero, step))
     total = F.col("r.t") - F.col("depart")
     return rows.select(
         "route_id", "depart", total.alias("total_minutes"), F.col("r.freeway").alias("freeway_minutes"), F.col("r.surface").alias("surface_minutes"),
@@ -150,7 +151,7 @@ def arrive_by(routes: DataFrame, deadlines: DataFrame, *, step_min: int = 15, ba
     first = F.greatest(F.ceil((F.col("deadline") - back_min) / step_min), F.lit(0)) * step_min
     tries = deadlines.where("deadline >= 0").select("route_id", "deadline", F.explode(F.sequence(first, F.floor(F.col("deadline") / step_min) * step_min, F.lit(step_min))).alias("depart"))
     priced = price(routes, tries.select("route_id", "depart").distinct(), slot_min=slot_min).select("route_id", "depart", "total_minutes")
-    landed = tries.join(priced, ["route_id", "depart"]).where(F.col("depart") + F.col("total_minutes") <= F.col("deadline"))
+    landed = tries.join(priced.hint("merge"), ["route_id", "depart"]).where(F.col("depart") + F.col("total_minutes") <= F.col("deadline"))
     best = landed.groupBy("route_id", "deadline").agg(F.max_by(F.struct("depart", "total_minutes"), "depart").alias("b"))
     arrive = F.col("b.depart") + F.col("b.total_minutes")
     return best.select("route_id", "deadline", "b.depart", arrive.alias("arrive"), F.col("b.total_minutes").alias("minutes"), (F.col("deadline") - arrive).alias("slack_minutes"))
@@ -196,7 +197,7 @@ def segments(routes: DataFrame, departures: DataFrame, *, slot_min: int = 15) ->
         row = F.struct(x["span_no"].cast("int").alias("span_no"), mph.alias("mph"), minutes.alias("minutes"), (acc["t"] + minutes).alias("arrive"), forecast.isNull().alias("estimate"))
         return F.struct((acc["t"] + minutes).alias("t"), F.concat(acc["out"], F.array(row)).alias("out"))
 
-    rows = departures.join(routes, "route_id").select("route_id", "depart", "spans", F.aggregate("spans", zero, step, lambda acc: acc["out"]).alias("out"))
+    rows = departures.join(routes.hint("merge"), "route_id").select("route_id", "depart", "spans", F.aggregate("spans", zero, step, lambda acc: acc["out"]).alias("out"))
     both = rows.select("route_id", "depart", F.explode(F.arrays_zip("spans", "out")).alias("z"))
     return both.select("route_id", "depart", "z.out.span_no", "z.spans.kind", "z.spans.miles", "z.out.mph", "z.out.minutes", "z.out.arrive", "z.out.estimate")
 

@@ -644,3 +644,16 @@ def test_a_fit_computes_its_rows_once(spark):
     rows = spark.range(200).select(F.udf(told, "double")("id").alias("label"), (F.col("id") % 3).cast("double").alias("a"), (F.col("id") % 2).cast("string").alias("c"), (F.col("id") >= 150).alias("valid"))
     fitted = model.fit(rows, ["a"], ["c"], rounds=2, valid="valid")
     assert fitted is not None and seen.value == 200
+
+
+def test_departures_are_never_broadcast(spark):
+    """Exploded rows have the planner's size of the few that they come from."""
+    span = "named_struct('span_no', 0, 'kind', 'surface', 'miles', 10D, 'speeds', cast(null as array<double>), 'sds', cast(null as array<double>), 'streets', cast(null as array<double>), 'free', 30D)"
+    routes = spark.range(3).selectExpr("id AS route_id", f"array({span}) AS spans")
+    departs = routing.all_day(spark.range(3).withColumnRenamed("id", "route_id"))
+    deadlines = spark.range(3).selectExpr("id AS route_id", "explode(array(540, 1080)) AS deadline")
+    asked = {"price": routing.price(routes, departs), "segments": routing.segments(routes, departs), "arrive_by": routing.arrive_by(routes, deadlines)}
+    plans = {name: df._jdf.queryExecution().executedPlan().toString() for name, df in asked.items()}
+    assert [name for name, plan in plans.items() if "Broadcast" in plan] == []
+    assert (asked["price"].count(), asked["segments"].count()) == (288, 288)
+    assert sorted(map(tuple, asked["arrive_by"].select("route_id", "deadline", "depart", "minutes").collect())) == [(i, t, t - 30, 20.0) for i in range(3) for t in (540, 1080)]
