@@ -36,18 +36,26 @@ def middle_station(stations: DataFrame, *, keys=("fwy", "dir"), order=("abs_pm",
     )
 
 
-def travel_time(readings: DataFrame, members: DataFrame, *, weight: str = "length") -> DataFrame:
+def exact_sum(column: str):
+    """A sum that the order of the rows does not change: of decimals of 18 places, rounded to a double once. If a value is no such decimal (NaN, infinite, 1e10 or more), it is the sum of the doubles."""
+    decimal = F.col(column).try_cast("decimal(28,18)")
+    return F.when(F.count(decimal) == F.count(column), F.sum(decimal).cast("double")).otherwise(F.sum(column))
+
+
+def travel_time(readings: DataFrame, members: DataFrame, *, weight: str = "length", exact: bool = False) -> DataFrame:
     """Travel time of each corridor at each time.
 
     members: slug, sensor_id and the miles that a station stands for. Returns corridor, ts, raw_minutes, n_stations,
     pct_observed, coverage and minutes, which is raw_minutes scaled up by the coverage.
     Members are a dimension that the planner broadcasts by its size; one shuffle by (corridor, ts).
+    exact: the miles are added up by exact_sum(), so that no last bit of the coverage depends on the order of the rows.
     """
-    total = members.groupBy("slug").agg(F.sum(weight).alias("total_mi"))
+    miles = exact_sum if exact else F.sum
+    total = members.groupBy("slug").agg(miles(weight).alias("total_mi"))
     live = readings.where("speed > 0").join(members.join(total, "slug"), F.col("station") == F.col("sensor_id"))
     out = live.groupBy(F.col("slug").alias("corridor"), "ts").agg(
         F.sum(F.col(weight) / F.col("speed") * 60.0).alias("raw_minutes"),
-        F.sum(weight).alias("observed_mi"),
+        miles(weight).alias("observed_mi"),
         # A set is at most as long as the corridor's list of stations, and needs no shuffle of its own.
         F.size(F.collect_set("station")).alias("n_stations"),
         F.avg("pct_observed").alias("pct_observed"),
@@ -83,13 +91,15 @@ def compose(rows: DataFrame, members: DataFrame, measures: dict[str, str], *, we
     return grouped.select("corridor", "ts", *((F.col(m) * scale).alias(m) for m in measures), F.try_divide("mi", "total_mi").alias("coverage"))
 
 
-def well_covered(df: DataFrame, share: float = RELATIVE_COVERAGE) -> DataFrame:
+def well_covered(df: DataFrame, share: float = RELATIVE_COVERAGE, *, digits: int | None = 9) -> DataFrame:
     """Rows with at least this share of their corridor's median coverage.
 
     Both are compared at nine digits: sums in another order differ in the last bits, which must not decide of rows at the limit.
+    digits=None compares the doubles as they are, for coverages of exact sums.
     """
     typical = group_quantiles(df, ["corridor"], F.col("coverage"), {"__typical": 0.5}).drop("n")
-    return df.join(typical, "corridor").where(F.round("coverage", 9) >= F.round(share * F.col("__typical"), 9)).drop("__typical")
+    settled = lambda c: c if digits is None else F.round(c, digits)
+    return df.join(typical, "corridor").where(settled(F.col("coverage")) >= settled(share * F.col("__typical"))).drop("__typical")
 
 
 def reduce_station_day(raw: DataFrame, keep: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from roadtide.operators import asof, corridor, evaluate, events, features, model
 from roadtide.sources import buckets, commits, readers
 from roadtide.streaming import ingest
 from tests.conftest import TESTDATA
+from tests.oracle import oracle_rows, rows_of
 
 
 def value(spark, column):
@@ -657,3 +658,26 @@ def test_departures_are_never_broadcast(spark):
     assert [name for name, plan in plans.items() if "Broadcast" in plan] == []
     assert (asked["price"].count(), asked["segments"].count()) == (288, 288)
     assert sorted(map(tuple, asked["arrive_by"].select("route_id", "deadline", "depart", "minutes").collect())) == [(i, t, t - 30, 20.0) for i in range(3) for t in (540, 1080)]
+
+
+@pytest.mark.parametrize("name", ["A17_relative_coverage"])
+def test_rows_at_the_limit_of_coverage_are_compared_as_in_the_sql(spark, tmp_path, name):
+    """Of 2.5 miles 0.4 are 0.8 times 0.5, but less in doubles."""
+    from roadtide.plans.queries import oracle_sql, queries
+
+    stations = [4, 12, 16, 20, 40, 60]
+    spark.createDataFrame([(k, 0) for k in stations], "s_suppkey long, s_nationkey int").coalesce(1).write.parquet(str(tmp_path / "w1"))
+    at = [(12, 1, d) for d in range(1, 6)] + [(16, 2, 9)]
+    rows = [(k, o, 1, 20.0 + d, 0.05, 0.02, dt.datetime(1996, 1, d)) for k, o, d in at]
+    spark.createDataFrame(rows, "l_suppkey long, l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_shipdate timestamp_ntz").coalesce(1).write.parquet(str(tmp_path / "w2"))
+    (tmp_path / "sf").mkdir()
+    for folder, table in (("w1", "supplier"), ("w2", "lineitem")):
+        next((tmp_path / folder).glob("*.parquet")).rename(tmp_path / "sf" / f"{table}.parquet")
+    got, names = rows_of(queries()[name](spark, str(tmp_path / "sf")))
+    assert got == oracle_rows(oracle_sql()[name], tmp_path / "sf", names) and {r[names.index("n")] for r in got} == {5}
+
+
+def test_exact_sums_do_not_depend_on_the_order_of_rows(spark):
+    asked = lambda vs: spark.createDataFrame([(v,) for v in vs], "x double").coalesce(1).agg(corridor.exact_sum("x").alias("s")).first().s
+    assert asked([0.1, 0.2, 0.3]) == asked([0.3, 0.2, 0.1]) == 0.6
+    assert np.isnan(asked([0.1, float("nan")])) and asked([1e300, 1.0]) == 1e300 and asked([None]) is None
