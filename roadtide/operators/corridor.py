@@ -75,17 +75,18 @@ def usable(series: DataFrame, *, min_coverage: float = MIN_COVERAGE) -> DataFram
     return series.where((~F.col("imputed_day")) & (F.col("coverage") >= min_coverage) & (F.col("minutes") > 0))
 
 
-def compose(rows: DataFrame, members: DataFrame, measures: dict[str, str], *, weight: str = "spacing") -> DataFrame:
+def compose(rows: DataFrame, members: DataFrame, measures: dict[str, str], *, weight: str = "spacing", exact: bool = False) -> DataFrame:
     """Corridor minutes of several speed columns at once, by (corridor, ts), with coverage.
 
     measures: result column to speed column. All share the detectors that report the first of them, and are scaled by
-    total over covered miles, so the columns are comparable.
+    total over covered miles, so the columns are comparable. exact: as for travel_time().
     """
+    miles = exact_sum if exact else F.sum
     first = next(iter(measures.values()))
-    total = members.groupBy("slug").agg(F.sum(weight).alias("total_mi"))
+    total = members.groupBy("slug").agg(miles(weight).alias("total_mi"))
     live = rows.where(F.col(first) > 0).join(members.join(total, "slug"), F.col("station") == F.col("sensor_id"))
     grouped = live.groupBy(F.col("slug").alias("corridor"), "ts").agg(
-        *(F.sum(F.col(weight) / F.col(c) * 60.0).alias(m) for m, c in measures.items()), F.sum(weight).alias("mi"), F.max("total_mi").alias("total_mi")
+        *(F.sum(F.col(weight) / F.col(c) * 60.0).alias(m) for m, c in measures.items()), miles(weight).alias("mi"), F.max("total_mi").alias("total_mi")
     )
     scale = F.try_divide("total_mi", "mi")
     return grouped.select("corridor", "ts", *((F.col(m) * scale).alias(m) for m in measures), F.try_divide("mi", "total_mi").alias("coverage"))

@@ -660,7 +660,7 @@ def test_departures_are_never_broadcast(spark):
     assert sorted(map(tuple, asked["arrive_by"].select("route_id", "deadline", "depart", "minutes").collect())) == [(i, t, t - 30, 20.0) for i in range(3) for t in (540, 1080)]
 
 
-@pytest.mark.parametrize("name", ["A17_relative_coverage"])
+@pytest.mark.parametrize("name", ["A17_relative_coverage", "M10_route_validation"])
 def test_rows_at_the_limit_of_coverage_are_compared_as_in_the_sql(spark, tmp_path, name):
     """Of 2.5 miles 0.4 are 0.8 times 0.5, but less in doubles."""
     from roadtide.plans.queries import oracle_sql, queries
